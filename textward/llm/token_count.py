@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 MAX_STATES = 150_000
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: Characters of one chunk of the boundary transducer.
 CHUNK = 128
 
