@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "token_count", "packing")
+MODULES = ("decontaminate", "token_count", "packing", "simhash")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
