@@ -62,9 +62,13 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     return np.fromiter((digest(raw[s:e], SEED) for s, e in zip(new_start[at].tolist(), new_end[last].tolist())), np.uint64, len(at)), rows[at]
 
 
+def _nth(i: int) -> np.uint64:
+    return np.uint64(int(C.MULT) * i % (1 << 64))
+
+
 def widened(hashes: np.ndarray, words: int) -> np.ndarray:
     """Hashes of `words` machine words; the first is the hash itself."""
-    return np.stack([hashes, *(C.mixed(hashes * np.uint64(2 * i + 1) + np.uint64(i) * C.MULT) for i in range(1, words))], axis=1)
+    return np.stack([hashes, *(C.mixed(hashes * np.uint64(2 * i + 1) + _nth(i)) for i in range(1, words))], axis=1)
 
 
 def _add(a, b, c):
@@ -113,7 +117,7 @@ def minima(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> list[list[int]]
     heads = (np.cumsum(counts) - counts)[have]
     keys = np.zeros((len(have), BANDS), np.uint64)
     for i in range(BANDS * IN_BAND):
-        own = C.mixed(hashes ^ (C.MULT * np.uint64(2 * i + 1)))
+        own = C.mixed(hashes ^ _nth(2 * i + 1))
         keys[:, i // IN_BAND] = C.mixed(keys[:, i // IN_BAND] * C.MULT + np.minimum.reduceat(own, heads) + np.uint64(i))
     listed = dict(zip(have.tolist(), keys.view(np.int64).tolist()))
     return [listed.get(i, []) for i in range(n_rows)]
