@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "token_count", "packing", "simhash", "warc")
+MODULES = ("decontaminate", "token_count", "packing", "simhash", "warc", "media")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
