@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "token_count", "packing", "simhash", "warc", "media", "secrets")
+MODULES = ("decontaminate", "token_count", "packing", "simhash", "warc", "media", "secrets", "language")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
