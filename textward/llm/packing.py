@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
+from .token_count import PreTokens, boundaries, normalized
 
 WINDOW = 2048
 END_ID = 1
-MAX_CHUNKS = 300_000
-
-#: Texts of these characters alone give the same ids word by word as in one piece: already composed, and split at white space only.
-PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+MAX_PARTS = 500_000
 
 
 class Ids:
-    """Ids of texts as packed 32-bit numbers, with a bounded memo of white-space separated parts."""
+    """Ids of texts, with a bounded memo of the tokenizer's ids of pre-tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,17 +43,28 @@ class Ids:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        parts = [x.lower().split() if PLAIN.fullmatch(x) and not self.special.search(x) else None for x in texts]
+        """Packed ids of each text; one that holds the string of a special token is encoded as a whole."""
+        whole = [i for i, x in enumerate(texts) if self.special.search(x)]
+        parts = PreTokens(["" if self.special.search(x) else normalized(x) for x in texts], boundaries())
+        if len(self.known) > MAX_PARTS:
+            self.known.clear()
         known = self.known
-        if len(known) > MAX_CHUNKS:
-            known.clear()
-        missing = list({w for own in parts if own for w in own if w not in known})
+        missing = [x for x in parts.distinct if x not in known]
         known.update(zip(missing, self._encode(missing)))
-        whole = iter(self._encode([x for x, own in zip(texts, parts) if own is None]))
-        return [next(whole) if own is None else b"".join([known[w] for w in own]) for own in parts]
+        own = [known[x] for x in parts.distinct]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, at = np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes
+        counts = sizes[parts.which]
+        ends = np.cumsum(counts)
+        ids = flat[np.arange(int(counts.sum())) + np.repeat(at[parts.which] - ends + counts, counts)].tobytes()
+        stops = 4 * np.cumsum(np.bincount(parts.row, weights=counts, minlength=len(texts)).astype(np.int64))
+        out = [ids[s:e] for s, e in zip([0, *stops.tolist()], stops.tolist())]
+        for i, raw in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = raw
+        return out
 
 
 @functools.lru_cache(2)
@@ -178,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         for batch in batches:
             type_ = batch.schema.field(0).type
             _, offs = C.text_buffer(batch.column(1))
-            for lo, hi in C.slices(offs):
+            for lo, hi in C.slices(offs, 3 << 20):
                 docs_, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
                 for doc, ids in zip(docs_, encoder.of([x or "" for x in texts])):
                     ids += end

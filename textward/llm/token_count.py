@@ -263,42 +263,47 @@ class Words:
         return known
 
 
+class PreTokens:
+    """The pre-tokens of some normalised texts: which distinct one stands where, and in which text."""
+
+    def __init__(self, plain: list[str], boundaries: Boundaries):
+        self.joined = "\n".join(plain)
+        codes = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
+        starts, space = boundaries.starts(codes)
+        at = np.flatnonzero(starts)
+        gaps = np.flatnonzero(space)
+        ends = np.append(at[1:], len(codes))[: len(at)]
+        if len(at):
+            ends = np.minimum(ends, np.append(gaps, len(codes))[np.searchsorted(gaps, at)])
+        values = codes.astype(np.uint64) + np.uint64(1)
+        values = values * C.MULT ^ (values << np.uint64(32))
+        _, first, self.which = np.unique(C.range_hash(values, at, ends), return_index=True, return_inverse=True)
+        self.distinct = [self.joined[s:e] for s, e in zip(at[first].tolist(), ends[first].tolist())]
+        self.row = np.repeat(np.arange(len(plain)), [len(x) + 1 for x in plain])[at]
+
+
+@functools.lru_cache(1)
+def boundaries() -> Boundaries:
+    return Boundaries()
+
+
 @functools.lru_cache(2)
-def machines(path: str) -> tuple[Boundaries, Words]:
-    return Boundaries(), Words(path)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
-    boundaries, words = machines(path)
-    special = re.compile("|".join(map(re.escape, words.special))) if words.special else None
+    words = words_of(path)
+    special = re.compile("|".join(map(re.escape, words.special)) or "(?!)")
     extra, plain = np.zeros(len(texts), np.int64), []
     for i, text in enumerate(texts):
-        if special and "<|" in text:
-            parts = special.split(text)
-            extra[i], text = len(parts) - 1, " ".join(map(normalized, parts))
-        else:
-            text = normalized(text)
-        plain.append(text)
-    joined = "\n".join(plain)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    if not len(codes):
-        return extra
-    starts, space = boundaries.starts(codes)
-    at = np.flatnonzero(starts)
-    if not len(at):
-        return extra
-    gaps = np.flatnonzero(space)
-    stop = np.append(gaps, len(codes))[np.searchsorted(gaps, at)]
-    ends = np.minimum(np.append(at[1:], len(codes)), stop)
-    values = codes.astype(np.uint64) + np.uint64(1)
-    values = values * C.MULT ^ (values << np.uint64(32))
-    _, first, which = np.unique(C.range_hash(values, at, ends), return_index=True, return_inverse=True)
-    count = words.count
-    each = np.fromiter((count(joined[s:e].encode()) for s, e in zip(at[first].tolist(), ends[first].tolist())), np.int64, len(first))[which]
-    lengths = np.array([len(x) + 1 for x in plain])
-    rows = np.repeat(np.arange(len(plain)), lengths)[at]
-    return extra + np.bincount(rows, weights=each, minlength=len(plain)).astype(np.int64)
+        parts = special.split(text)
+        extra[i] = len(parts) - 1
+        plain.append(" ".join(map(normalized, parts)))
+    found = PreTokens(plain, boundaries())
+    each = np.fromiter(map(words.count, map(str.encode, found.distinct)), np.int64, len(found.distinct))
+    return extra + np.bincount(found.row, weights=each[found.which], minlength=len(plain)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
