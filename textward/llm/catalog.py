@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "token_count", "packing", "simhash", "warc", "media", "secrets", "language", "licenses")
+MODULES = ("decontaminate", "simhash", "warc", "token_count", "packing", "media", "repeats", "secrets", "language", "licenses")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
