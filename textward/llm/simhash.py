@@ -346,10 +346,16 @@ def groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each near-duplicate group; columns stay as they are."""
+    """docs with the document of the smallest id of each near-duplicate group; columns stay as they are.
+
+    Of rows that share id and text one stays; rows that share an id but not the text go or stay together.
+    """
     found = groups(docs, k, id_col=id_col, text_col=text_col, similarity=similarity)
-    own = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(own, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    own = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(own, id_col, "left_semi")
+    again = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    if not again.isEmpty():
+        kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
