@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from textward.plans import scans
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (scans,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
