@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textward.plans import scans
+from textward.plans import conversations, scans, scores
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (scans,):
+for _module in (scans, scores, conversations):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -13,7 +13,11 @@ from textward.plans.planted import CORPUS, corpus
 
 #: A table of benign phrases; the operator takes any.
 BENIGN = (("thank you", -0.2), ("documentation", -0.3), ("please", -0.1), ("review", -0.25), ("how to", -0.3))
-TEXT = F.col("text")
+
+
+def _text():
+    return F.col("text")
+
 
 
 def _q(x: str) -> str:
@@ -86,22 +90,22 @@ def _scored(s, d):
 _PSCORE = "((((doc_id % 11) + 11) % 11) / 10::double)"
 
 QUERIES = {
-    "f3_attack_predicate": lambda s, d: corpus(s, d).select("doc_id", heu.attack_predicate(TEXT).alias("is_attack")),
-    "f4_extraction_blocklist": lambda s, d: corpus(s, d).filter(heu.asks_for_prompt(TEXT)).select("doc_id"),
-    "f5_substantive_filter": lambda s, d: corpus(s, d).select("doc_id", heu.substantive(TEXT).alias("is_substantive")),
-    "f6_canary_filter": lambda s, d: corpus(s, d).filter(heu.canary_hit(TEXT, (*heu.CANARIES, "lorem", "password"))).select("doc_id"),
-    "h1_tiered_rules": lambda s, d: corpus(s, d).withColumn("low", F.lower("text")).select("doc_id", heu.tier(TEXT, F.col("low")).alias("t")).select("doc_id", F.col("t.family").alias("family"), F.round("t.score", 6).alias("score")),
+    "f3_attack_predicate": lambda s, d: corpus(s, d).select("doc_id", heu.attack_predicate(_text()).alias("is_attack")),
+    "f4_extraction_blocklist": lambda s, d: corpus(s, d).filter(heu.asks_for_prompt(_text())).select("doc_id"),
+    "f5_substantive_filter": lambda s, d: corpus(s, d).select("doc_id", heu.substantive(_text()).alias("is_substantive")),
+    "f6_canary_filter": lambda s, d: corpus(s, d).filter(heu.canary_hit(_text(), (*heu.CANARIES, "lorem", "password"))).select("doc_id"),
+    "h1_tiered_rules": lambda s, d: corpus(s, d).withColumn("low", F.lower("text")).select("doc_id", heu.tier(_text(), F.col("low")).alias("t")).select("doc_id", F.col("t.family").alias("family"), F.round("t.score", 6).alias("score")),
     "h2_rule_family_hits": lambda s, d: heu.family_best(corpus(s, d), "multi_turn").select("doc_id", F.lit("multi_turn").alias("family"), "score", "label").unionByName(heu.family_best(corpus(s, d), "policy").select("doc_id", F.lit("policy").alias("family"), "score", "label")).unionByName(heu.family_best(corpus(s, d), "flip").select("doc_id", F.lit("flip").alias("family"), "score", "label")).filter("score > 0"),
-    "h3_entropy": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.entropy(TEXT, True), 6).alias("by_bytes"), F.round(heu.entropy(TEXT, False), 6).alias("by_characters")),
-    "h4_high_entropy_block": lambda s, d: corpus(s, d).filter((F.octet_length("text") > 50) & (heu.entropy(TEXT, True) > 4.4)).select("doc_id"),
-    "h5_compress_spaced": lambda s, d: corpus(s, d).select("doc_id", F.sha2(heu.compressed(TEXT), 256).alias("sha")),
-    "h6_leet_gate": lambda s, d: corpus(s, d).select("doc_id", heu.has_leet(TEXT).alias("is_leet"), F.sha2(heu.unleeted(TEXT), 256).alias("sha")),
-    "h7_keyword_score": lambda s, d: heu.keyword_score(corpus(s, d).select("doc_id", heu.cleaned(TEXT).alias("t")), "t", "p").select("doc_id", F.round("p", 6).alias("points")),
-    "h8_secret_bonus": lambda s, d: corpus(s, d).select("doc_id", heu.secret_bonus(TEXT).alias("bonus")),
-    "h9_foreign_penalty": lambda s, d: _scored(s, d).select("doc_id", F.round(heu.logistic(heu.foreign_penalty(TEXT, F.col("score"))), 6).alias("p")),
+    "h3_entropy": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.entropy(_text(), True), 6).alias("by_bytes"), F.round(heu.entropy(_text(), False), 6).alias("by_characters")),
+    "h4_high_entropy_block": lambda s, d: corpus(s, d).filter((F.octet_length("text") > 50) & (heu.entropy(_text(), True) > 4.4)).select("doc_id"),
+    "h5_compress_spaced": lambda s, d: corpus(s, d).select("doc_id", F.sha2(heu.compressed(_text()), 256).alias("sha")),
+    "h6_leet_gate": lambda s, d: corpus(s, d).select("doc_id", heu.has_leet(_text()).alias("is_leet"), F.sha2(heu.unleeted(_text()), 256).alias("sha")),
+    "h7_keyword_score": lambda s, d: heu.keyword_score(corpus(s, d).select("doc_id", heu.cleaned(_text()).alias("t")), "t", "p").select("doc_id", F.round("p", 6).alias("points")),
+    "h8_secret_bonus": lambda s, d: corpus(s, d).select("doc_id", heu.secret_bonus(_text()).alias("bonus")),
+    "h9_foreign_penalty": lambda s, d: _scored(s, d).select("doc_id", F.round(heu.logistic(heu.foreign_penalty(_text(), F.col("score"))), 6).alias("p")),
     "h10_heuristic_score": lambda s, d: heu.heuristic_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
-    "h11_matched_domain_keywords": lambda s, d: corpus(s, d).select("doc_id", heu.domain_keywords(TEXT).alias("keywords")),
-    "h12_benign_discount": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.benign_discount(TEXT, list(BENIGN)), 6).alias("discount")),
+    "h11_matched_domain_keywords": lambda s, d: corpus(s, d).select("doc_id", heu.domain_keywords(_text()).alias("keywords")),
+    "h12_benign_discount": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.benign_discount(_text(), list(BENIGN)), 6).alias("discount")),
     "f7_action_from_score": lambda s, d: _scored(s, d).select("doc_id", scan.action(F.col("score"), 0.35, 0.55).alias("action")),
     "c1_context_flags": lambda s, d: ctx.context_flags(corpus(s, d)).drop("text"),
     "c2_context_modifier": lambda s, d: ctx.context_flags(_scored(s, d)).select("doc_id", F.round(ctx.context_modifier(F.col("score")), 6).alias("modified")),
@@ -114,7 +118,7 @@ QUERIES = {
     "l1_char_profile": lambda s, d: lex.char_profile(corpus(s, d)),
     "l2_entropy_anomaly": lambda s, d: lex.entropy_anomaly(corpus(s, d)),
     "l3_anchor_match": lambda s, d: lex.anchor_match(corpus(s, d)),
-    "l4_benign_context": lambda s, d: corpus(s, d).select("doc_id", F.round(lex.benign_context(TEXT), 6).alias("benign")),
+    "l4_benign_context": lambda s, d: corpus(s, d).select("doc_id", F.round(lex.benign_context(_text()), 6).alias("benign")),
     "l5_structure_flags": lambda s, d: lex.structure_flags(corpus(s, d)),
     "l7_mixed_script_tokens": lambda s, d: lex.mixed_script_tokens(corpus(s, d)),
 }
