@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textward.plans import conversations, scans, scores
+from textward.plans import conversations, scans, scores, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (scans, scores, conversations):
+for _module in (scans, scores, conversations, vectors):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
