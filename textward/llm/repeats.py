@@ -9,7 +9,8 @@ hash, which both places share at the same offset. So only anchors (about two in
 3. The right contexts of a gram, sorted, are a sparse suffix array; a stack scan over common-prefix lengths gives its interval tree. In each
    interval the left contexts are sorted and scanned alike: an interval there is a repeat that can't be extended to the right (or
    a deeper interval has it) nor to the left (its members differ before it): a maximal repeat group, with all its occurrences.
-4. In each group all but the first occurrence are covered; a document's covered bytes are merged and cut out.
+4. In each group all but the first occurrence are covered. For that the same trees are scanned once more plainly: in each interval the
+   later of two firsts drops out where they meet, so a place gives one stretch, however many groups it is in. A document's stretches are merged and cut out.
 
 No step pairs occurrences, and nothing but 1 and 3 leaves the JVM. Earlier: smaller id, then smaller start; rows without an id come last.
 
@@ -105,6 +106,43 @@ def maximal(rights: list[int], lefts: list[bytes], length: int, k: int) -> Itera
                 yield left, right, own
 
 
+def beaten(ranks: list, lcp: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(position, length) of each place in a sorted list that shares at least `least` bytes with one of lower rank, and the most that it shares.
+
+    A stack scan that merges neighbouring intervals from the deepest up: the later of two firsts drops out at the length at which they meet.
+    """
+    firsts, borders = [0], []
+    for i in range(1, len(ranks) + 1):
+        value = lcp[i] if i < len(ranks) else -1
+        while borders and borders[-1] >= value:
+            met, b, a = borders.pop(), firsts.pop(), firsts.pop()
+            if met >= least:
+                if ranks[b] < ranks[a]:
+                    a, b = b, a
+                yield b, met
+            firsts.append(a)
+        if i < len(ranks):
+            borders.append(value)
+            firsts.append(i)
+
+
+def covered(rights: list[int], lefts: list[bytes], ranks: list, length: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(member, left, right) of the members with an earlier one that shares `length` bytes through the anchor: how far such strings reach.
+
+    All of them hold the anchor, so what they cover is one stretch.
+    """
+    reach, best = length - k, {}
+    keys = [int.from_bytes(x.ljust(reach, b"\0"), "big") for x in lefts]
+    for right, lo, hi in intervals(rights, k):
+        members = sorted(range(lo, hi + 1), key=keys.__getitem__) if hi - lo > 1 or keys[hi] < keys[lo] else [lo, hi]
+        lcp = [0] + [min(_common(keys[a], keys[b], reach), len(lefts[a]), len(lefts[b])) for a, b in zip(members, members[1:])]
+        for at, left in beaten([ranks[i] for i in members], lcp, max(0, length - right)):
+            known = best.get(members[at], (0, 0))
+            best[members[at]] = max(left, known[0]), max(right, known[1])
+    for member, (left, right) in best.items():
+        yield member, left, right
+
+
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     return heads, np.diff(np.append(heads, len(values)))
@@ -223,13 +261,15 @@ def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: b
                     continue
                 rights = lcp[lo : lo + m].tolist()
                 rights[0] = 0
+                if covers:
+                    for i, left, right in covered(rights, lefts[lo : lo + m], places[lo : lo + m], length, k):
+                        *key, place = places[lo + i]
+                        rows.append((*key, place - left, place + right))
+                    continue
                 for left, right, own in maximal(rights, lefts[lo : lo + m], length, k):
                     found = sorted(places[lo + i] for i in own)
-                    if covers:
-                        rows += [(*x[:-1], x[-1] - left, x[-1] + right) for x in found[1:]]
-                    else:
-                        name = ":".join(map(str, (*found[0][:-1], found[0][-1] - left, left + right)))
-                        rows += [(name, left + right, *x[:-1], x[-1] - left) for x in found]
+                    name = ":".join(map(str, (*found[0][:-1], found[0][-1] - left, left + right)))
+                    rows += [(name, left + right, *x[:-1], x[-1] - left) for x in found]
             if rows:
                 kinds = [pa.int64()] * (len(keys) + 2) if covers else [pa.string(), pa.int64(), *[pa.int64()] * (len(keys) + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*keys, "start", "end"] if covers else ["repeat", "size", *keys, "start"])
@@ -244,7 +284,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col:
     (copies) come under the first of them, with the whole context as the repeat.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
-    met = _met(keyed, keys, length, k)
+    met = C.written(_met(keyed, keys, length, k))
     found = _groups(_contexts(keyed, met.filter("not whole"), keys), keys, length, k, covers=False)
     return found.select("repeat", "size", F.expr(f"nullif(`order`, {(1 << 63) - 1})").alias(id_col), "start").distinct()
 
@@ -255,7 +295,7 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str =
     Bytes covered by a string of `length` bytes that also starts earlier are removed.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
-    met = _met(keyed, keys, length, k)
+    met = C.written(_met(keyed, keys, length, k))
     whole = met.filter("whole").select(*keys, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     part = _groups(_contexts(keyed, met.filter("not whole"), keys), keys, length, k, covers=True)
     spans = whole.unionByName(part).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
@@ -274,7 +314,7 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str =
                     else:
                         merged.append([s, e])
                 kept = b"".join(raw[s:e] for s, e in zip([0, *(x[1] for x in merged)], [*(x[0] for x in merged), len(raw)]))
-                rows.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in merged], kept))
+                rows.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in merged], kept if with_text else None))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: 5 + with_text]], names=["order", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text)
