@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -181,6 +182,16 @@ class Session:
         self.phase: str | None = None
         self.count, self.risk, self.locked = 0, 0.0, False
 
+    def saved(self) -> str:
+        return json.dumps([self.profile, self.messages, self.phase, self.count, self.risk, self.locked])
+
+    @classmethod
+    def restored(cls, text: str) -> Session:
+        out = cls()
+        out.profile, messages, out.phase, out.count, out.risk, out.locked = json.loads(text)
+        out.messages = [tuple(m) for m in messages]
+        return out
+
     def _patterns(self, content: str) -> list[tuple[str, float, bool]]:
         p = tables.grouped("turns")
         low = [m[1].lower() for m in self.messages] + [content.lower()]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textward.plans import conversations, scans, scores, vectors
+from textward.plans import conversations, decoding, scans, scores, streams, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (scans, scores, conversations, vectors):
+for _module in (scans, scores, conversations, vectors, decoding, streams):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
