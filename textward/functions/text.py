@@ -77,11 +77,37 @@ def required_literal(regex: str) -> str:
     return best
 
 
+@functools.lru_cache(None)
+def requires_digit(regex: str) -> bool:
+    """Whether every match holds a decimal digit of ASCII."""
+
+    def digits(items) -> bool:
+        return all(str(op) == "RANGE" and 48 <= arg[0] and arg[1] <= 57 or str(op) == "CATEGORY" and str(arg) == "CATEGORY_DIGIT" or str(op) == "LITERAL" and 48 <= arg <= 57 for op, arg in items)
+
+    def walk(items) -> bool:
+        for op, arg in items:
+            name = str(op)
+            if name == "IN" and digits(arg) or name == "LITERAL" and 48 <= arg <= 57:
+                return True
+            if name == "SUBPATTERN" and walk(arg[3]) or name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1 and walk(arg[2]):
+                return True
+            if name == "BRANCH" and all(walk(x) for x in arg[1]):
+                return True
+        return False
+
+    try:
+        return walk(_parser.parse(regex))
+    except re.error:
+        return False
+
+
 def matches(text: Column, low: Column, regex: str) -> Column:
-    """Whether the pattern is found; low is the lower-case text."""
+    """Whether the pattern is found; low is the lower-case text. Cheap tests that every match passes come first."""
     literal = required_literal(regex)
     found = text.rlike(java(regex))
-    return F.when(low.contains(literal), found).otherwise(F.lit(False)) if len(literal) > 1 else found
+    if len(literal) > 1 or literal and not literal.isalnum() and literal not in " .-_":
+        return F.when(low.contains(literal), found).otherwise(F.lit(False))
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.lit(False)) if requires_digit(regex) else found
 
 
 def any_of(low: Column, phrases: list[str]) -> Column:

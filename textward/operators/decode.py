@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +180,7 @@ def deobfuscate(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder]
         found = decoded_once(now, decoders).select("doc_id", "ord", "decoder", "decoded_text")
         if compressed:
             found = found.unionByName(decoded_in_python(now))
+        found = found.persist(StorageLevel.MEMORY_AND_DISK)  # the next pass reads it, and so does the result
         parts.append(found.select("doc_id", F.lit(p).alias("pass"), "ord", "decoder", "decoded_text"))
         now = found.filter(F.octet_length("decoded_text") > 3).select("doc_id", F.col("decoded_text").alias("text")).distinct()
     return functools.reduce(DataFrame.unionByName, parts)

@@ -21,10 +21,15 @@ CANARIES = ("8f4b2e1a-9c3d-5e7f", "project_zero_access_code")
 _SPACE = "[\\t\\n\\x0B\\f\\r\\x20\\x85\\xA0]"
 
 
+def _one_of(phrases: list[str]) -> str:
+    """Pattern of any of the phrases."""
+    return "|".join("\\Q" + p + "\\E" for p in phrases)
+
+
 def attack_predicate(text: Column) -> Column:
-    """Override word and instruction word, or a phrase of extraction, jailbreak or exfiltration."""
+    """Override word and instruction word, or a phrase of extraction, jailbreak or exfiltration. One pattern a list, so the lower-case text is made few times."""
     low, p = F.lower(text), tables.grouped("attack")
-    return (any_of(low, p["override"]) & any_of(low, p["instruction"])) | any_of(low, p["extraction"]) | any_of(low, p["jailbreak"]) | any_of(low, p["exfil"])
+    return low.rlike(_one_of([*p["extraction"], *p["jailbreak"], *p["exfil"]])) | (low.rlike(_one_of(p["override"])) & low.rlike(_one_of(p["instruction"])))
 
 
 def asks_for_prompt(text: Column) -> Column:
