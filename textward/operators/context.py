@@ -113,3 +113,23 @@ def with_profile_action(scored: DataFrame, score_col: str = "score") -> DataFram
     s = F.col(score_col)
     # Three rows on the right, so every text gives three.
     return scored.join(F.broadcast(profiles)).withColumn("action", F.when(s >= F.col("block"), "BLOCK").when(s >= F.col("warn"), "WARN").otherwise("ALLOW")).drop("block", "warn")
+
+
+#: Intent, profile and base discount.
+INTENT_PROFILES = (
+    ("EDUCATIONAL", "permissive", 0.35),
+    ("CREATIVE", "permissive", 0.60),
+    ("HISTORICAL", "permissive", 0.35),
+    ("PROFESSIONAL", "ai_safety", 0.45),
+    ("TECHNICAL", "code_assistant", 0.80),
+    ("CONVERSATIONAL", "balanced", 0.85),
+    ("SUSPICIOUS", "balanced", 0.0),
+    ("ATTACK", "strict", 0.0),
+)
+
+
+def intent_discount(found: DataFrame) -> DataFrame:
+    """found (intent, intent_confidence) with the intent's profile and its discount by confidence. The dimension has eight rows."""
+    table = found.sparkSession.createDataFrame(list(INTENT_PROFILES), "intent string, profile string, _base double")
+    rows = found.join(F.broadcast(table), "intent", "left")
+    return rows.withColumn("profile", F.coalesce("profile", F.lit("balanced"))).withColumn("discount", F.coalesce("_base", F.lit(0.0)) * F.col("intent_confidence")).drop("_base")

@@ -107,3 +107,34 @@ def anchor_match(corpus: DataFrame) -> DataFrame:
     damp = F.greatest(1 - F.least(benign_context(F.col("text")), F.lit(1.0)) * 0.75, F.lit(0.25))
     score = -F.col("_b.s")
     return joined.select("doc_id", F.when(score > 0, F.col("_b.g")).alias("category"), F.round(score * damp, 6).alias("score"))
+
+
+#: Scripts whose first character decides the language of a seed.
+SEED_SCRIPTS = ((r"\x{4E00}-\x{9FFF}", "zh"), (r"\x{3040}-\x{30FF}", "ja"), (r"\x{AC00}-\x{D7AF}", "ko"), (r"\x{0600}-\x{06FF}", "ar"), (r"\x{0590}-\x{05FF}", "he"), (r"\x{0400}-\x{04FF}", "ru"), (r"\x{0900}-\x{097F}", "hi"))
+#: Words that decide for accented Latin texts, in order.
+SEED_WORDS = (("ignoriere|zeige", "de"), ("ignora|toutes", "fr"), ("olvida", "es"), ("ignorar|esqueça", "pt"))
+
+
+def seed_language(text: Column) -> Column:
+    """Language by the first character of a listed script, else by words of accented texts, else en."""
+    first = F.regexp_extract(text, "[" + "".join(r for r, _ in SEED_SCRIPTS) + "]", 0)
+    by_script = functools.reduce(lambda c, x: c.when(first.rlike(f"[{x[0]}]"), x[1]), SEED_SCRIPTS, F.when(F.lit(False), ""))
+    low = F.lower(text)
+    by_word = functools.reduce(lambda c, x: c.when(low.rlike(x[0]), x[1]), SEED_WORDS, F.when(F.lit(False), ""))
+    return F.coalesce(by_script, F.when(text.rlike(r"[\x{C0}-\x{17F}]"), by_word), F.lit("en"))
+
+
+def code_switching(corpus: DataFrame) -> DataFrame:
+    """doc_id with the script families in order of first use and the number of changes between them."""
+    letters = F.col("text")
+    for pattern, mark in ((r"\p{IsLatin}", "1"), (r"\p{IsCyrillic}", "2"), (r"\p{IsGreek}", "3"), (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "4"), (r"\p{IsArabic}", "5")):
+        letters = F.regexp_replace(letters if mark != "1" else F.regexp_replace(letters, r"\p{Nd}", ""), pattern, mark)
+    runs = F.regexp_replace(F.regexp_replace(letters, "[^1-5]", ""), r"([1-5])\1+", "$1")
+    return corpus.select("doc_id", runs.alias("r")).select("doc_id", F.array_join(F.array_distinct(F.filter(F.split("r", ""), lambda x: x != "")), "").alias("families"), F.greatest(F.length("r") - 1, F.lit(0)).alias("switches"))
+
+
+def combine_lexical(signals: DataFrame, threat: float = 0.4) -> DataFrame:
+    """(doc_id, score, is_threat): mean by confidence, raised for two signals and more for three. signals: doc_id, score, confidence."""
+    rows = signals.filter("score > 0").groupBy("doc_id").agg(F.sum(F.col("score") * F.col("confidence")).alias("a"), F.sum("confidence").alias("b"), F.count("*").alias("n"))
+    score = F.least(F.col("a") / F.col("b") * F.when(F.col("n") >= 3, 1.4).when(F.col("n") == 2, 1.2).otherwise(1.0), F.lit(1.0))
+    return rows.select("doc_id", score.alias("score"), (score >= threat).alias("is_threat"))
