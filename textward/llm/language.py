@@ -213,6 +213,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text", la
                     langs.append(network.labels[best] if known else "und")
                     scores.append(min(1.0, score) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, lang_out, score_out])
+            C.release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
 

@@ -29,7 +29,7 @@ from .token_count import PreTokens, boundaries, normalized
 
 WINDOW = 2048
 END_ID = 1
-MAX_PARTS = 500_000
+MAX_PARTS = 400_000
 
 
 class Ids:
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         for batch in batches:
             type_ = batch.schema.field(0).type
             _, offs = C.text_buffer(batch.column(1))
-            for lo, hi in C.slices(offs, 3 << 20):
+            for lo, hi in C.slices(offs, 2 << 20):
                 docs_, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
                 for doc, ids in zip(docs_, encoder.of([x or "" for x in texts])):
                     ids += end
@@ -201,6 +201,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                             ready.append(done)
                 if ready:
                     yield flush()
+            C.release()
         ready = _finish(packer.rest(), window)
         if ready:
             yield flush()

@@ -132,12 +132,13 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, bands: bool = Fals
         for batch in batches:
             data, offs = C.text_buffer(batch.column(1))
             fps, keys = [], []
-            for lo, hi in C.slices(offs):
+            for lo, hi in C.slices(offs, C.SLICE_BYTES if words == 1 else C.SLICE_BYTES >> 2):  # wide fingerprints take more room
                 hashes, rows = shingle_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
                 fps += [x.tobytes() for x in majority(hashes, rows, hi - lo, words).byteswap()]
                 if bands:
                     keys += minima(hashes, rows, hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())] + [pa.array(keys, pa.list_(pa.int64()))] * bands, names=[id_col, "fp"] + ["keys"] * bands)
+            C.release()
 
     return docs.mapInArrow(run, f"`{id_col}` {kind}, fp binary" + ", keys array<bigint>" * bands)
 
