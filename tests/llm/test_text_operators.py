@@ -131,6 +131,46 @@ def test_near_copies_keep_clean_rows(spark):
     assert out.columns == ["doc_id", "text", "component_id"]
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Short texts, pairs just above and below 0.8, and texts alike only in their commonest shingle."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(99_999)}"
+    texts = []
+    for n in [8, 9, 10, 16] * 10:
+        own = [word() for _ in range(n)]
+        texts += [own, own + [word() for _ in range(3 if n == 16 else 1)]]
+    for n, edits in [(120, 2), (120, 3), (200, 4), (200, 5), (400, 9)] * 12:
+        own = [word() for _ in range(n)]
+        other = list(own)
+        for i in range(edits):
+            other[10 + i * (n - 20) // edits] = word()
+        texts += [own, other]
+    texts += [["x"] * 60 + [word() for _ in range(20)] for _ in range(4)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = unite(len(rows), alike)
+    got = {r.doc_id: r.component_id for r in simhash.groups(frame(spark, rows), 5, similarity=0.8).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert 60 < len(alike) < len(rows) // 2
+
+
+def test_set_forest_brute():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(6, 24))).astype(np.uint64) for _ in range(80)]
+    near = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    want = unite(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+    rows, roots = simhash.set_forest(np.concatenate(sets), np.array([len(x) for x in sets]), 0.8)
+    assert unite(len(sets), list(zip(rows.tolist(), roots.tolist()))) == want and len(rows) < len(sets)
+    radius = simhash.candidate_radius(0.8, 1024)
+    assert 192 + 60 < radius < 300
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None), (4, "x\r\ny", ""), (None, "x", "a"), (2, "u", "a"), (9, "z", "é" * 3000)], "page_id long, url string, html string")
     sf = table(spark, tmp_path, "pages", pages)

@@ -12,6 +12,11 @@ differing bits are added to vertical carry-save counters, and a block of 64 is d
 radius. A key with many nodes is split into tiles of bounded size, any two nodes meeting in one of them. A tile gives a spanning forest of its links,
 never its pairs; components are joined by alternating large-star and small-star steps, each written to the shared folder.
 
+Similarity groups: rows of the same shingle set are one node, and the fingerprints (of the sets, without repeats) only choose candidates, with a
+radius that pairs at the similarity keep to by six standard deviations. What hangs together by candidate links meets again, in tiles
+of bounded size, with whole shingle sets, and only pairs whose sets are similar enough are linked. A forest of candidate links alone
+would not do: two similar nodes may hang together in it only by a third one that is like neither.
+
 Defined results: null or wordless text has the zero fingerprint and is linked like any other; rows that repeat a document are
 copies of each other; rows without a document id take part in nothing (component null, and they stay when copies are removed);
 an empty table gives an empty result; other columns pass through.
@@ -20,6 +25,7 @@ an empty table gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,10 @@ SEED = 42
 TILE = 4096
 #: Shingle minima of a similarity group: bands, and minima in each.
 BANDS, IN_BAND = 16, 5
+#: Nodes and shingles of a group of candidates in half a tile, on average.
+SET_TILE, SET_SHINGLES = 512, 500_000
+#: Standard deviations between the candidates' radius and the expected distance.
+SPREAD = 6
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _SPACE = np.zeros(256, bool)
@@ -108,6 +118,15 @@ def majority(hashes: np.ndarray, rows: np.ndarray, n_rows: int, words: int) -> n
     return out
 
 
+def distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's hashes once, sorted. Rows must come in order."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], rows[new]
+
+
 def minima(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> list[list[int]]:
     """Keys of each row: one for every band of shingle minima; none for rows without shingles."""
     counts = np.bincount(rows, minlength=n_rows)
@@ -124,23 +143,32 @@ def minima(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> list[list[int]]
 
 
 def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, bands: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp (binary, big-endian words) and, with bands, keys (array of long)."""
+    """id_col, fp (binary, big-endian words) and, with bands, keys (array of long) and same (digest of the shingle set); fp is then of the set."""
     docs = docs.select(F.col(id_col), F.col(text_col))
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             data, offs = C.text_buffer(batch.column(1))
-            fps, keys = [], []
+            fps, keys, same = [], [], []
             for lo, hi in C.slices(offs, C.SLICE_BYTES if words == 1 else C.SLICE_BYTES >> 2):  # wide fingerprints take more room
                 hashes, rows = shingle_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
-                fps += [x.tobytes() for x in majority(hashes, rows, hi - lo, words).byteswap()]
                 if bands:
+                    hashes, rows = distinct(hashes, rows)
                     keys += minima(hashes, rows, hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())] + [pa.array(keys, pa.list_(pa.int64()))] * bands, names=[id_col, "fp"] + ["keys"] * bands)
+                    same += [xxhash.xxh3_128_digest(x) for x in sets_of(hashes, rows, hi - lo)]
+                fps += [x.tobytes() for x in majority(hashes, rows, hi - lo, words).byteswap()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())] + [pa.array(keys, pa.list_(pa.int64())), pa.array(same, pa.binary())] * bands, names=[id_col, "fp"] + ["keys", "same"] * bands)
             C.release()
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, fp binary" + ", keys array<bigint>" * bands)
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, fp binary" + ", keys array<bigint>, same binary" * bands)
+
+
+def sets_of(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> list[bytes]:
+    """The hashes of each row as bytes. Rows must come in order."""
+    ends = 8 * np.cumsum(np.bincount(rows, minlength=n_rows))
+    raw = hashes.tobytes()
+    return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def block_keys(fp: Column, radius: int) -> Column:
@@ -288,6 +316,108 @@ def forests(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def candidate_radius(similarity: float, bits: int) -> int:
+    """The distance that fingerprints of two shingle sets of at least the similarity keep to, but for SPREAD standard deviations.
+
+    Two large sets of one size are the worst, as unequal sizes and more in common bring them nearer; for small sets
+    the share of unequal bits is counted out, as ties (which leave a bit unset) put them further apart.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = 64
+    halves = [np.array([math.comb(n, i) for i in range(n + 1)], float) / 2.0**n for n in range(most + 1)]
+    over = lambda n, own, total: halves[n][max(0, total // 2 - own + 1) :].sum()
+    for a in range(1, most + 1):
+        for b in range(a, most + 1):
+            common = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if common > a or a == b == common:
+                continue
+            apart = 0.0
+            for own, weight in enumerate(halves[common]):
+                p, q = over(a - common, own, a), over(b - common, own, b)
+                apart += weight * (p * (1 - q) + q * (1 - p))
+            share = max(share, float(apart))
+    return min(bits, math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share))))
+
+
+def set_forest(sets: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root row) of a spanning forest of the links between sets, given one after the other (distinct values, none empty)."""
+    n = len(sizes)
+    ids = np.unique(sets, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    heads = ends - sizes
+    mine = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    left, rows, roots = np.ones(n, bool), [], []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front and left.any():
+            q = front.pop()
+            own = ids[heads[q] : ends[q]]
+            mine[own] = True
+            both = np.add.reduceat(mine[ids], heads, dtype=np.int64)
+            mine[own] = False
+            hit = np.flatnonzero(left & (both / (sizes + sizes[q] - both) >= similarity))
+            left[hit] = False
+            front += hit.tolist()
+            rows.append(hit)
+            roots.append(np.full(len(hit), root))
+    return (np.concatenate(rows), np.concatenate(roots)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def set_forests(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Batches of (tile, node, set), sorted by tile: the links (a, b) of a spanning forest of each tile."""
+    kept: list[pa.RecordBatch] = []
+    tile = None
+
+    def solve():
+        data, offs = C.text_buffer(pa.concat_arrays([x.column(2) for x in kept]))
+        node = np.concatenate([x.column(1).to_numpy(zero_copy_only=False) for x in kept])
+        row, root = set_forest(np.frombuffer(data.tobytes(), np.uint64), np.diff(offs) // 8, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(node[root])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tiles = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if kept and tiles[lo] != tile:
+                yield solve()
+                kept = []
+            tile = tiles[lo]
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield solve()
+    C.release()
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join the nodes (node, same) of each component in loose (node, component) whose shingle sets are similar enough."""
+    met = loose.unionByName(loose.select(F.col("component").alias("node"), "component").distinct())
+    member = nodes.select("node", "same").join(met, "node")
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            data, offs = C.text_buffer(batch.column(1))
+            wanted, out = batch.column(2).to_pylist(), []
+            for lo, hi in C.slices(offs):
+                out += sets_of(*distinct(*shingle_hashes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)), hi - lo)
+            own = np.flatnonzero([xxhash.xxh3_128_digest(x) == y for x, y in zip(out, wanted)])  # an id may have other texts too
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(3).take(pa.array(own)), pa.array([out[i] for i in own], pa.binary())], names=["node", "component", "set"])
+            C.release()
+
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(member, "node").select("node", "text", "same", "component")
+    sets = C.written(texts.mapInArrow(run, f"node {kind}, component {kind}, set binary"))
+    volume = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum(F.length("set")) / (8 * SET_SHINGLES))).cast("long").alias("n"))
+    mine = F.pmod(F.xxhash64("node"), F.col("n"))
+    rows = sets.join(volume, "component").select("component", "node", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "set")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: set_forests(batches, similarity), f"a {kind}, b {kind}")
+
+
 def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """nodes (node long, fp binary, keys array of long) -> links (a, b) that join what lies within the radius and shares a key."""
     rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "fp")
@@ -325,25 +455,27 @@ def groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id",
     """(id_col, fp, component_id) for every row: component_id is the smallest id that the row is linked to, over any number of links.
 
     Without similarity: 64-bit fingerprints within the radius are linked, and none is missed. With similarity (of shingle
-    sets, as intersection over union): fingerprints of `words` x 64 bits within the distance expected at that similarity, which
-    is a little widened for scatter, are linked if they share a band of minima.
+    sets, as intersection over union): pairs that share a band of minima, with fingerprints of `words` x 64 bits within a wide
+    radius, are candidates; linked are those of them, and of what hangs together by them, whose sets are at least that similar.
     """
     if similarity is None:
         words = 1
     else:
-        cosine = 2 * similarity / (1 + similarity)
-        radius = int(64 * words * (np.arccos(cosine) / np.pi + 0.006))
+        radius = candidate_radius(similarity, 64 * words)
+    alike = "fp" if similarity is None else "same"
     rows = C.written(fingerprints(docs, k, words, similarity is not None, id_col, text_col).withColumnRenamed(id_col, "doc"))
     if similarity is None:
         nodes = rows.groupBy("fp").agg(F.min("doc").alias("node")).filter("node is not null")
         as_long = F.conv(F.hex("fp"), 16, -10).cast("long")
         nodes = nodes.withColumn("keys", block_keys(as_long, radius))
     else:
-        nodes = rows.groupBy("fp").agg(F.min("doc").alias("node"), F.first("keys").alias("keys")).filter("node is not null")
+        nodes = rows.groupBy("same").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).filter("node is not null")
     nodes = C.written(nodes)
     parts = components(links(nodes, radius))
-    labels = nodes.select("fp", "node").join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labels, "fp", "left").select(F.col("doc").alias(id_col), "fp", F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
+    if similarity is not None:
+        parts = components(similar_links(docs, nodes, parts, k, similarity, id_col, text_col))
+    labels = nodes.select(alike, "node").join(parts, "node", "left").select(alike, F.coalesce("component", "node").alias("component_id"))
+    return rows.join(labels, alike, "left").select(F.col("doc").alias(id_col), "fp", F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
