@@ -187,6 +187,24 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_warc_salvage_within_members(level):
+    records = [warc.build_record(i, "u", random.Random(i).randbytes(3000)) for i in range(1, 7)]
+    hurt = lambda x: x[:-20] + b"#" + x[-19:]
+    ids = lambda data: [int(what["record_id"][10:-1]) if k == "record" else None for k, what, _, _ in warc.salvage(data)]
+    whole = warc.member(b"".join(records), level)
+    last = warc.member(warc.build_record(7, "u", b"x"))
+    for bad in range(6):
+        body = b"".join(hurt(r) if i == bad else r for i, r in enumerate(records))
+        assert ids(warc.member(body, level) + last) == [None if i == bad else i + 1 for i in range(6)] + [7]
+    gaps = [x for x in warc.salvage(warc.member(records[0] + hurt(records[1]) + records[2], level)) if x[0] == "gap"]
+    assert gaps == [("gap", len(records[1]), 0, f"block digest differs, at inflated byte {len(records[0])}")]
+    assert ids(whole[:-8] + bytes(8) + last) == [1, 2, 3, 4, 5, 6, None, 7]  # the check sum
+    cut = len(whole) * 7 // 12
+    assert [x for x in ids(whole[:cut]) if x] == [1, 2, 3]
+    assert [x for x in ids(whole[:cut] + last) if x] == [1, 2, 3, 7]
+
+
 EDGE = ["", "'s", "it's we'll I'VE y'all'd 'r 're 'rx 'l 'll .'s ''s", "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "a'", "12345 ½ ²³", "Ünïcödé", "ΣΑΣ", "日本語テキスト", "é́ é", "x\x1cy\x85z", "İI ı", "'" * 30 + "s", "Z" * 3000]
 
 

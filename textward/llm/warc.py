@@ -6,7 +6,8 @@ member (which readers skip) as line separator, so archives can go wherever Spark
 
 Reading: the reader takes gzip members and plain records. A record counts if its version line, header block, length, end
 and, where given, its digests hold. After a failed check it searches for the next gzip magic or version line that starts a
-valid record, goes on from there, and gives the skipped bytes as a gap with the reason.
+valid record, goes on from there, and gives the skipped bytes as a gap with the reason. Inside a gzip member it does the same over the
+inflated bytes, also those got before the member's data fail; a gap there has the member's position, inflated bytes, and its offset in the reason.
 
 Defined results: a null payload is empty; an empty table writes no records; pages without an id are responses and keep a null id;
 repeated rows are written each, and rows that share the largest id of a payload are all responses. Header names that repeat: the first counts.
@@ -134,60 +135,92 @@ def _record_at(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return {"record_type": head["warc-type"], "record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"), "refers_to_uri": head.get("warc-refers-to-target-uri"), "payload": payload if full else None, "payload_bytes": len(payload) if full else length, "payload_digest": digest}, start + size + 4, ""
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """The gzip member that starts at `at`, its end, and why there is none."""
-    stream = zlib.decompressobj(31)
-    out, pos = [], at
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The gzip member that starts at `at`: its bytes as far as they can be had, where reading ended, and what is wrong with it."""
+    stream, out, pos = zlib.decompressobj(31), [], at
     try:
         while not stream.eof and pos < len(data):
-            piece = data[pos : pos + 65_536]
-            out.append(stream.decompress(piece))
-            pos += len(piece)
+            out.append(stream.decompress(data[pos : pos + 65_536]))
+            pos = min(pos + 65_536, len(data))
     except zlib.error as error:
-        return None, at, f"bad gzip member ({str(error)[:40]})"
-    if not stream.eof:
-        return None, at, "gzip member cut short"
-    return b"".join(out), pos - len(stream.unused_data), ""
+        reason = f"bad gzip member ({str(error)[:40]})"
+    else:
+        return b"".join(out), pos - len(stream.unused_data), "" if stream.eof else "gzip member cut short"
+    # Once more to the failing piece, and through that bytewise, for what comes before the error.
+    stream, out, failing = zlib.decompressobj(31), [], pos
+    for lo in range(at, failing, 65_536):
+        out.append(stream.decompress(data[lo : lo + 65_536]))
+    try:
+        while pos < len(data):
+            out.append(stream.decompress(data[pos : pos + 1]))
+            pos += 1
+    except zlib.error:
+        pass
+    return b"".join(out), pos, reason
+
+
+def _within(body: bytes) -> Iterator[tuple[str, dict | int, int, int, str]]:
+    """Like salvage() over the inflated bytes of a member, with start and end: kind, record or bytes, start, end, reason."""
+    at, gap_from, why = 0, None, ""
+    while at < len(body):
+        record, end, reason = _record_at(body, at)
+        if record is not None:
+            if gap_from is not None:
+                yield "gap", at - gap_from, gap_from, at, why
+                gap_from = None
+            yield "record", record, at, end, ""
+            at = end
+            continue
+        if gap_from is None:
+            gap_from, why = at, reason
+        found = VERSION.search(body, at + 1)
+        at = found.start() if found else len(body)
+    if gap_from is not None:
+        yield "gap", len(body) - gap_from, gap_from, len(body), why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, dict | int, int, str]]:
-    """("record", record, position, "") and ("gap", bytes, position, reason) over a whole archive, in order."""
+    """("record", record, position, "") and ("gap", bytes, position, reason) over a whole archive, in order.
+
+    A member without a valid record is a gap of its packed bytes. Of a damaged one with some, the inner gaps are given, and the packed
+    bytes from where reading failed to the next valid start.
+    """
     at, gap_from, why = 0, None, ""
+    read_to, had = 0, set()  # how far a damaged member was read, and the records found in it: stored blocks show them plainly again
     while at < len(data):
-        good: list[dict] = []
         if data[at : at + 2] == b"\x1f\x8b":
             body, end, reason = _inflated(data, at)
-            pos = 0
-            while body is not None and pos < len(body):
-                record, pos_, reason = _record_at(body, pos)
-                if record is None:
-                    break
-                good.append(record)
-                pos = pos_
-            ok = body is not None and pos == len(body)
-            if not ok and good:  # the records of the member that hold are kept, the rest is a gap
-                ok = True
-                after = [("gap", end - at, at, reason)]
-            else:
-                after = []
+            found = list(_within(body))
+            good = any(x[0] == "record" for x in found)
+            if good or not body and not reason:
+                if gap_from is not None and gap_from < at:
+                    yield "gap", at - gap_from, gap_from, why
+                gap_from = None
+                for kind, what, start, stop, inner in found:
+                    yield kind, what, at, inner and f"{inner}, at inflated byte {start}"
+                    if reason and kind == "record":
+                        had.add(hashlib.sha1(body[start:stop]).digest())
+                if not reason:
+                    at = end
+                    continue
+                gap_from, why, read_to = end, reason, max(read_to, end)
+            elif not reason:
+                reason = found[0][4]
         else:
             record, end, reason = _record_at(data, at)
-            ok, after = record is not None, []
-            good = [record] if ok else []
-        if ok:
-            if gap_from is not None:
-                yield "gap", at - gap_from, gap_from, why
+            if record is not None:
+                if gap_from is not None and gap_from < at:
+                    yield "gap", at - gap_from, gap_from, why
                 gap_from = None
-            for record in good:
-                yield "record", record, at, ""
-            yield from after
-            at = end
-            continue
+                if at >= read_to or hashlib.sha1(data[at:end]).digest() not in had:
+                    yield "record", record, at, ""
+                at = end
+                continue
         if gap_from is None:
             gap_from, why = at, reason
         found = START.search(data, at + 1)
         at = found.start() if found else len(data)
-    if gap_from is not None:
+    if gap_from is not None and gap_from < len(data):
         yield "gap", len(data) - gap_from, gap_from, why
 
 
