@@ -6,11 +6,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is one pass of its own.
 SLICE_BYTES = 1 << 20
@@ -30,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under the cluster's shared checkpoint folder (a temporary one where none is named)."""
+    """A new folder's path under the cluster's shared checkpoint folder. Only a session on one machine may go without, and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,9 +48,54 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    for open_ in _scratch:
+        open_.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables that written() makes inside are deleted at the end, but for those in keep."""
+    own: list[DataFrame] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.remove(own)
+        kept = {x._written_at for x in keep}
+        for x in own:
+            if x._written_at not in kept:
+                forget(x)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
+#: Most keys that are broadcast by hot_join.
+MOST_HOT = 200_000
+
+
+def hot_join(left: DataFrame, sizes: DataFrame, key: str, total: int, how: str = "inner", n: str = "n") -> DataFrame:
+    """left joined with sizes, which has one row a key, n being how many of left's `total` rows have it.
+
+    Keys of more than total / MOST_HOT rows are broadcast: their rows add up to `total`, so there are at most MOST_HOT of them.
+    All others are dealt by key, and none of them is large. So no task gets a third of the rows, however common one key is.
+    """
+    limit, own = max(256, -(-total // MOST_HOT)), [c for c in sizes.columns if c != key]
+    mark = unused("_hot", [*left.columns, *own])
+    hot = sizes.filter(F.col(n) > limit).withColumn(mark, F.lit(True))
+    tagged = left.join(F.broadcast(hot), key, "left")
+    rest = tagged.filter(F.col(mark).isNull()).select(*left.columns).join(sizes.filter(F.col(n) <= limit), key, how)
+    return tagged.filter(F.col(mark)).drop(mark).unionByName(rest)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table that written() made; nothing may read it afterwards."""
     spark = df.sparkSession
@@ -79,8 +127,30 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def release() -> None:
-    """Give memory that numpy and Arrow have freed back to the system: a Python worker lives on in later stages."""
+_owner: list[str] = [""]
+_caches: dict[str, list[Callable[[], None]]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to drop what an operator keeps in a Python worker from task to task."""
+    _caches.setdefault(owner, []).append(clear)
+
+
+def enter(owner: str) -> None:
+    """Start of a task: a worker lives on from stage to stage, so what other operators keep in it goes first."""
+    if _owner[0] != owner:
+        for name, clears in _caches.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+        _owner[0] = owner
+        release(0)
+
+
+def release(powers_kept: int = SLICE_BYTES + 1) -> None:
+    """Give memory that numpy and Arrow have freed back to the system; powers of the rolling hash stay for usual slices."""
+    if len(_powers[0]) > powers_kept:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
         ctypes.CDLL(None).malloc_trim(0)

@@ -4,8 +4,9 @@ Trained in numpy by backpropagation through time on a bounded, documented sample
 byte of every text. A text is cut into segments of `SEGMENT` bytes, which stand side by side as lanes of one batch; both
 directions advance together, one byte a step. Each position gets label probabilities; a document's are their mean over its letters.
 
-Sample: for every language, the labelled rows fall into `per_language` hash classes of their id, and the smallest hash of each class is taken,
-with at most `sample_chars` characters of its text. So training needs at most per_language x sample_chars characters a language, whatever the table's size.
+Sample: every label is learned. Its rows fall into hash classes of their id, and the text with the smallest hash of each class is taken, with at
+most `sample_chars` characters of it. There are `per_language` classes, or fewer where `rows` would be passed by all labels together (one at
+least). So training needs at most max(rows, labels) x sample_chars characters, whatever the table's size.
 
 Defined results: null text, or text without a letter, is `und` with score 0; with no labelled rows at all every text is `und`; rows
 without an id are predicted like others, are not learned from and count as not held out; repeated rows get equal results.
@@ -169,26 +170,25 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int, sample_chars: int, languages: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """Labelled rows (lang, text) to learn from, never held-out ones: at most languages x per_language."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.filter(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [x.lang for x in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+def sample(docs: DataFrame, per_language: int, sample_chars: int, rows: int, id_col: str, text_col: str, lang_col: str) -> list:
+    """Labelled texts (lang, text) to learn from, never held-out ones: of every label, and at most max(rows, labels)."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.filter(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    classes = max(1, min(per_language, rows // max(1, known.select("lang").distinct().count())))
     hashed = F.xxhash64(F.col("id").cast("string"))
-    rows = rows.filter(F.col("lang").isin(common)) if common else rows.limit(0)
-    chosen = rows.groupBy("lang", F.pmod(hashed, F.lit(per_language))).agg(F.min(F.struct(hashed.alias("h"), "id")).alias("x")).select("x.id")
-    rows = rows.join(F.broadcast(chosen), "id", "left_semi")  # bounded as the result is
-    return rows.select("lang", F.substring("text", 1, sample_chars).alias("text")).distinct().orderBy("lang", F.xxhash64("text")).collect()
+    chosen = known.groupBy("lang", F.pmod(hashed, F.lit(classes))).agg(F.min(F.struct(hashed.alias("h"), F.substring("text", 1, sample_chars).alias("text"))).alias("x"))
+    return chosen.select("lang", "x.text").distinct().orderBy("lang", F.xxhash64("text")).collect()
 
 
-def train(docs: DataFrame, per_language: int = 150, sample_chars: int = 2000, languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
-    """A network for the (at most `languages` most frequent) labels; options go to fit."""
-    rows = [(lang, text) for lang, text in sample(docs, per_language, sample_chars, languages, id_col, text_col, lang_col) if LETTER.search(text)]
-    labels = sorted({lang for lang, _ in rows})
+def train(docs: DataFrame, per_language: int = 150, sample_chars: int = 2000, rows: int = 30_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
+    """A network for all labels; options go to fit."""
+    chosen = [(x.lang, x.text) for x in sample(docs, per_language, sample_chars, rows, id_col, text_col, lang_col)]
+    labels = sorted({lang for lang, _ in chosen})
     if not labels:
         return None
+    number = {lang: k for k, lang in enumerate(labels)}
     network = Network(labels)
-    network.fit([text.encode() for _, text in rows], np.array([labels.index(lang) for lang, _ in rows]), **options)
+    network.fit([text.encode() for _, text in chosen], np.array([number[lang] for lang, _ in chosen]), **options)
     return network
 
 
@@ -199,6 +199,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text", la
     at = columns.index(text_col)
 
     def run(batches):
+        C.enter("language")
         for batch in batches:
             column = batch.column(at)
             data, offs = C.text_buffer(column)

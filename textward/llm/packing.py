@@ -15,6 +15,7 @@ pieces; other columns are not read.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -29,32 +30,44 @@ from .token_count import PreTokens, boundaries, normalized
 
 WINDOW = 2048
 END_ID = 1
-MAX_PARTS = 400_000
+#: Bytes that the memo of pre-tokens may take, and pre-tokens that are encoded at a time.
+MEMO_BYTES, AT_A_TIME = 40_000_000, 4096
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 1 << 20
 
 
 class Ids:
     """Ids of texts, with a bounded memo of the tokenizer's ids of pre-tokens."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(texts), AT_A_TIME):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[lo : lo + AT_A_TIME], add_special_tokens=False)]
+        return out
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; one that holds the string of a special token is encoded as a whole."""
         whole = [i for i, x in enumerate(texts) if self.special.search(x)]
         parts = PreTokens(["" if self.special.search(x) else normalized(x) for x in texts], boundaries())
-        if len(self.known) > MAX_PARTS:
+        if self.size > MEMO_BYTES:
             self.known.clear()
+            self.size = 0
         known = self.known
         missing = [x for x in parts.distinct if x not in known]
-        known.update(zip(missing, self._encode(missing)))
-        own = [known[x] for x in parts.distinct]
+        new = dict(zip(missing, self._encode(missing)))
+        own = [known[x] if x in known else new[x] for x in parts.distinct]
+        short = {k: v for k, v in new.items() if len(k) <= 64}
+        known.update(short)
+        self.size += sum(len(k) + len(v) + 200 for k, v in short.items())
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat, at = np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes
         counts = sizes[parts.which]
@@ -67,11 +80,14 @@ class Ids:
         return out
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+C.keeps("packing", ids_of.cache_clear)
+
+
 class SumOfSquares:
     """Open windows by fill level: counts[level] and the windows themselves."""
 
@@ -165,6 +181,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        C.enter("packing")
         encoder, packer, number = ids_of(vocabulary), SumOfSquares(window), TaskContext.get().partitionId() << 36
         ready: list[list] = []
         type_ = None
@@ -188,7 +205,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         for batch in batches:
             type_ = batch.schema.field(0).type
             _, offs = C.text_buffer(batch.column(1))
-            for lo, hi in C.slices(offs, 2 << 20):
+            for lo, hi in C.slices(offs, SLICE_BYTES):
                 docs_, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
                 for doc, ids in zip(docs_, encoder.of([x or "" for x in texts])):
                     ids += end
@@ -201,7 +218,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                             ready.append(done)
                 if ready:
                     yield flush()
-            C.release()
+                C.release()
         ready = _finish(packer.rest(), window)
         if ready:
             yield flush()

@@ -5,7 +5,8 @@ mixed blobs, addresses of services) are candidates: an interval join over places
 parts lie within `scope` characters of it: an account name needs a secret, a blob an identifier, an address both. A candidate that
 overlaps a base span is left out.
 
-The join is linear: parts are reduced to the first and last place of each role in every stretch of `scope` characters, and a
+A text's matches become rows before anything is summed or compared, so a text with many matches costs no more a match than one with few.
+The join is linear too: parts are reduced to the first and last place of each role in every stretch of `scope` characters, and a
 candidate looks at its own stretch and the two beside it. Neither a text with many parts nor a hot source makes pairs.
 
 Defined results: null counts as empty text (no spans); rows that repeat are scanned each, under a row number of their own; places
@@ -15,6 +16,7 @@ are in code points, ends exclusive; other columns are not read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,24 +42,33 @@ ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "account":
 NEEDS = {"account": ("secret",), "blob": ("identifier",), "endpoint": ("identifier", "secret")}
 
 
-def places(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, ord, end>> of a kind: leftmost matches that don't overlap, failing ones dropped.
+def steps(text: Column, pattern: str, group: int) -> Column:
+    """array<struct<gap, size, value>> of the leftmost matches that don't overlap: characters before each since the last one, its length, its value's."""
+    kind = "array<struct<gap:int,size:int,value:int>>"
+    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    each = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), F.length(F.regexp_extract(m, pattern, group)).alias("value")))
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast(kind)).cast(kind)
 
-    Each match is taken with the gap before it (\\G: from the end of the last one), so lengths add up to places.
-    """
-    anchored = r"\G((?s:.*?))(" + pattern + ")"
-    part = lambda k: F.regexp_extract_all(text, F.lit(anchored), F.lit(k))
-    # Groups: 1 the gap, 2 the whole match, then the pattern's own.
-    steps = F.arrays_zip(F.transform(part(1), F.length).alias("gap"), F.transform(part(2), F.length).alias("size"), F.transform(part(group + 2), F.length).alias("value"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
 
-    def add(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        new = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["size"]).alias("end"))
-        return F.struct((start + x["size"]).alias("at"), F.when(x["value"] >= least, F.concat(done["found"], F.array(new))).otherwise(done["found"]).alias("found"))
+def places(found: DataFrame) -> DataFrame:
+    """(row, kind, ord, start, end) of the matches that are long enough. found: row, and steps in a column for each kind."""
+    specs = [*BASE, *WEAK]
+    each = F.array(*(F.struct(F.lit(spec[0]).alias("kind"), F.lit(i).alias("ord"), F.lit(spec[3]).alias("least"), F.col(spec[0]).alias("steps")) for i, spec in enumerate(specs)))
+    rows = found.select("row", F.inline(F.filter(each, lambda x: F.size(x["steps"]) > 0)))
+    rows = rows.select("row", "kind", "ord", "least", F.posexplode("steps").alias("i", "x"))
+    end = F.sum(F.col("x.gap") + F.col("x.size")).over(W.partitionBy("row", "ord").orderBy("i")).cast("int")
+    rows = rows.withColumn("end", end).filter(F.col("x.value") >= F.col("least"))
+    return rows.select("row", "kind", "ord", (F.col("end") - F.col("x.size")).alias("start"), "end")
+
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def apart(parts: DataFrame) -> DataFrame:
+    """parts without the weak ones that overlap a base one of their row."""
+    base, w = F.col("ord") < len(BASE), W.partitionBy("row").orderBy("start")
+    reach = F.max(F.when(base, F.col("end"))).over(w.rangeBetween(W.unboundedPreceding, 0))
+    following = F.min(F.when(base, F.col("start"))).over(w.rangeBetween(0, W.unboundedFollowing))
+    met = (F.coalesce(reach, F.lit(-1)) > F.col("start")) | (following < F.col("end"))
+    rows = parts.withColumn("base", base).withColumn("met", F.coalesce(met, F.lit(False)))
+    return rows.filter("base or not met").drop("base", "met")
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -78,20 +89,17 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id, base (array of base spans) and spans (base and linked ones), each start, ord, end, kind, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = F.array(*map(F.lit, KINDS))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = rows.select("id", *(places(F.col("text"), i, *spec[1:]).alias(spec[0]) for i, spec in enumerate((*BASE, *WEAK))))
-    rows = C.written(found.select(F.monotonically_increasing_id().alias("row"), "id", F.array_sort(F.concat(*(x[0] for x in BASE))).alias("base"), F.concat(*(x[0] for x in WEAK)).alias("weak")))
-    # Base spans may overlap one another, so a weak span is held against the furthest end of those that start before its own end.
-    some = rows.filter(F.size("weak") > 0)
-    parts = some.select("row", F.explode(F.concat("base", "weak")).alias("x")).select("row", F.get(kinds, F.col("x.ord")).alias("kind"), "x.start", "x.end")
-    taken = some.select("row", F.explode("weak").alias("x"), "base").filter(~F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))).select("row", F.get(kinds, F.col("x.ord")).alias("kind"), "x.start", "x.end")
-    own = parts.filter(F.col("kind").isin([x[0] for x in BASE])).unionByName(taken)
-    order = F.array_position(kinds, F.col("kind")).cast("int") - 1
-    more = linked(own, scope).groupBy("row").agg(F.collect_list(F.struct("start", order.alias("ord"), "end")).alias("more"))
-    out = rows.join(more, "row", "left")
-    named = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), F.get(kinds, x["ord"]).alias("kind")))
-    return out.select(F.col("id").alias(id_col), named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", F.coalesce("more", F.expr("slice(base, 1, 0)"))))).alias("spans"))
+    found = rows.select("id", *(steps(F.col("text"), *spec[1:3]).alias(spec[0]) for spec in (*BASE, *WEAK)))
+    found = C.written(found.select(F.monotonically_increasing_id().alias("row"), "*"))
+    parts = C.written(apart(places(found)))
+    span = F.struct("start", "ord", "end", "kind")
+    more = linked(parts.drop("ord"), scope).withColumn("ord", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
+    base = parts.filter(F.col("ord") < len(BASE)).select("row", span.alias("x"))
+    every = base.select("row", "x", F.lit(True).alias("b")).unionByName(more.select("row", span.alias("x"), F.lit(False).alias("b")))
+    lists = every.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("b"), F.col("x")))).alias("base"), F.array_sort(F.collect_list("x")).alias("spans"))  # bounded by the text
+    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    return found.select("row", "id").join(lists, "row", "left").select(F.col("id").alias(id_col), F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -99,22 +107,27 @@ def listed(spans: Column) -> Column:
 
 
 def without_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of the scan replaced by [kind]; columns stay as they are, null text stays null.
+    """docs with every span of the scan replaced by [kind]; columns stay as they are, whatever their names; null text stays null.
 
     Overlapping spans are one, named by its first. Rows without spans are untouched.
     """
     columns = docs.columns
-    kept = docs.select(F.monotonically_increasing_id().alias("_row"), *columns)
-    rows = C.written(kept)
-    found = scan(rows.withColumn("_id", F.col("_row")), scope, "_id", text_col).filter(F.size("spans") > 0).select(F.col("_id").alias("_row"), "spans")
-    done = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substring(F.col(text_col), a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit(""))).alias("out"))),
-    )
-    hit = rows.join(found, "_row", "left")
-    clean = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col))))
-    return hit.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    row, cuts = C.unused("_row", columns), C.unused("_cuts", columns)
+    rows = C.written(docs.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in columns)))
+    found = scan(rows.select(F.col(row).alias("of"), F.col(f"`{text_col}`").alias("text")), scope, "of", "text").select("of", F.explode("spans").alias("x"))
+    # A span starts a new hole unless it overlaps an earlier one of its text; a hole ends where the last of its spans does.
+    w = W.partitionBy("of").orderBy("x.start", "x.ord")
+    reach = F.coalesce(F.max("x.end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    holes = found.withColumn("reach", reach).withColumn("hole", F.sum((F.col("x.start") >= F.col("reach")).cast("int")).over(w))
+    holes = holes.groupBy("of", "hole").agg(F.min(F.struct("x.start", "x.ord", "x.kind")).alias("first"), F.max("x.end").alias("end"))
+    before = F.coalesce(F.lag("end").over(W.partitionBy("of").orderBy("hole")), F.lit(0))
+    holes = holes.select("of", "end", F.struct("hole", before.alias("from"), F.col("first.start").alias("to"), F.concat(F.lit("["), F.col("first.kind"), F.lit("]")).alias("mark")).alias("x"))
+    lists = holes.groupBy(F.col("of").alias(row)).agg(F.array_sort(F.collect_list("x")).alias("cut"), F.max("end").alias("last"))
+    lists = lists.select(row, F.struct("cut", "last").alias(cuts))
+    text, own = F.col(f"`{text_col}`"), F.col(cuts)
+    pieces = F.transform(own["cut"], lambda x: F.concat(F.substring(text, x["from"] + 1, x["to"] - x["from"]), x["mark"]))
+    clean = F.when(own.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, own["last"] + 1, F.length(text))))
+    return rows.join(lists, row, "left").select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ starts. Its transition monoid is compiled to a multiplication table, so a text i
 monoid element (the map from entry state to exit state), and a parallel prefix scan of those elements gives each chunk's
 entry state. The second transducer reads the bytes of one pre-token; its transitions carry the change in the number of
 tokens. A state stands for the part of the word that a later merge may still reach, with the last token of every prefix in
-it; states are compiled as words ask for them, and dropped together when there are `MAX_STATES`, so memory is bounded.
+it; states are compiled as words ask for them, and dropped together when there are `MAX_STATES` (but for the one that a word is in), so
+memory is bounded however long a word is.
 
 Two tokens may stand next to each other exactly if no merge across their border comes before the merges that built them;
 that test replaces the merge loop, and makes the count of a prefix depend on a bounded stretch before its end.
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-MAX_STATES = 150_000
-MAX_WORDS = 250_000
+MAX_STATES = 80_000
+MAX_WORDS = 200_000
 #: Characters of one chunk of the boundary transducer.
 CHUNK = 128
 
@@ -217,7 +218,7 @@ class Words:
                     a_up, a = self.rank[a], self.parts[a][1]
                 else:
                     b_up, b = self.rank[b], self.parts[b][0]
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > 400_000:
                 self.beside.clear()
             self.beside[left, right] = known
         return known
@@ -245,14 +246,26 @@ class Words:
         self.edges[state][symbol] = new, count
         return new, count
 
+    def _only(self, state: int) -> int:
+        """Drop all compiled states but this one, under its new number."""
+        live = self.states[state]
+        self._clear()
+        if live not in self.ids:
+            self.ids[live] = len(self.states)
+            self.states.append(live)
+            self.edges.append({})
+        return self.ids[live]
+
     def count(self, word: bytes) -> int:
         known = self.known.get(word)
         if known is None:
-            if len(self.states) > MAX_STATES:
-                self._clear()
             state = known = 0
             for s in word[:-1]:
-                edge = self.edges[state].get(s) or self._edge(state, s)
+                edge = self.edges[state].get(s)
+                if edge is None:
+                    if len(self.states) >= MAX_STATES:
+                        state = self._only(state)
+                    edge = self._edge(state, s)
                 state, known = edge[0], known + edge[1]
             s = word[-1] + 256
             known += (self.edges[state].get(s) or self._edge(state, s))[1]
@@ -287,11 +300,14 @@ def boundaries() -> Boundaries:
     return Boundaries()
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def words_of(path: str) -> Words:
     return Words(path)
 
 
+C.keeps("token_count", words_of.cache_clear)
+
+
 def count_texts(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
     words = words_of(path)
@@ -316,11 +332,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
     at = columns.index(text_col)
 
     def count(batches):
+        C.enter("token_count")
         for batch in batches:
             column = batch.column(at)
             data, offs = C.text_buffer(column)
             counts = [count_texts([x or "" for x in column.slice(lo, hi - lo).to_pylist()], vocabulary) for lo, hi in C.slices(offs)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=[*columns, out_col])
+            C.release()
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())]))
 
