@@ -19,9 +19,10 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that fit none of the learned languages; lang becomes the predicted one where it is null."""
     columns = docs.columns
-    found = language.predict(docs, language.train(docs), lang_out="_lang", score_out="_score")
-    kept = found.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*columns)
+    lang, score = common.unused("_lang", columns), common.unused("_score", columns)
+    found = language.predict(docs, language.train(docs), lang_out=lang, score_out=score)
+    kept = found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Replace credentials by [kind]; n_chars follows the text."""
     columns = docs.columns
     clean = secrets.without_secrets(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again; what a stage has written on its way is deleted after it."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept: list[DataFrame] = []
+        before = docs
+        with common.scratch(kept):
+            docs = common.written(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if hasattr(before, "_written_at"):
+            common.forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
