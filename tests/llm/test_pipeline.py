@@ -32,6 +32,15 @@ def test_stages_take_odd_rows(spark):
     assert docs.columns[:2] == ["doc_id", "start"]
 
 
+def test_stages_take_clashing_columns(spark):
+    names = ["_lang", "_score", "_row", "spans", "_hit_words", "component_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *(f"'{x}!' as `{x}`" for x in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        assert docs.count() == docs.filter(" and ".join(f"`{x}` = '{x}!'" for x in names)).count() > 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     used = out.groupBy("sequence_id").agg({"length": "sum"}).collect()

@@ -5,9 +5,9 @@ consecutive words, or one window of all its words if it has fewer. Training wind
 each hit is then verified word by word, so that results are exact.
 
 Defined results: null or wordless text has no words and no hits; an item that is null or wordless has no windows; rows
-that repeat are each scanned; items that share an item_id count once; columns of the input beyond the named ones pass
-through untouched. The broadcast holds at most `max_windows` windows: a larger benchmark is scanned in several chained
-passes, each with its own bounded broadcast, over the same rows.
+that repeat are each scanned; items that share an item_id count once, and an item without one hits but is not counted; columns of the
+input beyond the named ones pass through untouched, whatever their names. The broadcast holds at most `max_windows` windows: a larger
+benchmark is scanned in several passes, each written before the next one's broadcast is made, so that one broadcast lives at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+MARKS = ("hit_words", "hit_items", "word_count")
 _BLOOM_BITS = 22
 
 
@@ -97,36 +98,44 @@ def scan_texts(column: pa.Array, index: WindowIndex) -> Iterator[tuple[int, int,
             yield lo + row, int(counts[row]), ranges, ids
 
 
-def _windows(benchmark: DataFrame, n: int, id_col: str, text_col: str, max_windows: int) -> Iterator[tuple[dict[bytes, set[str]], bool]]:
-    """Blocks of at most max_windows windows (one item at least), made one after the other; True with the last."""
-    block: dict[bytes, set[str]] = {}
-    for item in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        own = item_windows(item.t, n)
-        if block and len(block) + len(own) > max_windows:
-            yield block, False
-            block = {}
-        for w in own:
-            block.setdefault(w, set()).add(item.i or "")
-    yield block, True
+def _windows(benchmark: DataFrame, n: int, id_col: str, text_col: str, max_windows: int) -> tuple[DataFrame, int]:
+    """(window, items, block): the distinct windows with their item ids, dealt by hash to so many blocks of about max_windows."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
 
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = item_windows(text, n)
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([item.as_py()] * len(own), pa.string())], names=["window", "item"])
+
+    found = C.written(items.mapInArrow(cut, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items")))
+    blocks = max(1, -(-found.count() // max_windows))
+    return found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))), blocks
 
-def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = 2_000_000, keep_text: bool = True) -> DataFrame:
+
+def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = 500_000, keep_text: bool = True, prefix: str = "_") -> DataFrame:
     """docs with hit_words (word ranges [start, end), flat), hit_items and word_count; text_col is dropped unless keep_text.
 
-    The three new columns are named `_hit_words`, `_hit_items`, `_word_count`; input columns of those names are replaced.
+    The three new columns' names start with prefix; input columns of those names are replaced.
     """
-    docs = docs.drop("_hit_words", "_hit_items", "_word_count")
+    new = [f"{prefix}{x}" for x in MARKS]
+    docs = docs.drop(*new)
     spark = docs.sparkSession
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    out, first = docs, True
-    for block, last in _windows(benchmark, n, item_id, item_text, max_windows):
-        shared = spark.sparkContext.broadcast(block)
+    windows, blocks = _windows(benchmark, n, item_id, item_text, max_windows)
+    out = docs
+    for k in range(blocks):
+        block = windows.filter(F.col("block") == k).select("window", "items").toArrow()
+        shared = spark.sparkContext.broadcast({w: set(items) for w, items in zip(block.column(0).to_pylist(), block.column(1).to_pylist())})
+        first, last = k == 0, k == blocks - 1
         names = kept if last else docs.columns
-        ddl = out.select(*[F.col(f"`{c}`") for c in names]).schema
-        schema = T.StructType([*ddl.fields, T.StructField("_hit_words", T.ArrayType(T.IntegerType())), T.StructField("_hit_items", T.ArrayType(T.StringType())), T.StructField("_word_count", T.LongType())])
+        fields = out.select(*(F.col(f"`{c}`") for c in names)).schema.fields
+        schema = T.StructType([*fields, T.StructField(new[0], T.ArrayType(T.IntegerType())), T.StructField(new[1], T.ArrayType(T.StringType())), T.StructField(new[2], T.LongType())])
         index: list[WindowIndex] = []
 
         def scan(batches, shared=shared, names=tuple(names), first=first, index=index, at=docs.columns.index(text_col)):
+            C.enter("decontaminate")
             if not index:
                 index.append(WindowIndex(shared.value))
             for batch in batches:
@@ -138,10 +147,16 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str =
                     items.append(sorted(ids) if first else sorted({*before[1][row], *ids}))
                     counts.append(count)
                 keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
-                new = [pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(keep + new, names=[*names, "_hit_words", "_hit_items", "_word_count"])
-
-        out, first = out.mapInArrow(scan, schema), False
+                own = [pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(keep + own, names=[*names, *new])
+                C.release()
+
+        before, out = out, out.mapInArrow(scan, schema)
+        if not last:
+            out = C.written(out)
+            shared.unpersist()
+            if not first:
+                C.forget(before)
     return out
 
 
@@ -168,18 +183,28 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "do
     return found.mapInArrow(count, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
 
 
+def _prefix(columns: list[str]) -> str:
+    """A prefix under which the new columns meet no other."""
+    prefix = "_"
+    while any(C.unused(f"{prefix}{x}", columns) != f"{prefix}{x}" for x in MARKS):
+        prefix += "_"
+    return prefix
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a benchmark window; the columns stay as they are."""
-    return annotate(docs, benchmark, n, text_col, **options).filter(F.size("_hit_items") == 0).drop("_hit_words", "_hit_items", "_word_count")
+    prefix = _prefix(docs.columns)
+    return annotate(docs, benchmark, n, text_col, prefix=prefix, **options).filter(F.size(f"{prefix}{MARKS[0]}") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", **options) -> DataFrame:
     """docs with the hit words cut out of the text, from the first byte of a hit run to the last; null text stays null."""
-    found, columns = annotate(docs, benchmark, n, text_col, **options), docs.columns
+    prefix, columns = _prefix(docs.columns), docs.columns
+    found = annotate(docs, benchmark, n, text_col, prefix=prefix, **options)
 
     def cut(batches):
         for batch in batches:
-            texts, ranges = batch.column(text_col).to_pylist(), batch.column("_hit_words").to_pylist()
+            texts, ranges = batch.column(text_col).to_pylist(), batch.column(f"{prefix}{MARKS[0]}").to_pylist()
             for i, (text, own) in enumerate(zip(texts, ranges)):
                 if own:
                     raw = text.encode()

@@ -1,10 +1,11 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-Blocks are the lines of a text and, for templates of `LONG` distinct words or more, its paragraphs too (stretches without an
-empty line). A block meets a template if it holds at least `threshold` of the template's distinct words. The join finds every such pair: template words are put in the order of their frequency over the
-whole corpus, rarest first; a block can only meet a template if it holds one of the first few (prefix filter), has enough
-distinct words (length filter), and the words from the first common one on suffice (position filter); what is left is counted.
-Whether block words are template words is looked up by hash for a whole batch, and verified for blocks that pass the prefix filter.
+A block is any run of as many consecutive words as the template has (the whole text if it has fewer): line ends, wrapped or not, mean nothing, and words
+scattered over a long text are no notice. A block meets a template if it holds at least `threshold` of the template's distinct words. The join finds every
+such pair: template words are put in the order of their frequency over the whole corpus, rarest first; a block can only meet a template if it holds one
+of the first few (prefix filter), has enough template words (length filter), and the words from its first common one on suffice (position
+filter); what is left is counted. Words are looked up by hash for a whole batch, and verified in blocks that pass the filters.
+Blocks that meet and overlap are one place, from the first word to the last.
 
 Beside the templates, the places of fixed phrases are reported, as consecutive words of the text.
 
@@ -44,8 +45,6 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 THRESHOLD = 0.8
-#: Distinct words of a template that may be spread over the lines of a paragraph.
-LONG = 12
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -60,27 +59,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Slice:
-    """Words of some rows of a text column with their hashes, rows, lines and paragraphs."""
+    """Words of some rows of a text column with their hashes and rows."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.low = C.LOWER[data]
         self.starts, self.ends, self.rows = C.spans_of(C.WORD_BYTE[self.low], offs)
         self.hashes = C.range_hash(C.BYTE_VALUE[self.low], self.starts, self.ends)
-        newline = self.low == 10
-        lines = np.cumsum(newline)
-        double = np.zeros(len(newline), bool)
-        double[1:] = newline[1:] & newline[:-1]
-        self.line = self._numbered(lines)
-        self.paragraph = self._numbered(np.cumsum(double))
-
-    def _numbered(self, breaks: np.ndarray) -> np.ndarray:
-        """A running number that changes with the row and wherever breaks grow between words."""
-        if not len(self.starts):
-            return np.zeros(0, np.int64)
-        at = breaks[self.starts]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (self.rows[1:] != self.rows[:-1])
-        return np.cumsum(new) - 1
 
     def word(self, i: int) -> bytes:
         return self.low[self.starts[i] : self.ends[i]].tobytes()
@@ -103,7 +87,7 @@ def _lookup(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text") -> dict[bytes, int]:
-    """In how many lines of the whole corpus each word of a (bounded) vocabulary stands."""
+    """In how many texts of the whole corpus each word of a (bounded) vocabulary stands."""
     hashes = word_hashes(vocabulary)
     order = np.argsort(hashes)
     known = hashes[order]
@@ -114,7 +98,7 @@ def frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text"
             for _, _, part in slices(batch.column(0)):
                 at, which = _lookup(known, part.hashes)
                 if len(at):
-                    pairs = np.unique(part.line[at] * len(known) + which)
+                    pairs = np.unique(part.rows[at] * len(known) + which)
                     total += np.bincount(pairs % len(known), minlength=len(known))
             have = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(order[have].astype(np.int64)), pa.array(total[have])], names=["word", "n"])
@@ -125,52 +109,58 @@ def frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text"
 
 
 class Join:
-    """Templates indexed by their prefixes."""
+    """Templates with their words in order of frequency."""
 
     def __init__(self, templates, phrases, counts: dict[bytes, int], threshold: float):
         self.labels = [label for label, _ in templates]
+        self.widths = [len(words_of(text)) for _, text in templates]
         self.sets = [sorted({*words_of(text)}, key=lambda w: (counts.get(w, 0), w)) for _, text in templates]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (own, need) in enumerate(zip(self.sets, self.need)):
-            for place, w in enumerate(own[: len(own) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, place))
-        self.known = np.sort(word_hashes(sorted(self.prefix)))
-        self.vocabulary = {w for own in self.sets for w in own}
+        self.vocabulary = sorted({w for own in self.sets for w in own})
+        hashes = word_hashes(self.vocabulary)
+        order = np.argsort(hashes)
+        self.known, self.words = hashes[order], [self.vocabulary[i] for i in order]
+        number = {w: i for i, w in enumerate(self.words)}
+        #: For each template: the place of every word of the vocabulary in its order, or -1.
+        self.rank = np.full((len(self.sets), len(self.words)), -1)
+        for k, own in enumerate(self.sets):
+            self.rank[k, [number[w] for w in own]] = np.arange(len(own))
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.phrase_hashes = [word_hashes(p) for p, _ in self.phrases]
 
-    def meets(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Templates that the block meets, with the share of their words."""
-        block, seen, out = {*words}, set(), []
-        for k, place in sorted(x for w in block & self.prefix.keys() for x in self.prefix[w]):
-            if k in seen:
-                continue
-            seen.add(k)  # this is the first common word, as places come in order
-            own, need = self.sets[k], self.need[k]
-            if len(block) < need or len(own) - place < need:
-                continue
-            common = sum(w in block for w in own[place:])
-            if common >= need:
-                out.append((k, common / len(own)))
-        return out
-
     def blocks(self, part: Slice):
-        """(row, template, share, first word, words) of all pairs of a block and a template in the slice."""
-        at, _ = _lookup(self.known, part.hashes)
-        done: dict[bytes, list] = {}
-        for number in (part.line, part.paragraph):
-            for block in np.unique(number[at]).tolist():
-                lo, hi = np.searchsorted(number, [block, block + 1])
-                if number is part.paragraph and part.line[lo] == part.line[hi - 1]:
-                    continue  # a line of its own
-                raw = part.low[part.starts[lo] : part.ends[hi - 1]].tobytes()
-                found = done.get(raw)
-                if found is None:
-                    found = done[raw] = self.meets(WORD.findall(raw))
-                for k, share in found:
-                    if number is part.line or len(self.sets[k]) >= LONG:
-                        yield int(part.rows[lo]), k, share, int(lo), int(hi - lo)
+        """(row, template, best share, first word, words) of all places of the slice where blocks meet a template."""
+        at, which = _lookup(self.known, part.hashes)
+        for k, (width, need) in enumerate(zip(self.widths, self.need)):
+            rank = self.rank[k][which]
+            own = rank >= 0
+            pos, rank, word = at[own], rank[own], which[own]
+            if not len(pos):
+                continue
+            row = part.rows[pos]
+            # Blocks that start at a template word: all others meet it no better. Those near the row's end are shorter.
+            until = np.searchsorted(pos, pos + width)
+            until = np.minimum(until, np.searchsorted(row, row, side="right"))
+            first = np.arange(len(pos))
+            prefix = np.concatenate([[0], np.cumsum(rank <= len(self.sets[k]) - need)])
+            place: list = []
+            for i in np.flatnonzero((until - first >= need) & (prefix[until] > prefix[first])).tolist():
+                j = int(until[i])
+                ranks = np.unique(rank[i:j])
+                if len(self.sets[k]) - ranks[0] < need or len(ranks) < need:
+                    continue
+                true = {w for w in np.unique(word[i:j]).tolist() if any(part.word(int(p)) == self.words[w] for p in pos[i:j][word[i:j] == w])}
+                if len(true) < need:
+                    continue
+                share, end = len(true) / len(self.sets[k]), int(pos[j - 1]) + 1
+                if place and place[0] == row[i] and int(pos[i]) < place[3]:
+                    place[1], place[3] = max(place[1], share), max(place[3], end)
+                    continue
+                if place:
+                    yield place[0], k, place[1], place[2], place[3] - place[2]
+                place = [int(row[i]), share, int(pos[i]), end]
+            if place:
+                yield place[0], k, place[1], place[2], place[3] - place[2]
 
     def places(self, part: Slice):
         """(row, label, first word) of every phrase."""
@@ -194,6 +184,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
+        C.enter("licenses")
         for batch in batches:
             rows = []
             for lo, hi, part in slices(batch.column(1)):
@@ -235,9 +226,10 @@ places as (select rid, label, i - 1 as pos from (select rid, w, string_split(p,
 base as (select rid, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as ls from places group by rid),
 templates(label, t) as (values {_values(TEMPLATES)}),
 template_words as (select label, count(*) over (partition by label) as size, word from (select distinct label, unnest({_WORDS.format(_LOWER.format('t'))}) as word from templates)),
-blocks as (select rid, 0 as least, unnest(string_split(text, chr(10))) as b from docs union all select rid, {LONG}, unnest(string_split(text, chr(10) || chr(10))) from docs),
-block_words as (select distinct rid, bid, least, word from (select rid, bid, least, unnest({_WORDS.format('b')}) as word from (select rid, row_number() over () as bid, least, b from blocks))),
-met as (select rid, bid, label, count(*) / size as share from block_words join template_words using (word) where size >= least group by rid, bid, label, size having count(*) * 5 >= size * 4),
+widths as (select label, len({_WORDS.format(_LOWER.format('t'))}) as width from templates),
+spoken as (select rid, w[i] as word, i as pos from (select rid, w, unnest(range(1, len(w) + 1)) as i from words)),
+held as (select rid, label, size, width, word, pos from spoken join template_words using (word) join widths using (label)),
+met as (select a.rid, a.label, a.pos, count(distinct b.word) / a.size as share from held a join held b on b.rid = a.rid and b.label = a.label and b.pos between a.pos and a.pos + a.width - 1 group by a.rid, a.label, a.pos, a.size having count(distinct b.word) * 5 >= a.size * 4),
 method as (select rid, list(distinct label) as ls, max(share) as share from met group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(method.ls, [])))), ',') as labels, case when n_base > 0 then 1.0 else coalesce(share, 0.0) end as score

@@ -4,6 +4,9 @@ An Aho-Corasick automaton over all magic bytes finds every place where a format
 follows its structure and lengths: a container counts only if its chunks, sizes and checksums hold, and ends where it says.
 The outermost valid container at the start gives the type (whatever type was declared); valid ones further in are carved.
 
+Where a format's end is marked by a string, all places of that string are found once a payload, so many headers cost no more than one.
+A FLAC stream states no length, so it goes to the end of the bytes; a PDF goes to its last end mark before the next header.
+
 Storing: a payload becomes an 8-bit mono WAV, or an 8-bit grey PNG or PGM 64 samples wide; each gives the same bytes back.
 
 Defined results: null bytes or text count as empty; an unknown type is `bin`; an embedded container that overlaps an earlier valid one is
@@ -12,6 +15,7 @@ part of that one; repeated rows are treated each; other columns pass through.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -117,10 +121,37 @@ def _pgm_head(data: bytes, at: int) -> tuple[int, int, int]:
     return (int(m[1]), int(m[2]), m.end()) if m else (0, 0, 0)
 
 
+class Places:
+    """Places of patterns in the bytes, each pattern sought once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.known: dict[bytes, list[int]] = {}
+
+    def of(self, pattern: bytes) -> list[int]:
+        if pattern not in self.known:
+            self.known[pattern] = [m.start() for m in re.finditer(pattern, self.data)]
+        return self.known[pattern]
+
+    def after(self, pattern: bytes, at: int) -> int:
+        """The first place from `at` on, or -1."""
+        found = self.of(pattern)
+        i = bisect.bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def before(self, pattern: bytes, end: int) -> int:
+        """The last place before `end`, or -1."""
+        i = bisect.bisect_left(self.of(pattern), end)
+        return self.known[pattern][i - 1] if i else -1
+
+
+ZIP_END = rb"PK\x05\x06\x00\x00\x00\x00(?s:.{12})(?s:.{2})"
+JPEG_MARK = rb"\xff(?=[^\x00\xd0-\xd7\xff])"
+
 # Validators: (type, end) of the container that starts at `at`, or None.
 
 
-def _riff(data, at):
+def _riff(data, at, places):
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
     form = data[at + 8 : at + 12]
     if end > len(data) or end < at + 20 or form not in (b"WAVE", b"AVI ", b"WEBP"):
@@ -140,7 +171,7 @@ def _riff(data, at):
     return {b"WAVE": "wav", b"AVI ": "avi", b"WEBP": "webp"}[form], end
 
 
-def _png(data, at):
+def _png(data, at, places):
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         size, kind = int.from_bytes(data[pos : pos + 4], "big"), data[pos + 4 : pos + 8]
@@ -153,7 +184,7 @@ def _png(data, at):
     return None
 
 
-def _gif(data, at):
+def _gif(data, at, places):
     if at + 13 > len(data):
         return None
     flags = data[at + 10]
@@ -175,7 +206,7 @@ def _gif(data, at):
     return None
 
 
-def _jpeg(data, at):
+def _jpeg(data, at, places):
     pos, scan = at + 2, False
     while pos + 4 <= len(data):
         if data[pos] != 0xFF:
@@ -186,32 +217,30 @@ def _jpeg(data, at):
         pos += 2 + int.from_bytes(data[pos + 2 : pos + 4], "big")
         if kind == 0xDA:
             scan = True
-            m = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S).search(data, pos)
-            if not m:
+            pos = places.after(JPEG_MARK, pos)
+            if pos < 0:
                 return None
-            pos = m.start()
     return ("jpeg", pos + 2) if scan and data[pos : pos + 2] == b"\xff\xd9" else None
 
 
-def _pdf(data, at):
+def _pdf(data, at, places):
     if not re.compile(rb"%PDF-[12]\.\d").match(data, at):
         return None
-    end = data.find(b"%%EOF", at)
-    return ("pdf", end + 5) if end > 0 and data.find(b"startxref", at, end) > 0 else None
+    following = places.after(rb"%PDF-[12]\.\d", at + 1)
+    end = places.before(rb"%%EOF", following if following > 0 else len(data))
+    return ("pdf", end + 5) if end > at and at < places.before(rb"startxref", end) else None
 
 
-def _zip(data, at):
-    m = re.compile(rb"PK\x05\x06\x00\x00\x00\x00(?s:.{12})").search(data, at)
-    if not m:
+def _zip(data, at, places):
+    mark = places.after(ZIP_END, at)
+    if mark < 0:
         return None
-    size, offset = struct.unpack_from("<II", data, m.start() + 12)
-    start = m.start() - size - offset
-    note = int.from_bytes(data[m.end() : m.end() + 2], "little")
-    end = m.end() + 2 + note
-    return ("zip", end) if start == at and end <= len(data) and data[at + offset : at + offset + 4] == b"PK\x01\x02" else None
+    size, offset, note = struct.unpack_from("<IIH", data, mark + 12)
+    end = mark + 22 + note
+    return ("zip", end) if mark - size - offset == at and end <= len(data) and data[at + offset : at + offset + 4] == b"PK\x01\x02" else None
 
 
-def _gzip(data, at):
+def _gzip(data, at, places):
     stream, pos = zlib.decompressobj(31), at
     try:
         while not stream.eof and pos < len(data):
@@ -222,7 +251,7 @@ def _gzip(data, at):
     return ("gzip", min(pos, len(data)) - len(stream.unused_data)) if stream.eof else None
 
 
-def _flac(data, at):
+def _flac(data, at, places):
     pos, first = at + 4, True
     while pos + 4 <= len(data):
         kind, size = data[pos] & 127, int.from_bytes(data[pos + 1 : pos + 4], "big")
@@ -235,7 +264,7 @@ def _flac(data, at):
     return None
 
 
-def _ogg(data, at):
+def _ogg(data, at, places):
     pos = at
     while data[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(data):
         table = data[pos + 27 : pos + 27 + data[pos + 26]]
@@ -248,7 +277,7 @@ def _ogg(data, at):
     return None
 
 
-def _mp4(data, at):
+def _mp4(data, at, places):
     pos, kinds = at, []
     while pos + 8 <= len(data):
         size, kind = int.from_bytes(data[pos : pos + 4], "big"), data[pos + 4 : pos + 8]
@@ -259,14 +288,14 @@ def _mp4(data, at):
     return ("mp4", pos) if kinds[:1] == [b"ftyp"] and {b"moov", b"moof"} & {*kinds} else None
 
 
-def _bmp(data, at):
+def _bmp(data, at, places):
     if at + 30 > len(data):
         return None
     size, spare, offset, head = struct.unpack_from("<IIII", data, at + 2)
     return ("bmp", at + size) if not spare and head in (12, 40, 52, 56, 108, 124) and 14 + head <= offset <= size <= len(data) - at else None
 
 
-def _pgm(data, at):
+def _pgm(data, at, places):
     width, height, start = _pgm_head(data, at)
     return ("pgm", start + width * height) if width and height and start + width * height <= len(data) else None
 
@@ -287,12 +316,12 @@ def automaton():
 
 def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     """True type, its container's end (0 for bin) and the embedded containers (type, start, end)."""
-    top, top_end, inner, reach = "bin", 0, [], 0
+    top, top_end, inner, reach, places = "bin", 0, [], 0, Places(data)
     for last, (size, kind, before) in automaton().iter(data.decode("latin-1")):
         at = last - size + 1 - before
         if at < reach or at < 0:
             continue
-        valid = VALID[kind](data, at)
+        valid = VALID[kind](data, at, places)
         if valid is None:
             continue
         if at == 0:

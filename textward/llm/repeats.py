@@ -3,7 +3,8 @@
 A string of `length` bytes that stands in two places is found through an anchor: of its KGRAM-byte grams the one with the smallest
 hash, which both places share at the same offset. So only anchors (about two in seventy bytes) meet each other, by hash:
 
-1. Each document gives its anchors with a hash of the whole context that any string through the anchor can reach.
+1. Each document gives its anchors with a hash of the whole context that any string through the anchor can reach. Of equal contexts in one
+   slice of texts only the first goes on; the others are repeats throughout and meet no one. So a class of copies, however large, sends few rows.
 2. Anchors of one gram meet. Places with the same context are one class: all but the first are repeats throughout. Only the
    first place of each class, in grams of several classes, asks for its bytes.
 3. The right contexts of a gram, sorted, are a sparse suffix array; a stack scan over common-prefix lengths gives its interval tree. In each
@@ -12,10 +13,13 @@ hash, which both places share at the same offset. So only anchors (about two in
 4. In each group all but the first occurrence are covered. For that the same trees are scanned once more plainly: in each interval the
    later of two firsts drops out where they meet, so a place gives one stretch, however many groups it is in. A document's stretches are merged and cut out.
 
+Grams of more than `HOT` different contexts don't meet in one task for 4: each of their strings of `length` bytes is grouped by its hash, with
+partial sums, and all but the first of a string are covered. That is exact too, and takes one row a string instead of one a place.
+
 No step pairs occurrences, and nothing but 1 and 3 leaves the JVM. Earlier: smaller id, then smaller start; rows without an id come last.
 
 Defined results: null counts as empty text; texts under `length` bytes have no repeats; rows that share id and text are one document
-given twice, with equal results; rows that share an id but not the text are told apart, ordered by a hash of it; other columns are not read.
+given twice, with equal results; rows that share an id but not the text are told apart, ordered by a hash of it; an id that is no whole number is an error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
 LENGTH = 100
 KGRAM = 32
+#: Contexts of a gram that one task may hold.
+HOT = 20_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -169,6 +177,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """(order, [text hash,] text) and the names of the key columns; the hash only where ids repeat."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: it gives the order of documents")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     docs = docs.select(order.alias("order"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if docs.groupBy("order").count().filter("count > 1").isEmpty():
@@ -176,34 +186,60 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list
     return docs.select("order", F.xxhash64("text").alias("kind"), "text"), ["order", "kind"]
 
 
-def _met(docs: DataFrame, keys: list[str], length: int, k: int) -> DataFrame:
-    """Rows of step 2: gram, keys, place, left, right and `whole`: covered throughout, or asking for its bytes."""
+def _firsts(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row is the least of those that share its first column, by the other columns in order."""
+    order = np.lexsort(columns[::-1])
+    of = columns[0][order]
+    first = np.zeros(len(of), bool)
+    first[order[np.concatenate([[True], of[1:] != of[:-1]])]] = True
+    return first
+
+
+def _met(docs: DataFrame, keys: list[str], length: int, k: int, classes: bool = False) -> DataFrame:
+    """Rows of step 2: gram, keys, place, left, right and `whole`: covered throughout, or asking for its bytes.
+
+    With classes, context is there too, and so are the first places of grams of one class.
+    """
     names = [f"`{x}` bigint" for x in keys]
 
     def give(batches):
+        C.enter("repeats")
         for batch in batches:
             data, offs = C.text_buffer(batch.column(len(keys)))
             own = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: len(keys)]]
             for lo, hi in C.slices(offs):
                 row, at, gram, context, left, right = anchors(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *(pa.array(c[lo:hi][row]) for c in own), pa.array((at << 16) | (left << 8) | right)], names=["gram", "context", *keys, "at"])
+                if not len(row):
+                    continue
+                mine = [c[lo:hi][row] for c in own]
+                whole = ~_firsts([context, *mine, at])
+                spread = C.mixed(mine[0].astype(np.uint64) * C.MULT + at.astype(np.uint64))  # they meet no one, so they go anywhere
+                gram = np.where(whole, spread, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *map(pa.array, mine), pa.array((at << 16) | (left << 8) | right), pa.array(whole)], names=["gram", "context", *keys, "at", "whole"])
 
-    given = docs.mapInArrow(give, f"gram bigint, context bigint, {', '.join(names)}, at bigint")
+    given = docs.mapInArrow(give, f"gram bigint, context bigint, {', '.join(names)}, at bigint, whole boolean")
     given = given.repartition("gram").sortWithinPartitions("gram", "context", *keys, "at")
+    columns = ["gram", *["context"] * classes, *keys, "place", "left", "right", "whole"]
 
     def meet(batches):
         for batch in _whole_groups(batches):
             gram, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            heads, sizes = _runs(gram)
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-            several = np.repeat(np.add.reduceat(new.astype(np.int64), heads) > 1, sizes)
-            take = np.flatnonzero(~new | several)
-            out = batch.take(pa.array(take))
+            done = batch.column(len(keys) + 3).to_numpy(zero_copy_only=False)
+            met = np.flatnonzero(~done)
+            whole, take = done.copy(), done.copy()
+            if len(met):
+                g, c = gram[met], context[met]
+                heads, sizes = _runs(g)
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+                several = np.repeat(np.add.reduceat(new.astype(np.int64), heads) > 1, sizes)
+                whole[met], take[met] = ~new, ~new | several | classes
+            at_all = np.flatnonzero(take)
+            out = batch.take(pa.array(at_all))
             at = out.column(len(keys) + 2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([out.column(0), *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(~new[take])], names=["gram", *keys, "place", "left", "right", "whole"])
+            yield pa.RecordBatch.from_arrays([out.column(0), *[out.column(1)] * classes, *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(whole[at_all])], names=columns)
 
-    return given.mapInArrow(meet, f"gram bigint, {', '.join(names)}, place bigint, left bigint, right bigint, whole boolean")
+    return given.mapInArrow(meet, f"gram bigint, {'context bigint, ' * classes}{', '.join(names)}, place bigint, left bigint, right bigint, whole boolean")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
@@ -236,7 +272,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: bool) -> DataFrame:
-    """Step 3: maximal repeat groups as rows (repeat, size, keys, start), or with covers the bytes covered (keys, start, end)."""
+    """Step 3: maximal repeat groups as rows (repeat, size, keys, start, anchor), or with covers the bytes covered (keys, start, end)."""
     names = ", ".join(f"`{x}` bigint" for x in keys)
     ordered = contexts.repartition("gram").sortWithinPartitions("gram", "right")
 
@@ -269,36 +305,83 @@ def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: b
                 for left, right, own in maximal(rights, lefts[lo : lo + m], length, k):
                     found = sorted(places[lo + i] for i in own)
                     name = ":".join(map(str, (*found[0][:-1], found[0][-1] - left, left + right)))
-                    rows += [(name, left + right, *x[:-1], x[-1] - left) for x in found]
+                    rows += [(name, left + right, *x[:-1], x[-1] - left, x[-1]) for x in found]
+            if rows:
+                kinds = [pa.int64()] * (len(keys) + 2) if covers else [pa.string(), pa.int64(), *[pa.int64()] * (len(keys) + 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*keys, "start", "end"] if covers else ["repeat", "size", *keys, "start", "anchor"])
+
+    return ordered.mapInArrow(solve, f"{names}, start bigint, `end` bigint" if covers else f"repeat string, size bigint, {names}, start bigint, anchor bigint")
+
+
+def _strings(contexts: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Step 4 for hot grams: (keys, start, end) of the places with an earlier one that shares `length` bytes through the anchor."""
+    names = ", ".join(f"`{x}` bigint" for x in keys)
+
+    def cut(batches):
+        for batch in batches:
+            rights, lefts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows: list[tuple] = []
+            for right, left, *place in zip(rights, lefts, *(c.to_pylist() for c in batch.columns[3:])):
+                raw = left[::-1] + right
+                rows += [(xxhash.xxh3_128_digest(raw[i : i + length]), *place, place[-1] - len(left) + i) for i in range(len(raw) - length + 1)]
+                if len(rows) > 20_000:
+                    yield batch_of(rows)
+                    rows = []
             if rows:
-                kinds = [pa.int64()] * (len(keys) + 2) if covers else [pa.string(), pa.int64(), *[pa.int64()] * (len(keys) + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*keys, "start", "end"] if covers else ["repeat", "size", *keys, "start"])
+                yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), *[pa.int64()] * (len(keys) + 2)])], names=["string", *keys, "place", "start"])
 
-    return ordered.mapInArrow(solve, f"{names}, start bigint, `end` bigint" if covers else f"repeat string, size bigint, {names}, start bigint")
+    rows = contexts.mapInArrow(cut, f"string binary, {names}, place bigint, start bigint")
+    found = C.written(rows)
+    sizes = found.groupBy("string").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "start")).alias("first")).filter("n > 1")
+    later = C.hot_join(found, sizes, "string", found.count()).filter(F.struct(*keys, "start") > F.col("first"))
+    return later.groupBy(*keys, "place").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("place")
+
+
+def _covers(keyed: DataFrame, met: DataFrame, keys: list[str], length: int, k: int, hot: int) -> DataFrame:
+    """(keys, start, end) of all that is covered."""
+    whole = met.filter("whole").select(*keys, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    asked = met.filter("not whole")
+    common = C.written(asked.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))  # small on disk: Spark broadcasts it, or not, by its size
+    if common.isEmpty():
+        return whole.unionByName(_groups(_contexts(keyed, asked, keys), keys, length, k, covers=True))
+    part = _groups(_contexts(keyed, asked.join(common, "gram", "left_anti"), keys), keys, length, k, covers=True)
+    return whole.unionByName(part).unionByName(_strings(_contexts(keyed, asked.join(common, "gram", "left_semi"), keys), keys, length))
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Maximal repeats of at least `length` bytes: repeat (its first place and bytes), size, id, start - a row for every occurrence.
+    """Maximal repeats of at least `length` bytes: repeat (its first place and bytes), size, id, start - a row for every occurrence, copies too.
 
-    Contexts reach `length` bytes from an anchor, so a longer repeat comes as overlapping pieces. Places that share their whole context
-    (copies) come under the first of them, with the whole context as the repeat.
+    Contexts reach `length` bytes from an anchor, so a longer repeat comes as overlapping pieces, each with all its occurrences.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
-    met = C.written(_met(keyed, keys, length, k))
-    found = _groups(_contexts(keyed, met.filter("not whole"), keys), keys, length, k, covers=False)
-    return found.select("repeat", "size", F.expr(f"nullif(`order`, {(1 << 63) - 1})").alias(id_col), "start").distinct()
-
-
-def removed(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    met = C.written(_met(keyed, keys, length, k, classes=True))
+    heads, copies = met.filter("not whole"), met.filter("whole")
+    found = _groups(_contexts(keyed, heads, keys), keys, length, k, covers=False)
+    # A place of a group stands for its whole class: all its copies have the same bytes around the anchor.
+    sizes = copies.groupBy("context").agg(F.count("*").alias("n"))
+    members = C.hot_join(copies.select("context", *keys, "place"), sizes.join(heads.select("context", *(F.col(x).alias(f"of_{x}") for x in keys), F.col("place").alias("of_place"), "left", "right"), "context"), "context", copies.count())
+    of = [f"of_{x}" for x in keys]
+    more = found.join(members.select(*(F.col(x).alias(f"to_{x}") for x in keys), F.col("place").alias("to_place"), *of, "of_place"), [found[x] == F.col(f"of_{x}") for x in keys] + [found["anchor"] == F.col("of_place")])
+    more = more.select("repeat", "size", *(F.col(f"to_{x}").alias(x) for x in keys), (F.col("to_place") - F.col("anchor") + F.col("start")).alias("start"))
+    # What a class shares beyond any group: its whole context.
+    name = F.concat_ws(":", *of, F.col("of_place") - F.col("left"), F.col("left") + F.col("right"))
+    own = members.select(name.alias("repeat"), (F.col("left") + F.col("right")).alias("size"), *keys, (F.col("place") - F.col("left")).alias("start"))
+    first = members.select(name.alias("repeat"), (F.col("left") + F.col("right")).alias("size"), *(F.col(x).alias(y) for x, y in zip(of, keys)), (F.col("of_place") - F.col("left")).alias("start"))
+    every = found.drop("anchor").unionByName(more).unionByName(own).unionByName(first)
+    return every.select("repeat", "size", F.expr(f"nullif(`order`, {(1 << 63) - 1})").alias(id_col), "start").distinct()
+
+
+def removed(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """A row a document: id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end); with_text adds the kept bytes.
 
     Bytes covered by a string of `length` bytes that also starts earlier are removed.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
     met = C.written(_met(keyed, keys, length, k))
-    whole = met.filter("whole").select(*keys, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    part = _groups(_contexts(keyed, met.filter("not whole"), keys), keys, length, k, covers=True)
-    spans = whole.unionByName(part).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
+    spans = _covers(keyed, met, keys, length, k, hot).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
     joined = keyed.join(spans, keys, "left").select("order", "text", "spans")
 
     def cut(batches):

@@ -10,7 +10,8 @@ the fingerprint (with radius + 2 blocks any two linked fingerprints agree in two
 groups they are bands of shingle minima. Within a key, the fingerprints stand as vertical bit planes, 64 to a machine word; a query's
 differing bits are added to vertical carry-save counters, and a block of 64 is dropped as soon as all its counters are past the
 radius. A key with many nodes is split into tiles of bounded size, any two nodes meeting in one of them. A tile gives a spanning forest of its links,
-never its pairs; components are joined by alternating large-star and small-star steps, each written to the shared folder.
+never its pairs. No join deals a common key, hub or fingerprint to one task: the few large ones are broadcast, the others are small.
+Components are joined by alternating large-star and small-star steps, each written to the shared folder.
 
 Similarity groups: rows of the same shingle set are one node, and the fingerprints (of the sets, without repeats) only choose candidates, with a
 radius that pairs at the similarity keep to by six standard deviations. What hangs together by candidate links meets again, in tiles
@@ -148,6 +149,7 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, bands: bool = Fals
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches):
+        C.enter("simhash")
         for batch in batches:
             data, offs = C.text_buffer(batch.column(1))
             fps, keys, same = [], [], []
@@ -411,9 +413,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, k: int, s
 
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(member, "node").select("node", "text", "same", "component")
     sets = C.written(texts.mapInArrow(run, f"node {kind}, component {kind}, set binary"))
-    volume = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum(F.length("set")) / (8 * SET_SHINGLES))).cast("long").alias("n"))
-    mine = F.pmod(F.xxhash64("node"), F.col("n"))
-    rows = sets.join(volume, "component").select("component", "node", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    volume = sets.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum(F.length("set")) / (8 * SET_SHINGLES))).cast("long").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    rows = C.hot_join(sets, volume, "component", sets.count())
+    rows = rows.select("component", "node", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     rows = rows.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "set")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: set_forests(batches, similarity), f"a {kind}, b {kind}")
 
@@ -421,8 +424,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, k: int, s
 def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """nodes (node long, fp binary, keys array of long) -> links (a, b) that join what lies within the radius and shares a key."""
     rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "fp")
-    met = rows.groupBy("key").count().filter("count > 1")
-    rows = rows.join(met, "key")
+    met = C.written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = C.hot_join(rows, met, "key", met.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("n", "count")
     n = F.ceil(F.col("count") / tile).cast("long")
     mine = F.pmod(F.xxhash64("node"), n)
     rows = rows.select("key", "node", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
@@ -440,11 +443,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         last = state
         both = old.unionByName(old.select(F.col("u").alias("v"), F.col("v").alias("u")))
         # large star: the greater neighbours of a node go to the smallest of its neighbours and itself
-        small = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = both.filter("u > v").join(small, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        small = both.groupBy("v").agg(F.min("u").alias("m"), F.count_if(F.col("u") > F.col("v")).alias("n")).select("v", F.least("m", "v").alias("m"), "n")
+        large = C.hot_join(both.filter("u > v"), small, "v", state[0]).select(F.col("u").alias("v"), F.col("m").alias("u"))
         # small star: the smaller neighbours of a node, and the node, go to the smallest
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        star = large.join(least, "v").filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        star = C.hot_join(large, least, "v", state[0]).filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         new = C.written(star.filter("v <> u").distinct())
         C.forget(old)
         old = new
@@ -465,17 +468,17 @@ def groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id",
     alike = "fp" if similarity is None else "same"
     rows = C.written(fingerprints(docs, k, words, similarity is not None, id_col, text_col).withColumnRenamed(id_col, "doc"))
     if similarity is None:
-        nodes = rows.groupBy("fp").agg(F.min("doc").alias("node")).filter("node is not null")
+        nodes = rows.groupBy("fp").agg(F.min("doc").alias("node"), F.count("*").alias("n")).filter("node is not null")
         as_long = F.conv(F.hex("fp"), 16, -10).cast("long")
         nodes = nodes.withColumn("keys", block_keys(as_long, radius))
     else:
-        nodes = rows.groupBy("same").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).filter("node is not null")
+        nodes = rows.groupBy("same").agg(F.min("doc").alias("node"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).filter("node is not null")
     nodes = C.written(nodes)
     parts = components(links(nodes, radius))
     if similarity is not None:
         parts = components(similar_links(docs, nodes, parts, k, similarity, id_col, text_col))
-    labels = nodes.select(alike, "node").join(parts, "node", "left").select(alike, F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labels, alike, "left").select(F.col("doc").alias(id_col), "fp", F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = nodes.select(alike, "node", "n").join(parts, "node", "left").select(alike, "n", F.coalesce("component", "node").alias("component_id"))
+    return C.hot_join(rows, labels, alike, rows.count(), "left").select(F.col("doc").alias(id_col), "fp", F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

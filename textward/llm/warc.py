@@ -30,6 +30,8 @@ from . import common as C
 
 #: An empty gzip member.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 2, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+#: Runs of members, a line each for Spark's writer, of which a file has at most so many.
+BLOCKS = 64
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -70,23 +72,33 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     """(id, original) of every page that is not the one of the largest id among equal payloads."""
     each = pages.select(F.col(id_col).alias("_page"), F.sha1(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))).alias("_sha")).filter("_page is not null").distinct()
     shared = each.groupBy("_sha").agg(F.max("_page").alias("_original"), F.count("*").alias("_n")).filter("_n > 1")
-    return each.join(shared, "_sha").filter("_page < _original").select("_page", "_sha", "_original")
+    return C.hot_join(each, shared, "_sha", pages.count(), n="_n").filter("_page < _original").select("_page", "_sha", "_original")
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per_file: int = 20_000) -> None:
-    """Write a record a page under path. pages: id, address and payload (string or binary)."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = 128 << 20) -> None:
+    """Write a record a page under path. pages: id, address and payload (string or binary). Files have about file_bytes, or one larger record."""
     found = revisits(pages, id_col, payload_col)
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.join(found, (rows.page == found._page) & (F.sha1(rows.payload) == found._sha), "left").select("page", "url", "payload", "_original")
 
+    block = max(1, file_bytes // BLOCKS)
+
     def run(batches):
+        own: list[bytes] = []
+        size = 0
         for batch in batches:
-            pages_, urls, payloads, originals = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([member(build_record(*x)) for x in zip(pages_, urls, payloads, originals)], pa.binary())], names=["member"])
+            for i in range(batch.num_rows):
+                own.append(member(build_record(*(c[i].as_py() for c in batch.columns))))
+                size += len(own[-1])
+                if size >= block:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], names=["member"])
+                    own, size = [], 0
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], names=["member"])
 
     members = rows.mapInArrow(run, "member binary")
     # A string column holds the bytes as they are; so does the writer.
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", BLOCKS).text(path)
 
 
 def _headers(raw: bytes) -> dict[str, str] | None:
@@ -266,5 +278,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+#: SHA-1 in base 32: four digits from every five hexadecimal ones.
+ORACLE_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+m as (select h, max(page_id) as largest from p group by h)
+select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(p.h, cast(i // 4 * 5 + 1 as bigint), 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31 as bigint) + 1, 1)), '') as payload_digest,
+  case when p.page_id < m.largest then 'revisit' else 'response' end as record_type, case when p.page_id < m.largest then m.largest end as refers_to
+from p join m using (h)
+"""
+
 QUERIES = {"op3_warc": op3_warc}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_warc": ORACLE_SQL}
