@@ -133,3 +133,173 @@ def intent_discount(found: DataFrame) -> DataFrame:
     table = found.sparkSession.createDataFrame(list(INTENT_PROFILES), "intent string, profile string, _base double")
     rows = found.join(F.broadcast(table), "intent", "left")
     return rows.withColumn("profile", F.coalesce("profile", F.lit("balanced"))).withColumn("discount", F.coalesce("_base", F.lit(0.0)) * F.col("intent_confidence")).drop("_base")
+
+
+def intent_explain(found: DataFrame) -> DataFrame:
+    """found (text, intent) with keywords: those of the chosen intent that stand in the text, in the table's order."""
+    p, low = tables.grouped("intent"), F.lower("text")
+    every = functools.reduce(lambda c, g: c.when(F.col("intent") == g, F.array_compact(F.array(*(F.when(low.contains(k), F.lit(k)) for k in dict.fromkeys(p[g]))))), sorted(p), F.when(F.lit(False), F.array().cast("array<string>")))
+    return found.withColumn("keywords", F.coalesce(every, F.array().cast("array<string>")))
+
+
+#: Structure, share of the score that it takes, and the least that is left.
+STRUCTURES = (
+    ("test_code", 0.65, 0.15), ("log_format", 0.65, 0.15), ("training_data", 0.65, 0.15), ("cli_help", 0.65, 0.15), ("code_block", 0.60, 0.20), ("json_data", 0.55, 0.20),
+    ("email_headers", 0.55, 0.20), ("documentation", 0.55, 0.20), ("citation", 0.55, 0.20), ("quoted_example", 0.50, 0.25), ("config", 0.45, 0.25), ("job_posting", 0.60, 0.20),
+    ("academic_study", 0.60, 0.20), ("quoted_speech", 0.55, 0.25), ("legal_document", 0.60, 0.15), ("invoice_receipt", 0.65, 0.10),
+)
+
+
+def structural_dampen(scored: DataFrame, score_col: str = "score") -> DataFrame:
+    """scored (structure, structure_confidence) with dampened: the score less the structure's share by confidence, not below its least. Scores of no structure stay."""
+    table = scored.sparkSession.createDataFrame(list(STRUCTURES), "structure string, _share double, _least double")
+    lower = F.greatest(F.col(score_col) * (1 - F.col("_share") * F.col("structure_confidence")), F.col("_least"))
+    return scored.join(F.broadcast(table), "structure", "left").withColumn("dampened", F.when(F.col("_share").isNull(), F.col(score_col)).otherwise(lower)).drop("_share", "_least")
+
+
+def dampen_classifier(verdicts: DataFrame, sure: float = 0.98) -> DataFrame:
+    """verdicts (label, confidence, structure, structure_confidence) with dampened: only an INJECTION below `sure` is lowered."""
+    low = structural_dampen(verdicts, "confidence")
+    return low.withColumn("dampened", F.when((F.col("label") == "INJECTION") & (F.col("confidence") < sure), F.col("dampened")).otherwise(F.col("confidence")))
+
+
+def _agentic() -> dict[str, list[str]]:
+    p = tables.grouped("agentic")
+    return p | {"ref_inside": [*p["ref_inside"], *(f"://172.{i}." for i in range(16, 32))]}
+
+
+#: Checks of tool and JSON-RPC text in order: type, the groups that must all hold a phrase ("=x": x itself must stand there; "!x": ends the search), least hits of the last.
+AGENTIC = (
+    ("mcp_description_injection", ("description",), 1),
+    ("mcp_resource_exfil", ("resource_gate", "resource"), 1),
+    ("mcp_schema_attack", ("schema_gate", "schema"), 1),
+    ("jsonrpc_dangerous_method", ("=jsonrpc", "=method", "method"), 1),
+    ("callback_hijack", ("callback", "callback_host"), 1),
+    ("data_exfiltration", ("exfiltration",), 1),
+    ("cache_poisoning", ("cache_gate", "cache"), 1),
+    ("prototype_pollution", ("prototype",), 2),
+    ("python_dangerous_method", ("python",), 1),
+    ("mcp_tool_call_abuse", ("call_gate", "call"), 1),
+    ("schema_ref_file_access", ("ref_gate", "=file://"), 1),
+    ("schema_validation_bypass", ("ref_gate", "=validation", "unchecked"), 1),
+    ("schema_ref_attacker_infra", ("ref_gate", "ref_host"), 1),
+    ("schema_ref_ssrf", ("ref_gate", "ref_inside"), 1),
+    ("", ("ref_gate", "ref_own"), 1),
+    ("", ("ref_gate", "ref_known"), 1),
+    ("schema_ref_with_attack_indicator", ("ref_gate", "web", "ref_intent"), 1),
+)
+
+
+def agentic_type(low: Column) -> Column:
+    """Type of the first check that holds for a lower-case text; null without one (an internal or well-known schema reference ends the search)."""
+    p = _agentic() | {"web": ["http://", "https://"]}
+
+    def test(groups: tuple[str, ...], least: int) -> Column:
+        parts = [low.contains(g[1:]) if g[0] == "=" else count_of(low, p[g]) >= least if least > 1 else any_of(low, p[g]) for g in groups]
+        return functools.reduce(lambda a, b: a & b, parts)
+
+    found = functools.reduce(lambda c, x: c.when(test(x[1], x[2]), x[0]), AGENTIC[1:], F.when(test(AGENTIC[0][1], 1), AGENTIC[0][0]))
+    return F.when(found != "", found)
+
+
+def agentic_attack_type(corpus: DataFrame) -> DataFrame:
+    """(doc_id, attack_type), null for texts without one."""
+    return corpus.select("doc_id", F.lower("text").alias("low")).select("doc_id", agentic_type(F.col("low")).alias("attack_type"))
+
+
+#: Structures in the order in which they are tried, least points, confidence a point and its cap.
+DETECTORS = (
+    ("code_block", 3, 0.15, 0.95), ("json_data", 2, 0.25, 0.90), ("email_headers", 3, 0.2, 0.90), ("invoice_receipt", 4, 0.12, 0.90), ("log_format", 2, 0.2, 0.95),
+    ("documentation", 3, 0.15, 0.95), ("academic_study", 2, 0.2, 0.90), ("legal_document", 3, 0.15, 0.95), ("quoted_example", 2, 0.25, 0.90), ("training_data", 3, 0.25, 0.95),
+    ("citation", 2, 0.3, 0.90), ("cli_help", 3, 0.2, 0.95), ("job_posting", 4, 0.15, 0.90), ("quoted_speech", 3, 0.2, 0.90), ("config", 4, 0.12, 0.85),
+)
+#: Words that make a question no sign of study, and a setting no sign of a configuration.
+NO_STUDY = ("bypass", "avoid detection", "hack", "exploit")
+NO_CONFIG = ("ignore", "bypass", "override", "disregard", "forget", "reveal", "exfiltrate", "pretend", "jailbreak")
+#: Tests of a line, as (what it reads, how): bare is the line without outer blanks.
+LINE_TESTS = {"prefix": ("bare", "starts"), "contains": ("bare", "holds"), "lower_prefix": ("low", "starts"), "lower_contains": ("low", "holds"), "upper_prefix": ("upper", "starts")}
+#: Groups whose phrases are read in several ways: how many of the first are prefixes, the others are contained; forwarding marks have theirs by place.
+MIXED = {"test": ("bare", (0, 1)), "assert": ("bare", (0,)), "return": ("bare", (0,)), "forward": ("low", (0, 1, 3))}
+_BLANK = r"[\t\n\x0B\f\r\x85\p{Z}]+"
+
+
+def structural_points(corpus: DataFrame) -> DataFrame:
+    """corpus with points (a struct with a number for each structure), attack and json (whether the text is a JSON value)."""
+    groups = [(r[0], int(r[1]), r[2], list(r[3:])) for r in tables.rows("structures")]
+    both = lambda tests: functools.reduce(lambda a, b: a | b, tests)
+
+    def of_line(x: Column, name: str) -> Column:
+        total = F.lit(0)
+        for structure, points, test, phrases in groups:
+            if structure != name or test.startswith(("text", "raw", "quoted")):
+                continue
+            if test in LINE_TESTS:
+                read, how = LINE_TESTS[test]
+                hit = (starts_with_any if how == "starts" else any_of)(x[read], phrases)
+            elif test == "question":
+                hit = any_of(x["low"], phrases) & ~any_of(x["low"], list(NO_STUDY))
+            else:
+                read, prefixes = MIXED[test]
+                hit = both(x[read].startswith(p) if i in prefixes else x[read].contains(p) for i, p in enumerate(phrases))
+            total = total + F.when(hit, points).otherwise(0)
+        bare, line, one = x["bare"], x["line"], lambda c: F.when(c, 1).otherwise(0)
+        if name == "log_format":
+            total = total + one(bare.startswith("[") | bare.rlike(r"^20[2-3][0-9]-")) + one(bare.contains(" - ") & bare.contains(":"))
+        elif name == "documentation":
+            total = total + one(bare.rlike(r"(?s)^[1-9]\..")) + one(x["next"].startswith('"') | x["next"].startswith("'"))
+        elif name == "cli_help":
+            total = total + one(bare.contains("--") & (bare.contains(" ") | bare.endswith("--"))) + one(bare.rlike(r"(?s)^-[^-].") & bare.contains(" "))
+        elif name == "config":
+            at = F.instr(bare, ": ")
+            setting = (at > 1) & ~bare.startswith("#") & ~F.left(bare, at - 1).contains(" ") & ~any_of(F.lower(F.substring(bare, at + 2, F.length(bare))), list(NO_CONFIG))
+            total = total + one(setting) + one((F.octet_length(line) > 2) & line.rlike(r"^[ \t]") & line.contains(":")) + one(starts_with_any(bare, ["{", "}", "[", "]"])) + one(bare.startswith("-"))
+        return total
+
+    text, low = F.col("text"), F.col("_low")
+
+    def of_text(name: str) -> Column:
+        total = F.lit(0)
+        for structure, points, test, phrases in groups:
+            if structure == name and test == "text_each":
+                total = total + count_of(low, phrases) * points
+            elif structure == name and test in ("text_any", "raw_any"):
+                total = total + F.when(any_of(low if test == "text_any" else text, phrases), points).otherwise(0)
+            elif structure == name and test == "quoted":
+                total = total + functools.reduce(lambda a, b: a + b, (F.when(both(low.contains(q + p) for q in "\"'\u201c\u2018"), points).otherwise(0) for p in phrases))
+        return total
+
+    bare = lambda c: F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
+    split = corpus.withColumn("_low", F.lower("text")).withColumn("_raw", F.split("text", "\n")).withColumn("_bare", F.transform("_raw", bare))
+    nexts = F.concat(F.slice("_bare", 2, F.greatest(F.size("_bare") - 1, F.lit(0))), F.array(F.lit("")))
+    zipped = F.arrays_zip(F.col("_raw").alias("line"), F.col("_bare").alias("bare"), F.transform("_bare", F.lower).alias("low"), F.transform("_bare", F.upper).alias("upper"), nexts.alias("next"))
+    split = split.withColumn("_lines", zipped)
+    add = lambda name: lambda a, x: a + of_line(x, name)
+    sums = {n: F.aggregate("_lines", F.lit(0), add(n)) for n in ("code_block", "email_headers", "log_format", "documentation", "academic_study", "cli_help", "job_posting", "quoted_speech", "config")}
+    prices = F.size(F.filter("_raw", lambda x: any_of(x, ["$", ".00", ".99", ".95"])))
+    sums |= {n: of_text(n) for n in ("legal_document", "quoted_example", "training_data", "invoice_attack", "legal_strong")}
+    sums["citation"] = of_text("citation") + F.when(text.contains("(20") & text.contains(")"), 1).otherwise(0)
+    sums["invoice_receipt"] = of_text("invoice_receipt") + F.when(prices >= 2, 2).otherwise(0)
+    whole = bare(text)
+    json = (whole.startswith("{") & whole.endswith("}")) | (whole.startswith("[") & whole.endswith("]"))
+    sums["json_data"] = F.when(text.contains('":'), 2).otherwise(0) + F.when(text.contains('",') | text.contains('": '), 1).otherwise(0) + F.when(text.contains("{") | text.contains("["), 1).otherwise(0)
+    out = split.withColumn("points", F.struct(*(v.alias(k) for k, v in sums.items()))).withColumn("json", json).withColumn("attack", F.when(F.col("json"), agentic_type(low)))
+    return out.drop("_low", "_raw", "_bare", "_lines")
+
+
+def structural_context(corpus: DataFrame) -> DataFrame:
+    """corpus with structure (null for none) and structure_confidence: the first structure with enough points. A JSON value that holds an agentic attack has none."""
+    scored = structural_points(corpus)
+    p, chosen = F.col("points"), []
+    for name, least, step, cap in DETECTORS:
+        enough, sure = p[name] >= least, p[name] * step
+        if name == "json_data":
+            chosen.append(F.when(F.col("attack").isNotNull(), F.struct(F.lit(None).cast("string").alias("s"), F.lit(0.0).alias("c"))))
+            enough = enough & F.col("json")
+        elif name == "invoice_receipt":
+            enough = enough & (p["invoice_attack"] == 0)
+        elif name == "legal_document":
+            enough, sure = enough | (p["legal_strong"] >= 1), sure + p["legal_strong"] * 0.3
+        # A code block is tried before the attack ends the search.
+        chosen.append(F.when(enough, F.struct(F.lit(name).alias("s"), F.least(sure, F.lit(cap)).cast("double").alias("c"))))
+    found = scored.withColumn("_x", F.coalesce(*chosen))
+    return found.select(*corpus.columns, F.col("_x.s").alias("structure"), F.coalesce("_x.c", F.lit(0.0)).alias("structure_confidence"))

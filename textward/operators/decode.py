@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textward.functions import tables
 from textward.operators.heuristics import attack_predicate
 
 #: Look-alikes of Latin letters and digits, and what they stand for.
@@ -193,9 +194,19 @@ def decoded_rollup(decoded: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("xs", lambda x: x["decoded_text"]), " ").alias("decoded_text"), "layers", "types", F.when(F.col("layers") <= 1, 1.0).when(F.col("layers") == 2, 1.1).otherwise(1.3).alias("multiplier"))
 
 
+#: First letter of each run of styled capitals, small letters or digits, and what it stands for.
+STYLED = ((0xFF21, "A"), (0xFF41, "a"), (0xFF10, "0"), (0x1D400, "A"), (0x1D41A, "a"), (0x1D434, "A"), (0x1D44E, "a"), (0x1D538, "A"), (0x1D552, "a"), (0x24B6, "A"), (0x24D0, "a"))
+_STYLED_FROM = "".join(chr(first + i) for first, c in STYLED for i in range(10 if c == "0" else 26))
+_STYLED_TO = "".join(chr(ord(c) + i) for first, c in STYLED for i in range(10 if c == "0" else 26))
+#: Characters written for letters: digits and signs, Cyrillic, Greek.
+WRITTEN_FROM, WRITTEN_TO = "0123456789@$!+|" + "аеіорсухАВСЕНОРТХ" + "αβεηικνρτυχ", "oizeasgtbgasiti" + "aeiopcyxABCEHOPTX" + "abenikvptux"
+assert len(WRITTEN_FROM) == len(WRITTEN_TO)
+_BLANKS = r"[\t\n\x0B\f\r\x85\p{Z}]+"
+
+
 def normalize_chain(corpus: DataFrame) -> DataFrame:
-    """(doc_id, normalized, steps): invisibles out, look-alikes and leet characters mapped, spaces collapsed."""
-    steps = [("invisible", visible_text), ("lookalike", lookalike_text), ("substitution", lambda c: F.translate(c, "013@$", "oieas")), ("spaces", lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))]
+    """(doc_id, normalized, steps): format characters out, styled letters plain, substitutes mapped, spaces collapsed."""
+    steps = [("remove_invisible", lambda c: F.regexp_replace(c, r"\p{Cf}", "")), ("normalize_unicode", lambda c: F.translate(c, _STYLED_FROM, _STYLED_TO)), ("char_substitution", lambda c: F.translate(c, WRITTEN_FROM, WRITTEN_TO)), ("normalize_spacing", lambda c: F.trim(F.regexp_replace(c, _BLANKS, " ")))]
     rows = corpus.select("doc_id", F.col("text").alias("_0"))
     for i, (_, f) in enumerate(steps):
         rows = rows.withColumn(f"_{i + 1}", f(F.col(f"_{i}")))
@@ -212,9 +223,39 @@ def normalize_nfkc(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("normalized", nfkc("text")).withColumn("was_normalized", F.col("normalized") != F.col("text"))
 
 
+#: Characters that letters are drawn with.
+DRAWN = r"[|/_\-\\\[\](){}]"
+
+
 def block_art(corpus: DataFrame) -> DataFrame:
-    """(doc_id, is_art): three dense lines in a row, or 0.4 of all characters drawn. Lines are dense from half drawing characters on."""
-    drawn = lambda c: F.regexp_count(c, F.lit(r"[#@*|/\\_=+\-█▓▒░]"))
-    dense = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) >= 4) & (drawn(x) * 2 >= F.length(x)), F.lit("1")).otherwise("0"))
-    bulk = F.when(F.length("text") > 0, drawn(F.col("text")) / F.length("text") > 0.4).otherwise(False)
-    return corpus.select("doc_id", (F.array_join(dense, "").contains("111") | bulk).alias("is_art"))
+    """(doc_id, is_art), from 20 bytes on: three dense lines in a row (blank ones aside), over 0.4 of all bytes drawn, or text in noughts and ones. Lines of over five bytes are dense over 0.3."""
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    bare = lambda x: F.regexp_replace(x, f"^{_BLANKS}|{_BLANKS}$", "")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.octet_length(bare(x)).alias("n")))
+    dense = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: F.when((x["n"] > 5) & (count(x["line"], DRAWN) / x["n"] > 0.3), F.lit("1")).otherwise("0"))
+    n = F.octet_length("text")
+    binary = (count("text", r"[01 \n]") / n > 0.5) & (count("text", "[01]") / n > 0.3) & (n > 20)
+    return corpus.select("doc_id", F.when(n < 20, False).otherwise(F.array_join(dense, "").contains("111") | (count("text", DRAWN) / n > 0.4) | binary).alias("is_art"))
+
+
+def _shape(word: Column) -> Column:
+    """First letter, last letter and the letters between, sorted: equal for words that differ only in the order within."""
+    return F.concat_ws("|", F.left(word, F.lit(1)), F.right(word, F.lit(1)), F.array_join(F.array_sort(F.split(F.substring(word, F.lit(2), F.length(word) - 2), "")), ""))
+
+
+def unscrambled(corpus: DataFrame) -> DataFrame:
+    """(doc_id, decoded_text) of texts with words of four and more letters whose inner letters are those of a target word in another order.
+
+    Scrambled words meet the targets by an equi-join on their shape; the first occurrence of each is replaced, in order of place.
+    """
+    targets = corpus.sparkSession.createDataFrame([(w, i) for i, w in enumerate(w for w, in tables.rows("scrambled"))], "target string, ord int")
+    shapes = targets.groupBy(_shape(F.col("target")).alias("shape")).agg(F.min_by("target", "ord").alias("target"))
+    words = corpus.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("pos", "word")).filter(F.length("word") >= 4)
+    met = words.withColumn("shape", _shape(F.lower("word"))).join(F.broadcast(shapes), "shape").filter(F.lower("word") != F.col("target"))
+    fixes = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "target"))).alias("fixes"))  # bounded by the text
+
+    def once(text: Column, x: Column) -> Column:
+        at = F.instr(text, x["word"])
+        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), x["target"], F.substring(text, at + F.length(x["word"]), F.length(text)))).otherwise(text)
+
+    return corpus.join(fixes, "doc_id").select("doc_id", F.aggregate("fixes", F.col("text"), once).alias("decoded_text"))

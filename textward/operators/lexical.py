@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textward.functions import tables
@@ -138,3 +139,45 @@ def combine_lexical(signals: DataFrame, threat: float = 0.4) -> DataFrame:
     rows = signals.filter("score > 0").groupBy("doc_id").agg(F.sum(F.col("score") * F.col("confidence")).alias("a"), F.sum("confidence").alias("b"), F.count("*").alias("n"))
     score = F.least(F.col("a") / F.col("b") * F.when(F.col("n") >= 3, 1.4).when(F.col("n") == 2, 1.2).otherwise(1.0), F.lit(1.0))
     return rows.select("doc_id", score.alias("score"), (score >= threat).alias("is_threat"))
+
+
+def fuzzy_match(corpus: DataFrame, phrases: list[str], tolerance: float = 0.2) -> DataFrame:
+    """(doc_id, phrase, score) of the first phrase of whose words at least 0.8 are near some word of the text: within a share of the phrase word's bytes in edits.
+
+    Each text's distinct words are compared in place; lengths rule most of them out before any edits are counted.
+    """
+    low = [" ".join(p.lower().split()) for p in phrases]
+    wanted = sorted({w for p in low for w in p.split()})
+    rows = corpus.select("doc_id", F.array_distinct(words(F.lower("text"))).alias("w"))
+
+    def near(word: str) -> Column:
+        most = int(len(word.encode()) * tolerance)
+        return F.exists("w", lambda t: (F.abs(F.length(t) - len(word)) <= most) & (F.levenshtein(t, F.lit(word), most) >= 0))
+
+    flags = rows.select("doc_id", F.create_map(*(x for w in wanted for x in (F.lit(w), near(w)))).alias("m"))
+    chosen = []
+    for phrase, plain in zip(phrases, low):
+        own = plain.split()
+        if own:
+            share = functools.reduce(lambda a, b: a + b, (F.element_at("m", F.lit(w)).cast("int") for w in own)) / len(own)
+            chosen.append(F.when(share >= 0.8, F.struct(F.lit(phrase).alias("phrase"), share.alias("score"))))
+    return flags.withColumn("x", F.coalesce(*chosen)).filter("x is not null").select("doc_id", "x.phrase", "x.score")
+
+
+def ranked_categories(corpus: DataFrame) -> DataFrame:
+    """(doc_id, category, score, rank) of all threat categories: 0.3 an anchor phrase, 0.1 by similarity for every like pair of anchor word and text word; 1 at most, ties by name."""
+    p = tables.grouped("anchor")
+    pairs = [(g, w) for g in sorted(p) for a in p[g] for w in a.split()]
+    targets = corpus.sparkSession.createDataFrame([(w, len(w)) for w in sorted({w for _, w in pairs})], "anchor_word string, m int")
+    weights = corpus.sparkSession.createDataFrame(pairs, "category string, anchor_word string").groupBy("category", "anchor_word").agg(F.count("*").alias("times"))
+    counts = corpus.select("doc_id", F.explode(words(F.lower("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    distinct = counts.select("word").distinct().withColumn("len", F.length("word"))
+    # Similar by more than 0.7, so lengths differ by less than three tenths; only words that can be like an anchor word go on.
+    banded = distinct.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("len") * 0.7)).cast("int"), F.ceil(F.col("len") / 0.7).cast("int"))))
+    like = banded.join(F.broadcast(targets), "m").withColumn("sim", 1 - F.levenshtein("word", "anchor_word") / F.greatest("len", "m")).filter("sim > 0.7")
+    near = counts.join(like.select("word", "anchor_word", "sim"), "word").groupBy("doc_id", "anchor_word").agg(F.sum(F.col("n") * F.col("sim")).alias("s"))
+    parts = near.join(F.broadcast(weights), "anchor_word").groupBy("doc_id", "category").agg(F.sum(F.col("s") * F.col("times") * 0.1).alias("words"))
+    low = corpus.select("doc_id", F.lower("text").alias("low"))
+    phrases = low.select("doc_id", F.inline(F.array(*(F.struct(F.lit(g).alias("category"), (count_of(F.col("low"), p[g]) * 0.3).alias("phrases")) for g in sorted(p)))))
+    rows = phrases.join(parts, ["doc_id", "category"], "left").select("doc_id", "category", F.round(F.least(F.col("phrases") + F.coalesce("words", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "category")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,13 +98,49 @@ def centroid_distance(vectors: DataFrame, session: str, order: str, vec: str = "
     return sums.select(session, order, F.when(norm > 0, 1 - F.col("xm") / norm).otherwise(1.0).alias("distance"))
 
 
-def trajectory_risk(drifts: DataFrame, distances: DataFrame, session: str, order: str, block: float = 0.75) -> DataFrame:
-    """(session, order, risk, block): drift, centroid distance and acceleration by weight, with boosts for large drift and rise."""
-    rows = drifts.join(distances, [session, order])
-    d, a = F.coalesce("drift", F.lit(0.0)), F.col("acceleration")
-    base = 0.35 * d + 0.25 * F.col("distance") + 0.25 * F.least(a, F.lit(1.0)) + F.when(d > 0.7, 0.15).otherwise(0.0) + F.when(a > 0, 0.10).otherwise(0.0)
-    risk = F.least(base, F.lit(1.0))
-    return rows.select(session, order, risk.alias("risk"), (risk >= block).alias("block"))
+#: Semantic category and attack phase; all others are harmless.
+PHASES = (("instruction_override", "override"), ("policy_override", "override"), ("role_play", "setup"), ("persona_switch", "setup"), ("educational_framing", "prime"), ("research_context", "prime"), ("harmful_request", "exploit"), ("exploit_attempt", "exploit"))
+#: Attack and its phases, in the order in which attacks are asked.
+SEQUENCES = (("skeleton_key", ("setup", "prime", "override", "exploit")), ("crescendo", ("benign", "override", "exploit")), ("boiling_frog", ("benign", "prime", "exploit")))
+#: Suspicious steps from one phase to the next.
+STEPS = (("benign", "override", "direct_override_attempt"), ("setup", "exploit", "rushed_exploit"), ("prime", "exploit", "skipped_override"))
+
+
+def phase_of(category: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PHASES for x in pair)), category), F.lit("benign"))
+
+
+def phase_sequence(turns: DataFrame, session: str, order: str) -> DataFrame:
+    """turns (with phase) with attack, attack_score, transition (of this turn) and suspicious (any so far), as seen at each turn.
+
+    A sequence is matched step by step, each at its first turn after the last one's; so its steps' turns are the same however far one looks,
+    and what is matched at a turn are those up to it. At least two steps and over half of them make an attack; else an override does.
+    """
+    w, so_far = W.partitionBy(session), W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    by = W.partitionBy(session).orderBy(order)
+    rows, columns, scores = turns, turns.columns, []
+    for i, (_, phases) in enumerate(SEQUENCES):
+        for j, phase in enumerate(phases):
+            after = F.col("phase") == phase if j == 0 else (F.col("phase") == phase) & (F.col(order) > F.col(f"_s{i}_{j - 1}"))
+            rows = rows.withColumn(f"_s{i}_{j}", F.min(F.when(after, F.col(order))).over(w))
+        met = functools.reduce(lambda a, b: a + b, (F.coalesce(F.col(f"_s{i}_{j}") <= F.col(order), F.lit(False)).cast("int") for j in range(len(phases))))
+        scores.append(F.when((met >= 2) & (met / len(phases) > 0.5), met / len(phases)))
+    step = F.coalesce(*(F.when((F.lag("phase").over(by) == a) & (F.col("phase") == b), F.lit(n)) for a, b, n in STEPS))
+    rows = rows.withColumn("transition", step).withColumn("suspicious", F.count("transition").over(so_far) > 0)
+    several, override = F.row_number().over(by) >= 2, F.count_if(F.col("phase") == "override").over(so_far) > 0
+    chosen = F.coalesce(*(F.when(s.isNotNull(), F.struct(F.lit(n).alias("n"), s.alias("s"))) for (n, _), s in zip(SEQUENCES, scores)), F.when(override, F.struct(F.lit("policy_override").alias("n"), F.lit(0.7).alias("s"))))
+    rows = rows.withColumn("_x", F.when(several, chosen))
+    return rows.select(*columns, F.col("_x.n").alias("attack"), F.coalesce("_x.s", F.lit(0.0)).alias("attack_score"), "transition", "suspicious")
+
+
+def trajectory_risk(turns: DataFrame, block: float = 0.75) -> DataFrame:
+    """turns with risk and block. turns: attack_score, drift, acceleration (0 without), phase, confidence, distance, suspicious."""
+    d, a, phase, sure = F.coalesce("drift", F.lit(0.0)), F.col("acceleration"), F.col("phase"), F.col("confidence")
+    moved = F.when(a > 0, F.least(a * 2, F.lit(1.0))).when(d > 0.3, d).otherwise(0.0)
+    total = 0.35 * F.col("attack_score") + 0.25 * moved + F.when(phase.isin("override", "exploit"), 0.25 * sure).otherwise(0.0) + F.when(F.col("distance") > 0.4, 0.15 * F.col("distance")).otherwise(0.0)
+    total = total + F.when((phase == "override") & (sure > 0.8), 0.15).otherwise(0.0) + F.when(F.col("suspicious"), 0.10).otherwise(0.0)
+    risk = F.least(total, F.lit(1.0))
+    return turns.withColumn("risk", risk).withColumn("block", F.col("risk") >= block)
 
 
 def hashed_vectors(corpus: DataFrame, dim: int = 64) -> DataFrame:

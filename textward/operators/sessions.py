@@ -136,18 +136,31 @@ def model_route(tokens: Column) -> Column:
     return F.when(tokens <= 8192, "short").when(tokens <= 128_000, "long").otherwise("longest")
 
 
-def smart_truncate(text: Column, limit: int, marker: str = "\n...[truncated]...\n") -> Column:
-    """Over the limit (in tokens of three characters): the first fifth and the last half of it, with a marker between."""
-    chars = limit * 3
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat(F.left(text, F.lit(chars // 5)), F.lit(marker), F.right(text, F.lit(chars // 2))))
+#: Marks that stand for what was cut.
+CUT_TEXT, CUT_TURNS = "\n\n[... middle context truncated for length ...]\n\n", "[... earlier turns truncated ...]"
+
+
+def smart_truncate(text: Column, limit: int, marker: str = CUT_TEXT) -> Column:
+    """Over the limit (three bytes a token): the first fifth and the last half of it, with a marker between; texts that both parts cover stay whole.
+
+    Parts are taken in characters, so none is cut inside one.
+    """
+    first, last = int(limit * 3 * 0.2), int(limit * 3 * 0.5)
+    short = (F.floor(F.octet_length(text) / 3) <= limit) | (F.octet_length(text) <= first + last)
+    return F.when(short, text).otherwise(F.concat(F.left(text, F.lit(first)), F.lit(marker), F.right(text, F.lit(last))))
 
 
 def truncate_turns(turns: DataFrame, limit: int) -> DataFrame:
-    """Turns of sessions within the token limit; of longer ones the first two and those in the last half of it."""
-    t = F.floor(F.octet_length("text") / 3)
-    after = by_turn().rowsBetween(0, W.unboundedFollowing)
-    rows = turns.withColumn("all_tokens", F.sum(t).over(whole())).withColumn("left_tokens", F.sum(t).over(after)).withColumn("i", F.row_number().over(by_turn()))
-    return rows.filter((F.col("all_tokens") <= limit) | (F.col("i") <= 2) | (F.col("left_tokens") <= limit / 2)).select("conv_id", "turn", "all_tokens", "left_tokens")
+    """(conv_id, turn, text, is_marker): sessions within the token limit (ten more a turn) or of four turns and fewer as they are; of others the first two turns, a marker and the last half."""
+    n, i = F.count("*").over(whole()), F.row_number().over(by_turn())
+    total = F.sum(F.floor(F.octet_length("text") / 3) + 10).over(whole())
+    rows = turns.select("conv_id", "turn", "text", n.alias("n"), i.alias("i"), total.alias("total"))
+    rows = rows.withColumn("whole", (F.col("total") <= limit) | (F.col("n") <= 4))
+    last = F.greatest(F.floor(F.col("n") / 2), F.lit(2))
+    kept = rows.filter(F.col("whole") | (F.col("i") <= 2) | (F.col("i") > F.col("n") - last))
+    # The second turn of a cut session is followed by the marker.
+    mark = F.when(~F.col("whole") & (F.col("i") == 2), F.array(F.struct("text", F.lit(False).alias("is_marker")), F.struct(F.lit(CUT_TURNS).alias("text"), F.lit(True).alias("is_marker")))).otherwise(F.array(F.struct("text", F.lit(False).alias("is_marker"))))
+    return kept.select("conv_id", "turn", F.inline(mark))
 
 
 def combine_turns(turns: DataFrame, numbered: bool = True) -> DataFrame:
@@ -157,12 +170,49 @@ def combine_turns(turns: DataFrame, numbered: bool = True) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("combined"))
 
 
-def session_budget(turns: DataFrame, max_tokens: int, max_turns: int, cost: float = 0.00001) -> DataFrame:
-    """Running tokens, turns and cost of each turn, and whether it is allowed."""
-    t = F.floor(F.octet_length("text") / 3)
-    rows = turns.select("conv_id", "turn", F.sum(t).over(upto()).alias("tokens_used"), F.row_number().over(by_turn()).alias("turns_used"))
-    verdict = F.when(F.col("turns_used") > max_turns, "reject_turns").when(F.col("tokens_used") > max_tokens, "reject_tokens").when(F.col("tokens_used") > 0.8 * max_tokens, "truncate").otherwise("allowed")
-    return rows.withColumn("cost", F.round(F.col("tokens_used") * cost, 8)).withColumn("verdict", verdict)
+#: Tokens and turns of a session, remote calls of an hour, tokens of a request, dollars per thousand tokens (local, remote), dollars of a session.
+BUDGET = {"tokens": 50_000, "turns": 100, "calls": 60, "request": 16_000, "local": 0.0001, "remote": 0.0005, "cost": 0.10}
+
+
+def session_budget(turns: DataFrame, budget: dict | None = None, remote: str = "role = 'user'") -> DataFrame:
+    """(conv_id, turn, allowed, advice, limit, tokens_used, turns_used, calls_made, cost): limits in the order tokens, turns, calls, cost.
+
+    A turn that is not allowed uses nothing up, so each depends on the ones before: a fold in order of turns. remote: which turns are remote
+    calls. advice: proceed, truncate or reject.
+    """
+    b = BUDGET | (budget or {})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, used = object(), [0, 0, 0, 0.0]
+        for rows in batches:
+            out = []
+            for conv, turn, need, far in zip(rows["conv_id"], rows["turn"], rows["need"], rows["far"]):
+                if conv != known:
+                    known, used = conv, [0, 0, 0, 0.0]
+                cost = need / 1000 * b["remote" if far else "local"]
+                large = need > b["request"]
+                if used[0] + need > b["tokens"]:
+                    limit, advice = "tokens", "truncate" if large else "reject"
+                elif used[1] >= b["turns"]:
+                    limit, advice = "turns", "reject"
+                elif far and used[2] >= b["calls"]:
+                    limit, advice = "calls", "truncate"
+                elif used[3] + cost > b["cost"]:
+                    limit, advice = "cost", "truncate"
+                else:
+                    limit, advice = "", "truncate" if large else "proceed"
+                    used = [used[0] + need, used[1] + 1, used[2] + int(far), used[3] + cost]
+                out.append((conv, turn, not limit, advice, limit, *used))
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "allowed", "advice", "limit", "tokens_used", "turns_used", "calls_made", "cost"])
+
+    rows = turns.select("conv_id", "turn", F.floor(F.octet_length("text") / 3).alias("need"), F.coalesce(F.expr(remote), F.lit(False)).alias("far"))
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    return ordered.mapInPandas(fold, "conv_id bigint, turn bigint, allowed boolean, advice string, limit string, tokens_used bigint, turns_used bigint, calls_made bigint, cost double")
+
+
+def forget_budgets(budgets: DataFrame, last_seen: str, age: str) -> DataFrame:
+    """budgets without those last used longer ago than age (an interval, as '1 hour')."""
+    return budgets.filter(F.col(last_seen) >= F.current_timestamp() - F.expr(f"interval {age}"))
 
 
 def session_stats(turns: DataFrame, n: int = 15) -> DataFrame:

@@ -76,11 +76,35 @@ def aggregate_verdict(signals: DataFrame, sure: float = 0.85, boost: float = 1.3
     return out.select("doc_id", F.col("x.s").alias("final_score"), F.when(fixed, "BLOCK").otherwise(score_action(F.col("x.s"))).alias("action"), F.when(fixed, "CRITICAL").otherwise(score_level(F.col("x.s"))).alias("risk_level"), F.col("x.p").alias("decision_path"))
 
 
-def escalation(signals: DataFrame, sure: float = 0.85) -> DataFrame:
-    """(doc_id, escalation): classifier where none spoke on a middling score, judge where sources disagree, deeper for obfuscated texts, else none."""
-    rows = signals.groupBy("doc_id").agg(F.bool_or(F.col("source") == "classifier").alias("c"), F.max(F.when(F.col("source") == "heuristic", F.col("score"))).alias("h"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.bool_or("obfuscated").alias("o"), F.max("confidence").alias("m"))
-    col = F.col
-    return rows.select("doc_id", F.when(~col("c") & (col("h") >= 0.3) & (col("h") < sure), "classifier").when(col("o") & (col("m") < sure), "deeper").when(col("hi") - col("lo") > 0.5, "judge").otherwise("none").alias("escalation"))
+def escalation(signals: DataFrame, low: float = 0.30, high: float = 0.85, judged: tuple[float, float] = (0.40, 0.70), apart: float = 0.3) -> DataFrame:
+    """(doc_id, classifier, judge, deeper): three independent tests of what else should look at a text.
+
+    classifier: obfuscated, or a weighted mean in [low, high). judge: classifier and heuristic differ by more than `apart`, or an unsure
+    classifier calls an obfuscated text safe, or the mean lies within `judged` and no signal is sure. deeper: the classifier is
+    unsure (below 0.7) and calls an obfuscated text safe, or contradicts the heuristic.
+    """
+    w = _weights() * F.col("confidence")
+    first = lambda s: F.max(F.when(F.col("source") == s, F.struct("score", "confidence", "label")))
+    rows = signals.groupBy("doc_id").agg(F.sum(F.col("score") * w).alias("a"), F.sum(w).alias("b"), F.bool_or("obfuscated").alias("o"), F.max("confidence").alias("top"), first("classifier").alias("c"), first("heuristic").alias("h"))
+    c, h, o = F.col("c"), F.col("h"), F.col("o")
+    mean = F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0)
+    safe, bad = c["label"].isin("SAFE", "BENIGN"), c["label"].isin("INJECTION", "MALICIOUS", "UNSAFE")
+    differ = F.round(F.abs(c["score"] - h["score"]), 9) > apart
+    judge = (c.isNotNull() & h.isNotNull() & (differ | ((c["confidence"] < 0.6) & o & safe))) | ((mean >= judged[0]) & (mean <= judged[1]) & (F.col("top") < 0.85))
+    deeper = c.isNotNull() & (c["confidence"] < 0.7) & ((o & safe) | (h.isNotNull() & ((bad & (h["score"] < 0.3)) | (safe & (h["score"] > 0.4)))))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    return rows.select("doc_id", sure(o | ((mean >= low) & (mean < high))).alias("classifier"), sure(judge).alias("judge"), sure(deeper).alias("deeper"))
+
+
+#: Preset, block and warn threshold.
+PRESETS = (("strict", 0.40, 0.20), ("default", 0.55, 0.35), ("usable", 0.70, 0.50))
+
+
+def preset_actions(scored: DataFrame, score_col: str = "score") -> DataFrame:
+    """A row for every text and preset: BLOCK, WARN or ALLOW by its thresholds."""
+    s = F.col(score_col)
+    each = F.array(*(F.struct(F.lit(n).alias("preset"), F.when(s >= block, "BLOCK").when(s >= warn, "WARN").otherwise("ALLOW").alias("action")) for n, block, warn in PRESETS))
+    return scored.select("*", F.inline(each))
 
 
 def gateway_verdict(scored: DataFrame, classifier: DataFrame | None = None, semantic: DataFrame | None = None, judge: DataFrame | None = None, warn: float = 0.35, block: float = 0.55) -> DataFrame:

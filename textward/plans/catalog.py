@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textward.plans import conversations, decoding, records, scans, scores, streams, vectors
+from textward.plans import conversations, decoding, records, scans, scores, streams, structure, vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (scans, scores, conversations, vectors, decoding, streams, records):
+for _module in (scans, scores, conversations, vectors, decoding, streams, records, structure):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

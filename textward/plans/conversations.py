@@ -19,6 +19,7 @@ def risky(s, d):
     return turns(s, d).withColumn("risk", F.expr(RISK))
 
 
+LIMITS = {"tokens": 300, "turns": 6, "calls": 3, "request": 60, "local": 0.1, "remote": 0.2, "cost": 0.05}
 P = grouped("turns")
 _PATTERNS = {
     "boiling_frog": "select conv_id, 'boiling_frog' as pattern_name, sum(up) / (max(n) - 1)::double as confidence from (select *, cast(risk > lag(risk) over (partition by conv_id order by turn) as integer) as up from t) group by conv_id having max(n) >= 5 and sum(up) / (max(n) - 1) > 0.7",
@@ -52,13 +53,13 @@ QUERIES = {
     "m19_token_estimate": lambda s, d: ses.token_estimate(turns(s, d), 300),
     "m20_model_route": lambda s, d: ses.token_estimate(turns(s, d)).select("conv_id", ses.model_route(F.col("tokens") * 40).alias("route")),
     "m21_smart_truncate": lambda s, d: turns(s, d).select("conv_id", "turn", F.sha2(ses.smart_truncate(F.col("text"), 30), 256).alias("sha")),
-    "m22_truncate_turns": lambda s, d: ses.truncate_turns(turns(s, d), 200),
+    "m22_truncate_turns": lambda s, d: ses.truncate_turns(turns(s, d), 200).select("conv_id", "turn", "is_marker", F.sha2("text", 256).alias("sha")),
     "m23_combine_turns": lambda s, d: ses.combine_turns(turns(s, d)).select("conv_id", F.sha2("combined", 256).alias("sha")),
-    "m24_session_budget": lambda s, d: ses.session_budget(turns(s, d), 300, 6),
+    "m24_session_budget": lambda s, d: ses.session_budget(turns(s, d), LIMITS).withColumn("cost", F.round("cost", 9)),
     "m25_session_stats": lambda s, d: ses.session_stats(turns(s, d), 5),
 }
 
-_T3 = "strlen(text) // 3"
+_T3, _LF2 = "strlen(text) // 3", "chr(10) || chr(10)"
 ORACLE = {
     "m1_session_window": f"with {TURN_ROWS} select conv_id, turn, count(*) over w as kept, min(turn) over w as from_turn from turns window w as (partition by conv_id order by turn rows 3 preceding)",
     "m2_skeleton_key": f"with {RISKY} {_SKELETON}",
@@ -69,9 +70,15 @@ ORACLE = {
     "m10_should_block_session": f"with {RISKY}, {_ALL}, last as (select conv_id, arg_max(risk, turn) as risk from t group by conv_id) select conv_id, bool_or((pattern_name in ('skeleton_key', 'context_manipulation') and confidence > 0.8) or (confidence > 0.7 and risk > 0.6)) as block from risks join last using (conv_id) group by conv_id",
     "m19_token_estimate": f"with {TURN_ROWS} select conv_id, cast(sum({_T3}) as bigint) as tokens, cast(sum(ceil(strlen(text) / 3)) as bigint) as tokens_up, sum({_T3}) <= 300 as fits from turns group by conv_id",
     "m20_model_route": f"with {TURN_ROWS} select conv_id, case when sum({_T3}) * 40 <= 8192 then 'short' when sum({_T3}) * 40 <= 128000 then 'long' else 'longest' end as route from turns group by conv_id",
-    "m21_smart_truncate": f"with {TURN_ROWS} select conv_id, turn, sha256(case when length(text) <= 90 then text else left(text, 18) || chr(10) || '...[truncated]...' || chr(10) || right(text, 45) end) as sha from turns",
-    "m22_truncate_turns": f"with {TURN_ROWS}, r as (select conv_id, turn, cast(sum({_T3}) over (partition by conv_id) as bigint) as all_tokens, cast(sum({_T3}) over (partition by conv_id order by turn rows between current row and unbounded following) as bigint) as left_tokens, row_number() over (partition by conv_id order by turn) as i from turns) select conv_id, turn, all_tokens, left_tokens from r where all_tokens <= 200 or i <= 2 or left_tokens <= 100",
+    "m21_smart_truncate": f"with {TURN_ROWS} select conv_id, turn, sha256(case when {_T3} <= 30 or strlen(text) <= 63 then text else left(text, 18) || {_LF2} || '[... middle context truncated for length ...]' || {_LF2} || right(text, 45) end) as sha from turns",
+    "m22_truncate_turns": f"with {TURN_ROWS}, r as (select conv_id, turn, text, sum({_T3} + 10) over (partition by conv_id) as total, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn) as i from turns), k as (select *, total <= 200 or n <= 4 as entire from r) select conv_id, turn, false as is_marker, sha256(text) as sha from k where entire or i <= 2 or i > n - greatest(n // 2, 2) union all select conv_id, turn, true, sha256('[... earlier turns truncated ...]') from k where not entire and i = 2",
     "m23_combine_turns": f"with {TURN_ROWS} select conv_id, sha256(string_agg('Turn ' || turn || ': ' || text, chr(10) order by turn)) as sha from turns group by conv_id",
-    "m24_session_budget": f"with {TURN_ROWS}, r as (select conv_id, turn, cast(sum({_T3}) over w as bigint) as tokens_used, row_number() over w as turns_used from turns window w as (partition by conv_id order by turn rows unbounded preceding)) select conv_id, turn, tokens_used, turns_used, round(tokens_used * 0.00001::double, 8) as cost, case when turns_used > 6 then 'reject_turns' when tokens_used > 300 then 'reject_tokens' when tokens_used > 240 then 'truncate' else 'allowed' end as verdict from r",
+    "m24_session_budget": f"""with recursive {TURN_ROWS}, r as (select conv_id, turn, {_T3} as need, role = 'user' as far, row_number() over (partition by conv_id order by turn) as i from turns),
+c as (select *, need / 1000 * case when far then 0.2::double else 0.1::double end as price from r),
+f as (select conv_id, 0::bigint as i, 0::bigint as turn, true as allowed, '' as advice, '' as "limit", 0::bigint as tokens_used, 0::bigint as turns_used, 0::bigint as calls_made, 0::double as cost from (select distinct conv_id from turns)
+  union all select x.conv_id, x.i, x.turn, x.hit = '', case x.hit when '' then case when need > 60 then 'truncate' else 'proceed' end when 'tokens' then case when need > 60 then 'truncate' else 'reject' end when 'turns' then 'reject' else 'truncate' end, x.hit,
+    x.tokens_used + case x.hit when '' then need else 0 end, x.turns_used + case x.hit when '' then 1 else 0 end, x.calls_made + case when x.hit = '' and far then 1 else 0 end, x.cost + case x.hit when '' then price else 0 end
+  from (select c.*, f.tokens_used, f.turns_used, f.calls_made, f.cost, case when f.tokens_used + need > 300 then 'tokens' when f.turns_used >= 6 then 'turns' when far and f.calls_made >= 3 then 'calls' when f.cost + price > 0.05 then 'cost' else '' end as hit from f join c on c.conv_id = f.conv_id and c.i = f.i + 1) x)
+select conv_id, turn, allowed, advice, "limit", tokens_used, turns_used, calls_made, round(cost, 9) as cost from f where i > 0""",
     "m25_session_stats": f"with {TURN_ROWS}, e as (select conv_id, count(*) as n from turns group by conv_id) select count(*) as sessions, cast(sum(n) as bigint) as turns, cast(sum(least(n, 5)) as bigint) as retained from e",
 }

@@ -8,7 +8,9 @@ from textward.functions.tables import grouped, rows, sql_values
 from textward.operators import context as ctx
 from textward.operators import heuristics as heu
 from textward.operators import lexical as lex
+from textward.operators import decode as dec
 from textward.operators import scan
+from textward.operators import verdict as ver
 from textward.plans.planted import CORPUS, corpus
 
 #: A table of benign phrases; the operator takes any.
@@ -83,6 +85,13 @@ _P, _I = grouped("purpose"), grouped("intent")
 _SECOND_WORD = r"regexp_extract_all(text, '[\p{L}\p{Nd}]+')"
 
 
+def full_score(rows):
+    """The heuristic score of normalised texts with all that the decoders give."""
+    plain = dec.normalize_nfkc(rows).select("doc_id", F.col("normalized").alias("text"))
+    found = dec.decoded_rollup(dec.deobfuscate(plain, 2), plain)
+    return heu.heuristic_score(plain, found.select("doc_id", "decoded_text"))
+
+
 def _scored(s, d):
     return corpus(s, d).withColumn("score", F.pmod(F.col("doc_id"), F.lit(11)) / 10)
 
@@ -103,7 +112,8 @@ QUERIES = {
     "h7_keyword_score": lambda s, d: heu.keyword_score(corpus(s, d).select("doc_id", heu.cleaned(_text()).alias("t")), "t", "p").select("doc_id", F.round("p", 6).alias("points")),
     "h8_secret_bonus": lambda s, d: corpus(s, d).select("doc_id", heu.secret_bonus(_text()).alias("bonus")),
     "h9_foreign_penalty": lambda s, d: _scored(s, d).select("doc_id", F.round(heu.logistic(heu.foreign_penalty(_text(), F.col("score"))), 6).alias("p")),
-    "h10_heuristic_score": lambda s, d: heu.heuristic_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
+    "h10_heuristic_score": lambda s, d: full_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
+    "h10_plain_score": lambda s, d: heu.heuristic_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
     "h11_matched_domain_keywords": lambda s, d: corpus(s, d).select("doc_id", heu.domain_keywords(_text()).alias("keywords")),
     "h12_benign_discount": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.benign_discount(_text(), list(BENIGN)), 6).alias("discount")),
     "f7_action_from_score": lambda s, d: _scored(s, d).select("doc_id", scan.action(F.col("score"), 0.35, 0.55).alias("action")),
@@ -114,7 +124,8 @@ QUERIES = {
     "c9_purpose_signals": lambda s, d: ctx.purpose_scores(corpus(s, d)).select("doc_id", *(F.round(f"{g}_score", 6).alias(f"{g}_score") for g in ctx.PURPOSE_WEIGHT), "is_code_review"),
     "c10_purpose_discount": lambda s, d: ctx.purpose_discount(ctx.purpose_scores(_scored(s, d)), "permissive").select("doc_id", F.round("discounted_score", 6).alias("discounted_score")),
     "c11_intent_keywords": lambda s, d: ctx.intents(corpus(s, d)).select("doc_id", "intent", F.round("intent_confidence", 6).alias("intent_confidence"), "second_intent", F.round("second_score", 6).alias("second_score")),
-    "a9_risk_presets": lambda s, d: ctx.with_profile_action(_scored(s, d)).groupBy("profile", "action").agg(F.count("*").alias("texts")),
+    "a9_risk_presets": lambda s, d: ver.preset_actions(_scored(s, d)).groupBy("preset", "action").agg(F.count("*").alias("texts")),
+    "f7_profile_action": lambda s, d: ctx.with_profile_action(_scored(s, d)).groupBy("profile", "action").agg(F.count("*").alias("texts")),
     "l1_char_profile": lambda s, d: lex.char_profile(corpus(s, d)),
     "l2_entropy_anomaly": lambda s, d: lex.entropy_anomaly(corpus(s, d)),
     "l3_anchor_match": lambda s, d: lex.anchor_match(corpus(s, d)),
@@ -138,7 +149,7 @@ ORACLE = {
     "h7_keyword_score": f"with {CORPUS}, src as (select doc_id, {_with(_CLEAN, 'text')} as t from corpus), {_keyword_ctes('src')} select doc_id, round(coalesce(points, 0), 6) as points from corpus left join ks using (doc_id)",
     "h8_secret_bonus": f"with src as (with {CORPUS} select doc_id, text as t from corpus) select doc_id, {_BONUS}::double as bonus from src",
     "h9_foreign_penalty": f"with {CORPUS}, s as (select doc_id, case when {_with(_FOREIGN, 'text')} and {_PSCORE} > 0.3 then {_PSCORE} + 1.5 else {_PSCORE} end as x from corpus) select doc_id, round(case when x = 0 then 0 else 1 / (1 + exp(-x + 0.5)) end, 6)::double as p from s",
-    "h10_heuristic_score": f"""with {CORPUS}, {_TIERS}, {_TIER_HITS}, {_entropy('strlen(text)')},
+    "h10_plain_score": f"""with {CORPUS}, {_TIERS}, {_TIER_HITS}, {_entropy('strlen(text)')},
 c1 as (select doc_id, {_with(_COMPRESS, 'text')} as t from corpus), c2 as (select doc_id, {_with(_UNLEET, 't')} as t from c1), src as (select doc_id, {_with(_CLEAN, 't')} as t from c2), {_keyword_ctes('src')},
 pts as (select doc_id, t, {_CRYPTO} + {_BONUS} + coalesce(points, 0) as x from src left join ks using (doc_id)),
 fin as (select doc_id, case when {_with(_FOREIGN, 't')} and x > 0.3 then x + 1.5 else x end as x, {_any('t', list(heu.CANARIES))} as canary from pts),
@@ -155,7 +166,8 @@ from corpus left join alltier using (doc_id) left join h using (doc_id) left joi
     "c9_purpose_signals": f"with {LOW} select doc_id, {', '.join(f'round({_count("low", _P[g])} * {w}, 6)::double as {g}_score' for g, w in ctx.PURPOSE_WEIGHT.items())}, {_any('low', _P['code_review'])} as is_code_review from l",
     "c10_purpose_discount": f"with {LOW} select doc_id, round({_PSCORE} * (1 - least(0.5, {' + '.join(f'{_PERM[3 + i]} * {w} * {_count("low", _P[g])}' for i, (g, w) in enumerate(ctx.PURPOSE_WEIGHT.items()))})), 6)::double as discounted_score from l",
     "c11_intent_keywords": f"with {LOW}, s as ({' union all '.join(f'select doc_id, {_q(g)} as g, round({_count("low", _I[g])} * {0.225 if g == "ATTACK" else 0.15}, 6) as s from l' for g in sorted(_I))}), r as (select *, row_number() over (partition by doc_id order by s desc, g) as n from s) select doc_id, case when max(s) < 0.1 then 'CONVERSATIONAL' else max(g) filter (n = 1) end as intent, (case when max(s) < 0.1 then 0.5 else least(1.0, max(s)) end)::double as intent_confidence, max(g) filter (n = 2 and s > 0) as second_intent, (max(s) filter (n = 2))::double as second_score from r group by doc_id",
-    "a9_risk_presets": f"with {CORPUS}, p(profile, block, warn) as (values {sql_values([r[:3] for r in ctx.PROFILES])}) select profile, case when {_PSCORE} >= block then 'BLOCK' when {_PSCORE} >= warn then 'WARN' else 'ALLOW' end as action, count(*) as texts from corpus, p group by all",
+    "f7_profile_action": f"with {CORPUS}, p(profile, block, warn) as (values {sql_values([r[:3] for r in ctx.PROFILES])}) select profile, case when {_PSCORE} >= block then 'BLOCK' when {_PSCORE} >= warn then 'WARN' else 'ALLOW' end as action, count(*) as texts from corpus, p group by all",
+    "a9_risk_presets": f"with {CORPUS}, p(preset, block, warn) as (values ('strict', 0.40, 0.20), ('default', 0.55, 0.35), ('usable', 0.70, 0.50)) select preset, case when {_PSCORE} >= block then 'BLOCK' when {_PSCORE} >= warn then 'WARN' else 'ALLOW' end as action, count(*) as texts from corpus, p group by all",
     "l2_entropy_anomaly": f"with {CORPUS}, {_entropy('length(text)')}, s as (select doc_id, strlen(text) as n, coalesce(e, 0) as e from corpus left join h using (doc_id)) select doc_id, round(e, 6) as entropy, round(case when n >= 25 and abs(e - 4.5) > case when n < 50 then 2.5 when n < 100 then 1.5 when n > 200 then 0.3 else 1.0 end then least(abs(e - 4.5) / 2, 1.0) end, 6)::double as anomaly_score from s",
     "l4_benign_context": f"with {LOW} select doc_id, round(0.4 * ({' + '.join(f'least(3, {_count("low", w)})' for w in grouped('benign').values())}), 6)::double as benign from l",
     "l5_structure_flags": r"with {0}, t as (select doc_id, len(regexp_extract_all(text, '[\"''`]')) > 2 as a, contains(text, '```') as b, contains(text, '<!--') or contains(text, '-->') or contains(text, '/*') or contains(text, '*/') or contains(text, '//') or contains(text, '#') as c, contains(text, '<policy') or contains(text, '<system') or contains(text, '\"safety\"') or contains(text, '\"restrictions\"') as d, case when text = '' then false else len(regexp_extract_all(text, '[{{}}\[\]]')) / strlen(text) > 0.1 end as e from corpus) select doc_id, list_filter([case when a then 'deep_nesting' end, case when b then 'code_block' end, case when c then 'comment_markers' end, case when d then 'policy_structure' end, case when e then 'high_brackets' end], lambda x: x is not null) as patterns, round(0.2 * a::int + 0.15 * b::int + 0.1 * c::int + 0.25 * d::int + 0.15 * e::int, 6)::double as structure_score from t".replace('\\"', '"').format(CORPUS),

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textward.functions.tables import sql_values
+from textward.operators import decode as dec
+from textward.operators import heuristics as heu
+from textward.operators import lexical as lex
+from textward.operators import scan
 from textward.operators import semantic as sem
 from textward.operators import verdict as ver
 from textward.plans.planted import CORPUS, corpus
-from textward.plans.scores import _PSCORE, _scored
+from textward.plans.scans import ORACLE as SCANS
+from textward.plans.scores import _LEET, _with
+from textward.plans.scores import ORACLE as SCORES
 
 
 def _vecs(s, d):
@@ -24,40 +30,56 @@ def _match(s, d):
     return sem.semantic_match(_near(s, d), _vecs(s, d).selectExpr("vec_id as row_id", "label as category"), [0, 1], 0.5)
 
 
+def _layers(s, d):
+    """doc_id with the scores that rules, output scan and structure give, obfuscation types and whether a credential stands there."""
+    rows = corpus(s, d)
+    low = rows.withColumn("low", F.lower("text"))
+    kinds = F.array_compact(F.array(F.when(heu.has_leet(F.col("text")), "leetspeak"), F.when(F.col("text").contains("&#"), "html_entity"), F.when(F.col("low").rlike("|".join(dec.ROT_STEMS)), "rot13")))
+    first = low.select("doc_id", F.coalesce(heu.tier(F.col("text"), F.col("low"))["score"], F.lit(0.0)).alias("h"), kinds.alias("kinds"))
+    out = scan.scan_output(rows, scan.rules(scan.OUTPUT_CATEGORIES)).select("doc_id", F.least(F.col("risk_score") / 100, F.lit(1.0)).alias("o"), F.array_contains("categories", "credential").alias("secrets"))
+    return first.join(out, "doc_id").join(lex.structure_flags(rows).select("doc_id", F.col("structure_score").alias("l")), "doc_id")
+
+
 def _signals(s, d):
-    rows = _scored(s, d).selectExpr("doc_id", "score", "pmod(doc_id * 3, 10) / 10 as s2", "pmod(doc_id * 7, 10) / 10 as s3", "contains(text, '%') or doc_id % 5 = 0 as obf")
-    one = "doc_id, '{0}' as source, {1} as score, {2} as confidence, case when {1} >= 0.5 then 'MALICIOUS' else 'SAFE' end as label, doc_id % 97 = 0 as secrets, obf as obfuscated, case when obf then array('{3}') else array() end as obfuscation_types"
-    out = rows.selectExpr(*_split(one.format("heuristic", "score", "0.8D", "base64")))
-    out = out.unionByName(rows.selectExpr(*_split(one.format("classifier", "s2", "pmod(doc_id, 10) / 10", "hex"))))
-    return out.unionByName(rows.filter("doc_id % 3 = 0").selectExpr(*_split(one.format("semantic", "s3", "0.9D", "base64"))))
-
-
-def _split(x: str) -> list[str]:
-    out, depth, now = [], 0, ""
-    for c in x:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(now)
-            now = ""
-        else:
-            now += c
-    return [*out, now]
-
-
-_M = lambda a, k: f"((({a} * {k}) % 10 + 10) % 10 / 10::double)"
+    one = lambda source, score, sure: F.struct(F.lit(source).alias("source"), F.col(score).alias("score"), sure.alias("confidence"), F.when(F.col(score) >= 0.5, "MALICIOUS").otherwise("SAFE").alias("label"))
+    each = F.array(one("heuristic", "h", F.lit(0.8)), one("classifier", "o", F.round(0.5 + F.abs(F.col("o") - 0.5), 6)), one("semantic", "l", F.lit(0.6)))
+    return _layers(s, d).select("doc_id", "secrets", (F.size("kinds") > 0).alias("obfuscated"), F.col("kinds").alias("obfuscation_types"), F.inline(each))
+
+
 _LAB = "case when {0} >= 0.5 then 'MALICIOUS' else 'SAFE' end"
-_SIG = f"""base as (select doc_id, {_PSCORE} as s1, {_M('doc_id', 3)} as s2, {_M('doc_id', 7)} as s3, contains(text, '%') or doc_id % 5 = 0 as obf from corpus),
-signals as (select doc_id, 'heuristic' as source, s1 as score, 0.8::double as confidence, {_LAB.format('s1')} as label, doc_id % 97 = 0 as secrets, obf as obfuscated, 'base64' as kind from base
-union all select doc_id, 'classifier', s2, {_M('doc_id', 1)}, {_LAB.format('s2')}, doc_id % 97 = 0, obf, 'hex' from base
-union all select doc_id, 'semantic', s3, 0.9, {_LAB.format('s3')}, doc_id % 97 = 0, obf, 'base64' from base where doc_id % 3 = 0),
+_SIG = f"""lay_h as ({SCORES['h1_tiered_rules']}), lay_o as ({SCANS['o1_scan_output']}), lay_l as ({SCORES['l5_structure_flags']}),
+base as (select doc_id, coalesce(h.score, 0)::double as h, least(risk_score / 100, 1.0)::double as o, list_contains(categories, 'credential') as secrets, structure_score as l, list_filter([case when {_with(_LEET, 'text')} then 'leetspeak' end, case when contains(text, '&#') then 'html_entity' end, case when regexp_matches(lower(text), '{'|'.join(dec.ROT_STEMS)}') then 'rot13' end], lambda x: x is not null) as kinds from corpus join lay_h h using (doc_id) join lay_o using (doc_id) join lay_l using (doc_id)),
+signals as (select doc_id, 'heuristic' as source, h as score, 0.8::double as confidence, {_LAB.format('h')} as label, secrets, len(kinds) > 0 as obfuscated, kinds from base
+union all select doc_id, 'classifier', o, round(0.5 + abs(o - 0.5), 6)::double, {_LAB.format('o')}, secrets, len(kinds) > 0, kinds from base
+union all select doc_id, 'semantic', l, 0.6::double, {_LAB.format('l')}, secrets, len(kinds) > 0, kinds from base),
 weights(source, w) as (values {sql_values(ver.SOURCE_WEIGHTS)}), sw as (select s.*, w * confidence as ew from signals s left join weights using (source))"""
-_GATE = f"select doc_id, case when s1 >= 0.85 then 'BLOCK' when s2 >= 0.5 and conf > 0.8 then 'BLOCK' when s1 >= 0.55 then 'BLOCK' when s1 >= 0.35 then 'WARN' else 'ALLOW' end as decision from (select doc_id, {_PSCORE} as s1, {_M('doc_id', 3)} as s2, {_M('doc_id', 1)} as conf from corpus)"
+_GATE = f", {_SIG} select doc_id, case when h >= 0.85 then 'BLOCK' when o >= 0.5 and 0.5 + abs(o - 0.5) > 0.9 then 'BLOCK' when h >= 0.55 then 'BLOCK' when h >= 0.35 then 'WARN' else 'ALLOW' end as decision from base"
 
 
 def _gateway(s, d):
-    rows = _scored(s, d).withColumnRenamed("score", "heuristic_score")
-    layer = rows.selectExpr("doc_id", "pmod(doc_id * 3, 10) / 10 >= 0.5 as is_threat", "pmod(doc_id, 10) / 10 + 0.1D as ml_confidence")
-    return ver.gateway_verdict(rows.select("doc_id", "heuristic_score"), classifier=layer)
+    rows = _layers(s, d)
+    layer = rows.select("doc_id", (F.col("o") >= 0.5).alias("is_threat"), (0.5 + F.abs(F.col("o") - 0.5)).alias("ml_confidence"))
+    return ver.gateway_verdict(rows.select("doc_id", F.col("h").alias("heuristic_score")), classifier=layer)
+
+
+def _both(s, d):
+    rows = corpus(s, d)
+    return scan.scan_both(_gateway(s, d).select("doc_id", "decision"), scan.scan_output(rows, scan.rules(scan.OUTPUT_CATEGORIES)))
+
+
+#: Categories for the labels of the embeddings, so that sessions of 25 vectors have phases.
+CATEGORIES = (*(c for c, _ in sem.PHASES), "small_talk", "weather")
+
+
+def _turn_vectors(s, d):
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.pmod("label", F.lit(len(CATEGORIES))) + 1).cast("int"))
+    rows = _vecs(s, d).select((F.col("vec_id") / 25).cast("long").alias("session"), "vec_id", "embedding", category.alias("category"), ((F.col("label") % 5 + 5) / 10).alias("confidence"))
+    return rows.withColumn("phase", sem.phase_of(F.col("category")))
+
+
+def _trajectories(s, d):
+    rows = sem.drift(sem.phase_sequence(_turn_vectors(s, d), "session", "vec_id"), "session", "vec_id")
+    return sem.trajectory_risk(rows.join(sem.centroid_distance(_turn_vectors(s, d), "session", "vec_id"), ["session", "vec_id"]))
 
 
 def _labels(s, d):
@@ -83,6 +105,18 @@ _PAIRS = f"pairs as (select q.vec_id as query_id, r.vec_id as row_id, r.label as
 _DRIFT = f"d as (select label, vec_id, embedding, 1 - list_cosine_similarity({_E}, lag({_E}) over (partition by label order by vec_id)) as drift from embeddings), dd as (select label, vec_id, drift, case when lag(drift, 2) over w < lag(drift, 1) over w and lag(drift, 1) over w < drift then (drift - lag(drift, 2) over w) / 2 else 0 end as acceleration from d window w as (partition by label order by vec_id))"
 _CENTROID = "cells as (select label, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from embeddings), means as (select *, avg(x) over (partition by label, dim order by vec_id) as m from cells), dist as (select label, vec_id, 1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)) as distance from means group by label, vec_id)"
 
+_PH = f"ph0 as (select vec_id // 25 as session, vec_id, embedding, [{', '.join(repr(c) for c in CATEGORIES)}][((label % {len(CATEGORIES)}) + {len(CATEGORIES)}) % {len(CATEGORIES)} + 1] as category, (label % 5 + 5) / 10::double as confidence from embeddings), ph as (select *, case {' '.join(f"when category = '{c}' then '{x}'" for c, x in sem.PHASES)} else 'benign' end as phase from ph0)"
+_STEP = " ".join(f"when lag(phase) over w = '{a}' and phase = '{b}' then '{n}'" for a, b, n in sem.STEPS)
+_CHAIN, _TABLES = [], []
+for _k, (_name, _phases) in enumerate(sem.SEQUENCES):
+    for _j, _phase in enumerate(_phases):
+        _TABLES.append(f"q{_k}_{_j} as (select session, min(vec_id) as t from ph where phase = '{_phase}' group by session)" if not _j else f"q{_k}_{_j} as (select p.session, min(p.vec_id) as t from ph p join q{_k}_{_j - 1} b on b.session = p.session and p.vec_id > b.t where p.phase = '{_phase}' group by p.session)")
+    _hits = " + ".join(f"cast(coalesce(vec_id >= (select t from q{_k}_{_j} z where z.session = pt.session), false) as integer)" for _j in range(len(_phases)))
+    _CHAIN.append(f"({_hits}) as n{_k}")
+_OVER = " ".join(f"when i >= 2 and n{k} >= 2 and n{k} / {len(p)} > 0.5 then {{'n': '{n}', 's': n{k} / {len(p)}::double}}" for k, (n, p) in enumerate(sem.SEQUENCES))
+_SEQ = f"{', '.join(_TABLES)}, pt as (select *, row_number() over w as i, count(*) filter (phase = 'override') over w as overs, case {_STEP} end as transition from ph window w as (partition by session order by vec_id)), pn as (select *, {', '.join(_CHAIN)} from pt), px as (select *, case {_OVER} when i >= 2 and overs > 0 then {{'n': 'policy_override', 's': 0.7::double}} end as x, count(transition) over (partition by session order by vec_id) > 0 as suspicious from pn), sq as (select *, x.n as attack, coalesce(x.s, 0)::double as attack_score from px)"
+_RISK = f"dr as (select *, coalesce(1 - list_cosine_similarity({_E}, lag({_E}) over (partition by session order by vec_id)), 0) as drift, 1 - list_cosine_similarity({_E}, lag({_E}) over (partition by session order by vec_id)) as dn from sq), ac as (select *, case when lag(dn, 2) over w < lag(dn, 1) over w and lag(dn, 1) over w < dn then (dn - lag(dn, 2) over w) / 2 else 0 end as acceleration from dr window w as (partition by session order by vec_id)), ce as (select session, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from ph), me as (select *, avg(x) over (partition by session, dim order by vec_id) as m from ce), di as (select session, vec_id, 1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)) as distance from me group by all), rk as (select vec_id, least(1.0, 0.35 * attack_score + 0.25 * case when acceleration > 0 then least(1.0, acceleration * 2) when drift > 0.3 then drift else 0 end + case when phase in ('override', 'exploit') then 0.25 * confidence else 0 end + case when distance > 0.4 then 0.15 * distance else 0 end + case when phase = 'override' and confidence > 0.8 then 0.15 else 0 end + case when suspicious then 0.10 else 0 end) as risk from ac join di using (session, vec_id))"
+
 QUERIES = {
     "j1_knn_join": lambda s, d: _near(s, d).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity")),
     "v1_pair_scores": lambda s, d: _vecs(s, d).alias("a").join(_vecs(s, d).selectExpr("vec_id - 1 as vec_id", "embedding as other").alias("b"), "vec_id").select("vec_id", F.round(sem.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(sem.l2(F.col("embedding"), F.col("other")), 5).alias("l2")),
@@ -95,7 +129,10 @@ QUERIES = {
     "m13_drift": lambda s, d: _drift(s, d).select("vec_id", F.round("drift", 6).alias("drift")),
     "m14_running_centroid": lambda s, d: sem.centroid_distance(_vecs(s, d), "label", "vec_id").select("vec_id", F.round("distance", 5).alias("distance")),
     "m15_drift_acceleration": lambda s, d: _drift(s, d).select("vec_id", F.round("acceleration", 6).alias("acceleration")),
-    "m18_trajectory_risk": lambda s, d: sem.trajectory_risk(_drift(s, d), sem.centroid_distance(_vecs(s, d), "label", "vec_id"), "label", "vec_id").select("vec_id", F.round("risk", 5).alias("risk")),
+    "m16_phase_of": lambda s, d: _turn_vectors(s, d).select("vec_id", "phase"),
+    "m17_phase_sequence": lambda s, d: sem.phase_sequence(_turn_vectors(s, d), "session", "vec_id").select("vec_id", "attack", F.round("attack_score", 6).alias("attack_score"), "transition", "suspicious"),
+    "m18_trajectory_risk": lambda s, d: _trajectories(s, d).select("vec_id", F.round("risk", 5).alias("risk")),
+    "o8_scan_both": lambda s, d: _both(s, d).select("doc_id", "merged"),
     "a1_weighted_score": lambda s, d: ver.weighted_score(_signals(s, d)).select("doc_id", F.round("score", 6).alias("score")),
     "a2_obfuscation_union": lambda s, d: ver.obfuscation_union(_signals(s, d)),
     "a3_aggregate_verdict": lambda s, d: ver.aggregate_verdict(_signals(s, d)).select("doc_id", F.round("final_score", 6).alias("final_score"), "action", "decision_path"),
@@ -114,15 +151,19 @@ ORACLE = {
     "m13_drift": f"with {_DRIFT} select vec_id, round(drift, 6) as drift from dd",
     "m14_running_centroid": f"with {_CENTROID} select vec_id, round(distance, 5) as distance from dist",
     "m15_drift_acceleration": f"with {_DRIFT} select vec_id, round(acceleration, 6)::double as acceleration from dd",
-    "m18_trajectory_risk": f"with {_DRIFT}, {_CENTROID}, r as (select vec_id, coalesce(drift, 0) as d, acceleration as a, distance from dd join dist using (label, vec_id)) select vec_id, round(least(1.0, 0.35 * d + 0.25 * distance + 0.25 * least(1.0, a) + case when d > 0.7 then 0.15 else 0 end + case when a > 0 then 0.10 else 0 end), 5)::double as risk from r",
+    "m16_phase_of": f"with {_PH} select vec_id, phase from ph",
+    "m17_phase_sequence": f"with {_PH}, {_SEQ} select vec_id, attack, round(attack_score, 6)::double as attack_score, transition, suspicious from sq",
+    "m18_trajectory_risk": f"with {_PH}, {_SEQ}, {_RISK} select vec_id, round(risk, 5)::double as risk from rk",
+    "o8_scan_both": f"with {CORPUS}, {_SIG}, g as (select * from (with {CORPUS} {_GATE})), o as ({SCANS['o1_scan_output']}) select doc_id, case when risk_level = 'CRITICAL' then 'BLOCK' when risk_level = 'HIGH' and decision = 'ALLOW' then 'WARN' else decision end as merged from g join o using (doc_id)",
     "a1_weighted_score": f"with {CORPUS}, {_SIG} select doc_id, round(case when sum(ew) > 0 then sum(score * ew) / sum(ew) else 0 end, 6)::double as score from sw group by doc_id",
-    "a2_obfuscation_union": f"with {CORPUS}, {_SIG} select doc_id, bool_or(obfuscated) as was_obfuscated, coalesce(list_sort(list(distinct kind) filter (obfuscated)), []) as types from signals group by doc_id",
-    "a3_aggregate_verdict": f"""with {CORPUS}, {_SIG}, g as (select doc_id, bool_or(secrets) as secrets, max(score) filter (confidence >= 0.85 and score >= 0.95) as top, arg_max(score, confidence * 10 + case source when 'semantic' then 0.001 else 0 end) filter (confidence >= 0.85) as sure_score, count(distinct label) filter (confidence >= 0.85) as sure_labels, bool_or(obfuscated) as o, max(score) filter (source = 'heuristic') as h, max(score) filter (source = 'classifier') as c, max(confidence) filter (source = 'classifier') as cc, max(label) filter (source = 'classifier') as cl, case when sum(ew) > 0 then sum(score * ew) / sum(ew) else 0 end as mean from sw group by doc_id),
+    "a2_obfuscation_union": f"with {CORPUS}, {_SIG} select doc_id, bool_or(obfuscated) as was_obfuscated, list_sort(list_distinct(flatten(list(kinds)))) as types from signals group by doc_id",
+    "a3_aggregate_verdict": f"""with {CORPUS}, {_SIG}, g as (select doc_id, bool_or(secrets) as secrets, max(score) filter (confidence >= 0.85 and score >= 0.95) as top, max(score) filter (confidence >= 0.85) as sure_score, count(distinct label) filter (confidence >= 0.85) as sure_labels, bool_or(obfuscated) as o, max(score) filter (source = 'heuristic') as h, max(score) filter (source = 'classifier') as c, max(confidence) filter (source = 'classifier') as cc, max(label) filter (source = 'classifier') as cl, case when sum(ew) > 0 then sum(score * ew) / sum(ew) else 0 end as mean from sw group by doc_id),
 t as (select doc_id, case when secrets then 'TIER_0_SECRETS' when top is not null then 'TIER_0_HIGH_SCORE' when sure_labels = 1 then 'TIER_1_HIGH_CONFIDENCE_AGREEMENT' when o and cl = 'SAFE' and cc < 0.85 and least(1.0, h * 1.3) >= 0.5 then 'TIER_2_OBFUSCATION_VETO' when o and cl = 'MALICIOUS' and h >= 0.4 then 'TIER_2_OBFUSCATION_BOOST' else 'TIER_3_WEIGHTED_AGGREGATION' end as p, * exclude (doc_id) from g),
 f as (select doc_id, p, (case p when 'TIER_0_SECRETS' then 1.0 when 'TIER_0_HIGH_SCORE' then top when 'TIER_1_HIGH_CONFIDENCE_AGREEMENT' then sure_score when 'TIER_2_OBFUSCATION_VETO' then least(1.0, h * 1.3) when 'TIER_2_OBFUSCATION_BOOST' then least(1.0, (c + h) / 2 * 1.3) else case when o and mean >= 0.3 and mean < 0.7 then least(1.0, mean * 1.3) else mean end end)::double as s from t)
 select doc_id, round(s, 6) as final_score, case when starts_with(p, 'TIER_0') or s >= 0.7 then 'BLOCK' when s >= 0.4 then 'WARN' else 'ALLOW' end as action, p as decision_path from f""",
-    "a4_escalation": f"with {CORPUS}, {_SIG} select doc_id, case when not bool_or(source = 'classifier') and max(score) filter (source = 'heuristic') >= 0.3 and max(score) filter (source = 'heuristic') < 0.85 then 'classifier' when bool_or(obfuscated) and max(confidence) < 0.85 then 'deeper' when max(score) - min(score) > 0.5 then 'judge' else 'none' end as escalation from signals group by doc_id",
+    "a4_escalation": f"""with {CORPUS}, {_SIG}, g as (select doc_id, case when sum(ew) > 0 then sum(score * ew) / sum(ew) else 0 end as mean, bool_or(obfuscated) as ob, max(confidence) as top, max(score) filter (source = 'classifier') as c, max(confidence) filter (source = 'classifier') as cc, max(label) filter (source = 'classifier') as cl, max(score) filter (source = 'heuristic') as h from sw group by doc_id)
+select doc_id, ob or (mean >= 0.3 and mean < 0.85) as classifier, round(abs(c - h), 9) > 0.3 or (cc < 0.6 and ob and cl = 'SAFE') or (mean >= 0.4 and mean <= 0.7 and top < 0.85) as judge, cc < 0.7 and ((ob and cl = 'SAFE') or (cl = 'MALICIOUS' and h < 0.3) or (cl = 'SAFE' and h > 0.4)) as deeper from g""",
     "a5_gateway_verdict": f"with {CORPUS} {_GATE}",
-    "j2_label_join": f"with {CORPUS} select doc_id, decision = 'BLOCK' as blocked, toxic = 1 as truth from ({_GATE}) join labels using (doc_id)",
-    "a8_evaluate": f"with {CORPUS}, j as (select decision = 'BLOCK' as b, toxic = 1 as t from ({_GATE}) join labels using (doc_id)) select count(*) as texts, round(count(*) filter (t and b) / nullif(count(*) filter (t), 0), 6) as tpr, round(count(*) filter (not t and not b) / nullif(count(*) filter (not t), 0), 6) as tnr, round(avg((b = t)::int), 6) as accuracy from j",
+    "j2_label_join": f"select doc_id, decision = 'BLOCK' as blocked, toxic = 1 as truth from (with {CORPUS} {_GATE}) join labels using (doc_id)",
+    "a8_evaluate": f"with j as (select decision = 'BLOCK' as b, toxic = 1 as t from (with {CORPUS} {_GATE}) join labels using (doc_id)) select count(*) as texts, round(count(*) filter (t and b) / nullif(count(*) filter (t), 0), 6) as tpr, round(count(*) filter (not t and not b) / nullif(count(*) filter (not t), 0), 6) as tnr, round(avg((b = t)::int), 6) as accuracy from j",
 }
