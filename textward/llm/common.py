@@ -82,13 +82,16 @@ def unused(name: str, columns: list[str]) -> str:
 MOST_HOT = 200_000
 
 
-def hot_join(left: DataFrame, sizes: DataFrame, key: str, total: int, how: str = "inner", n: str = "n") -> DataFrame:
+def hot_join(left: DataFrame, sizes: DataFrame, key: str, total: int, how: str = "inner", n: str = "n", least: int = 10_000) -> DataFrame:
     """left joined with sizes, which has one row a key, n being how many of left's `total` rows have it.
 
-    Keys of more than total / MOST_HOT rows are broadcast: their rows add up to `total`, so there are at most MOST_HOT of them.
-    All others are dealt by key, and none of them is large. So no task gets a third of the rows, however common one key is.
+    Keys of more than total / MOST_HOT rows (and more than `least`) are broadcast: their rows add up to `total`, so there are at most MOST_HOT
+    of them. All others are dealt by key, and none of them is large. So no task gets a third of many rows, however common one key is.
+    Where all rows together are no more than the limit there can be no such key.
     """
-    limit, own = max(256, -(-total // MOST_HOT)), [c for c in sizes.columns if c != key]
+    limit, own = max(least, -(-total // MOST_HOT)), [c for c in sizes.columns if c != key]
+    if total <= limit:
+        return left.join(sizes, key, how)
     mark = unused("_hot", [*left.columns, *own])
     hot = sizes.filter(F.col(n) > limit).withColumn(mark, F.lit(True))
     tagged = left.join(F.broadcast(hot), key, "left")
