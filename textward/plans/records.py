@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from textward.functions.paths import shared_path
 from textward.functions.tables import sql_values
 from textward.operators import context as ctx
 from textward.operators import lexical as lex
@@ -18,8 +16,7 @@ from textward.sources import corpus as src
 
 
 def _written(s, d):
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-findings-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_path(s)
     src.write_findings(scan.match_all(corpus(s, d), scan.rules(OUT)).drop("text"), path)
     return s.read.parquet(path).groupBy("category").agg(F.count("*").alias("findings"), F.sum("severity").alias("severity"))
 

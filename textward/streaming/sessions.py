@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textward.functions.paths import shared_path
 from textward.operators import scan
 from textward.operators.sessions import VERDICT, Session
 
@@ -70,8 +68,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_to_end(stream: DataFrame, stateful: bool = False) -> DataFrame:
     """All that the stream gives for the files that are there now."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     # A query with timeouts would run empty batches for ever under availableNow, so it takes what is there in one.
     trigger = {"once": True} if stateful else {"availableNow": True}
     stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(**trigger).start().awaitTermination()
