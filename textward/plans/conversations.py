@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textward.functions.tables import grouped
+from textward.operators import heuristics as heu
+from textward.operators import semantic as sem
 from textward.operators import sessions as ses
+from textward.operators import unified as uni
 from textward.plans.planted import TURN_ROWS, turns
 from textward.plans.scores import _any
 
@@ -19,6 +22,15 @@ def risky(s, d):
     return turns(s, d).withColumn("risk", F.expr(RISK))
 
 
+def _layered(s, d):
+    """turns with drift and distance of hashed vectors; the score of the rules stands where a trained classifier's would."""
+    rows = turns(s, d)
+    vectors = sem.hashed_vectors(rows.select(F.struct("conv_id", "turn").alias("doc_id"), "text")).select("doc_id.conv_id", "doc_id.turn", "embedding")
+    moved = sem.drift(vectors, "conv_id", "turn").select("conv_id", "turn", (F.col("acceleration") > 0).alias("accelerating"))
+    score = F.coalesce(heu.tier(F.col("text"), F.lower("text"))["score"], F.lit(0.0))
+    return rows.withColumn("semantic_confidence", score).join(moved, ["conv_id", "turn"], "left").join(sem.centroid_distance(vectors, "conv_id", "turn"), ["conv_id", "turn"], "left")
+
+
 LIMITS = {"tokens": 300, "turns": 6, "calls": 3, "request": 60, "local": 0.1, "remote": 0.2, "cost": 0.05}
 P = grouped("turns")
 _PATTERNS = {
@@ -50,6 +62,7 @@ QUERIES = {
     "m9_pattern_boost": lambda s, d: ses.pattern_boost(ses.all_patterns(risky(s, d))).select("conv_id", F.round("boost_by_strongest", 6).alias("boost_by_strongest"), F.round("boost_by_sum", 6).alias("boost_by_sum")),
     "m10_should_block_session": lambda s, d: ses.should_block(ses.all_patterns(risky(s, d)), risky(s, d).groupBy("conv_id").agg(F.max_by("risk", "turn").alias("risk"))),
     "m11_session_verdicts": lambda s, d: ses.session_verdicts(turns(s, d)),
+    "m12_unified_session_verdicts": lambda s, d: uni.unified_session_verdicts(_layered(s, d)).withColumn("score", F.round("score", 6)).withColumn("confidence", F.round("confidence", 6)).withColumn("cumulative_risk", F.round("cumulative_risk", 6)),
     "m19_token_estimate": lambda s, d: ses.token_estimate(turns(s, d), 300),
     "m20_model_route": lambda s, d: ses.token_estimate(turns(s, d)).select("conv_id", ses.model_route(F.col("tokens") * 40).alias("route")),
     "m21_smart_truncate": lambda s, d: turns(s, d).select("conv_id", "turn", F.sha2(ses.smart_truncate(F.col("text"), 30), 256).alias("sha")),

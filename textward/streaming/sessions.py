@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textward.functions.paths import shared_path
-from textward.operators import scan
+from textward.operators import scan, unified
 from textward.operators.sessions import VERDICT, Session
 
 #: Milliseconds after its last turn at which a session is forgotten.
@@ -17,28 +19,39 @@ SESSION_AGE = 3_600_000
 RESET = "reset"
 
 
-def stream_sessions(turns: DataFrame, profile: str = "balanced", age_ms: int = SESSION_AGE) -> DataFrame:
-    """Verdicts of a stream of turns (conv_id, turn, role, text). Each session's state is the fold of the batch form; a blocked session stays
-    blocked, a reset row drops its state, and a session without turns for age_ms is removed. Within a micro-batch turns go in order.
-    """
+def _folded(rows: DataFrame, start: Session, take: Callable, verdict: str, age_ms: int) -> DataFrame:
+    """Each session's rows go in order of turns to take(state, row), a micro-batch at a time; a reset row drops the state, as does age_ms without turns."""
+    kind, profile = type(start), start.profile
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        session = Session.restored(state.get[0]) if state.exists else Session(profile)
-        rows = pd.concat(list(frames)).sort_values("turn")
+        session = kind.restored(state.get[0]) if state.exists else kind(profile)
         out = []
-        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-            if role == RESET:
-                session = Session(profile)
+        for row in pd.concat(list(frames)).sort_values("turn").itertuples(index=False):
+            if row.role == RESET:
+                session = kind(profile)
             else:
-                out.append((key[0], turn, *session.turn(text or "")))
+                out.append((key[0], row.turn, *take(session, row)))
         state.update((session.saved(),))
         state.setTimeoutDuration(age_ms)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "verdict", "score", "pattern_name", "cumulative_risk"])
+        yield pd.DataFrame(out, columns=["conv_id", "turn", *(x.split()[0] for x in verdict.split(", "))])
+
+    return rows.groupBy("conv_id").applyInPandasWithState(step, f"conv_id bigint, turn bigint, {verdict}", "session string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_sessions(turns: DataFrame, profile: str = "balanced", age_ms: int = SESSION_AGE) -> DataFrame:
+    """Verdicts of a stream of turns (conv_id, turn, role, text). Each session's state is the fold of the batch form; a blocked session stays
+    blocked, a reset row drops its state, and a session without turns for age_ms is removed. Within a micro-batch turns go in order.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text")
+    return _folded(rows, Session(profile), lambda session, row: session.turn(row.text or ""), VERDICT, age_ms)
+
 
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(step, f"conv_id bigint, turn bigint, {VERDICT}", "session string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def stream_unified_sessions(turns: DataFrame, profile: str | None = None, age_ms: int = SESSION_AGE) -> DataFrame:
+    """Unified verdicts of a stream of turns (conv_id, turn, role, text and any optional layer), by the fold of the batch form."""
+    return _folded(unified.turn_signals(turns, profile), unified.Unified(), lambda session, row: session.take(row), unified.VERDICT, age_ms)
 
 
 def stream_scan(texts: DataFrame) -> DataFrame:
