@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from textward.functions.tables import grouped, rows, sql_values
 from textward.operators import context as ctx
 from textward.operators import heuristics as heu
+from textward.operators import hybrid as hyb
 from textward.operators import lexical as lex
-from textward.operators import decode as dec
 from textward.operators import scan
 from textward.operators import verdict as ver
 from textward.plans.planted import CORPUS, corpus
@@ -85,13 +85,6 @@ _P, _I = grouped("purpose"), grouped("intent")
 _SECOND_WORD = r"regexp_extract_all(text, '[\p{L}\p{Nd}]+')"
 
 
-def full_score(rows):
-    """The heuristic score of normalised texts with all that the decoders give."""
-    plain = dec.normalize_nfkc(rows).select("doc_id", F.col("normalized").alias("text"))
-    found = dec.decoded_rollup(dec.deobfuscate(plain, 2), plain)
-    return heu.heuristic_score(plain, found.select("doc_id", "decoded_text"))
-
-
 def _scored(s, d):
     return corpus(s, d).withColumn("score", F.pmod(F.col("doc_id"), F.lit(11)) / 10)
 
@@ -112,7 +105,7 @@ QUERIES = {
     "h7_keyword_score": lambda s, d: heu.keyword_score(corpus(s, d).select("doc_id", heu.cleaned(_text()).alias("t")), "t", "p").select("doc_id", F.round("p", 6).alias("points")),
     "h8_secret_bonus": lambda s, d: corpus(s, d).select("doc_id", heu.secret_bonus(_text()).alias("bonus")),
     "h9_foreign_penalty": lambda s, d: _scored(s, d).select("doc_id", F.round(heu.logistic(heu.foreign_penalty(_text(), F.col("score"))), 6).alias("p")),
-    "h10_heuristic_score": lambda s, d: full_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
+    "h10_heuristic_score": lambda s, d: hyb.full_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
     "h10_plain_score": lambda s, d: heu.heuristic_score(corpus(s, d)).select("doc_id", F.round("heuristic_score", 6).alias("heuristic_score"), "heuristic_path"),
     "h11_matched_domain_keywords": lambda s, d: corpus(s, d).select("doc_id", heu.domain_keywords(_text()).alias("keywords")),
     "h12_benign_discount": lambda s, d: corpus(s, d).select("doc_id", F.round(heu.benign_discount(_text(), list(BENIGN)), 6).alias("discount")),
@@ -125,6 +118,8 @@ QUERIES = {
     "c10_purpose_discount": lambda s, d: ctx.purpose_discount(ctx.purpose_scores(_scored(s, d)), "permissive").select("doc_id", F.round("discounted_score", 6).alias("discounted_score")),
     "c11_intent_keywords": lambda s, d: ctx.intents(corpus(s, d)).select("doc_id", "intent", F.round("intent_confidence", 6).alias("intent_confidence"), "second_intent", F.round("second_score", 6).alias("second_score")),
     "a9_risk_presets": lambda s, d: ver.preset_actions(_scored(s, d)).groupBy("preset", "action").agg(F.count("*").alias("texts")),
+    "a6_hybrid_verdict": lambda s, d: hyb.hybrid_verdict(hyb.evidence(corpus(s, d), BENIGN)).select("doc_id", F.round("combined_score", 6).alias("combined_score"), "risk_level", "action", "decision_path"),
+    "a7_deeper_analysis": lambda s, d: hyb.deeper_analysis(hyb.evidence(corpus(s, d)), "score_plain").filter("deobfuscated").select("doc_id", "types", F.round("deeper_score", 6).alias("deeper_score")),
     "f7_profile_action": lambda s, d: ctx.with_profile_action(_scored(s, d)).groupBy("profile", "action").agg(F.count("*").alias("texts")),
     "l1_char_profile": lambda s, d: lex.char_profile(corpus(s, d)),
     "l2_entropy_anomaly": lambda s, d: lex.entropy_anomaly(corpus(s, d)),
