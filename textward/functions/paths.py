@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -16,3 +16,10 @@ def shared_path(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: what reads it several times plans and runs it once, and it survives the loss of executors."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
+from textward.functions.paths import settled
 from textward.functions.text import count_of
 from textward.operators import context, decode, heuristics, lexical, scan
 
@@ -56,7 +57,10 @@ def lexical_score(rows: DataFrame) -> DataFrame:
 
 
 def evidence(corpus: DataFrame, benign: tuple = (), passes: int = 3) -> DataFrame:
-    """A row a text with what hybrid_verdict reads. benign: (phrase, negative weight) that lower a score."""
+    """A row a text with what hybrid_verdict reads, as a table of its own. benign: (phrase, negative weight) that lower a score.
+
+    What the decoders give, and the result, are written to the shared folder: four branches read the one, and some sixty steps follow on the other.
+    """
     texts = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     plain = decode.normalize_nfkc(texts).select("doc_id", F.col("normalized").alias("text"))
     found = decode.decoded_rollup(decode.deobfuscate(plain, passes), plain).filter("decoded_text <> ''")
@@ -69,6 +73,7 @@ def evidence(corpus: DataFrame, benign: tuple = (), passes: int = 3) -> DataFram
         F.coalesce("layers", F.lit(1)).alias("layers"),
         F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
     )
+    hidden = settled(hidden)
     # Each text is scored as it is and as it was decoded, in one pass over both.
     key = lambda k: F.struct("doc_id", F.lit(k).alias("kind")).alias("doc_id")
     inner = hidden.select(key(1), F.col("decoded_text").alias("text"))
@@ -90,11 +95,14 @@ def evidence(corpus: DataFrame, benign: tuple = (), passes: int = 3) -> DataFram
             "n_benign": count_of(low, [p for p, _ in benign]) if benign else F.lit(0),
             "benign_discount": heuristics.benign_discount(text, list(benign)) if benign else F.lit(0.0),
             "has_domain_keywords": F.size(heuristics.domain_keywords(text)) > 0,
+            "score": F.lit(1.0),
             "is_substantive": heuristics.substantive(text),
         }
     )
-    rows = rows.join(hidden.withColumn("decoded_attack", heuristics.attack_predicate(F.col("decoded_text"))), "doc_id", "left").join(both.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return rows.withColumn("deobfuscated", F.col("types").isNotNull()).withColumn("types", F.coalesce("types", none))
+    rows = context.domain_modifier(rows).withColumnRenamed("domain_score", "domain_factor").drop("text", "score")
+    attacks = hidden.select("doc_id", "types", "layers", "multiplier", heuristics.attack_predicate(F.col("decoded_text")).alias("decoded_attack"))
+    rows = rows.join(attacks, "doc_id", "left").join(both.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return settled(rows.withColumn("deobfuscated", F.col("types").isNotNull()).withColumn("types", F.coalesce("types", none)))
 
 
 def deeper_analysis(rows: DataFrame, score: str = "score", threshold: float = 0.5) -> DataFrame:
@@ -149,8 +157,7 @@ def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, u
     rows = rows.withColumn("_context", col("is_educational") | col("is_defensive") | col("is_review"))
     open_ = (col("score") > 0.1) & (col("score") < 0.9)
     rows = change(rows, open_ & col("_context"), context.context_modifier(col("score")))
-    rows = context.domain_modifier(rows)
-    rows = change(rows, open_ & (col("domain_confidence") >= 0.5) & col("has_domain_keywords"), col("domain_score"))
+    rows = change(rows, open_ & (col("domain_confidence") >= 0.5) & col("has_domain_keywords"), col("score") * col("domain_factor"))
     rows = change(rows, open_ & (col("benign_discount") < 0), F.greatest(col("score") + col("benign_discount"), F.lit(0.0)))
     rows = rows.withColumn("_structured", col("structure").isNotNull() & (col("structure_confidence") >= 0.5))
     dampened = lambda c: F.greatest(c * (1 - col("structure_share") * col("structure_confidence")), col("structure_least"))
