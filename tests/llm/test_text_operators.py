@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textward.llm import common, decontaminate, language, licenses, media, packing, repeats, secrets, simhash, token_count, warc
+from textward.llm import common, decontaminate, id_files, language, licenses, media, packing, repeats, search, secrets, simhash, token_count, warc, whitening
 from tests.helpers import rows_of, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def table(spark, path, name, df):
     return str(path)
 
 
-@pytest.mark.parametrize("module", [decontaminate, secrets, licenses, warc])
+@pytest.mark.parametrize("module", [decontaminate, secrets, licenses, warc, search])
 def test_against_sql(spark, module):
     for name, sql in module.ORACLE.items():
         assert rows_of(module.QUERIES[name](spark, SF)) == sql_rows(sql, SF)
@@ -578,3 +578,138 @@ def test_hot_join(spark):
     for how in ("inner", "left"):
         want = rows_of(left.join(sizes, "k", how))
         assert rows_of(common.hot_join(left, sizes, "k", 1500, how, least=256)) == rows_of(common.hot_join(left, sizes, "k", 1500, how)) == want and len(want) in (1499, 1500)
+
+
+def brute_whitening(rows, components=16):
+    good = [(i, v) for i, v in rows if v is not None and v and None not in v and np.isfinite(v).all()]
+    x = np.array([[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for _, v in good], object)
+    fit = np.array(sorted({tuple(r) for r in x.tolist()}), object)
+    n, s = len(fit), fit.sum(axis=0)
+    centred = (fit - 1_000_000).astype(float) - np.array([float(t - n * 1_000_000) / n for t in s])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:components]
+    return [i for i, _ in good], n, [int(sum((n * a - b) ** 2 for a, b in zip(r, s))) for r in x], ((x - 1_000_000).astype(float) - np.array([float(t - n * 1_000_000) / n for t in s])) @ vectors[:, order] / np.sqrt(values[order]), values[order] / values.sum()
+
+
+def test_whitening_against_eigenvectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=20) * np.linspace(3, 1, 20)]) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(100)] + [(400, None), (401, [1.0, None] * 10), (402, [float("nan")] * 20), (403, [float("inf")] * 20), (404, []), (405, [1.0, 2.0]), (None, rows[1][1])]
+    df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, deviation double")
+    ids, n, deviations, whitened, explained = brute_whitening([r for r in rows if r[0] != 405])
+    model = whitening.fit(df, components=5, guard=4)
+    assert model.passes > 2 and model.residuals.max() < 1e-12 and model.n == n == 300
+    by = collections.defaultdict(dict)
+    for r in whitening.report(df, model).collect():
+        assert r.component not in by[r.vec_id]
+        by[r.vec_id][r.component] = r
+        assert r.identity_error < 1e-9
+    assert set(by) == set(ids)
+    signs = np.sign([by[0][k + 1].whitened * whitened[0][k] for k in range(5)])
+    for i, d, w in zip(ids, deviations, whitened):
+        own = [by[i][k + 1] for k in range(5)]
+        assert {r.deviation for r in own} == {d}
+        assert np.allclose([r.whitened for r in own], w[:5] * signs, atol=1e-7) and np.allclose([r.explained for r in own], explained[:5], rtol=1e-9)
+
+
+def test_whitening_flat_and_small(spark):
+    def fitted(rows, **options):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        model = whitening.fit(df, **options)
+        return model, whitening.report(df, model).collect()
+
+    assert fitted([])[1] == [] and fitted([(1, None)])[1] == []
+    assert fitted([(1, [1.0, 2.0]), (2, [1.0, 2.0])])[1] == []  # no variance, no component
+    model, rows = fitted([(i, [float(i), float(-i), 5.0]) for i in range(9)])
+    assert len(rows) == 9 and {r.component for r in rows} == {1} and rows[0].explained == pytest.approx(1)
+    huge = fitted([(1, [1e30, 0.0]), (2, [0.0, 1.0]), (3, [3.0, -1e30])])[1]
+    assert {r.deviation for r in huge} == {None}
+    eye = [(i, [float(64 * (i == j) - 64 * (i == j + 24)) for j in range(24)]) for i in range(48)]
+    model, rows = fitted(eye, components=3, guard=2)  # all directions alike
+    assert model.identity_error < 1e-9 and len(rows) == 48 * 3
+    flat = np.random.default_rng(2).normal(size=(4000, 40))
+    model, _ = fitted([(i, [float(x) for x in v]) for i, v in enumerate(flat)], components=8, guard=2)
+    assert model.residuals.max() <= 2e-13 and model.identity_error < 1e-9
+
+
+def brute_ranks(docs, items, best=50):
+    words = [(i, collections.Counter(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]+", lambda m: m.group().lower(), (t or "").encode())))) for i, t in docs]
+    words = [(i, c) for i, c in words if c]
+    n, total, df = len(words), sum(sum(c.values()) for _, c in words), collections.Counter(t for _, c in words for t in c)
+    terms = collections.defaultdict(set)
+    for i, t in items:
+        terms[i] |= set(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    out = []
+    for item, own in terms.items():
+        scores = []
+        for i, c in words:
+            m = 100 - 50 + (50 * sum(c.values()) * n) // total
+            scores.append((-sum(int(np.floor(1000 * np.log((2 * n + 2) / (2 * df[t] + 1)))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in own if c[t]), (i is not None, i or 0)))
+        found = sorted(x for x in scores if x[0] < 0)[:best]
+        out += [(item, r + 1, i[1] if i[0] else None, -s) for r, (s, i) in enumerate(found)]
+    return sorted(map(repr, out))
+
+
+def test_search(spark):
+    docs = [*ODD, (20, "The cat sat on the mat, the end"), (21, "cat_cat-CAT cats"), (22, "naïve CAFÉ café"), (23, "the " * 40_000 + "cat"), *[(30 + i, "tie cat") for i in range(60)]]
+    items = [("a", "The cat"), ("b", "Café naïve x"), ("c", None), ("d", "!!"), ("e", "nowhere"), ("a", "mat"), (None, "tie"), ("f", "日本語 cats tie")]
+    left = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, score int")
+    right = spark.createDataFrame([(*r, 1) for r in items], "item_id string, text string, doc_id int")
+    expected = brute_ranks(docs, items)
+    for options in ({}, {"max_terms": 2}, {"max_items": 1}):
+        got = search.rank(left, right, **options)
+        assert got.columns == ["item_id", "rank", "doc_id", "score"]
+        assert sorted(repr(tuple(r)) for r in got.collect()) == expected
+    few = search.rank(left, right, best=3).collect()
+    assert max(r["rank"] for r in few) == 3
+    assert search.rank(left.limit(0), right).count() == 0 and search.rank(left, right.limit(0)).count() == 0
+
+
+BYTE_BPE = str(P.path("byte_bpe_50k.json"))
+
+
+def test_byte_level_encoder():
+    encoder = id_files.Encoder(BYTE_BPE)
+    pool = [*" '  \n\tstmdrevlL1a.é 　\x1c日,-", "'s", "'re", "'ll", ' "', "   ", "<|endoftext|>", "😀", "Ᲊ"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(8000)]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}'s{chr(c)}{chr(c)}\n{chr(c)}" for c in range(0x3100) if chr(c).encode("utf-8", "ignore")]
+    texts += ["Hello wörld, it's  a test. " * 100_000, "x" * 3_000_000, " " * 5000 + "a" + " " * 5000]
+    found = encoder.of(texts)
+    for text, raw, own in zip(texts, found, encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(raw, np.uint16).tolist() == own.ids, text[:80]
+
+
+@pytest.mark.parametrize("n,most", [(0, 0), (1, 0), (1, 5), (1000, 10**9), (5000, 5000), (300, 2**63), (256, 256), (257, 10**6), (900, 3)])
+def test_elias_fano(n, most):
+    rng = random.Random(n)
+    values = np.sort(np.array([rng.randint(0, most) for _ in range(n)], np.uint64))
+    raw = id_files.EliasFano.of(values, most).tobytes()
+    read, at = id_files.EliasFano.read(b"xx" + raw, 2, n, most)
+    assert at == len(raw) + 2 and (read.select(0, n) == values).all()
+    for _ in range(40):
+        lo = rng.randint(0, n)
+        hi = rng.randint(lo, n)
+        assert (read.select(lo, hi) == values[lo:hi]).all()
+
+
+def test_token_id_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rows = [*ODD, (2**63 - 1, "last"), (-(2**63), "first"), (7, "word " * 30_000), *[(9, "same")] * 50, (8, "a<|endoftext|>b")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, place int").repartition(5)
+    for name, size in (("a", 1 << 24), ("b", 40)):
+        id_files.write_ids(df, str(tmp_path / name), BYTE_BPE, file_ids=size)
+        got = id_files.read_ids(spark, str(tmp_path / name), with_ids=True).orderBy("start").collect()
+        assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x or 0))
+        start = 0
+        for r in got:
+            assert r.start == start and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            start += r.n_tokens
+        expected = sorted((library.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows), key=repr)
+        assert sorted((r.ids for r in got), key=repr) == expected
+        by = {r.doc_id: r.ids for r in got if r.doc_id not in (None, 2, 9)}
+        assert all(by[i] == library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows if i in by)
+    id_files.write_ids(df.limit(0), str(tmp_path / "none"), BYTE_BPE)
+    assert id_files.read_ids(spark, str(tmp_path / "none")).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "simhash", "warc", "token_count", "packing", "media", "repeats", "secrets", "language", "licenses", "whitening", "search")
+MODULES = ("decontaminate", "simhash", "warc", "token_count", "packing", "media", "repeats", "secrets", "language", "licenses", "whitening", "id_files", "search")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
