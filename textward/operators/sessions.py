@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import re
 from collections.abc import Iterator
 
@@ -174,6 +173,33 @@ def combine_turns(turns: DataFrame, numbered: bool = True) -> DataFrame:
 BUDGET = {"tokens": 50_000, "turns": 100, "calls": 60, "request": 16_000, "local": 0.0001, "remote": 0.0005, "cost": 0.10}
 
 
+def spend(used: list, need: int, far: bool, b: dict) -> tuple[bool, str, str, list]:
+    """One turn of `need` tokens against what its session has used (tokens, turns, calls, cost): allowed, advice, limit and what is used now."""
+    cost = need / 1000 * b["remote" if far else "local"]
+    large = need > b["request"]
+    if used[0] + need > b["tokens"]:
+        limit, advice = "tokens", "truncate" if large else "reject"
+    elif used[1] >= b["turns"]:
+        limit, advice = "turns", "reject"
+    elif far and used[2] >= b["calls"]:
+        limit, advice = "calls", "truncate"
+    elif used[3] + cost > b["cost"]:
+        limit, advice = "cost", "truncate"
+    else:
+        limit, advice = "", "truncate" if large else "proceed"
+        used = [used[0] + need, used[1] + 1, used[2] + int(far), used[3] + cost]
+    return not limit, advice, limit, used
+
+
+BUDGETS = "allowed boolean, advice string, limit string, tokens_used bigint, turns_used bigint, calls_made bigint, cost double"
+
+
+def budget_requests(turns: DataFrame, remote: str) -> DataFrame:
+    """(conv_id, turn, need, far): estimated tokens of a turn, and whether it is a remote call."""
+    need = F.coalesce(F.floor(F.octet_length("text") / 3), F.lit(0))
+    return turns.select("conv_id", "turn", need.alias("need"), F.coalesce(F.expr(remote), F.lit(False)).alias("far"))
+
+
 def session_budget(turns: DataFrame, budget: dict | None = None, remote: str = "role = 'user'") -> DataFrame:
     """(conv_id, turn, allowed, advice, limit, tokens_used, turns_used, calls_made, cost): limits in the order tokens, turns, calls, cost.
 
@@ -189,30 +215,12 @@ def session_budget(turns: DataFrame, budget: dict | None = None, remote: str = "
             for conv, turn, need, far in zip(rows["conv_id"], rows["turn"], rows["need"], rows["far"]):
                 if conv != known:
                     known, used = conv, [0, 0, 0, 0.0]
-                cost = need / 1000 * b["remote" if far else "local"]
-                large = need > b["request"]
-                if used[0] + need > b["tokens"]:
-                    limit, advice = "tokens", "truncate" if large else "reject"
-                elif used[1] >= b["turns"]:
-                    limit, advice = "turns", "reject"
-                elif far and used[2] >= b["calls"]:
-                    limit, advice = "calls", "truncate"
-                elif used[3] + cost > b["cost"]:
-                    limit, advice = "cost", "truncate"
-                else:
-                    limit, advice = "", "truncate" if large else "proceed"
-                    used = [used[0] + need, used[1] + 1, used[2] + int(far), used[3] + cost]
-                out.append((conv, turn, not limit, advice, limit, *used))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "allowed", "advice", "limit", "tokens_used", "turns_used", "calls_made", "cost"])
-
-    rows = turns.select("conv_id", "turn", F.floor(F.octet_length("text") / 3).alias("need"), F.coalesce(F.expr(remote), F.lit(False)).alias("far"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    return ordered.mapInPandas(fold, "conv_id bigint, turn bigint, allowed boolean, advice string, limit string, tokens_used bigint, turns_used bigint, calls_made bigint, cost double")
-
-
-def forget_budgets(budgets: DataFrame, last_seen: str, age: str) -> DataFrame:
-    """budgets without those last used longer ago than age (an interval, as '1 hour')."""
-    return budgets.filter(F.col(last_seen) >= F.current_timestamp() - F.expr(f"interval {age}"))
+                allowed, advice, limit, used = spend(used, need, far, b)
+                out.append((conv, turn, allowed, advice, limit, *used))
+            yield pd.DataFrame(out, columns=["conv_id", "turn", *(x.split()[0] for x in BUDGETS.split(", "))])
+
+    ordered = budget_requests(turns, remote).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    return ordered.mapInPandas(fold, f"conv_id bigint, turn bigint, {BUDGETS}")
 
 
 def session_stats(turns: DataFrame, n: int = 15) -> DataFrame:
@@ -229,19 +237,26 @@ class Session:
     def __init__(self, profile: str = "balanced"):
         self.profile = profile
         self.messages: list[tuple[int, str, float]] = []
+        # What was found, also in turns that are kept no more: pattern -> phase, confidence, number of the turn.
+        self.signals: dict[str, tuple[str | None, float, int]] = {}
         self.phase: str | None = None
         self.count, self.risk, self.locked = 0, 0.0, False
 
-    def saved(self) -> str:
-        return json.dumps([self.profile, self.messages, self.phase, self.count, self.risk, self.locked])
+    def status(self) -> tuple[str, int, float, bool]:
+        """What a stream keeps besides messages and signals."""
+        return self.profile, self.count, self.risk, self.locked
 
     @classmethod
-    def restored(cls, text: str) -> Session:
+    def restored(cls, status: tuple, messages: list[tuple], signals: dict[str, tuple]) -> Session:
         out = cls()
-        out.profile, messages, out.phase, out.count, out.risk, out.locked = json.loads(text)
-        out.messages = [tuple(m) for m in messages]
+        out.profile, out.count, out.risk, out.locked = status
+        out.messages, out.signals = [tuple(m) for m in messages], dict(signals)
+        out.phase = out.signals.get("skeleton_key", (None,))[0]
         return out
 
+    def _note(self, found: list[tuple[str, float, bool]], number: int) -> None:
+        self.signals |= {name: (self.phase if name == "skeleton_key" else None, sure, number) for name, sure, _ in found}
+
     def _patterns(self, content: str) -> list[tuple[str, float, bool]]:
         p = tables.grouped("turns")
         low = [m[1].lower() for m in self.messages] + [content.lower()]
@@ -297,6 +312,7 @@ class Session:
         if self.locked:
             return "BLOCK", 1.0, "locked", self.risk
         found = self._patterns(content)
+        self._note(found, self.count)
         name, strongest = max(((p[0], p[1]) for p in found), key=lambda x: x[1], default=("", 0.0))
         boost = min(sum(c * (0.3 if part else 0.5) for _, c, part in found), 0.5)
         score = min(strongest + boost + 0.3 * max(semantic, 0.0) + 0.2 * self.risk, 1.0)

@@ -74,6 +74,7 @@ class Unified(Session):
         score = min(raw, 1.0) * row.factor
         verdict = "BLOCK" if score >= row.block else "NEGOTIATE" if score >= row.warn else "ALLOW"
         self.count += 1
+        self._note(found, self.count)
         self.messages = [*self.messages, (self.count, row.text, score)][-KEPT:]
         self.locked = verdict == "BLOCK" and score >= LOCKS
         self.risk = min(max(self.risk - DECAY, 0.0) if score < CALM else self.risk + SHARE * score, MOST)
