@@ -1,11 +1,9 @@
-"""Vector similarity: pair scores, nearest neighbours, category matches and drift over embeddings."""
+"""Vector similarity: pair scores, category matches and drift over embeddings; nearest neighbours are in nearest.py."""
 
 from __future__ import annotations
 
 import functools
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,52 +24,6 @@ def l2(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(square)).otherwise(F.lit(1.7976931348623157e308))
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of the wanted length (others zero), and their norms."""
-    out = np.zeros((len(column), dim))
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
-            out[i] = v
-    return out, np.linalg.norm(out, axis=1)
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """(query_id, row_id, similarity, rank): the k rows of largest cosine for every query; ties go to the smaller id.
-
-    Queries go out in blocks of at most `block` vectors (about; dealt by hash), each against all rows: a task keeps the best k of its rows
-    for each query, and only those are shuffled.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vec_col).toArrow()
-        if not own.num_rows and parts:
-            continue
-        vectors = own.column(1).combine_chunks().to_pylist()
-        dim = max((len(v) for v in vectors if v), default=1)
-        matrix, norms = _matrix(own.column(1).combine_chunks(), dim)
-        shared = rows.sparkSession.sparkContext.broadcast((np.array(own.column(0).to_pylist(), dtype=np.int64), matrix, norms))
-
-        def best(batches, shared=shared, dim=dim):
-            ids, matrix, norms = shared.value
-            for batch in batches:
-                other = batch.column(0).to_numpy(zero_copy_only=False)
-                own, own_norms = _matrix(batch.column(1), dim)
-                scale = norms[:, None] * own_norms[None, :]
-                sims = np.where(scale > 0, matrix @ own.T / np.where(scale > 0, scale, 1), 0.0).round(9)
-                top = np.lexsort((np.broadcast_to(other, sims.shape), -sims), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other[top.ravel()]), pa.array(sims[q, top.ravel()])], names=["query_id", "row_id", "similarity"])
-
-        parts.append(rows.select(id_col, vec_col).mapInArrow(best, "query_id bigint, row_id bigint, similarity double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def semantic_match(neighbours: DataFrame, seeds: DataFrame, benign: list, threshold: float = 0.65) -> DataFrame:
     """(query_id, category, score) from the nearest seeds: 0 if a benign one reaches the threshold, else the best similarity. seeds: row_id, category."""
     rows = neighbours.join(seeds, "row_id")
@@ -82,11 +34,39 @@ def semantic_match(neighbours: DataFrame, seeds: DataFrame, benign: list, thresh
 
 
 def drift(vectors: DataFrame, session: str, order: str, vec: str = "embedding") -> DataFrame:
-    """vectors with drift (1 - cosine to the one before) and acceleration (mean step, where the last three drifts rise)."""
+    """vectors with drift: 1 - cosine to the one before in the session; null for the first."""
+    before = F.lag(vec).over(W.partitionBy(session).orderBy(order))
+    rows = vectors.withColumn("_before", before)
+    return rows.withColumn("drift", F.when(F.col("_before").isNotNull(), 1 - cosine(F.col(vec), F.col("_before")))).drop("_before")
+
+
+def _running(vectors: DataFrame, session: str, order: str, vec: str) -> DataFrame:
+    """(session, order, dim, x, a): a row a dimension, with the sum of x up to it. Nothing that came before is read again."""
+    cells = vectors.select(session, order, F.posexplode(vec).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    return cells.withColumn("a", F.sum("x").over(W.partitionBy(session, "dim").orderBy(order)))
+
+
+def aggregate_drift(vectors: DataFrame, session: str, order: str, vec: str = "embedding") -> DataFrame:
+    """(session, order, aggregate_drift, acceleration): 1 - cosine of the conversation up to a turn to the one up to the turn before, and the mean
+    step of the last three such drifts where each is larger than the one before, else 0.
+
+    A conversation's vector is the sum of its turns' (of word counts: those of all its words). Null for the first turn; turns have the same
+    number of dimensions and none repeats.
+    """
+    x, a = F.col("x"), F.col("a")
+    sums = _running(vectors, session, order, vec).groupBy(session, order).agg(F.sum(a * (a - x)).alias("ab"), F.sum(a * a).alias("aa"), F.sum((a - x) * (a - x)).alias("bb"))
     w = W.partitionBy(session).orderBy(order)
-    rows = vectors.withColumn("_before", F.lag(vec).over(w)).withColumn("drift", F.when(F.col("_before").isNotNull(), 1 - cosine(F.col(vec), F.col("_before")))).drop("_before")
-    a, b, c = F.lag("drift", 2).over(w), F.lag("drift", 1).over(w), F.col("drift")
-    return rows.withColumn("acceleration", F.when((a < b) & (b < c), (c - a) / 2).otherwise(0.0))
+    norm = F.sqrt(F.col("aa") * F.col("bb"))
+    moved = F.when(F.row_number().over(w) > 1, F.when(norm > 0, 1 - F.col("ab") / norm).otherwise(1.0))
+    rows = sums.select(session, order, moved.alias("aggregate_drift"))
+    p, q, r = F.lag("aggregate_drift", 2).over(w), F.lag("aggregate_drift", 1).over(w), F.col("aggregate_drift")
+    return rows.withColumn("acceleration", F.when((p < q) & (q < r), (r - p) / 2).otherwise(0.0))
+
+
+def aggregate_vectors(vectors: DataFrame, session: str, order: str, vec: str = "embedding") -> DataFrame:
+    """(session, order, aggregate): the sum of the session's vectors up to each turn."""
+    cells = _running(vectors, session, order, vec).groupBy(session, order).agg(F.array_sort(F.collect_list(F.struct("dim", "a"))).alias("cells"))
+    return cells.select(session, order, F.col("cells.a").alias("aggregate"))
 
 
 def centroid_distance(vectors: DataFrame, session: str, order: str, vec: str = "embedding") -> DataFrame:
@@ -133,21 +113,28 @@ def phase_sequence(turns: DataFrame, session: str, order: str) -> DataFrame:
     return rows.select(*columns, F.col("_x.n").alias("attack"), F.coalesce("_x.s", F.lit(0.0)).alias("attack_score"), "transition", "suspicious")
 
 
+#: Similarity of the whole conversation to an attack over which it counts, and by how much.
+AGGREGATE_OVER, AGGREGATE_SHARE = 0.7, 0.8
+
+
 def trajectory_risk(turns: DataFrame, block: float = 0.75) -> DataFrame:
-    """turns with risk and block. turns: attack_score, drift, acceleration (0 without), phase, confidence, distance, suspicious."""
-    d, a, phase, sure = F.coalesce("drift", F.lit(0.0)), F.col("acceleration"), F.col("phase"), F.col("confidence")
+    """turns with risk and block. turns: attack_score, aggregate_drift, acceleration (0 without), phase, confidence, distance, suspicious and, where known, aggregate_similarity."""
+    d, a, phase, sure = F.coalesce("aggregate_drift", F.lit(0.0)), F.col("acceleration"), F.col("phase"), F.col("confidence")
     moved = F.when(a > 0, F.least(a * 2, F.lit(1.0))).when(d > 0.3, d).otherwise(0.0)
     total = 0.35 * F.col("attack_score") + 0.25 * moved + F.when(phase.isin("override", "exploit"), 0.25 * sure).otherwise(0.0) + F.when(F.col("distance") > 0.4, 0.15 * F.col("distance")).otherwise(0.0)
     total = total + F.when((phase == "override") & (sure > 0.8), 0.15).otherwise(0.0) + F.when(F.col("suspicious"), 0.10).otherwise(0.0)
     risk = F.least(total, F.lit(1.0))
+    if "aggregate_similarity" in turns.columns:
+        whole = F.col("aggregate_similarity")
+        risk = F.when(whole > AGGREGATE_OVER, F.greatest(risk, whole * AGGREGATE_SHARE)).otherwise(risk)
     return turns.withColumn("risk", risk).withColumn("block", F.col("risk") >= block)
 
 
-def hashed_vectors(corpus: DataFrame, dim: int = 64) -> DataFrame:
-    """(doc_id, embedding): unit vectors of hashed word counts; stands in where no embedding column is there."""
+def hashed_vectors(corpus: DataFrame, dim: int = 64, unit: bool = True) -> DataFrame:
+    """(doc_id, embedding): hashed word counts, as unit vectors or as they are; stands in where no embedding column is there."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int")
     counts = corpus.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''").groupBy("doc_id", bucket.alias("i")).count()
-    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("count").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
+    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("count").cast("double")))).alias("m"), (F.sqrt(F.sum(F.col("count") * F.col("count"))) if unit else F.lit(1.0)).alias("norm"))
     return maps.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
 
 

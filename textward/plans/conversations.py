@@ -25,8 +25,9 @@ def risky(s, d):
 def _layered(s, d):
     """turns with drift and distance of hashed vectors; the score of the rules stands where a trained classifier's would."""
     rows = turns(s, d)
-    vectors = sem.hashed_vectors(rows.select(F.struct("conv_id", "turn").alias("doc_id"), "text")).select("doc_id.conv_id", "doc_id.turn", "embedding")
-    moved = sem.drift(vectors, "conv_id", "turn").select("conv_id", "turn", (F.col("acceleration") > 0).alias("accelerating"))
+    counts = sem.hashed_vectors(rows.select(F.struct("conv_id", "turn").alias("doc_id"), "text"), unit=False).select("doc_id.conv_id", "doc_id.turn", "embedding")
+    moved = sem.aggregate_drift(counts, "conv_id", "turn").select("conv_id", "turn", (F.col("acceleration") > 0).alias("accelerating"))
+    vectors = counts.withColumn("embedding", F.transform("embedding", lambda x: x / F.sqrt(sem.dot(F.col("embedding"), F.col("embedding")))))
     score = F.coalesce(heu.tier(F.col("text"), F.lower("text"))["score"], F.lit(0.0))
     return rows.withColumn("semantic_confidence", score).join(moved, ["conv_id", "turn"], "left").join(sem.centroid_distance(vectors, "conv_id", "turn"), ["conv_id", "turn"], "left")
 

@@ -8,6 +8,7 @@ from textward.functions.tables import sql_values
 from textward.operators import decode as dec
 from textward.operators import heuristics as heu
 from textward.operators import lexical as lex
+from textward.operators import nearest as near
 from textward.operators import scan
 from textward.operators import semantic as sem
 from textward.operators import verdict as ver
@@ -23,7 +24,7 @@ def _vecs(s, d):
 
 def _near(s, d, k=3):
     v = _vecs(s, d)
-    return sem.nearest(v.filter("vec_id % 20 = 0"), v, k)
+    return near.nearest(v.filter("vec_id % 20 = 0"), v, k)
 
 
 def _match(s, d):
@@ -68,7 +69,8 @@ def _both(s, d):
 
 
 #: Categories for the labels of the embeddings, so that sessions of 25 vectors have phases.
-CATEGORIES = (*(c for c, _ in sem.PHASES), "small_talk", "weather")
+CALM = ("small_talk", "weather")
+CATEGORIES = (*(c for c, _ in sem.PHASES), *CALM)
 
 
 def _turn_vectors(s, d):
@@ -77,9 +79,29 @@ def _turn_vectors(s, d):
     return rows.withColumn("phase", sem.phase_of(F.col("category")))
 
 
+def _drifts(s, d):
+    rows = _turn_vectors(s, d)
+    return sem.drift(rows, "session", "vec_id").join(sem.aggregate_drift(rows, "session", "vec_id"), ["session", "vec_id"])
+
+
+def _category_seeds(s, d):
+    """A seed a category: the mean of its vectors."""
+    cells = _turn_vectors(s, d).select("category", F.posexplode("embedding").alias("dim", "x")).groupBy("category", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    number = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    return cells.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("c")).select(number.alias("row_id"), "category", F.col("c.x").alias("embedding"))
+
+
+def _aggregate_match(s, d):
+    """vec_id with the similarity of its session so far to an attack's seed."""
+    seeds, whole = _category_seeds(s, d), sem.aggregate_vectors(_turn_vectors(s, d), "session", "vec_id")
+    found = near.nearest(whole.select("vec_id", F.col("aggregate").alias("embedding")), seeds.select(F.col("row_id").alias("vec_id"), "embedding"), len(CATEGORIES))
+    return sem.semantic_match(found, seeds.select("row_id", "category"), list(CALM)).select(F.col("query_id").alias("vec_id"), F.col("score").alias("aggregate_similarity"))
+
+
 def _trajectories(s, d):
-    rows = sem.drift(sem.phase_sequence(_turn_vectors(s, d), "session", "vec_id"), "session", "vec_id")
-    return sem.trajectory_risk(rows.join(sem.centroid_distance(_turn_vectors(s, d), "session", "vec_id"), ["session", "vec_id"]))
+    rows = sem.phase_sequence(_turn_vectors(s, d), "session", "vec_id").join(sem.aggregate_drift(_turn_vectors(s, d), "session", "vec_id"), ["session", "vec_id"])
+    rows = rows.join(sem.centroid_distance(_turn_vectors(s, d), "session", "vec_id"), ["session", "vec_id"]).join(_aggregate_match(s, d), "vec_id")
+    return sem.trajectory_risk(rows)
 
 
 def _labels(s, d):
@@ -96,14 +118,18 @@ def _classified(s, d):
     return sem.classify_batch(docs, model).select("doc_id", "decision")
 
 
-def _drift(s, d):
-    return sem.drift(_vecs(s, d), "label", "vec_id")
+def _by_cells(s, d):
+    v = _vecs(s, d)
+    q = v.filter("vec_id % 20 = 0")
+    return near.recall(near.nearest_by_cells(q, v, 10, cells=64, probes=40), near.nearest(q, v, 10))
 
 
 _E = "embedding::double[]"
 _PAIRS = f"pairs as (select q.vec_id as query_id, r.vec_id as row_id, r.label as category, round(list_cosine_similarity(q.{_E}, r.{_E}), 9) as similarity from embeddings q, embeddings r where q.vec_id % 20 = 0), near as (select *, row_number() over (partition by query_id order by similarity desc, row_id) as rank from pairs qualify rank <= 3)"
-_DRIFT = f"d as (select label, vec_id, embedding, 1 - list_cosine_similarity({_E}, lag({_E}) over (partition by label order by vec_id)) as drift from embeddings), dd as (select label, vec_id, drift, case when lag(drift, 2) over w < lag(drift, 1) over w and lag(drift, 1) over w < drift then (drift - lag(drift, 2) over w) / 2 else 0 end as acceleration from d window w as (partition by label order by vec_id))"
-_CENTROID = "cells as (select label, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from embeddings), means as (select *, avg(x) over (partition by label, dim order by vec_id) as m from cells), dist as (select label, vec_id, 1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)) as distance from means group by label, vec_id)"
+_CELLS = "ce as (select session, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from ph), ru as (select *, sum(x) over w as a, avg(x) over w as m from ce window w as (partition by session, dim order by vec_id))"
+_DRIFT = f"dn as (select session, vec_id, case when row_number() over (partition by session order by vec_id) > 1 then 1 - sum(a * (a - x)) / sqrt(sum(a * a) * sum((a - x) * (a - x))) end as ad from ru group by session, vec_id), da as (select *, case when lag(ad, 2) over w < lag(ad, 1) over w and lag(ad, 1) over w < ad then (ad - lag(ad, 2) over w) / 2 else 0 end as acceleration from dn window w as (partition by session order by vec_id))"
+_CENTROID = "di as (select session, vec_id, 1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)) as distance from ru group by session, vec_id)"
+_WHOLE = f"se as (select category, dim, avg(x) as s from ce join ph using (session, vec_id) group by category, dim), si as (select vec_id, category, round(sum(a * s) / sqrt(sum(a * a) * sum(s * s)), 9) as sim from ru join se using (dim) group by vec_id, category), wh as (select vec_id, case when max(sim) filter (category in {CALM}) >= 0.65 then 0 else max(sim) end as whole from si group by vec_id)"
 
 _PH = f"ph0 as (select vec_id // 25 as session, vec_id, embedding, [{', '.join(repr(c) for c in CATEGORIES)}][((label % {len(CATEGORIES)}) + {len(CATEGORIES)}) % {len(CATEGORIES)} + 1] as category, (label % 5 + 5) / 10::double as confidence from embeddings), ph as (select *, case {' '.join(f"when category = '{c}' then '{x}'" for c, x in sem.PHASES)} else 'benign' end as phase from ph0)"
 _STEP = " ".join(f"when lag(phase) over w = '{a}' and phase = '{b}' then '{n}'" for a, b, n in sem.STEPS)
@@ -115,20 +141,21 @@ for _k, (_name, _phases) in enumerate(sem.SEQUENCES):
     _CHAIN.append(f"({_hits}) as n{_k}")
 _OVER = " ".join(f"when i >= 2 and n{k} >= 2 and n{k} / {len(p)} > 0.5 then {{'n': '{n}', 's': n{k} / {len(p)}::double}}" for k, (n, p) in enumerate(sem.SEQUENCES))
 _SEQ = f"{', '.join(_TABLES)}, pt as (select *, row_number() over w as i, count(*) filter (phase = 'override') over w as overs, case {_STEP} end as transition from ph window w as (partition by session order by vec_id)), pn as (select *, {', '.join(_CHAIN)} from pt), px as (select *, case {_OVER} when i >= 2 and overs > 0 then {{'n': 'policy_override', 's': 0.7::double}} end as x, count(transition) over (partition by session order by vec_id) > 0 as suspicious from pn), sq as (select *, x.n as attack, coalesce(x.s, 0)::double as attack_score from px)"
-_RISK = f"dr as (select *, coalesce(1 - list_cosine_similarity({_E}, lag({_E}) over (partition by session order by vec_id)), 0) as drift, 1 - list_cosine_similarity({_E}, lag({_E}) over (partition by session order by vec_id)) as dn from sq), ac as (select *, case when lag(dn, 2) over w < lag(dn, 1) over w and lag(dn, 1) over w < dn then (dn - lag(dn, 2) over w) / 2 else 0 end as acceleration from dr window w as (partition by session order by vec_id)), ce as (select session, vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as dim from ph), me as (select *, avg(x) over (partition by session, dim order by vec_id) as m from ce), di as (select session, vec_id, 1 - sum(x * m) / sqrt(sum(x * x) * sum(m * m)) as distance from me group by all), rk as (select vec_id, least(1.0, 0.35 * attack_score + 0.25 * case when acceleration > 0 then least(1.0, acceleration * 2) when drift > 0.3 then drift else 0 end + case when phase in ('override', 'exploit') then 0.25 * confidence else 0 end + case when distance > 0.4 then 0.15 * distance else 0 end + case when phase = 'override' and confidence > 0.8 then 0.15 else 0 end + case when suspicious then 0.10 else 0 end) as risk from ac join di using (session, vec_id))"
+_RISK = f"rk as (select vec_id, whole, least(1.0, 0.35 * attack_score + 0.25 * case when acceleration > 0 then least(1.0, acceleration * 2) when coalesce(ad, 0) > 0.3 then ad else 0 end + case when phase in ('override', 'exploit') then 0.25 * confidence else 0 end + case when distance > 0.4 then 0.15 * distance else 0 end + case when phase = 'override' and confidence > 0.8 then 0.15 else 0 end + case when suspicious then 0.10 else 0 end) as risk from sq join da using (session, vec_id) join di using (session, vec_id) join wh using (vec_id))"
 
 QUERIES = {
     "j1_knn_join": lambda s, d: _near(s, d).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity")),
     "v1_pair_scores": lambda s, d: _vecs(s, d).alias("a").join(_vecs(s, d).selectExpr("vec_id - 1 as vec_id", "embedding as other").alias("b"), "vec_id").select("vec_id", F.round(sem.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"), F.round(sem.l2(F.col("embedding"), F.col("other")), 5).alias("l2")),
     "v2_semantic_match": lambda s, d: _match(s, d).select("query_id", "category", F.round("score", 6).alias("score")),
-    "v3_search_similar": lambda s, d: sem.nearest(_vecs(s, d).filter("vec_id % 20 = 0"), _vecs(s, d).filter("label = 3"), 5).filter("similarity >= 0.1").select("query_id", "row_id", F.round("similarity", 6).alias("similarity")),
+    "v3_search_similar": lambda s, d: near.nearest(_vecs(s, d).filter("vec_id % 20 = 0"), _vecs(s, d).filter("label = 3"), 5).filter("similarity >= 0.1").select("query_id", "row_id", F.round("similarity", 6).alias("similarity")),
     "v4_embed_hashing": lambda s, d: sem.hashed_vectors(corpus(s, d)),
     "v5_classify_batch": _classified,
     "v6_seed_stats": lambda s, d: _vecs(s, d).groupBy("label").agg(F.count("*").alias("seeds"), F.min("vec_id").alias("first")),
-    "c12_intent_embeddings": lambda s, d: sem.nearest(_vecs(s, d).filter("vec_id % 20 = 0"), _vecs(s, d).filter("vec_id % 20 <> 0"), 10).join(_vecs(s, d).selectExpr("vec_id as row_id", "label"), "row_id").groupBy("query_id").agg(F.max_by("label", F.struct("similarity", -F.col("row_id"))).alias("intent"), F.round(F.max("similarity"), 6).alias("similarity")),
-    "m13_drift": lambda s, d: _drift(s, d).select("vec_id", F.round("drift", 6).alias("drift")),
-    "m14_running_centroid": lambda s, d: sem.centroid_distance(_vecs(s, d), "label", "vec_id").select("vec_id", F.round("distance", 5).alias("distance")),
-    "m15_drift_acceleration": lambda s, d: _drift(s, d).select("vec_id", F.round("acceleration", 6).alias("acceleration")),
+    "c12_intent_embeddings": lambda s, d: near.best_classes(_vecs(s, d).filter("vec_id % 20 = 0"), _vecs(s, d), "label", but_self=True).withColumn("similarity", F.round("similarity", 6)).withColumn("second_similarity", F.round("second_similarity", 6)),
+    "j1_knn_by_cells": _by_cells,
+    "m13_drift": lambda s, d: _drifts(s, d).select("vec_id", F.round("drift", 6).alias("drift"), F.round("aggregate_drift", 6).alias("aggregate_drift")),
+    "m14_running_centroid": lambda s, d: sem.centroid_distance(_turn_vectors(s, d), "session", "vec_id").select("vec_id", F.round("distance", 5).alias("distance")),
+    "m15_drift_acceleration": lambda s, d: _drifts(s, d).select("vec_id", F.round("acceleration", 6).alias("acceleration")),
     "m16_phase_of": lambda s, d: _turn_vectors(s, d).select("vec_id", "phase"),
     "m17_phase_sequence": lambda s, d: sem.phase_sequence(_turn_vectors(s, d), "session", "vec_id").select("vec_id", "attack", F.round("attack_score", 6).alias("attack_score"), "transition", "suspicious"),
     "m18_trajectory_risk": lambda s, d: _trajectories(s, d).select("vec_id", F.round("risk", 5).alias("risk")),
@@ -147,13 +174,13 @@ ORACLE = {
     "v2_semantic_match": f"with {_PAIRS} select query_id, arg_max(category, similarity) as category, round(case when max(similarity) filter (category in (0, 1)) >= 0.5 then 0 else max(similarity) end, 6)::double as score from near group by query_id",
     "v3_search_similar": f"with {_PAIRS}, n3 as (select *, row_number() over (partition by query_id order by similarity desc, row_id) as r3 from pairs where category = 3 qualify r3 <= 5) select query_id, row_id, round(similarity, 6) as similarity from n3 where similarity >= 0.1",
     "v6_seed_stats": "select label, count(*) as seeds, min(vec_id) as first from embeddings group by label",
-    "c12_intent_embeddings": f"with {_PAIRS} select query_id, arg_max(category, similarity) as intent, round(max(similarity), 6) as similarity from pairs where row_id % 20 <> 0 group by query_id",
-    "m13_drift": f"with {_DRIFT} select vec_id, round(drift, 6) as drift from dd",
-    "m14_running_centroid": f"with {_CENTROID} select vec_id, round(distance, 5) as distance from dist",
-    "m15_drift_acceleration": f"with {_DRIFT} select vec_id, round(acceleration, 6)::double as acceleration from dd",
+    "c12_intent_embeddings": f"with {_PAIRS}, cl as (select query_id, category, max(similarity) as sim from pairs where row_id <> query_id group by query_id, category having max(similarity) > 0), rc as (select *, row_number() over (partition by query_id order by sim desc, category::varchar) as r from cl) select vec_id as query_id, max(category::varchar) filter (r = 1) as primary, round(coalesce(max(sim) filter (r = 1), 0), 6)::double as similarity, max(category::varchar) filter (r = 2) as second, round(coalesce(max(sim) filter (r = 2), 0), 6)::double as second_similarity from embeddings left join rc on query_id = vec_id where vec_id % 20 = 0 group by vec_id",
+    "m13_drift": f"with {_PH}, {_CELLS}, {_DRIFT} select vec_id, round(1 - list_cosine_similarity(ph.{_E}, lag(ph.{_E}) over (partition by session order by vec_id)), 6) as drift, round(ad, 6) as aggregate_drift from ph join da using (session, vec_id)",
+    "m14_running_centroid": f"with {_PH}, {_CELLS}, {_CENTROID} select vec_id, round(distance, 5) as distance from di",
+    "m15_drift_acceleration": f"with {_PH}, {_CELLS}, {_DRIFT} select vec_id, round(acceleration, 6)::double as acceleration from da",
     "m16_phase_of": f"with {_PH} select vec_id, phase from ph",
     "m17_phase_sequence": f"with {_PH}, {_SEQ} select vec_id, attack, round(attack_score, 6)::double as attack_score, transition, suspicious from sq",
-    "m18_trajectory_risk": f"with {_PH}, {_SEQ}, {_RISK} select vec_id, round(risk, 5)::double as risk from rk",
+    "m18_trajectory_risk": f"with {_PH}, {_CELLS}, {_SEQ}, {_DRIFT}, {_CENTROID}, {_WHOLE}, {_RISK} select vec_id, round(case when whole > 0.7 then greatest(risk, whole * 0.8) else risk end, 5)::double as risk from rk",
     "o8_scan_both": f"with {CORPUS}, {_SIG}, g as (select * from (with {CORPUS} {_GATE})), o as ({SCANS['o1_scan_output']}) select doc_id, case when risk_level = 'CRITICAL' then 'BLOCK' when risk_level = 'HIGH' and decision = 'ALLOW' then 'WARN' else decision end as merged from g join o using (doc_id)",
     "a1_weighted_score": f"with {CORPUS}, {_SIG} select doc_id, round(case when sum(ew) > 0 then sum(score * ew) / sum(ew) else 0 end, 6)::double as score from sw group by doc_id",
     "a2_obfuscation_union": f"with {CORPUS}, {_SIG} select doc_id, bool_or(obfuscated) as was_obfuscated, list_sort(list_distinct(flatten(list(kinds)))) as types from signals group by doc_id",
