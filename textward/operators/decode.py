@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,26 +123,73 @@ def leet_text(text: Column) -> Column:
     return F.when((plain != text) & attack_predicate(plain), plain).otherwise("")
 
 
-#: Decoders in order. Names are the obfuscation types.
-DECODERS: dict[str, Decoder] = {
+def _shape(word: Column) -> Column:
+    """First letter, last letter and the letters between, sorted: equal for words that differ only in the order within."""
+    return F.concat_ws("|", F.left(word, F.lit(1)), F.right(word, F.lit(1)), F.array_join(F.array_sort(F.split(F.substring(word, F.lit(2), F.length(word) - 2), "")), ""))
+
+
+@functools.lru_cache(1)
+def _scrambled() -> tuple[str, dict[str, str]]:
+    """A pattern of all words with the ends, the length and the letters of a target, and the first target of each shape."""
+    targets, by, kinds = [w for w, in tables.rows("scrambled")], {}, {}
+    for w in targets:
+        by.setdefault(w[0], []).append(f"[{''.join(sorted(set(w[1:-1])))}]{{{len(w) - 2}}}{w[-1]}")
+        kinds.setdefault(f"{w[0]}|{w[-1]}|{''.join(sorted(w[1:-1]))}", w)
+    words = "|".join(f"{first}(?:{'|'.join(dict.fromkeys(rest))})" for first, rest in by.items())
+    return f"(?i)(?<![a-z])(?:{words})(?![a-z])", kinds
+
+
+def typoglycemia_text(text: Column) -> Column:
+    """text with words of four and more letters, whose inner letters are those of a target word in another order, replaced: the first occurrence of each, in order of place."""
+    pattern, kinds = _scrambled()
+    target = lambda w: F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), _shape(F.lower(w)))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.struct(w.alias("word"), target(w).alias("target")))
+    fixes = F.filter(found, lambda x: (x["target"] != F.lower(x["word"])) & (F.length(x["word"]) >= 4))
+
+    def once(out: Column, x: Column) -> Column:
+        at = F.instr(out, x["word"])
+        return F.when(at > 0, F.concat(F.substring(out, F.lit(1), at - 1), x["target"], F.substring(out, at + F.length(x["word"]), F.length(out)))).otherwise(out)
+
+    return F.when(text.rlike(pattern), F.aggregate(fixes, text, once)).otherwise("")
+
+
+#: Fixed value: what stands for drawn letters, which have no text.
+ART_MARK = "POTENTIAL_ASCII_ART_INJECTION"
+
+
+def art_mark(text: Column) -> Column:
+    return F.when(is_block_art(text), ART_MARK).otherwise("")
+
+
+#: Decoders in order. Names are the obfuscation types; those without a function are in Python.
+DECODERS: dict[str, Decoder | None] = {
     "base64": base64_text, "hex": hex_text, "url": url_text, "html_entity": html_text, "rot13": rot13_text, "homoglyph": lookalike_text, "ascii_art": vertical_text,
-    "reverse": reversed_text, "unicode_tags": tag_text, "invisible": visible_text, "unicode_escape": escape_text, "octal_escape": octal_text, "leetspeak": leet_text,
+    "reverse": reversed_text, "unicode_tags": tag_text, "invisible": visible_text, "gzip": None, "unicode_escape": escape_text, "octal_escape": octal_text, "base32": None,
+    "typoglycemia": typoglycemia_text, "leetspeak": leet_text, "block_ascii": art_mark,
 }
 
 
 def decoded_once(rows: DataFrame, decoders: dict[str, Decoder], text_col: str = "text") -> DataFrame:
     """rows with a row for every decoder that gives something new: ord, decoder, decoded_text."""
-    found = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("decoder"), F.coalesce(f(F.col(text_col)), F.lit("")).alias("decoded_text")) for i, (n, f) in enumerate(decoders.items())))
+    found = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("decoder"), F.coalesce(f(F.col(text_col)), F.lit("")).alias("decoded_text")) for i, (n, f) in enumerate(decoders.items()) if f))
     return rows.withColumn("x", F.explode(F.filter(found, lambda x: (x["decoded_text"] != "") & (x["decoded_text"] != F.col(text_col))))).select(*rows.columns, "x.*")
 
 
+def _gunzipped(raw: bytes) -> str | None:
+    try:
+        out = zlib.decompressobj(31).decompress(raw, MOST).decode()
+    except (ValueError, zlib.error):
+        return None
+    return out if out and all(c.isprintable() or c.isspace() for c in out) else None
+
+
 def _unpacked(text: str) -> str | None:
     for run in re.findall(r"H4sI[A-Za-z0-9+/]*={0,2}", text):
         try:
-            out = zlib.decompressobj(31).decompress(base64.b64decode(run + "=" * (-len(run) % 4)), MOST).decode()
-        except (ValueError, zlib.error):
+            out = _gunzipped(base64.b64decode(run + "=" * (-len(run) % 4)))
+        except ValueError:
             continue
-        if out and all(c.isprintable() or c.isspace() for c in out):
+        if out:
             return out
     return None
 
@@ -161,37 +207,126 @@ def _base32(text: str) -> str | None:
     return " ".join(parts) or None
 
 
+def _in_python(texts: Column) -> Column:
+    """For an array of texts, those in gzip and base32 of each."""
+
+    def found(lists: pd.Series) -> pd.Series:
+        one = lambda t: None if t is None else {"gzip": _unpacked(t), "base32": _base32(t)}
+        return lists.map(lambda own: None if own is None else [one(t) for t in own])
+
+    return F.pandas_udf(found, "array<struct<gzip:string,base32:string>>")(texts)
+
+
+def raw_gzip_text(raw: Column) -> Column:
+    """Text of gzip data in a binary column: by its magic, up to 1 MiB of printable UTF-8; null for others."""
+
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else _gunzipped(bytes(x)))
+
+    return F.pandas_udf(found, "string")(F.when(F.hex(F.substring(raw, 1, 2)) == "1F8B", raw))
+
+
+def _asked(text: Column) -> Column:
+    """The text if a decoder in Python may find something in it."""
+    return F.when(text.contains("H4sI") | text.rlike("[A-Z2-7]{8,}"), text)
+
+
 def decoded_in_python(rows: DataFrame) -> DataFrame:
     """(doc_id, ord, decoder, decoded_text) for gzip in base64 and for base32, over the texts that may hold either."""
-    some = rows.filter(F.col("text").contains("H4sI") | F.col("text").rlike("[A-Z2-7]{8,}")).select("doc_id", "text")
+    some = rows.select("doc_id", _asked(F.col("text")).alias("text")).filter("text is not null").select("doc_id", F.get(_in_python(F.array("text")), 0).alias("x"))
+    each = F.array(*(F.struct(F.lit(list(DECODERS).index(n)).alias("ord"), F.lit(n).alias("decoder"), F.col(f"x.{n}").alias("decoded_text")) for n in ("gzip", "base32")))
+    return some.select("doc_id", F.inline(F.filter(each, lambda x: x["decoded_text"].isNotNull())))
+
 
-    def run(frames):
-        for frame in frames:
-            out = [(d, 100 + k, n, f(t)) for d, t in zip(frame["doc_id"], frame["text"]) for k, (n, f) in enumerate((("gzip", _unpacked), ("base32", _base32)))]
-            yield pd.DataFrame([r for r in out if r[3]], columns=["doc_id", "ord", "decoder", "decoded_text"])
+def _fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with the columns, each made once a row: projections on top of one another would be merged, and what they share made again for each use."""
+    names = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*names, F.inline(F.array(F.struct(*(x.alias(n) for n, x in columns.items())))))
 
-    return some.mapInPandas(run, "doc_id bigint, ord int, decoder string, decoded_text string")
 
+_FOUND = "array<struct<pass:int,path:array<int>,decoder:string,decoded_text:string>>"
 
-def deobfuscate(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder] | None = None, compressed: bool = True) -> DataFrame:
-    """(doc_id, pass, ord, decoder, decoded_text): each pass reads what the one before it gave, if over three bytes. More decoders are given by name."""
+
+def traced(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder | None] | None = None, raw_col: str | None = None) -> DataFrame:
+    """corpus with found: what each pass gives, in order, as structs of pass, path (the decoders' places on the way to it), decoder and decoded_text.
+
+    Each pass reads what the one before gave, each text once, if over three bytes. All of a text stays in its row: nothing is shuffled, joined or kept,
+    and rows whose ids are null or repeat are rows each. More decoders are given by name. raw_col: a binary column beside the text, for gzip data.
+    """
     decoders = decoders or DECODERS
-    now, parts = corpus.select("doc_id", "text"), []
+    names = list(decoders)
+    python = [n for n, f in decoders.items() if f is None]
+    entry = "array<struct<path:array<int>,text:string>>"
+    rows = corpus.withColumn("_now", F.array(F.struct(F.array().cast("array<int>").alias("path"), F.coalesce("text", F.lit("")).alias("text"))).cast(entry)).withColumn("found", F.array().cast(_FOUND))
     for p in range(1, passes + 1):
-        found = decoded_once(now, decoders).select("doc_id", "ord", "decoder", "decoded_text")
-        if compressed:
-            found = found.unionByName(decoded_in_python(now))
-        found = found.persist(StorageLevel.MEMORY_AND_DISK)  # the next pass reads it, and so does the result
-        parts.append(found.select("doc_id", F.lit(p).alias("pass"), "ord", "decoder", "decoded_text"))
-        now = found.filter(F.octet_length("decoded_text") > 3).select("doc_id", F.col("decoded_text").alias("text")).distinct()
-    return functools.reduce(DataFrame.unionByName, parts)
+        if python:
+            rows = _fixed(rows, _asked=F.transform("_now", lambda e: _asked(e["text"])))
+            rows = rows.withColumn("_py", _in_python(F.when(F.exists("_asked", lambda t: t.isNotNull()), F.col("_asked"))))
+        raw = raw_gzip_text(F.col(raw_col)) if raw_col and p == 1 else F.lit(None).cast("string")
+
+        def all_of(text: Column, path: Column, own: Column | None, p=p) -> Column:
+            made = []
+            for i, n in enumerate(names):
+                out = decoders[n](text) if decoders[n] else own[n]
+                if n == "gzip" and raw_col and p == 1:
+                    out = F.coalesce(out, F.col("_raw"))
+                made.append(F.struct(F.lit(p).alias("pass"), F.concat(path, F.array(F.lit(i))).alias("path"), F.lit(n).alias("decoder"), F.coalesce(out, F.lit("")).alias("decoded_text")))
+            return F.filter(F.array(*made), lambda x: (x["decoded_text"] != "") & (x["decoded_text"] != text))
+
+        if p == 1:
+            rows = rows.withColumn("_raw", raw) if raw_col else rows
+            first = F.get("_py", 0) if python else None
+            new = all_of(F.coalesce("text", F.lit("")), F.array().cast("array<int>"), first)
+        else:
+            new = F.flatten(F.transform("_now", lambda e, i: all_of(e["text"], e["path"], F.get("_py", i) if python else None)))
+        rows = _fixed(rows, _new=new.cast(_FOUND))
+        on = F.transform(F.filter("_new", lambda x: F.octet_length(x["decoded_text"]) > 3), lambda x: F.struct(x["path"].alias("path"), x["decoded_text"].alias("text")))
+        rows = _fixed(rows, found=F.concat("found", "_new"), _on=on)
+        if p < passes:
+            rows = _fixed(rows, _now=F.filter("_on", lambda x, i: F.array_position(F.col("_on.text"), x["text"]) == i + 1))
+    return rows.drop("_now", "_asked", "_py", "_raw", "_new", "_on")
+
+
+def deobfuscate(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder | None] | None = None, raw_col: str | None = None) -> DataFrame:
+    """(doc_id, pass, path, decoder, decoded_text): a row for all that traced finds."""
+    return traced(corpus, passes, decoders, raw_col).select("doc_id", F.inline("found"))
+
+
+def rolled(rows: DataFrame, passes: int = 2) -> DataFrame:
+    """rows (of traced) with decoded_text, layers, types, segments, layer_sequence and multiplier in the place of found.
+
+    decoded_text: the distinct outputs, without the text itself: of two passes in their order, of three those of the second, the third, the first. types: in order
+    of their first output, which is their segment. layer_sequence: the first pass's types, then in each pass those that the first text that gave any gave.
+    """
+    found, of = F.col("found"), lambda p: F.filter("found", lambda x: x["pass"] == p)
+    rows = rows.withColumn("layers", F.coalesce(F.array_max(F.transform(found, lambda x: x["pass"])), F.lit(0)))
+    ordered = F.when(F.lit(passes >= 3), F.concat(F.filter(found, lambda x: x["pass"] > 1), of(1))).otherwise(found)
+    return _rolled(_fixed(rows, _ordered=ordered, types=F.array_distinct(F.col("found.decoder"))), of).drop("_ordered", "found")
+
+
+def _rolled(rows: DataFrame, of: Callable[[int], Column]) -> DataFrame:
+    texts = F.filter(F.array_distinct(F.col("_ordered.decoded_text")), lambda t: t != F.coalesce(F.col("text"), F.lit("")))
+    first = lambda t: F.get(F.filter("found", lambda x: x["decoder"] == t), 0)["decoded_text"]
+    stem = lambda x, p: F.slice(x["path"], 1, p - 1)
+    lead = lambda p: F.transform(F.filter(of(p), lambda x: stem(x, p) == stem(F.get(of(p), 0), p)), lambda x: x["decoder"])
+    sequence = F.concat(F.transform(of(1), lambda x: x["decoder"]), lead(2), lead(3))
+    return rows.withColumns(
+        {
+            "decoded_text": F.array_join(texts, " "),
+            "segments": F.map_from_entries(F.transform("types", lambda t: F.struct(t, F.when(t == "block_ascii", "block_detected").otherwise(first(t))))),
+            "layer_sequence": sequence,
+            "multiplier": F.when(F.col("layers") <= 1, 1.0).when(F.col("layers") == 2, 1.1).otherwise(1.3),
+        }
+    )
 
 
-def decoded_rollup(decoded: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(doc_id, decoded_text, layers, types, multiplier): distinct outputs in order of pass and decoder, without the text itself."""
-    rows = decoded.join(corpus.select("doc_id", "text"), "doc_id").filter("decoded_text <> text").groupBy("doc_id", "decoded_text").agg(F.min(F.struct("pass", "ord", "decoder")).alias("x"))
-    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("x.pass", "x.ord", "decoded_text"))).alias("xs"), F.max("x.pass").alias("layers"), F.array_sort(F.collect_set("x.decoder")).alias("types"))
-    return out.select("doc_id", F.array_join(F.transform("xs", lambda x: x["decoded_text"]), " ").alias("decoded_text"), "layers", "types", F.when(F.col("layers") <= 1, 1.0).when(F.col("layers") == 2, 1.1).otherwise(1.3).alias("multiplier"))
+ROLLED = ("decoded_text", "layers", "types", "segments", "layer_sequence", "multiplier")
+
+
+def decoded_rollup(corpus: DataFrame, passes: int = 2, **options) -> DataFrame:
+    """(doc_id, decoded_text, layers, types, segments, layer_sequence, multiplier) of the texts in which a decoder finds something."""
+    rows = traced(corpus.select("doc_id", "text", *([options["raw_col"]] if options.get("raw_col") else [])), passes, **options)
+    return rolled(rows.filter(F.size("found") > 0), passes).select("doc_id", *ROLLED)
 
 
 #: First letter of each run of styled capitals, small letters or digits, and what it stands for.
@@ -220,42 +355,33 @@ def normalize_nfkc(corpus: DataFrame) -> DataFrame:
     def nfkc(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFKC")
 
-    return corpus.withColumn("normalized", nfkc("text")).withColumn("was_normalized", F.col("normalized") != F.col("text"))
+    # Plain ASCII is in that form already.
+    other = nfkc(F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text")))
+    return corpus.withColumn("normalized", F.coalesce(other, F.col("text"))).withColumn("was_normalized", F.col("normalized") != F.col("text"))
 
 
 #: Characters that letters are drawn with.
 DRAWN = r"[|/_\-\\\[\](){}]"
 
 
-def block_art(corpus: DataFrame) -> DataFrame:
-    """(doc_id, is_art), from 20 bytes on: three dense lines in a row (blank ones aside), over 0.4 of all bytes drawn, or text in noughts and ones. Lines of over five bytes are dense over 0.3."""
+def is_block_art(text: Column) -> Column:
+    """From 20 bytes on: three dense lines in a row (blank ones aside), over 0.4 of all bytes drawn, or text in noughts and ones. Lines of over five bytes are dense over 0.3."""
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     bare = lambda x: F.regexp_replace(x, f"^{_BLANKS}|{_BLANKS}$", "")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.octet_length(bare(x)).alias("n")))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.octet_length(bare(x)).alias("n")))
     dense = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: F.when((x["n"] > 5) & (count(x["line"], DRAWN) / x["n"] > 0.3), F.lit("1")).otherwise("0"))
-    n = F.octet_length("text")
-    binary = (count("text", r"[01 \n]") / n > 0.5) & (count("text", "[01]") / n > 0.3) & (n > 20)
-    return corpus.select("doc_id", F.when(n < 20, False).otherwise(F.array_join(dense, "").contains("111") | (count("text", DRAWN) / n > 0.4) | binary).alias("is_art"))
+    n = F.octet_length(text)
+    binary = (count(text, r"[01 \n]") / n > 0.5) & (count(text, "[01]") / n > 0.3) & (n > 20)
+    # A dense line has two drawn characters or more, so most texts need no look at their lines.
+    drawn = count(text, DRAWN)
+    return F.when(n < 20, False).otherwise((drawn / n > 0.4) | binary | ((drawn >= 6) & F.array_join(dense, "").contains("111")))
 
 
-def _shape(word: Column) -> Column:
-    """First letter, last letter and the letters between, sorted: equal for words that differ only in the order within."""
-    return F.concat_ws("|", F.left(word, F.lit(1)), F.right(word, F.lit(1)), F.array_join(F.array_sort(F.split(F.substring(word, F.lit(2), F.length(word) - 2), "")), ""))
+def block_art(corpus: DataFrame) -> DataFrame:
+    """(doc_id, is_art)."""
+    return corpus.select("doc_id", is_block_art(F.col("text")).alias("is_art"))
 
 
 def unscrambled(corpus: DataFrame) -> DataFrame:
-    """(doc_id, decoded_text) of texts with words of four and more letters whose inner letters are those of a target word in another order.
-
-    Scrambled words meet the targets by an equi-join on their shape; the first occurrence of each is replaced, in order of place.
-    """
-    targets = corpus.sparkSession.createDataFrame([(w, i) for i, w in enumerate(w for w, in tables.rows("scrambled"))], "target string, ord int")
-    shapes = targets.groupBy(_shape(F.col("target")).alias("shape")).agg(F.min_by("target", "ord").alias("target"))
-    words = corpus.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("pos", "word")).filter(F.length("word") >= 4)
-    met = words.withColumn("shape", _shape(F.lower("word"))).join(F.broadcast(shapes), "shape").filter(F.lower("word") != F.col("target"))
-    fixes = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "target"))).alias("fixes"))  # bounded by the text
-
-    def once(text: Column, x: Column) -> Column:
-        at = F.instr(text, x["word"])
-        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), x["target"], F.substring(text, at + F.length(x["word"]), F.length(text)))).otherwise(text)
-
-    return corpus.join(fixes, "doc_id").select("doc_id", F.aggregate("fixes", F.col("text"), once).alias("decoded_text"))
+    """(doc_id, decoded_text) of the texts with scrambled words."""
+    return corpus.select("doc_id", "text", typoglycemia_text(F.col("text")).alias("decoded_text")).filter("decoded_text not in ('', text)").drop("text")

@@ -72,16 +72,22 @@ def tier(text: Column, low: Column, families: tuple[str, ...] = FAMILIES) -> Col
     return F.coalesce(*out)
 
 
+#: Different characters up to which a text is searched for each.
+FEW = 128
+
+
 def entropy(text: Column, per_byte: bool) -> Column:
     """Shannon bits over characters; shares are of the text's bytes or of its characters."""
     total = F.octet_length(text) if per_byte else F.length(text)
+    bits = lambda n: -n / total * F.log2(n / total)
     chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def add(a: Column, c: Column) -> Column:
-        p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / total
-        return a - p * F.log2(p)
-
-    return F.aggregate(chars, F.lit(0.0), add)
+    few = F.aggregate(chars, F.lit(0.0), lambda a, c: a + bits(F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+    # Of many different characters the text is sorted once, and runs are counted; bound as an element, so that each list is made once.
+    ends = lambda s: F.filter(F.transform(s, lambda c, i: F.when(F.coalesce(F.get(s, i + 1) != c, F.lit(True)), i)), lambda i: i.isNotNull())
+    runs = lambda e: F.transform(e, lambda x, j: x - F.coalesce(F.when(j > 0, F.get(e, j - 1)), F.lit(-1)))
+    ordered = F.array(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")))
+    many = F.transform(F.transform(ordered, ends), lambda e: F.aggregate(runs(e), F.lit(0.0), lambda a, n: a + bits(n)))
+    return F.when(F.size(chars) <= FEW, few).otherwise(F.get(many, 0))
 
 
 def compressed(text: Column) -> Column:

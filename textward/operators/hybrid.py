@@ -35,8 +35,8 @@ LAYERS = {
 def full_score(rows: DataFrame, passes: int = 2) -> DataFrame:
     """The heuristic score of normalised texts with all that the decoders give."""
     plain = decode.normalize_nfkc(rows).select("doc_id", F.col("normalized").alias("text"))
-    found = decode.decoded_rollup(decode.deobfuscate(plain, passes), plain)
-    return heuristics.heuristic_score(plain, found.select("doc_id", "decoded_text"))
+    found = decode.rolled(decode.traced(plain, passes), passes)
+    return heuristics.heuristic_score(found.select("doc_id", F.concat_ws(" ", "text", F.when(F.col("decoded_text") != "", F.col("decoded_text"))).alias("text")))
 
 
 def lexical_score(rows: DataFrame) -> DataFrame:
@@ -63,17 +63,8 @@ def evidence(corpus: DataFrame, benign: tuple = (), passes: int = 3) -> DataFram
     """
     texts = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     plain = decode.normalize_nfkc(texts).select("doc_id", F.col("normalized").alias("text"))
-    found = decode.decoded_rollup(decode.deobfuscate(plain, passes), plain).filter("decoded_text <> ''")
-    mixed = decode.unscrambled(texts).select("doc_id", F.col("decoded_text").alias("_mixed"))
     none = F.array().cast("array<string>")
-    hidden = found.join(mixed, "doc_id", "full").select(
-        "doc_id",
-        F.concat_ws(" ", "decoded_text", "_mixed").alias("decoded_text"),
-        F.array_distinct(F.concat(F.coalesce("types", none), F.when(F.col("_mixed").isNotNull(), F.array(F.lit("typoglycemia"))).otherwise(none))).alias("types"),
-        F.coalesce("layers", F.lit(1)).alias("layers"),
-        F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
-    )
-    hidden = settled(hidden)
+    hidden = settled(decode.decoded_rollup(plain, passes).filter("decoded_text <> ''").select("doc_id", "decoded_text", "types", "layers", "multiplier"))
     # Each text is scored as it is and as it was decoded, in one pass over both.
     key = lambda k: F.struct("doc_id", F.lit(k).alias("kind")).alias("doc_id")
     inner = hidden.select(key(1), F.col("decoded_text").alias("text"))

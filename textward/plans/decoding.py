@@ -31,20 +31,15 @@ _ROT = f"translate(text, '{dec._UPPER + dec._LOWER}', '{dec._UPPER[13:] + dec._U
 _LEET = f"translate(text, '{dec.LEET_FROM}', '{dec.LEET_TO}')"
 
 
-def _rolled(s, d, passes):
-    rows = corpus(s, d)
-    return dec.decoded_rollup(dec.deobfuscate(rows, passes), rows)
-
-
 QUERIES = {
     **{f"d{i}_{n}": _one(n) for i, n in ((1, "base64"), (2, "hex"), (3, "url"), (4, "html_entity"), (5, "rot13"), (6, "homoglyph"), (7, "ascii_art"), (8, "reverse"), (9, "unicode_tags"), (10, "invisible"), (12, "unicode_escape"), (15, "leetspeak"))},
     "d11_d13_in_python": lambda s, d: dec.decoded_in_python(corpus(s, d)),
     "d14_typoglycemia": lambda s, d: dec.unscrambled(corpus(s, d)).select("doc_id", F.sha2("decoded_text", 256).alias("sha")),
     "d16_block_art": lambda s, d: dec.block_art(corpus(s, d)),
-    "d17_deobfuscate_2pass": lambda s, d: _rolled(s, d, 2).select("doc_id", "layers", "types", F.sha2("decoded_text", 256).alias("sha")),
-    "d18_deobfuscate_3pass": lambda s, d: _rolled(s, d, 3).select("doc_id", "layers", "types", F.sha2("decoded_text", 256).alias("sha")),
-    "d19_layer_multiplier": lambda s, d: _rolled(s, d, 2).select("doc_id", "multiplier"),
-    "d20_custom_decoder": lambda s, d: dec.deobfuscate(corpus(s, d), 1, {"upper": F.upper}, compressed=False).select("doc_id", "decoder", F.sha2("decoded_text", 256).alias("sha")),
+    "d17_deobfuscate_2pass": lambda s, d: dec.decoded_rollup(corpus(s, d), 2).select("doc_id", "layers", "types", F.sha2("decoded_text", 256).alias("sha")),
+    "d18_deobfuscate_3pass": lambda s, d: dec.decoded_rollup(corpus(s, d), 3).select("doc_id", "layers", "types", "layer_sequence", F.array_join(F.map_values("segments"), " ").alias("segments"), F.sha2("decoded_text", 256).alias("sha")),
+    "d19_layer_multiplier": lambda s, d: dec.decoded_rollup(corpus(s, d), 2).select("doc_id", "multiplier"),
+    "d20_custom_decoder": lambda s, d: dec.deobfuscate(corpus(s, d), 1, {"upper": F.upper}).select("doc_id", "decoder", F.sha2("decoded_text", 256).alias("sha")),
     "f1_normalize_nfkc": lambda s, d: dec.normalize_nfkc(corpus(s, d)).select("doc_id", "was_normalized"),
     "f2_normalize_text_chain": lambda s, d: dec.normalize_chain(corpus(s, d)).select("doc_id", F.sha2("normalized", 256).alias("sha"), "steps"),
 }
