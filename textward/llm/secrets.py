@@ -15,6 +15,9 @@ are in code points, ends exclusive; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,11 +114,12 @@ def listed(spans: Column) -> Column:
 def without_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of the scan replaced by [kind]; columns stay as they are, whatever their names; null text stays null.
 
-    Overlapping spans are one, named by its first. Rows without spans are untouched.
+    Overlapping spans are one, named by its first. Rows without spans are untouched: those in which no pattern is found are neither written nor joined.
     """
     columns = docs.columns
     row, cuts = C.unused("_row", columns), C.unused("_cuts", columns)
-    rows = C.written(docs.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in columns)))
+    maybe = functools.reduce(operator.or_, (F.coalesce(F.col(f"`{text_col}`").rlike(spec[1]), F.lit(False)) for spec in (*BASE, *WEAK)))
+    rows = C.written(docs.filter(maybe).select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in columns)))
     found = scan(rows.select(F.col(row).alias("of"), F.col(f"`{text_col}`").alias("text")), scope, "of", "text").select("of", F.explode("spans").alias("x"))
     # A span starts a new hole unless it overlaps an earlier one of its text; a hole ends where the last of its spans does.
     w = W.partitionBy("of").orderBy("x.start", "x.ord")
@@ -132,7 +136,8 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id",
     piece = lambda b: F.transform(own["cut"], lambda x: F.concat(part(b, x["from"], x["to"] - x["from"]), x["mark"]))
     done = F.transform(F.array(F.encode(text, "UTF-32")), lambda b: F.concat(F.array_join(piece(b), ""), part(b, own["last"], F.length(text))))
     clean = F.when(own.isNull(), text).otherwise(F.get(done, 0))
-    return rows.join(lists, row, "left").select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    masked = rows.join(lists, row, "left").select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    return docs.filter(~maybe).select(*(F.col(f"`{c}`") for c in columns)).union(masked)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
