@@ -423,9 +423,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, k: int, s
 
 def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """nodes (node long, fp binary, keys array of long) -> links (a, b) that join what lies within the radius and shares a key."""
-    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "fp")
+    # Keys that only one node has are gone before a fingerprint travels.
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
     met = C.written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    rows = C.hot_join(rows, met, "key", met.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("n", "count")
+    rows = C.hot_join(rows, met, "key", met.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("n", "count").join(nodes.select("node", "fp"), "node")
     n = F.ceil(F.col("count") / tile).cast("long")
     mine = F.pmod(F.xxhash64("node"), n)
     rows = rows.select("key", "node", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
