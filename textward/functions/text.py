@@ -20,6 +20,10 @@ _EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))
 def java(regex: str) -> str:
     """An RE2 pattern for Spark's engine: only \\n ends a line, $ is the very end, \\b looks at ASCII letters, \\s has no vertical tab."""
     out, i, in_class = [], 0, False
+    if regex.startswith("\\b") and first_characters(regex):
+        # A word's edge before characters of words: the character first, as that is the cheap test.
+        out.append(f"(?=[{''.join(sorted(first_characters(regex)))}])(?<![0-9A-Za-z_])")
+        i = 2
     while i < len(regex):
         c = regex[i]
         if c == "\\" and i + 1 < len(regex):
@@ -77,6 +81,115 @@ def required_literal(regex: str) -> str:
     return best
 
 
+def _telling(literal: str) -> bool:
+    return len(literal) > 1 or bool(literal) and not literal.isalnum() and literal not in " .-_"
+
+
+@functools.lru_cache(None)
+def required_any(regex: str) -> tuple[str, ...]:
+    """Lower-case strings of which every match holds at least one (none if that is not sure): the fewest and longest that can be told."""
+
+    def better(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
+        return max(a, b, key=lambda x: (bool(x) and all(map(_telling, x)), min(map(len, x), default=0), -len(x)))
+
+    def walk(items) -> tuple[str, ...]:
+        best, run = (), ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                best = better(best, (run,))
+                continue
+            run = ""
+            if name == "SUBPATTERN":
+                best = better(best, walk(arg[3]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
+                best = better(best, walk(arg[2]))
+            elif name == "BRANCH":
+                each = [walk(x) for x in arg[1]]
+                if all(each):
+                    best = better(best, tuple(dict.fromkeys(x for own in each for x in own)))
+        return best
+
+    try:
+        found = walk(_parser.parse(regex))
+    except re.error:
+        return ()
+    literal = required_literal(regex)
+    found = better(found, (literal,) if literal else ())
+    return found if found and all(map(_telling, found)) else ()
+
+
+def one_pass(literals) -> str:
+    """A pattern that is found where one of the strings stands: their common beginnings are tried once."""
+    root: dict = {}
+    for literal in literals:
+        node = root
+        for c in literal:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""  # what is longer holds this one
+        parts = [re.escape(c) + pattern(rest) for c, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(root)
+
+
+_WORD = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+
+
+@functools.lru_cache(None)
+def first_characters(regex: str) -> frozenset[str]:
+    """The characters with which a match can begin, where that is a set of ASCII letters, digits and underscores; else none."""
+
+    def own(items) -> tuple[set[str] | None, bool]:
+        """Beginnings, and whether nothing may be consumed."""
+        out: set[str] = set()
+        for op, arg in items:
+            name = str(op)
+            if name == "AT":
+                continue
+            if name == "LITERAL":
+                return out | {chr(arg)}, False
+            if name == "IN":
+                for kind, x in arg:
+                    if str(kind) == "LITERAL":
+                        out.add(chr(x))
+                    elif str(kind) == "RANGE" and x[1] < 128:
+                        out |= {chr(c) for c in range(x[0], x[1] + 1)}
+                    else:
+                        return None, False
+                return out, False
+            if name == "SUBPATTERN":
+                found, empty = own(arg[3])
+            elif name == "BRANCH":
+                each = [own(x) for x in arg[1]]
+                found, empty = (None if any(x[0] is None for x in each) else set().union(*(x[0] for x in each))), any(x[1] for x in each)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                found, empty = own(arg[2])
+                empty = empty or arg[0] == 0
+            else:
+                return None, False
+            if found is None:
+                return None, False
+            out |= found
+            if not empty:
+                return out, False
+        return out, True
+
+    try:
+        tree = _parser.parse(regex)
+    except re.error:
+        return frozenset()
+    found, empty = own(tree)
+    if not found or empty or not found <= _WORD or tree.state.flags & re.IGNORECASE and not found <= set("0123456789_"):
+        return frozenset()
+    return frozenset(found)
+
+
 @functools.lru_cache(None)
 def requires_digit(regex: str) -> bool:
     """Whether every match holds a decimal digit of ASCII."""
@@ -103,10 +216,10 @@ def requires_digit(regex: str) -> bool:
 
 def matches(text: Column, low: Column, regex: str) -> Column:
     """Whether the pattern is found; low is the lower-case text. Cheap tests that every match passes come first."""
-    literal = required_literal(regex)
+    literals = required_any(regex)
     found = text.rlike(java(regex))
-    if len(literal) > 1 or literal and not literal.isalnum() and literal not in " .-_":
-        return F.when(low.contains(literal), found).otherwise(F.lit(False))
+    if literals:
+        return F.when(any_of(low, list(literals)), found).otherwise(F.lit(False))
     return F.when(text.rlike("[0-9]"), found).otherwise(F.lit(False)) if requires_digit(regex) else found
 
 

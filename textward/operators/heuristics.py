@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import any_of, matches
+from textward.functions.text import any_of, matches, one_pass
 from textward.operators.scan import crypto_score
 
 #: Order in which rule families are asked.
@@ -72,22 +74,31 @@ def tier(text: Column, low: Column, families: tuple[str, ...] = FAMILIES) -> Col
     return F.coalesce(*out)
 
 
-#: Different characters up to which a text is searched for each.
-FEW = 128
-
-
 def entropy(text: Column, per_byte: bool) -> Column:
-    """Shannon bits over characters; shares are of the text's bytes or of its characters."""
-    total = F.octet_length(text) if per_byte else F.length(text)
-    bits = lambda n: -n / total * F.log2(n / total)
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    few = F.aggregate(chars, F.lit(0.0), lambda a, c: a + bits(F.length(text) - F.length(F.replace(text, c, F.lit("")))))
-    # Of many different characters the text is sorted once, and runs are counted; bound as an element, so that each list is made once.
-    ends = lambda s: F.filter(F.transform(s, lambda c, i: F.when(F.coalesce(F.get(s, i + 1) != c, F.lit(True)), i)), lambda i: i.isNotNull())
-    runs = lambda e: F.transform(e, lambda x, j: x - F.coalesce(F.when(j > 0, F.get(e, j - 1)), F.lit(-1)))
-    ordered = F.array(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")))
-    many = F.transform(F.transform(ordered, ends), lambda e: F.aggregate(runs(e), F.lit(0.0), lambda a, n: a + bits(n)))
-    return F.when(F.size(chars) <= FEW, few).otherwise(F.get(many, 0))
+    """Shannon bits over characters; shares are of the text's bytes or of its characters. Null and empty texts have none (0).
+
+    Characters of all texts of an Arrow batch are counted at once, by sorting: linear but for the sort, however many different ones there are.
+    In column functions a text would be searched once for each.
+    """
+
+    def bits(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts))
+        filled = texts.fillna("").tolist()
+        sizes = np.array([len(t) for t in filled], np.int64)
+        stops = np.cumsum(sizes)
+        lo = 0
+        while lo < len(filled):  # some million characters at a time
+            hi = max(lo + 1, int(np.searchsorted(stops, (stops[lo - 1] if lo else 0) + (1 << 22), side="right")))
+            codes = np.frombuffer("".join(filled[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            key, counts = np.unique(codes + (np.repeat(np.arange(hi - lo), sizes[lo:hi]) << 21), return_counts=True)
+            row = key >> 21
+            total = np.array([len(t.encode("utf-8", "surrogatepass")) for t in filled[lo:hi]]) if per_byte else sizes[lo:hi]
+            p = counts / total[row]
+            out[lo:hi] = np.bincount(row, weights=-p * np.log2(p), minlength=hi - lo)
+            lo = hi
+        return pd.Series(out)
+
+    return F.pandas_udf(bits, "double")(text)
 
 
 def compressed(text: Column) -> Column:
@@ -121,7 +132,9 @@ def keyword_score(rows: DataFrame, text_col: str, out: str, keywords: list[tuple
             return F.when(low.contains(k), F.lit(w)).otherwise(0.0)
         return F.when(low.contains(k), F.size(F.filter(tokens, lambda t: t.contains(k))) * F.lit(w)).otherwise(0.0)
 
-    return rows.withColumn(out, F.aggregate(F.array(*(one(k, w) for k, w in keywords)), F.lit(0.0), lambda a, x: a + x)).drop("_kl", "_kt")
+    # One pass tells whether any keyword stands there.
+    every = F.aggregate(F.array(*(one(k, w) for k, w in keywords)), F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn(out, F.when(low.rlike(one_pass([k for k, _ in keywords])), every).otherwise(0.0)).drop("_kl", "_kt")
 
 
 def secret_bonus(text: Column) -> Column:
@@ -145,7 +158,7 @@ def heuristic_score(corpus: DataFrame, decoded: DataFrame | None = None) -> Data
         corpus = corpus.join(decoded, "doc_id", "left").select("doc_id", F.when((F.col("decoded_text") != "") & (F.col("decoded_text") != F.col("text")), F.concat_ws(" ", "text", "decoded_text")).otherwise(F.col("text")).alias("text"))
     low = corpus.withColumn("_low", F.lower("text"))
     before, after = FAMILIES[:6], FAMILIES[6:]
-    step = low.select("doc_id", "text", tier(F.col("text"), F.col("_low"), before).alias("_a"), F.when((F.octet_length("text") > 50) & (entropy(F.col("text"), True) > 5.8), F.lit(0.95)).alias("_e"), tier(F.col("text"), F.col("_low"), after).alias("_b"))
+    step = low.select("doc_id", "text", tier(F.col("text"), F.col("_low"), before).alias("_a"), F.when(entropy(F.when(F.octet_length("text") > 50, F.col("text")), True) > 5.8, F.lit(0.95)).alias("_e"), tier(F.col("text"), F.col("_low"), after).alias("_b"))
     step = step.withColumn("_t", compressed(F.col("text"))).withColumn("_t", unleeted(F.col("_t"))).withColumn("_t", cleaned(F.col("_t")))
     t = F.col("_t")
     step = keyword_score(step, "_t", "_points").withColumn("_raw", crypto_score(t) + secret_bonus(t) + F.col("_points"))

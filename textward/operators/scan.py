@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import java, matches
+from textward.functions.text import java, matches, one_pass, required_any
 
 #: A rule: name, category, severity, description, regex (RE2).
 Rule = tuple[str, str, str, str, str]
@@ -26,12 +26,23 @@ def rules(categories: tuple[str, ...] | list[str] | None = None) -> list[Rule]:
 
 
 def with_hits(corpus: DataFrame, chosen: list[Rule]) -> DataFrame:
-    """corpus with `hits`: numbers of the rules that match, ascending. A text is read once; a rule's pattern runs only where its literal stands."""
+    """corpus with `hits`: numbers of the rules that match, ascending.
+
+    An index from required strings to rules: one pass over a text tells whether any of the strings stands there. Only then are the rules that need
+    one tried, each where one of its own stands. Strings of few letters stand in most texts, so their rules, and those without any, are asked one by one.
+    """
     low = corpus.withColumn("_low", F.lower("text"))
+    rare = lambda own: all(len(x) > 3 or not x.isalnum() for x in own)
+    needs = [own if rare(own) else () for own in (required_any(r[4]) for r in chosen)]
     flags = [F.when(matches(F.col("text"), F.col("_low"), r[4]), F.lit(i)) for i, r in enumerate(chosen)]
     # In parts, so that each stays small enough to be compiled.
-    parts = [F.array_compact(F.array(*flags[i : i + 24])) for i in range(0, len(flags), 24)]
-    return low.withColumn("hits", F.concat(*parts)).drop("_low")
+    listed = lambda own: [F.array_compact(F.array(*own[i : i + 24])) for i in range(0, len(own), 24)]
+    free = listed([f for f, n in zip(flags, needs) if not n])
+    bound = listed([f for f, n in zip(flags, needs) if n])
+    if bound:
+        literals = sorted({x for n in needs for x in n})
+        free.append(F.when(F.col("_low").rlike(one_pass(literals)), F.concat(*bound)).otherwise(F.array().cast("array<int>")))
+    return low.withColumn("hits", F.array_sort(F.concat(*free)) if free else F.array().cast("array<int>")).drop("_low")
 
 
 def _literal_array(values: list, kind: str) -> Column:
