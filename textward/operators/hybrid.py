@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textward.functions import tables
@@ -29,7 +30,39 @@ LAYERS = {
     "judge": "judge_class string, judge_confidence double, task_conflict boolean",
     "intent_model": "label string, model_confidence double",
     "safeguard": "is_safe boolean",
+    "session": "session_block boolean, session_confidence double, session_score double, session_phase string, session_turn bigint",
 }
+#: Fixed value: confidence over which a blocked session blocks a text at once.
+SESSION_SURE = 0.85
+
+
+def session_layer(texts: DataFrame, verdicts: DataFrame, span: int = 4096) -> DataFrame:
+    """The session layer: for each text (doc_id, session_id, at) its session's latest verdict up to it. verdicts: session_id, at and the columns of the layer.
+
+    An as-of join by union: within stretches of `span` of a session's `at` (turns, or seconds) the last verdict goes on to the texts after it, and
+    what stands at a stretch's end is carried to the next ones. So a session of any length is many groups, and no pair is made. At one `at`
+    verdicts come first, and the one of the largest values counts; texts without a verdict before them, a session or an `at` have none.
+    """
+    names = [c.split()[0] for c in LAYERS["session"].split(", ")]
+    held = F.struct(*names)
+    b = F.floor(F.col("at") / span).alias("b")
+    placed = F.col("session_id").isNotNull() & F.col("at").isNotNull()
+    left = texts.filter(placed).select("doc_id", "session_id", "at", b, F.lit(None).cast(verdicts.select(held.alias("x")).schema["x"].dataType).alias("own"), F.lit(1).alias("side"))
+    right = verdicts.filter(placed).select(F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id"), "session_id", "at", b, held.alias("own"), F.lit(0).alias("side"))
+    stretches = right.groupBy("session_id", "b").agg(F.max_by("own", F.struct("at", "own")).alias("end")).unionByName(left.select("session_id", "b", F.lit(None).cast(right.schema["own"].dataType).alias("end")))
+    stretches = stretches.groupBy("session_id", "b").agg(F.max("end").alias("end"))
+    before = F.last("end", True).over(W.partitionBy("session_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    carried = stretches.withColumn("carried", before).filter("carried is not null").select("session_id", "b", "carried")
+    inside = F.last("own", True).over(W.partitionBy("session_id", "b").orderBy("at", "side", "own").rowsBetween(W.unboundedPreceding, 0))
+    rows = left.unionByName(right).withColumn("inside", inside).filter("side = 1").join(carried, ["session_id", "b"], "left")
+    rows = rows.select("doc_id", F.coalesce("inside", "carried").alias("x")).select("doc_id", *(F.col(f"x.{n}").alias(n) for n in names))
+    alone = texts.filter(~placed).select("doc_id", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in LAYERS["session"].split(", ")))
+    return rows.unionByName(alone)
+
+
+def of_session_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Unified session verdicts (conv_id, turn, verdict, score, confidence, pattern_name) as verdicts for session_layer."""
+    return verdicts.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), (F.col("verdict") == "BLOCK").alias("session_block"), F.col("confidence").alias("session_confidence"), F.col("score").alias("session_score"), F.col("pattern_name").alias("session_phase"), F.col("turn").alias("session_turn"))
 
 
 def full_score(rows: DataFrame, passes: int = 2) -> DataFrame:
@@ -119,7 +152,7 @@ def deeper_analysis(rows: DataFrame, score: str = "score", threshold: float = 0.
 
 
 def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, use_intent: bool = True, **layers: DataFrame) -> DataFrame:
-    """(doc_id, combined_score, risk_level, action, decision_path, rule_score) of evidence rows. layers: DataFrames by doc_id, named as in LAYERS."""
+    """(doc_id, combined_score, risk_level, action, decision_path, reason, rule_score) of evidence rows. layers: DataFrames by doc_id, named as in LAYERS."""
     rows = found
     for name, columns in LAYERS.items():
         names = [c.split()[0] for c in columns.split(", ")]
@@ -128,10 +161,12 @@ def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, u
         else:
             rows = rows.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in columns.split(", ")})
     col = F.col
-    rows = rows.withColumn("_out", F.lit(None).cast("struct<score:double,level:string,action:string,path:string>"))
+    rows = rows.withColumn("_out", F.lit(None).cast("struct<score:double,level:string,action:string,path:string,reason:string>"))
+    percent = lambda c: F.concat(F.round(c * 100).cast("int").cast("string"), F.lit(" %"))
 
-    def decide(rows: DataFrame, when: Column, score, level: str, action: str, path) -> DataFrame:
-        made = F.struct(F.lit(score).cast("double").alias("score"), F.lit(level).alias("level"), F.lit(action).alias("action"), F.lit(path).alias("path"))
+    def decide(rows: DataFrame, when: Column, score, level: str, action: str, path, *reason) -> DataFrame:
+        why = F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x for x in reason))
+        made = F.struct(F.lit(score).cast("double").alias("score"), F.lit(level).alias("level"), F.lit(action).alias("action"), F.lit(path).alias("path"), why.alias("reason"))
         return rows.withColumn("_out", F.coalesce("_out", F.when(when, made)))
 
     def change(rows: DataFrame, when: Column, new: Column, name: str = "score") -> DataFrame:
@@ -143,7 +178,8 @@ def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, u
     rows = rows.withColumn("_lex", F.when(decoded, F.when(col("threat_decoded"), col("lexical_decoded"))).otherwise(F.when(col("threat_plain"), col("lexical_plain"))))
     rows = rows.withColumn("score", F.greatest("score", "_lex", F.when(col("agentic").isNotNull(), F.lit(0.75))))
     rows = change(rows, (col("layers") > 1) & (col("score") > 0.1), F.least(col("score") * col("multiplier"), F.lit(1.0))).withColumn("rule_score", col("score"))
-    rows = decide(rows, col("has_secrets") & ~F.coalesce(col("structure").isin(list(TRUSTED)), F.lit(False)), 1.0, "CRITICAL", "BLOCK", "TIER_0_SECRETS")
+    rows = decide(rows, col("session_block") & (col("session_confidence") > SESSION_SURE), col("session_score"), "HIGH", "BLOCK", "MULTI_TURN_HIGH_CONFIDENCE", "session attack:", col("session_phase"), percent(col("session_confidence")), "sure, turn", col("session_turn").cast("string"))
+    rows = decide(rows, col("has_secrets") & ~F.coalesce(col("structure").isin(list(TRUSTED)), F.lit(False)), 1.0, "CRITICAL", "BLOCK", "TIER_0_SECRETS", "credentials in the text")
     # Context, domain and benign phrases lower what is neither clear nor certain.
     rows = rows.withColumn("_context", col("is_educational") | col("is_defensive") | col("is_review"))
     open_ = (col("score") > 0.1) & (col("score") < 0.9)
@@ -158,21 +194,21 @@ def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, u
         rows = change(rows, (col("discount") > 0) & (col("score") > 0.1) & (col("score") < block) & col("agentic").isNull(), col("score") * (1 - col("discount")))
         rows = change(rows, attack & (col("intent_confidence") >= 0.35) & ~col("_structured"), F.least(col("score") + 0.5 + 0.3 * col("intent_confidence"), F.lit(INTENT_CAP)))
     hidden = col("deobfuscated")
-    rows = decide(rows, (col("score") >= block) & ~col("_context"), col("score"), "CRITICAL", "BLOCK", "FAST_PATH_BLOCK")
-    rows = decide(rows, ~hidden & col("_context") & (col("score") <= 0.20), col("score"), "MINIMAL", "ALLOW", "FAST_PATH_CONTEXT")
-    rows = decide(rows, (col("score") <= allow) & ~hidden & ~attack, col("score"), "MINIMAL", "ALLOW", "FAST_PATH_ALLOW")
+    rows = decide(rows, (col("score") >= block) & ~col("_context"), col("score"), "CRITICAL", "BLOCK", "FAST_PATH_BLOCK", "rules are sure of an attack")
+    rows = decide(rows, ~hidden & col("_context") & (col("score") <= 0.20), col("score"), "MINIMAL", "ALLOW", "FAST_PATH_CONTEXT", F.when(col("is_educational"), "educational context").when(col("is_defensive"), "defensive context").otherwise("code review"))
+    rows = decide(rows, (col("score") <= allow) & ~hidden & ~attack, col("score"), "MINIMAL", "ALLOW", "FAST_PATH_ALLOW", "rules find nothing")
     # The first classifier.
     threat, sure = col("is_threat"), col("ml_confidence")
-    rows = decide(rows, threat & (sure >= 0.90), sure, "CRITICAL", "BLOCK", "HUGOT_HIGH_CONFIDENCE_BLOCK")
-    rows = decide(rows, ~threat & (sure >= 0.95) & (col("score") <= 0.15) & ~hidden, 0.05, "MINIMAL", "ALLOW", "HUGOT_HIGH_CONFIDENCE_ALLOW")
+    rows = decide(rows, threat & (sure >= 0.90), sure, "CRITICAL", "BLOCK", "HUGOT_HIGH_CONFIDENCE_BLOCK", "first classifier: attack,", percent(sure), "sure")
+    rows = decide(rows, ~threat & (sure >= 0.95) & (col("score") <= 0.15) & ~hidden, 0.05, "MINIMAL", "ALLOW", "HUGOT_HIGH_CONFIDENCE_ALLOW", "first classifier: harmless,", percent(sure), "sure")
     moved = F.when(threat & (sure >= 0.70), F.least(col("score") + CLASSIFIER_WEIGHT * 0.5 * sure, F.lit(1.0))).when(~threat & (sure >= 0.80) & (col("score") < 0.7), col("score") * (1 - CLASSIFIER_WEIGHT * 0.3 * sure))
     rows = rows.withColumn("score", F.coalesce(moved, "score"))
     rows = rows.withColumn("_path", F.when(threat & (sure >= 0.50) & (sure < 0.70), "HUGOT_UNCERTAIN_ESCALATE").otherwise(""))
     # The judge.
     malicious, judged = col("judge_class") == "MALICIOUS", col("judge_confidence")
-    rows = decide(rows, malicious & (judged > 0.8), 1.0, "CRITICAL", "BLOCK", col("_path"))
-    rows = decide(rows, (col("judge_class") == "BENIGN") & (judged > 0.9), 0.0, "MINIMAL", "ALLOW", col("_path"))
-    rows = decide(rows, (malicious | (col("judge_class") == "SUSPICIOUS")) & col("task_conflict"), 0.95, "HIGH", "BLOCK", col("_path"))
+    rows = decide(rows, malicious & (judged > 0.8), 1.0, "CRITICAL", "BLOCK", col("_path"), "judge: attack,", percent(judged), "sure")
+    rows = decide(rows, (col("judge_class") == "BENIGN") & (judged > 0.9), 0.0, "MINIMAL", "ALLOW", col("_path"), "judge: harmless,", percent(judged), "sure")
+    rows = decide(rows, (malicious | (col("judge_class") == "SUSPICIOUS")) & col("task_conflict"), 0.95, "HIGH", "BLOCK", col("_path"), "judge: conflict with the task")
     # Rules and semantic score as one, lowered by structure and context.
     semantic = F.coalesce("semantic_score", F.lit(0.0))
     mean = lambda s: RULES_SHARE * col("score") + SEMANTIC_SHARE * s
@@ -188,19 +224,21 @@ def hybrid_verdict(found: DataFrame, block: float = 0.80, allow: float = 0.10, u
     bad, safe = label == "INJECTION", label == "SAFE"
     rows = rows.withColumn("_sure", F.when(bad & (told > 0.85) & (told < 0.98) & col("structure").isNotNull(), dampened(told)).otherwise(told))
     eff = col("_sure")
-    rows = decide(rows, bad & ((eff > 0.95) | ((eff > 0.85) & ~col("_context"))), 0.95, "HIGH", "BLOCK", "BERT_HIGH_CONFIDENCE_BLOCK")
+    rows = decide(rows, bad & ((eff > 0.95) | ((eff > 0.85) & ~col("_context"))), 0.95, "HIGH", "BLOCK", "BERT_HIGH_CONFIDENCE_BLOCK", "second classifier: injection,", percent(told), F.when(eff != told, F.concat(F.lit("less by structure: "), percent(eff))))
     rows = deeper_analysis(rows)
-    rows = decide(rows, safe & (told < 0.70) & hidden & (col("deeper_score") >= 0.6), col("deeper_score"), "HIGH", "BLOCK", "BIDIRECTIONAL_GO_VETO")
-    rows = decide(rows, bad & (told < 0.70) & hidden, F.least((col("score") + told) / 2 * 1.3, F.lit(1.0)), "HIGH", "BLOCK", "BIDIRECTIONAL_AGREEMENT_BOOST")
-    rows = decide(rows, safe & (told > 0.90) & ~hidden, 0.15, "MINIMAL", "ALLOW", "BERT_HIGH_CONFIDENCE_ALLOW")
+    rows = decide(rows, safe & (told < 0.70) & hidden & (col("deeper_score") >= 0.6), col("deeper_score"), "HIGH", "BLOCK", "BIDIRECTIONAL_GO_VETO", "disguise found where the second classifier saw none:", F.array_join("types", ", "))
+    rows = decide(rows, bad & (told < 0.70) & hidden, F.least((col("score") + told) / 2 * 1.3, F.lit(1.0)), "HIGH", "BLOCK", "BIDIRECTIONAL_AGREEMENT_BOOST", "disguise and injection,", percent(told), "sure")
+    rows = decide(rows, safe & (told > 0.90) & ~hidden, 0.15, "MINIMAL", "ALLOW", "BERT_HIGH_CONFIDENCE_ALLOW", "second classifier: harmless,", percent(told), "sure")
     weight = F.least(F.greatest(0.6 + (eff - 0.70) * 0.8, F.lit(0.4)), F.lit(0.85))
     heard = F.when(bad & (eff > 0.70) & ~(told - eff > told * 0.25) & ~col("_structured"), c * (1 - weight) + eff * weight).when(safe & (told > 0.75) & col("agentic").isNull(), c * (1 - told * 0.85))
     rows = rows.withColumn("combined", F.coalesce(heard, "combined"))
     asked = (c >= 0.4) & (c <= 0.7)
-    rows = decide(rows, asked & ~col("is_safe"), 0.95, "HIGH", "BLOCK", col("_path"))
+    rows = decide(rows, asked & ~col("is_safe"), 0.95, "HIGH", "BLOCK", col("_path"), "safeguard: unsafe")
     rows = change(rows, asked & col("is_safe"), F.lit(0.2), "combined")
+    # What has moved the score, if nothing has decided alone.
+    ends = (F.when(col("is_safe") & asked, "safeguard: safe;"), F.when(heard.isNotNull(), F.concat(F.lit("second classifier: likely "), F.when(bad, "injection").otherwise("harmless"), F.lit(";"))), F.when(col("is_educational"), "educational context;"), F.when(col("is_defensive"), "defensive context;"), F.when(col("_structured"), F.concat(F.lit("structure: "), col("structure"), F.lit(";"))), "score", percent(c))
     last = F.when(col("_path") == "", "AGGREGATED_SCORE").otherwise(col("_path"))
     for least, level, action in ((0.9, "CRITICAL", "BLOCK"), (0.7, "HIGH", "BLOCK"), (0.5, "MEDIUM", "WARN"), (0.4, "LOW", "WARN")):
-        rows = decide(rows, c >= least, c, level, action, last)
-    rows = decide(rows, F.lit(True), c, "MINIMAL", "ALLOW", last)
-    return rows.select("doc_id", col("_out.score").alias("combined_score"), col("_out.level").alias("risk_level"), col("_out.action").alias("action"), col("_out.path").alias("decision_path"), "rule_score")
+        rows = decide(rows, c >= least, c, level, action, last, *ends)
+    rows = decide(rows, F.lit(True), c, "MINIMAL", "ALLOW", last, *ends)
+    return rows.select("doc_id", col("_out.score").alias("combined_score"), col("_out.level").alias("risk_level"), col("_out.action").alias("action"), col("_out.path").alias("decision_path"), F.trim("_out.reason").alias("reason"), "rule_score")

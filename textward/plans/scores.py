@@ -89,6 +89,14 @@ def _scored(s, d):
     return corpus(s, d).withColumn("score", F.pmod(F.col("doc_id"), F.lit(11)) / 10)
 
 
+def _session_layer(s, d):
+    """For every event of a user the latest purchase up to it, in the place of a verdict."""
+    rows = s.read.parquet(f"{d}/events.parquet").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    verdicts = rows.filter("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), "at", (F.col("value") > 20).alias("session_block"), F.lit(0.9).alias("session_confidence"), F.col("value").alias("session_score"), F.col("event_type").alias("session_phase"), F.col("event_id").alias("session_turn"))
+    found = hyb.session_layer(rows.select(F.col("event_id").alias("doc_id"), F.col("user_id").alias("session_id"), "at"), verdicts, 86_400_000_000)
+    return found.select("doc_id", "session_block", "session_score", "session_turn")
+
+
 _PSCORE = "((((doc_id % 11) + 11) % 11) / 10::double)"
 
 QUERIES = {
@@ -118,7 +126,8 @@ QUERIES = {
     "c10_purpose_discount": lambda s, d: ctx.purpose_discount(ctx.purpose_scores(_scored(s, d)), "permissive").select("doc_id", F.round("discounted_score", 6).alias("discounted_score")),
     "c11_intent_keywords": lambda s, d: ctx.intents(corpus(s, d)).select("doc_id", "intent", F.round("intent_confidence", 6).alias("intent_confidence"), "second_intent", F.round("second_score", 6).alias("second_score")),
     "a9_risk_presets": lambda s, d: ver.preset_actions(_scored(s, d)).groupBy("preset", "action").agg(F.count("*").alias("texts")),
-    "a6_hybrid_verdict": lambda s, d: hyb.hybrid_verdict(hyb.evidence(corpus(s, d), BENIGN)).select("doc_id", F.round("combined_score", 6).alias("combined_score"), "risk_level", "action", "decision_path"),
+    "a6_hybrid_verdict": lambda s, d: hyb.hybrid_verdict(hyb.evidence(corpus(s, d), BENIGN)).select("doc_id", F.round("combined_score", 6).alias("combined_score"), "risk_level", "action", "decision_path", "reason"),
+    "a6_session_layer": _session_layer,
     "a7_deeper_analysis": lambda s, d: hyb.deeper_analysis(hyb.evidence(corpus(s, d)), "score_plain").filter("deobfuscated").select("doc_id", "types", F.round("deeper_score", 6).alias("deeper_score")),
     "f7_profile_action": lambda s, d: ctx.with_profile_action(_scored(s, d)).groupBy("profile", "action").agg(F.count("*").alias("texts")),
     "l1_char_profile": lambda s, d: lex.char_profile(corpus(s, d)),
@@ -161,6 +170,7 @@ from corpus left join alltier using (doc_id) left join h using (doc_id) left joi
     "c9_purpose_signals": f"with {LOW} select doc_id, {', '.join(f'round({_count("low", _P[g])} * {w}, 6)::double as {g}_score' for g, w in ctx.PURPOSE_WEIGHT.items())}, {_any('low', _P['code_review'])} as is_code_review from l",
     "c10_purpose_discount": f"with {LOW} select doc_id, round({_PSCORE} * (1 - least(0.5, {' + '.join(f'{_PERM[3 + i]} * {w} * {_count("low", _P[g])}' for i, (g, w) in enumerate(ctx.PURPOSE_WEIGHT.items()))})), 6)::double as discounted_score from l",
     "c11_intent_keywords": f"with {LOW}, s as ({' union all '.join(f'select doc_id, {_q(g)} as g, round({_count("low", _I[g])} * {0.225 if g == "ATTACK" else 0.15}, 6) as s from l' for g in sorted(_I))}), r as (select *, row_number() over (partition by doc_id order by s desc, g) as n from s) select doc_id, case when max(s) < 0.1 then 'CONVERSATIONAL' else max(g) filter (n = 1) end as intent, (case when max(s) < 0.1 then 0.5 else least(1.0, max(s)) end)::double as intent_confidence, max(g) filter (n = 2 and s > 0) as second_intent, (max(s) filter (n = 2))::double as second_score from r group by doc_id",
+    "a6_session_layer": "with v as (select user_id, ts, value, event_id from events where event_type = 'purchase') select e.event_id as doc_id, v.value > 20 as session_block, v.value as session_score, v.event_id as session_turn from events e asof left join v on e.user_id = v.user_id and e.ts >= v.ts",
     "f7_profile_action": f"with {CORPUS}, p(profile, block, warn) as (values {sql_values([r[:3] for r in ctx.PROFILES])}) select profile, case when {_PSCORE} >= block then 'BLOCK' when {_PSCORE} >= warn then 'WARN' else 'ALLOW' end as action, count(*) as texts from corpus, p group by all",
     "a9_risk_presets": f"with {CORPUS}, p(preset, block, warn) as (values ('strict', 0.40, 0.20), ('default', 0.55, 0.35), ('usable', 0.70, 0.50)) select preset, case when {_PSCORE} >= block then 'BLOCK' when {_PSCORE} >= warn then 'WARN' else 'ALLOW' end as action, count(*) as texts from corpus, p group by all",
     "l2_entropy_anomaly": f"with {CORPUS}, {_entropy('length(text)')}, s as (select doc_id, strlen(text) as n, coalesce(e, 0) as e from corpus left join h using (doc_id)) select doc_id, round(e, 6) as entropy, round(case when n >= 25 and abs(e - 4.5) > case when n < 50 then 2.5 when n < 100 then 1.5 when n > 200 then 0.3 else 1.0 end then least(abs(e - 4.5) / 2, 1.0) end, 6)::double as anomaly_score from s",
