@@ -79,17 +79,3 @@ def delete_seeds(target: DataFrame, gone: DataFrame, key: str = "id") -> DataFra
 def list_seeds(seeds: DataFrame, category: str, limit: int) -> DataFrame:
     """The first seeds of a category, by id."""
     return seeds.filter(F.col("category") == category).orderBy("id").limit(limit)
-
-
-def load_phase_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-turn seed files (pattern -> phases -> examples) as rows; severity is the pattern's severity by the phase's threshold."""
-    schema = "patterns map<string,struct<severity:double,phases:map<string,struct<threshold:double,examples:array<string>>>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    patterns = raw.select(F.explode("patterns").alias("category", "p"))
-    phases = patterns.select("category", F.col("p.severity").alias("s"), F.explode("p.phases").alias("phase", "q"))
-    return phases.select("category", "phase", (F.col("s") * F.col("q.threshold")).alias("severity"), F.explode("q.examples").alias("text"))
-
-
-def severity_by_category(seeds: DataFrame, levels: DataFrame, default: float = 0.7) -> DataFrame:
-    """seeds with missing severities taken from a category dimension (category, level)."""
-    return seeds.join(F.broadcast(levels), "category", "left").withColumn("severity", F.coalesce("severity", "level", F.lit(default))).drop("level")
