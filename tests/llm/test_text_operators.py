@@ -713,3 +713,39 @@ def test_token_id_files(spark, tmp_path):
         assert all(by[i] == library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows if i in by)
     id_files.write_ids(df.limit(0), str(tmp_path / "none"), BYTE_BPE)
     assert id_files.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def ogg_page(last=False, body=b"x" * 30):
+    return b"OggS\x00" + bytes([4 * last]) + b"\0" * 20 + bytes([1, len(body)]) + body
+
+
+def test_media_walks_are_linear():
+    import time
+
+    box = lambda kind, body=b"": (8 + len(body)).to_bytes(4, "big") + kind + body
+    began = time.time()
+    for data in (ogg_page() * 70_000, box(b"ftyp", b"isom" * 4) * 170_000, b"x" + (b"fLaC\0\0\0\x22" + b"\0" * 34) * 90_000):
+        assert len(data) > 3_700_000
+        assert media.sniff(data)[2] == []
+    assert time.time() - began < 60
+    good = ogg_page() * 3 + ogg_page(True)
+    assert media.sniff(b"ab" + good + b"zz")[2] == [("ogg", 2, 2 + len(good))]
+    film = box(b"ftyp", b"isom") + box(b"free") + box(b"moov", b"1234")
+    assert media.sniff(film) == ("mp4", len(film), []) and media.sniff(b"--" + film + b"\xff")[2] == [("mp4", 2, 2 + len(film))]
+    assert media.sniff(ogg_page() + good) [0] == "ogg"
+
+
+def test_salvage_of_chained_heads_is_linear():
+    import time
+
+    record = warc.build_record(1, "http://a", b"hello")
+    for chain in (b"\x1f\x8b\x08\x08" + b"x" * 6, b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n"):
+        data = chain * (2_000_000 // len(chain)) + b"\r\n\r\n" + record
+        began = time.time()
+        found = list(warc.salvage(data))
+        assert [x[0] for x in found].count("record") == 1 and time.time() - began < 30, chain
+    long = record.replace(b"WARC-Date", b"X-Long: " + b"y" * 9000 + b"\r\n" + b"X-More: " + b"z" * 5000 + b"\r\nWARC-Date", 1)
+    assert [x[0] for x in warc.salvage(long)] == ["record"]
+    packed = warc.member(record)
+    named = packed[:3] + b"\x08" + packed[4:10] + b"name\0" + packed[10:]
+    assert [x[0] for x in warc.salvage(named)] == ["record"]

@@ -22,6 +22,8 @@ import re
 import struct
 import zlib
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +129,8 @@ class Places:
     def __init__(self, data: bytes):
         self.data = data
         self.known: dict[bytes, list[int]] = {}
+        # What came of walks from page to page or box to box, by kind and place: later magics on the way need not go it again.
+        self.walks: dict[str, dict[int, object]] = {}
 
     def of(self, pattern: bytes) -> list[int]:
         if pattern not in self.known:
@@ -251,41 +255,66 @@ def _gzip(data, at, places):
     return ("gzip", min(pos, len(data)) - len(stream.unused_data)) if stream.eof else None
 
 
+def _walk(places: Places, kind: str, at: int, step: Callable, ends: Callable):
+    """What comes of the walk from `at`: step(place) gives the next place and what is there, or None where the walk stops; ends(place, what is there,
+    what came of the rest) goes back from the stop, whose two last are None."""
+    known = places.walks.setdefault(kind, {})
+    way, pos, out = [], at, None
+    while pos not in known:
+        following = step(pos)
+        if following is None:
+            known[pos] = ends(pos, None, None)
+            break
+        way.append((pos, following[1]))
+        pos = following[0]
+    out = known[pos]
+    for pos, added in reversed(way):
+        out = known[pos] = ends(pos, added, out)
+    return out
+
+
 def _flac(data, at, places):
-    pos, first = at + 4, True
-    while pos + 4 <= len(data):
-        kind, size = data[pos] & 127, int.from_bytes(data[pos + 1 : pos + 4], "big")
-        if first and (kind or size != 34):
+    if data[at + 4 : at + 5] not in (b"\x00", b"\x80") or int.from_bytes(data[at + 5 : at + 8], "big") != 34:
+        return None
+
+    def block(pos):
+        if pos + 4 > len(data):
             return None
-        last, first = data[pos] & 128, False
-        pos += 4 + size
-        if last:
-            return ("flac", len(data)) if data[pos : pos + 1] == b"\xff" and data[pos + 1 : pos + 2] and data[pos + 1] & 0xFE == 0xF8 else None
-    return None
+        return pos + 4 + int.from_bytes(data[pos + 1 : pos + 4], "big"), bool(data[pos] & 128)
+
+    def frame(pos):
+        return data[pos : pos + 1] == b"\xff" and len(data) > pos + 1 and data[pos + 1] & 0xFE == 0xF8
+
+    def ends(pos, last, rest):
+        return False if last is None else frame(block(pos)[0]) if last else rest
+
+    return ("flac", len(data)) if _walk(places, "flac", at + 4, block, ends) else None
 
 
 def _ogg(data, at, places):
-    pos = at
-    while data[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(data):
-        table = data[pos + 27 : pos + 27 + data[pos + 26]]
-        if len(table) < data[pos + 26] or pos + 27 + len(table) + sum(table) > len(data):
+    def page(pos):
+        if data[pos : pos + 5] != b"OggS\x00" or pos + 27 > len(data):
             return None
-        last = data[pos + 5] & 4
-        pos += 27 + len(table) + sum(table)
-        if last:
-            return "ogg", pos
-    return None
+        table = data[pos + 27 : pos + 27 + data[pos + 26]]
+        after = pos + 27 + len(table) + sum(table)
+        return None if len(table) < data[pos + 26] or after > len(data) else (after, bool(data[pos + 5] & 4))
+
+    end = _walk(places, "ogg", at, page, lambda pos, last, rest: -1 if last is None else page(pos)[0] if last else rest)
+    return ("ogg", end) if end > at else None
+
+
+_BOX = re.compile(rb"[a-zA-Z0-9 ]{4}")
 
 
 def _mp4(data, at, places):
-    pos, kinds = at, []
-    while pos + 8 <= len(data):
+    def box(pos):
+        if pos + 8 > len(data):
+            return None
         size, kind = int.from_bytes(data[pos : pos + 4], "big"), data[pos + 4 : pos + 8]
-        if size < 8 or pos + size > len(data) or not re.fullmatch(rb"[a-zA-Z0-9 ]{4}", kind):
-            break
-        kinds.append(kind)
-        pos += size
-    return ("mp4", pos) if kinds[:1] == [b"ftyp"] and {b"moov", b"moof"} & {*kinds} else None
+        return None if size < 8 or pos + size > len(data) or not _BOX.fullmatch(kind) else (pos + size, kind in (b"moov", b"moof"))
+
+    end, has = _walk(places, "mp4", at, box, lambda pos, media, rest: (pos, False) if media is None else (rest[0], media or rest[1]))
+    return ("mp4", end) if has and data[at + 4 : at + 8] == b"ftyp" else None
 
 
 def _bmp(data, at, places):

@@ -32,6 +32,8 @@ from . import common as C
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 2, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 #: Runs of members, a line each for Spark's writer, of which a file has at most so many.
 BLOCKS = 64
+#: Bytes of a header block that are looked at before the rest of a longer one.
+HEAD_BYTES = 4096
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -103,7 +105,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 def _headers(raw: bytes) -> dict[str, str] | None:
     found: dict[str, str] = {}
-    for line in raw.split(b"\r\n"):
+    at = 0
+    while at <= len(raw):  # a line at a time: the first bad one ends it
+        end = raw.find(b"\r\n", at)
+        line, at = (raw[at:], len(raw) + 1) if end < 0 else (raw[at:end], end + 2)
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             return None
@@ -116,15 +121,22 @@ def _digest_holds(stated: str | None, data: bytes) -> bool:
     return kind.lower() != "sha1" or value.upper() == sha1_base32(data)
 
 
-def _record_at(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The plain record that starts at `at`: record, end, and why there is none."""
+def _record_at(data: bytes, at: int, blank: list[int] | None = None) -> tuple[dict | None, int, str]:
+    """The plain record that starts at `at`: record, end, and why there is none. blank: where the search for an empty line ended last, kept from place to place."""
     first = VERSION.match(data, at)
     if not first:
         return None, at, "no version line"
-    end = data.find(b"\r\n\r\n", first.end())
-    if end < 0:
+    blank = blank if blank is not None else [-1]
+    if blank[0] < first.end():
+        blank[0] = data.find(b"\r\n\r\n", first.end())
+        blank[0] = len(data) if blank[0] < 0 else blank[0]
+    end = blank[0]
+    if end == len(data):
         return None, at, "header block not ended"
-    head = _headers(data[first.end() : end])
+    first_lines = data[first.end() : min(end, first.end() + HEAD_BYTES)]
+    # Of a long block the first lines tell mostly that it is none.
+    whole = len(first_lines) == end - first.end() or b"\r\n" not in first_lines or _headers(first_lines[: first_lines.rfind(b"\r\n")]) is not None
+    head = _headers(data[first.end() : end]) if whole else None
     if head is None or not head.get("content-length", "").isdigit() or "warc-type" not in head:
         return None, at, "bad header block"
     start, size = end + 4, int(head["content-length"])
@@ -171,11 +183,26 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), pos, reason
 
 
+def _packed_from(data: bytes, at: int, zero: int) -> tuple[int, int]:
+    """Where the packed stream of the member at `at` starts (-1 if its head does not say), and the first zero byte at or after its name; zero: the one found last."""
+    flags = data[at + 3] if at + 10 <= len(data) else 255
+    if data[at + 2 : at + 3] != b"\x08" or flags & ~(8 | 16 | 1):
+        return -1, zero
+    pos = at + 10
+    for flag in (8, 16):
+        if flags & flag:
+            if zero < pos:
+                zero = data.find(b"\0", pos)
+                zero = len(data) if zero < 0 else zero
+            pos = zero + 1
+    return pos, zero
+
+
 def _within(body: bytes) -> Iterator[tuple[str, dict | int, int, int, str]]:
     """Like salvage() over the inflated bytes of a member, with start and end: kind, record or bytes, start, end, reason."""
-    at, gap_from, why = 0, None, ""
+    at, gap_from, why, blank = 0, None, "", [-1]
     while at < len(body):
-        record, end, reason = _record_at(body, at)
+        record, end, reason = _record_at(body, at, blank)
         if record is not None:
             if gap_from is not None:
                 yield "gap", at - gap_from, gap_from, at, why
@@ -197,11 +224,15 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict | int, int, str]]:
     A member without a valid record is a gap of its packed bytes. Of a damaged one with some, the inner gaps are given, and the packed
     bytes from where reading failed to the next valid start.
     """
-    at, gap_from, why = 0, None, ""
+    at, gap_from, why, blank, known = 0, None, "", [-1], (-1, None)
+    zero = -1
     read_to, had = 0, set()  # how far a damaged member was read, and the records found in it: stored blocks show them plainly again
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
-            body, end, reason = _inflated(data, at)
+            start, zero = _packed_from(data, at, zero)
+            if known[0] != start or start < 0:  # several headers may lead to one stream
+                known = (start, _inflated(data, at))
+            body, end, reason = known[1]
             found = list(_within(body))
             good = any(x[0] == "record" for x in found)
             if good or not body and not reason:
@@ -219,7 +250,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict | int, int, str]]:
             elif not reason:
                 reason = found[0][4]
         else:
-            record, end, reason = _record_at(data, at)
+            record, end, reason = _record_at(data, at, blank)
             if record is not None:
                 if gap_from is not None and gap_from < at:
                     yield "gap", at - gap_from, gap_from, why
