@@ -15,6 +15,7 @@ pieces; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -47,6 +48,26 @@ class Ids:
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.known: dict[str, bytes] = {}
         self.size = 0
+        # Whether a token ends a pre-token: the vocabulary says so in its string.
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each pre-token. Many are one text, with blanks between (which the tokenizer drops), and are told apart by the tokens that end one."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), AT_A_TIME):
+            some = words[lo : lo + AT_A_TIME]
+            raw = self._encode([" ".join(some)])[0]
+            stops = 4 * (np.flatnonzero(self.last[np.frombuffer(raw, np.uint32)]) + 1)
+            if len(stops) != len(some) or stops[-1] != len(raw):
+                out += self._encode(some)
+                continue
+            ends = stops.tolist()
+            out += [raw[s:e] for s, e in zip([0, *ends], ends)]
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -63,7 +84,7 @@ class Ids:
             self.size = 0
         known = self.known
         missing = [x for x in parts.distinct if x not in known]
-        new = dict(zip(missing, self._encode(missing)))
+        new = dict(zip(missing, self._encode_words(missing)))
         own = [known[x] if x in known else new[x] for x in parts.distinct]
         short = {k: v for k, v in new.items() if len(k) <= 64}
         known.update(short)
