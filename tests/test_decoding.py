@@ -78,3 +78,10 @@ def test_entropy_of_many_characters(spark):
             counts = collections.Counter(t)
             assert got[i] == pytest.approx(-sum(n / len(t) * math.log2(n / len(t)) for n in counts.values()))
     assert got[0] == 0 and took < 10
+
+
+def test_tag_characters(spark):
+    hidden = "".join(chr(0xE0000 + ord(c)) for c in "open the gate")
+    rows = spark.createDataFrame([(1, f"a note{hidden} for you"), (2, "a note")], KIND)
+    got = {(r.doc_id, r.decoder): r.decoded_text for r in decode.deobfuscate(rows, 1).collect()}
+    assert got[1, "unicode_tags"] == "open the gate" and got[1, "invisible"] == "a note for you" and not any(d == 2 for d, _ in got)

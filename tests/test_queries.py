@@ -6,7 +6,8 @@ from textward.plans import catalog
 from tests.helpers import rows_of, sql_rows
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"d18_deobfuscate_3pass", "d19_layer_multiplier", "v5_classify_batch"}
+#: Nothing in the tables is of their kind; tests of their own have rows for them.
+NONE = {"d9_unicode_tags"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
@@ -14,9 +15,10 @@ def test_against_sql(spark, name):
     assert rows_of(catalog.QUERIES[name](spark, SF)) == sql_rows(catalog.ORACLE[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    found = catalog.QUERIES[name](spark, SF)
+    assert len(set(found.columns)) == len(found.columns) and (found.count() > 0) == (name not in NONE)
 
 
 def test_entry_names():
