@@ -180,6 +180,7 @@ from corpus left join alltier using (doc_id) left join h using (doc_id) left joi
     "l5_structure_flags": r"with {0}, t as (select doc_id, len(regexp_extract_all(text, '[\"''`]')) > 2 as a, contains(text, '```') as b, contains(text, '<!--') or contains(text, '-->') or contains(text, '/*') or contains(text, '*/') or contains(text, '//') or contains(text, '#') as c, contains(text, '<policy') or contains(text, '<system') or contains(text, '\"safety\"') or contains(text, '\"restrictions\"') as d, case when text = '' then false else len(regexp_extract_all(text, '[{{}}\[\]]')) / strlen(text) > 0.1 end as e from corpus) select doc_id, list_filter([case when a then 'deep_nesting' end, case when b then 'code_block' end, case when c then 'comment_markers' end, case when d then 'policy_structure' end, case when e then 'high_brackets' end], lambda x: x is not null) as patterns, round(0.2 * a::int + 0.15 * b::int + 0.1 * c::int + 0.25 * d::int + 0.15 * e::int, 6)::double as structure_score from t".replace('\\"', '"').format(CORPUS),
     "l7_mixed_script_tokens": f"with {CORPUS} select doc_id, list_filter({_SECOND_WORD}, lambda t: regexp_matches(t, '\\p{{Latin}}') and regexp_matches(t, '[\\p{{Cyrillic}}\\p{{Greek}}]')) as tokens from corpus",
 }
-# The SQL of what starts from a score, with the scores before it.
+# The SQL of what starts from a score has the scores before it.
+SCORED = f"with scores as materialized (select doc_id as sid, heuristic_score from ({ORACLE['h10_plain_score']})), "
 for _name in ("h9_foreign_penalty", "f7_action_from_score", "f7_profile_action", "c2_context_modifier", "c4_domain_modifier", "c10_purpose_discount", "a9_risk_presets"):
-    ORACLE[_name] = ORACLE[_name].replace("with ", f"with scores as materialized (select doc_id as sid, heuristic_score from ({ORACLE['h10_plain_score']})), ", 1)
+    ORACLE[_name] = SCORED + ORACLE[_name].removeprefix("with ")

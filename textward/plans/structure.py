@@ -8,7 +8,7 @@ from textward.functions.tables import grouped, rows, sql_values
 from textward.operators import context as ctx
 from textward.operators import lexical as lex
 from textward.plans.planted import CORPUS, corpus
-from textward.plans.scores import _PSCORE, _any, _count, _q, _scored
+from textward.plans.scores import _PSCORE, SCORED, _any, _count, _q, _scored
 from textward.plans.scores import ORACLE as SCORES
 
 FUZZY = ("ignore previous instructions", "system prompt", "training data report")
@@ -122,8 +122,8 @@ _PAIRS = sql_values([(g, w) for g in sorted(_A) for a in _A[g] for w in a.split(
 _OWN = " ".join("when intent = " + _q(g) + " then list_filter([" + ", ".join(f"case when contains(low, {_q(k)}) then {_q(k)} end" for k in dict.fromkeys(_I[g])) + "], lambda x: x is not null)" for g in sorted(_I))
 ORACLE = {
     "c5_structural_context": f"with {CORPUS}, {_structures()} select doc_id, structure, round(structure_confidence, 6) as structure_confidence from structures",
-    "c6_structural_dampen": f"with {CORPUS}, {_structures()}, {_DIM}, sc as (select doc_id, {_PSCORE} as score from corpus) select doc_id, round({_LOWER.format('score')}, 6)::double as dampened from sc join structures using (doc_id) left join dim using (structure)",
-    "c7_dampen_classifier": f"with {CORPUS}, {_structures()}, {_DIM}, sc as (select doc_id, {_PSCORE} as score from corpus) select doc_id, round(case when score >= 0.5 and score < 0.98 then {_LOWER.format('score')} else score end, 6)::double as dampened from sc join structures using (doc_id) left join dim using (structure)",
+    "c6_structural_dampen": f"{SCORED}{CORPUS}, {_structures()}, {_DIM}, sc as (select doc_id, {_PSCORE} as score from corpus) select doc_id, round({_LOWER.format('score')}, 6)::double as dampened from sc join structures using (doc_id) left join dim using (structure)",
+    "c7_dampen_classifier": f"{SCORED}{CORPUS}, {_structures()}, {_DIM}, sc as (select doc_id, {_PSCORE} as score from corpus) select doc_id, round(case when score >= 0.5 and score < 0.98 then {_LOWER.format('score')} else score end, 6)::double as dampened from sc join structures using (doc_id) left join dim using (structure)",
     "c8_agentic_attack_type": f"with {CORPUS}, l as (select doc_id, lower(text) as low from corpus) select doc_id, {_agentic('low')} as attack_type from l",
     "c13_intent_explain": f"with i as ({SCORES['c11_intent_keywords']}), {CORPUS}, l as (select doc_id, lower(text) as low from corpus) select doc_id, intent, case {_OWN} else [] end as keywords from i join l using (doc_id)",
     "l9_fuzzy_match": f"with {CORPUS}, w as (select distinct doc_id, unnest({_WORDS}) as w from corpus), hit as (select doc_id, i, phrase, n, count(distinct pw) as k from w join {_NEED} on abs(length(w) - length(pw)) <= most and levenshtein({_FLAT}, pw) <= most group by all), ok as (select *, k / n as score, row_number() over (partition by doc_id order by i) as r from hit where k / n >= 0.8) select doc_id, phrase, round(score, 6)::double as score from ok where r = 1",
