@@ -170,9 +170,10 @@ def split_sinks(scanned: DataFrame, passed: str, blocked: str, checkpoint: str):
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of its files."""
+    """A given table, one file or a folder of files, as a stream. All files that are there come in one batch: they don't follow one another in time, so
+    a session's turns would be out of order, and events late, if they came one by one."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern, as a stream's plain path must be a folder
 
 
 def run_to_end(stream: DataFrame, stateful: bool = False, path: str | None = None) -> DataFrame:
