@@ -94,3 +94,23 @@ def test_split_sinks(spark, tmp_path):
     assert read("pass") == [1, 3] and read("block") == [2]
     streams.write_split(streams.stream_scan(texts), 0, f"{tmp_path}/pass", f"{tmp_path}/block")  # the same batch again
     assert read("pass") == [1, 3] and read("block") == [2]
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_table_stream(spark, tmp_path, folder):
+    """A table in several files is read whole, and a session that lies in several of them is taken in order."""
+    rows = [(c, t, "user", "x" * 300, datetime.datetime(2024, 1, 1 + t)) for t in reversed(range(4)) for c in range(5)]
+    for part in range(4 if folder else 1):
+        some = spark.createDataFrame(rows[part * 5 : part * 5 + 5] if folder else rows, TURNS + ", ts timestamp").coalesce(1)
+        if folder:
+            some.write.mode("append").parquet(f"{tmp_path}/in/turns.parquet")
+        else:
+            some.toPandas().to_parquet(f"{tmp_path}/turns.parquet", coerce_timestamps="us")
+    source = f"{tmp_path}/in" if folder else str(tmp_path)
+    turns = lambda: streams.table_stream(spark, source, "turns").selectExpr("* except (ts)", "cast(ts as timestamp) as ts")
+    scanned = streams.run_to_end(streams.stream_scan(turns().selectExpr("conv_id * 10 + turn as doc_id", "text")))
+    assert sorted(r.doc_id for r in scanned.collect()) == [c * 10 + t for c in range(5) for t in range(4)]
+    budgets = streams.run_to_end(streams.stream_budgets(turns(), {"turns": 2}), stateful=True).collect()
+    assert {(r.conv_id, r.turn): r.allowed for r in budgets} == {(c, t): t < 2 for c in range(5) for t in range(4)}
+    aged = streams.run_to_end(streams.stream_sessions(turns().withWatermark("ts", "10 minutes"), event_time="ts", age_ms=10**12)).collect()
+    assert {(r.conv_id, r.turn): r.session_turn for r in aged} == {(c, t): t + 1 for c in range(5) for t in range(4)}
