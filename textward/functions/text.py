@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import warnings
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,7 +125,7 @@ def required_any(regex: str) -> tuple[str, ...]:
 
 
 def one_pass(literals) -> str:
-    """A pattern that is found where one of the strings stands: their common beginnings are tried once."""
+    """A pattern that is found where one of the strings stands: their common beginnings are tried once, and the next character halves what is left."""
     root: dict = {}
     for literal in literals:
         node = root
@@ -132,8 +136,14 @@ def one_pass(literals) -> str:
     def pattern(node: dict) -> str:
         if "" in node:
             return ""  # what is longer holds this one
-        parts = [re.escape(c) + pattern(rest) for c, rest in sorted(node.items())]
-        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return halved(sorted(node.items()))
+
+    def halved(parts: list) -> str:
+        if len(parts) < 3:
+            each = [re.escape(c) + pattern(rest) for c, rest in parts]
+            return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+        half = len(parts) // 2
+        return f"(?:(?=[{''.join(re.escape(c) for c, _ in parts[:half])}]){halved(parts[:half])}|{halved(parts[half:])})"
 
     return pattern(root)
 
@@ -223,6 +233,192 @@ def matches(text: Column, low: Column, regex: str) -> Column:
     return F.when(text.rlike("[0-9]"), found).otherwise(F.lit(False)) if requires_digit(regex) else found
 
 
+@functools.lru_cache(None)
+def required_sets(regex: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of lower-case strings, of each of which every match holds one at least."""
+    out: list[tuple[str, ...]] = []
+
+    def alone(items) -> tuple[str, ...]:
+        """The best set of a branch of its own."""
+        kept, out[:] = out[:], []
+        walk(items)
+        own, out[:] = out[:], kept
+        return min(own, key=len) if own else ()
+
+    def walk(items) -> None:
+        run = ""
+        for op, arg in [*items, ("END", None)]:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if _telling(run):
+                out.append((run,))
+            run = ""
+            if name == "SUBPATTERN":
+                walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
+                walk(arg[2])
+            elif name == "BRANCH":
+                each = [alone(x) for x in arg[1]]
+                if all(each):
+                    out.append(tuple(dict.fromkeys(x for own in each for x in own)))
+
+    try:
+        walk(_parser.parse(regex))
+    except re.error:
+        return ()
+    return tuple(dict.fromkeys(out))
+
+
+@functools.lru_cache(None)
+def telling_sets(regex: str) -> tuple[tuple[str, ...], ...]:
+    """The required sets that tell most: those of strings of four characters and more, else the one whose strings are longest."""
+    every = sorted(required_sets(regex), key=lambda own: -min(map(len, own)))
+    return tuple(own for own in every if min(map(len, own)) >= 4) or tuple(every[:1])
+
+
+#: Characters of texts whose tokens are looked at together.
+_TOGETHER = 1 << 22
+
+
+def _stretches(texts: list[str]) -> Iterator[list[str]]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > _TOGETHER:
+            yield texts[lo:i]
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield texts[lo:]
+
+
+def _holders(tokens: set[str], pieces: list[str]) -> dict[str, int]:
+    """The tokens that hold pieces, each with a bit for every piece. All tokens are searched as one string, so a piece costs one search."""
+    every = list(tokens)
+    joined, starts, at = "\n".join(every), [], 0
+    for t in every:
+        starts.append(at)
+        at += len(t) + 1
+    out: dict[str, int] = {}
+    for i, piece in enumerate(pieces):
+        at = joined.find(piece)
+        while at >= 0:
+            k = bisect.bisect_right(starts, at) - 1
+            out[every[k]] = out.get(every[k], 0) | 1 << i
+            at = joined.find(piece, starts[k] + len(every[k]))
+    return out
+
+
+def _pieces(strings: list[str]) -> tuple[list[str], dict[str, list[int]]]:
+    """The longest word of each string (empty where it has none), without repeats, and the numbers of each word's strings."""
+    of: dict[str, list[int]] = {}
+    for i, x in enumerate(strings):
+        of.setdefault(max(x.split(), key=len, default=""), []).append(i)
+    return list(of), of
+
+
+def _bits(number: int) -> Iterator[int]:
+    while number:
+        low = number & -number
+        yield low.bit_length() - 1
+        number ^= low
+
+
+def _standing(texts: list[str], strings: list[str]) -> Iterator[int]:
+    """For each text a bit for every string that stands in it.
+
+    A string's longest word lies within a token of the text. So the distinct tokens of some million characters are searched for each word once, and a
+    text needs its own tokens looked up; strings of several words are then searched in the texts with their longest.
+    """
+    pieces, of = _pieces(strings)
+    alone = [sum(1 << i for i in of[p] if strings[i] == p) for p in pieces]
+    longer = [[i for i in of[p] if strings[i] != p] for p in pieces]
+    blank = 1 << pieces.index("") if "" in pieces else 0
+    words = [p or "\n\n" for p in pieces]  # no string of tokens holds the latter
+    for some in _stretches(texts):
+        own = [set(t.split()) for t in some]
+        holders = _holders(set().union(*own), words)
+        known = set(holders)
+        for t, tokens in zip(some, own):
+            hit = functools.reduce(lambda a, token: a | holders[token], tokens & known, blank)
+            found = 0
+            for p in _bits(hit):
+                found |= alone[p]
+                for i in longer[p]:
+                    if strings[i] in t:
+                        found |= 1 << i
+            yield found
+
+
+def candidates(low: Column, regexes: list[str]) -> Column:
+    """Numbers of the patterns that may be found in the text (ascending), by the strings that each requires. low is the lower-case text."""
+    strings = sorted({x for r in regexes for own in telling_sets(r) for x in own})
+    bit = {x: 1 << i for i, x in enumerate(strings)}
+    masks = [[sum(bit[x] for x in own) for own in telling_sets(r)] for r in regexes]
+
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[i for i, own in enumerate(masks) if all(hit & m for m in own)] for hit in _standing(texts.fillna("").tolist(), strings)], dtype=object)
+
+    return F.pandas_udf(found, "array<int>")(low)
+
+
+def matches_of(text: Column, candidates: Column, number: int, regex: str) -> Column:
+    """Whether a pattern with its number among the candidates is found."""
+    found = text.rlike(java(regex))
+    if not required_sets(regex) and requires_digit(regex):
+        return F.when(text.rlike("[0-9]"), found).otherwise(F.lit(False))
+    return F.when(F.array_contains(candidates, number), found).otherwise(F.lit(False))
+
+
+#: What parts words here; other blanks of Unicode are parts of words.
+_TOKEN = re.compile("[^\t\n\x0b\f\r\x20\x85\xa0]+")
+
+
+def looked_up(text: Column, weights: list[tuple[str, float]], regexes: tuple[str, ...] = (), strings: tuple[str, ...] = (), blanked: str = "") -> Column:
+    """struct of points, maybe and some, by one look at the tokens of a lower-case text; 0, none and false for null.
+
+    points: the sum of weights, of one-word strings for every token that holds them, of others once where they stand. maybe: candidates of the patterns.
+    some: whether one of `strings` stands there. blanked: characters for which the text has blanks; the patterns' strings and `strings` are read likewise.
+    """
+    plain = lambda x: x.lower().translate(dict.fromkeys(map(ord, blanked), " "))
+    required = sorted({plain(x) for r in regexes for own in telling_sets(r) for x in own})
+    bit = {x: 1 << i for i, x in enumerate(required)}
+    masks = [[functools.reduce(lambda a, x: a | bit[plain(x)], own, 0) for own in telling_sets(r)] for r in regexes]
+    literals = [plain(x) for x in strings]
+    keys, weight, first = [*required, *(k for k, _ in weights)], [w for _, w in weights], len(required)
+    pieces, of = _pieces(keys)
+    words = [p or "\n\n" for p in pieces]  # no string of tokens holds the latter
+    blank = 1 << pieces.index("") if "" in pieces else 0
+
+    def found(texts: pd.Series) -> pd.DataFrame:
+        points, maybe = [], []
+        every = texts.fillna("").tolist()
+        for some in _stretches(every):
+            own = [Counter(_TOKEN.findall(t)) for t in some]
+            holders = _holders(set().union(*own), words)
+            known = set(holders)
+            for t, tokens in zip(some, own):
+                held = tokens.keys() & known
+                hit, counts = 0, {}
+                for p in _bits(functools.reduce(lambda a, token: a | holders[token], held, blank)):
+                    for i in of[pieces[p]]:
+                        if i < first:
+                            hit |= 1 << i if keys[i] == pieces[p] or keys[i] in t else 0
+                        elif keys[i] == pieces[p]:
+                            counts[i - first] = sum(tokens[token] for token in held if holders[token] >> p & 1)
+                        elif keys[i] in t:
+                            counts[i - first] = 1
+                total = 0.0
+                for i in sorted(counts):
+                    total += counts[i] * weight[i]
+                points.append(total)
+                maybe.append([i for i, m in enumerate(masks) if all(hit & x for x in m)])
+        return pd.DataFrame({"points": points, "maybe": pd.Series(maybe, dtype=object), "some": [any(x in t for x in literals) for t in every]})
+
+    return F.pandas_udf(found, "points double, maybe array<int>, some boolean")(text)
+
+
 def any_of(low: Column, phrases: list[str]) -> Column:
     """Whether the text holds one of the phrases."""
     return functools.reduce(lambda a, b: a | b, (low.contains(p) for p in phrases))

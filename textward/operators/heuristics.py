@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import any_of, matches, one_pass
+from textward.functions.text import any_of, candidates, looked_up, matches, matches_of, one_pass
 from textward.operators.scan import crypto_score
 
 #: Order in which rule families are asked.
@@ -23,15 +23,10 @@ CANARIES = ("8f4b2e1a-9c3d-5e7f", "project_zero_access_code")
 _SPACE = "[\\t\\n\\x0B\\f\\r\\x20\\x85\\xA0]"
 
 
-def _one_of(phrases: list[str]) -> str:
-    """Pattern of any of the phrases."""
-    return "|".join("\\Q" + p + "\\E" for p in phrases)
-
-
 def attack_predicate(text: Column) -> Column:
     """Override word and instruction word, or a phrase of extraction, jailbreak or exfiltration. One pattern a list, so the lower-case text is made few times."""
     low, p = F.lower(text), tables.grouped("attack")
-    return low.rlike(_one_of([*p["extraction"], *p["jailbreak"], *p["exfil"]])) | (low.rlike(_one_of(p["override"])) & low.rlike(_one_of(p["instruction"])))
+    return low.rlike(one_pass([*p["extraction"], *p["jailbreak"], *p["exfil"]])) | (low.rlike(one_pass(p["override"])) & low.rlike(one_pass(p["instruction"])))
 
 
 def asks_for_prompt(text: Column) -> Column:
@@ -61,19 +56,25 @@ def family_best(corpus: DataFrame, family: str) -> DataFrame:
     return low.withColumn("_best", best).select("doc_id", "text", F.coalesce(F.col("_best.score"), F.lit(0.0)).alias("score"), F.col("_best.label").alias("label"))
 
 
-def tier(text: Column, low: Column, families: tuple[str, ...] = FAMILIES) -> Column:
-    """struct(family, score) of the first family with a hit; the tool family counts from 0.7 on and is mapped to 0.75 and up."""
-    every, out = tables.rows("input_tiers"), []
+def tier(text: Column, low: Column, families: tuple[str, ...] = FAMILIES, maybe: Column | None = None) -> Column:
+    """struct(family, score) of the first family with a hit; the tool family counts from 0.7 on and is mapped to 0.75 and up. maybe: tier_candidates of low."""
+    every, out = list(enumerate(tables.rows("input_tiers"))), []
+    maybe = tier_candidates(low) if maybe is None else maybe
     for family in families:
-        own = sorted((r for r in every if r[0] == family), key=lambda r: -float(r[1]))
-        for score in dict.fromkeys(float(r[1]) for r in own):
+        own = sorted((r for r in every if r[1][0] == family), key=lambda r: -float(r[1][1]))
+        for score in dict.fromkeys(float(r[1]) for _, r in own):
             if family == "tool" and score < 0.7:
                 continue
-            hit = functools.reduce(lambda a, b: a | b, (matches(text, low, r[3]) for r in own if float(r[1]) == score))
+            hit = functools.reduce(lambda a, b: a | b, (matches_of(text, maybe, i, r[3]) for i, r in own if float(r[1]) == score))
             out.append(F.when(hit, F.struct(F.lit(family).alias("family"), F.lit(0.75 + (score - 0.7) * 0.67 if family == "tool" else score).alias("score"))))
     return F.coalesce(*out)
 
 
+def tier_candidates(low: Column) -> Column:
+    """Numbers of the tiered rules that may hit a lower-case text."""
+    return candidates(low, [r[3] for r in tables.rows("input_tiers")])
+
+
 def entropy(text: Column, per_byte: bool) -> Column:
     """Shannon bits over characters; shares are of the text's bytes or of its characters. Null and empty texts have none (0).
 
@@ -101,9 +102,18 @@ def entropy(text: Column, per_byte: bool) -> Column:
     return F.pandas_udf(bits, "double")(text)
 
 
-def compressed(text: Column) -> Column:
-    """text, and after it the text without white space if over a quarter of its bytes are white space."""
-    spaces = F.regexp_count(text, F.lit(_SPACE))
+def blanks(text: Column) -> Column:
+    """Number of white-space characters (0 for null), counted in Arrow batches: a pattern would cut out each."""
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([sum(map(t.count, "\t\n\x0b\f\r\x20\x85\xa0")) for t in texts.fillna("")], dtype="int64")
+
+    return F.pandas_udf(counted, "long")(text)
+
+
+def compressed(text: Column, spaces: Column | None = None) -> Column:
+    """text, and after it the text without white space if over a quarter of its bytes are white space. spaces: the number of its blanks."""
+    spaces = blanks(text) if spaces is None else spaces
     return F.when((F.octet_length(text) > 10) & (spaces > F.floor(F.octet_length(text) / 4)), F.concat(text, F.lit(" "), F.regexp_replace(text, _SPACE, ""))).otherwise(text)
 
 
@@ -116,25 +126,25 @@ def unleeted(text: Column) -> Column:
     return F.when(has_leet(text) & (plain != text), F.concat(text, F.lit(" "), plain)).otherwise(text)
 
 
+#: Characters that become blanks.
+BLANKED = '{}":,[]'
+
+
 def cleaned(text: Column) -> Column:
-    return F.translate(text, '{}":,[]', "       ")
+    return F.translate(text, BLANKED, " " * len(BLANKED))
+
+
+def built_in_keywords() -> list[tuple[str, float]]:
+    return [(k, float(w)) for k, w in tables.rows("keywords")]
 
 
 def keyword_score(rows: DataFrame, text_col: str, out: str, keywords: list[tuple[str, float]] | None = None) -> DataFrame:
     """rows with out: weights of one-word keywords for every token of text_col (cleaned already) that holds them, and of phrases once."""
-    keywords = keywords or [(k, float(w)) for k, w in tables.rows("keywords")]
-    # Lower case and tokens are columns of their own, so that they are made once a text.
-    rows = rows.withColumn("_kl", F.lower(text_col)).withColumn("_kt", words(F.col("_kl")))
-    low, tokens = F.col("_kl"), F.col("_kt")
+    return rows.withColumn(out, looked_up(F.lower(text_col), keywords or built_in_keywords())["points"])
 
-    def one(k: str, w: float) -> Column:
-        if " " in k:
-            return F.when(low.contains(k), F.lit(w)).otherwise(0.0)
-        return F.when(low.contains(k), F.size(F.filter(tokens, lambda t: t.contains(k))) * F.lit(w)).otherwise(0.0)
 
-    # One pass tells whether any keyword stands there.
-    every = F.aggregate(F.array(*(one(k, w) for k, w in keywords)), F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn(out, F.when(low.rlike(one_pass([k for k, _ in keywords])), every).otherwise(0.0)).drop("_kl", "_kt")
+#: One of these stands in every text with a bonus.
+SECRET_LITERALS = ("AKIA", "sk-", "sk_live_", "rk_live_", "sk_test_", "AIza", "xoxb-", "xoxp-", "/etc/shadow", "/etc/passwd", "id_rsa")
 
 
 def secret_bonus(text: Column) -> Column:
@@ -145,7 +155,9 @@ def secret_bonus(text: Column) -> Column:
 
 
 def foreign_penalty(text: Column, score: Column) -> Column:
-    return F.when((F.length(F.regexp_replace(text, "[\\x00-\\x7F]", "")) > 2) & (score > 0.3), score + 1.5).otherwise(score)
+    # Three characters beyond ASCII; each takes two bytes or more.
+    foreign = (F.octet_length(text) - F.length(text) > 2) & text.rlike(r"(?:[^\x00-\x7F][\x00-\x7F]*){3}")
+    return F.when((score > 0.3) & foreign, score + 1.5).otherwise(score)
 
 
 def logistic(score: Column) -> Column:
@@ -156,13 +168,16 @@ def heuristic_score(corpus: DataFrame, decoded: DataFrame | None = None) -> Data
     """(doc_id, heuristic_score, heuristic_path). decoded: (doc_id, decoded_text) that is appended before scoring."""
     if decoded is not None:
         corpus = corpus.join(decoded, "doc_id", "left").select("doc_id", F.when((F.col("decoded_text") != "") & (F.col("decoded_text") != F.col("text")), F.concat_ws(" ", "text", "decoded_text")).otherwise(F.col("text")).alias("text"))
-    low = corpus.withColumn("_low", F.lower("text"))
-    before, after = FAMILIES[:6], FAMILIES[6:]
-    step = low.select("doc_id", "text", tier(F.col("text"), F.col("_low"), before).alias("_a"), F.when(entropy(F.when(F.octet_length("text") > 50, F.col("text")), True) > 5.8, F.lit(0.95)).alias("_e"), tier(F.col("text"), F.col("_low"), after).alias("_b"))
-    step = step.withColumn("_t", compressed(F.col("text"))).withColumn("_t", unleeted(F.col("_t"))).withColumn("_t", cleaned(F.col("_t")))
-    t = F.col("_t")
-    step = keyword_score(step, "_t", "_points").withColumn("_raw", crypto_score(t) + secret_bonus(t) + F.col("_points"))
-    score = F.coalesce(F.col("_a.score"), F.col("_e"), F.col("_b.score"), F.when(canary_hit(t), 1.0), logistic(foreign_penalty(t, F.col("_raw"))))
+    text, t = F.col("text"), F.col("_t")
+    step = corpus.select("doc_id", "text", entropy(F.when(F.octet_length(text) > 50, text), True).alias("_bits"), blanks(text).alias("_blanks"))
+    step = step.withColumn("_t", compressed(text, F.col("_blanks"))).withColumn("_t", unleeted(t)).withColumn("_t", cleaned(t))
+    # One look at the tokens tells the keywords' points, the rules that may hit (the text begins what is looked at) and whether a key or tripwire may stand there.
+    literals = (*(k for k, _ in tables.rows("crypto")), *SECRET_LITERALS, *CANARIES)
+    step = step.withColumn("_look", looked_up(F.lower(t), built_in_keywords(), tuple(r[3] for r in tables.rows("input_tiers")), literals, BLANKED))
+    step = step.select("doc_id", "text", "_t", "_bits", F.col("_look.points").alias("_points"), F.col("_look.maybe").alias("_maybe"), F.col("_look.some").alias("_some"))
+    families = lambda own: F.when(F.size("_maybe") > 0, tier(text, F.lower(text), own, F.col("_maybe")))
+    step = step.select("doc_id", "_t", "_some", families(FAMILIES[:6]).alias("_a"), F.when(F.col("_bits") > 5.8, F.lit(0.95)).alias("_e"), families(FAMILIES[6:]).alias("_b"), (F.when(F.col("_some"), crypto_score(t) + secret_bonus(t)).otherwise(0.0) + F.col("_points")).alias("_raw"))
+    score = F.coalesce(F.col("_a.score"), F.col("_e"), F.col("_b.score"), F.when(F.col("_some") & canary_hit(t), 1.0), logistic(foreign_penalty(t, F.col("_raw"))))
     path = F.coalesce(F.col("_a.family"), F.when(F.col("_e").isNotNull(), "entropy"), F.col("_b.family"), F.lit("keywords"))
     return step.select("doc_id", score.alias("heuristic_score"), path.alias("heuristic_path"))
 
