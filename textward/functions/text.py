@@ -9,7 +9,10 @@ import warnings
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -233,6 +236,52 @@ def matches(text: Column, low: Column, regex: str) -> Column:
     return F.when(text.rlike("[0-9]"), found).otherwise(F.lit(False)) if requires_digit(regex) else found
 
 
+def _rare(literals: tuple[str, ...]) -> bool:
+    return bool(literals) and all(len(x) > 3 or not x.isalnum() for x in literals)
+
+
+def _any_fold(literals: list[str]) -> str:
+    """A pattern of RE2 that is found where one of the strings stands, in whatever case."""
+    return f"(?i:{'|'.join(map(re.escape, literals))})"
+
+
+def matched(text: Column, regexes: list[str]) -> Column:
+    """Numbers of the patterns that are found in the text, ascending (none for null). The patterns are RE2's, and Arrow searches each batch with that engine.
+
+    One search for all strings of which the rarer patterns require one leaves few texts; on these, and on all texts for the other patterns, each is tried.
+    """
+    needs = [required_any(r) for r in regexes]
+    gate = _any_fold(sorted({x for own in needs if _rare(own) for x in own}))
+    bound = [i for i, own in enumerate(needs) if _rare(own)]
+    free = [i for i, own in enumerate(needs) if not _rare(own)]
+
+    def found(texts: pa.Array) -> pa.Array:
+        texts = texts.fill_null("")
+        rows, numbers = [], []
+
+        def ask(own: pa.Array, at: np.ndarray, which: list[int]) -> None:
+            for i in which:
+                hit = at[own_rows(pc.match_substring_regex(own, regexes[i]))]
+                rows.append(hit)
+                numbers.append(np.full(len(hit), i))
+
+        ask(texts, np.arange(len(texts)), free)
+        if bound:
+            some = own_rows(pc.match_substring_regex(texts, gate))
+            if len(some):
+                ask(texts.take(pa.array(some)), some, bound)
+        row, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, numbers))
+        order = np.lexsort([number, row])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(number[order].astype(np.int32)))
+
+    def own_rows(flags: pa.Array) -> np.ndarray:
+        return np.flatnonzero(flags.to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(found, "array<int>")(text)
+
+
+
 @functools.lru_cache(None)
 def required_sets(regex: str) -> tuple[tuple[str, ...], ...]:
     """Sets of lower-case strings, of each of which every match holds one at least."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import any_of, candidates, looked_up, matches, matches_of, one_pass
+from textward.functions.text import any_of, looked_up, matched, matches, matches_of, one_pass
 from textward.operators.scan import crypto_score
 
 #: Order in which rule families are asked.
@@ -57,24 +57,20 @@ def family_best(corpus: DataFrame, family: str) -> DataFrame:
 
 
 def tier(text: Column, low: Column, families: tuple[str, ...] = FAMILIES, maybe: Column | None = None) -> Column:
-    """struct(family, score) of the first family with a hit; the tool family counts from 0.7 on and is mapped to 0.75 and up. maybe: tier_candidates of low."""
+    """struct(family, score) of the first family with a hit; the tool family counts from 0.7 on and is mapped to 0.75 and up. maybe: numbers of rules that may hit."""
     every, out = list(enumerate(tables.rows("input_tiers"))), []
-    maybe = tier_candidates(low) if maybe is None else maybe
+    hits = matched(text, [r[3] for _, r in every]) if maybe is None else None
+    asked = lambda i, regex: F.array_contains(hits, i) if maybe is None else matches_of(text, maybe, i, regex)
     for family in families:
         own = sorted((r for r in every if r[1][0] == family), key=lambda r: -float(r[1][1]))
         for score in dict.fromkeys(float(r[1]) for _, r in own):
             if family == "tool" and score < 0.7:
                 continue
-            hit = functools.reduce(lambda a, b: a | b, (matches_of(text, maybe, i, r[3]) for i, r in own if float(r[1]) == score))
+            hit = functools.reduce(lambda a, b: a | b, (asked(i, r[3]) for i, r in own if float(r[1]) == score))
             out.append(F.when(hit, F.struct(F.lit(family).alias("family"), F.lit(0.75 + (score - 0.7) * 0.67 if family == "tool" else score).alias("score"))))
     return F.coalesce(*out)
 
 
-def tier_candidates(low: Column) -> Column:
-    """Numbers of the tiered rules that may hit a lower-case text."""
-    return candidates(low, [r[3] for r in tables.rows("input_tiers")])
-
-
 def entropy(text: Column, per_byte: bool) -> Column:
     """Shannon bits over characters; shares are of the text's bytes or of its characters. Null and empty texts have none (0).
 

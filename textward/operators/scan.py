@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import java, matches, one_pass, required_any
+from textward.functions.text import java, matched
 
 #: A rule: name, category, severity, description, regex (RE2).
 Rule = tuple[str, str, str, str, str]
@@ -26,23 +26,8 @@ def rules(categories: tuple[str, ...] | list[str] | None = None) -> list[Rule]:
 
 
 def with_hits(corpus: DataFrame, chosen: list[Rule]) -> DataFrame:
-    """corpus with `hits`: numbers of the rules that match, ascending.
-
-    An index from required strings to rules: one pass over a text tells whether any of the strings stands there. Only then are the rules that need
-    one tried, each where one of its own stands. Strings of few letters stand in most texts, so their rules, and those without any, are asked one by one.
-    """
-    low = corpus.withColumn("_low", F.lower("text"))
-    rare = lambda own: all(len(x) > 3 or not x.isalnum() for x in own)
-    needs = [own if rare(own) else () for own in (required_any(r[4]) for r in chosen)]
-    flags = [F.when(matches(F.col("text"), F.col("_low"), r[4]), F.lit(i)) for i, r in enumerate(chosen)]
-    # In parts, so that each stays small enough to be compiled.
-    listed = lambda own: [F.array_compact(F.array(*own[i : i + 24])) for i in range(0, len(own), 24)]
-    free = listed([f for f, n in zip(flags, needs) if not n])
-    bound = listed([f for f, n in zip(flags, needs) if n])
-    if bound:
-        literals = sorted({x for n in needs for x in n})
-        free.append(F.when(F.col("_low").rlike(one_pass(literals)), F.concat(*bound)).otherwise(F.array().cast("array<int>")))
-    return low.withColumn("hits", F.array_sort(F.concat(*free)) if free else F.array().cast("array<int>")).drop("_low")
+    """corpus with `hits`: numbers of the rules that match, ascending."""
+    return corpus.withColumn("hits", matched(F.col("text"), [r[4] for r in chosen]) if chosen else F.array().cast("array<int>"))
 
 
 def _literal_array(values: list, kind: str) -> Column:
@@ -51,17 +36,17 @@ def _literal_array(values: list, kind: str) -> Column:
 
 def match_all(corpus: DataFrame, chosen: list[Rule]) -> DataFrame:
     """(doc_id, ord, name, category, severity, description, text): a row for every rule that matches."""
-    found = with_hits(corpus, chosen).filter(F.size("hits") > 0).select("doc_id", "text", F.explode("hits").alias("ord"))
+    # By explode_outer, as from explode Spark infers a filter, for which the rules would be asked once more.
+    found = with_hits(corpus, chosen).select("doc_id", "text", F.explode_outer("hits").alias("ord")).filter("ord is not null")
     pick = lambda k, kind: F.element_at(_literal_array([r[k] for r in chosen], kind), F.col("ord") + 1)
     return found.select("doc_id", "ord", pick(0, "string").alias("name"), pick(1, "string").alias("category"), pick(2, "int").alias("severity"), pick(3, "string").alias("description"), "text")
 
 
 def match_any(corpus: DataFrame, chosen: list[Rule]) -> DataFrame:
-    """(doc_id, name, description) of the first rule that matches; nulls where none does. Later rules aren't tried."""
-    low = corpus.withColumn("_low", F.lower("text"))
-    first = F.coalesce(*(F.when(matches(F.col("text"), F.col("_low"), r[4]), F.lit(i)) for i, r in enumerate(chosen)))
+    """(doc_id, name, description) of the first rule that matches; nulls where none does."""
+    first = with_hits(corpus, chosen).withColumn("first", F.get("hits", 0))
     pick = lambda k: F.when(F.col("first").isNotNull(), F.get(_literal_array([r[k] for r in chosen], "string"), F.col("first")))
-    return low.withColumn("first", first).select("doc_id", "text", pick(0).alias("name"), pick(3).alias("description"))
+    return first.select("doc_id", "text", pick(0).alias("name"), pick(3).alias("description"))
 
 
 def risk_level(score: Column) -> Column:
