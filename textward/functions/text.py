@@ -282,6 +282,40 @@ def matched(text: Column, regexes: list[str]) -> Column:
 
 
 
+def ascii_counts(text: Column, classes: dict[str, str]) -> Column:
+    """struct of how often characters of each class (of ASCII) stand in the text, and `rest`: its characters beyond ASCII. Null for null.
+
+    Bytes of an Arrow batch are looked up in tables at once; only what is beyond ASCII, mostly little, is left for patterns.
+    """
+    tables = {}
+    for name, own in classes.items():
+        tables[name] = np.zeros(256, np.uint8)
+        tables[name][[ord(c) for c in own]] = 1
+
+    def counted(texts: pa.Array) -> pa.Array:
+        null = texts.is_null()
+        texts = texts.fill_null("").cast(pa.string())
+        offs = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        lo, hi = (int(offs[0]), int(offs[-1])) if len(texts) else (0, 0)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
+        filled = np.flatnonzero(np.diff(offs))
+
+        def sums(flags: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(texts), np.int64)
+            if len(filled):
+                out[filled] = np.add.reduceat(flags, (offs[:-1] - lo)[filled], dtype=np.int64)
+            return out
+
+        arrays = [pa.array(sums(t[data])) for t in tables.values()]
+        beyond = data >= 128
+        ends = np.concatenate([[0], np.cumsum(sums(beyond))]).astype(np.int32)
+        rest = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[beyond].tobytes()))
+        return pa.StructArray.from_arrays([*arrays, rest], names=[*tables, "rest"], mask=null)
+
+    return F.arrow_udf(counted, ", ".join(f"{n} bigint" for n in tables) + ", rest string")(text)
+
+
+
 @functools.lru_cache(None)
 def required_sets(regex: str) -> tuple[tuple[str, ...], ...]:
     """Sets of lower-case strings, of each of which every match holds one at least."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
+from textward.functions.text import any_of
 from textward.operators.heuristics import attack_predicate
 
 #: Look-alikes of Latin letters and digits, and what they stand for.
@@ -77,7 +78,7 @@ def html_text(text: Column) -> Column:
 
 def rot13_text(text: Column) -> Column:
     turned = F.translate(text, _UPPER + _LOWER, _UPPER[13:] + _UPPER[:13] + _LOWER[13:] + _LOWER[:13])
-    return F.when(F.lower(text).rlike("|".join(ROT_STEMS)), turned).otherwise("")
+    return F.when(any_of(F.lower(text), list(ROT_STEMS)), turned).otherwise("")
 
 
 def lookalike_text(text: Column) -> Column:

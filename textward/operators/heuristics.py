@@ -113,8 +113,12 @@ def compressed(text: Column, spaces: Column | None = None) -> Column:
     return F.when((F.octet_length(text) > 10) & (spaces > F.floor(F.octet_length(text) / 4)), F.concat(text, F.lit(" "), F.regexp_replace(text, _SPACE, ""))).otherwise(text)
 
 
+#: Fixed value: a character that stands for a letter, between letters.
+LEET = r"[\p{L}@$][013][\p{L}@$]|\p{L}[@$]\p{L}"
+
+
 def has_leet(text: Column) -> Column:
-    return text.rlike(r"[\p{L}@$][013][\p{L}@$]|\p{L}[@$]\p{L}")
+    return text.rlike(LEET)
 
 
 def unleeted(text: Column) -> Column:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import count_of
+from textward.functions.text import _TOKEN, _stretches, ascii_counts, count_of
 from textward.operators.heuristics import entropy, words
 
 _SPACE = "[\\t\\n\\x0B\\f\\r\\x20\\x85\\xA0]"
@@ -17,9 +20,12 @@ _SPACE = "[\\t\\n\\x0B\\f\\r\\x20\\x85\\xA0]"
 
 def char_profile(corpus: DataFrame) -> DataFrame:
     """doc_id with shares of symbols and digits, invisible characters and the anomaly score."""
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    n = F.length("text")
-    c = corpus.select("doc_id", n.alias("n"), count(r"\p{L}").alias("letters"), count(r"\p{Nd}").alias("digits"), count(_SPACE).alias("spaces"), count(r"\p{Cf}").alias("invisible"), count(r"\p{IsLatin}").alias("latin"), count(r"[\p{IsCyrillic}\p{IsGreek}]").alias("confusable"), count(r"[\p{L}&&[^\x00-\x7F]]").alias("foreign"))
+    # Patterns are asked only of the characters beyond ASCII: a pattern's matches are cut out one by one.
+    count = lambda p: F.when(F.col("_x.rest") == "", 0).otherwise(F.regexp_count("_x.rest", F.lit(p)))
+    c = corpus.select("doc_id", F.length("text").alias("n"), ascii_counts(F.col("text"), {"letters": string.ascii_letters, "digits": string.digits, "spaces": "\t\n\x0b\f\r "}).alias("_x"))
+    c = c.select("doc_id", "n", "_x", count(r"\p{L}").alias("foreign"), count(r"\p{Nd}").alias("_d"), count("[\x85\xA0]").alias("_s"), count(r"\p{Cf}").alias("invisible"), count(r"\p{IsLatin}").alias("_l"), count(r"[\p{IsCyrillic}\p{IsGreek}]").alias("confusable"))
+    x = lambda a, b: (F.col(f"_x.{a}") + F.col(b)).cast("int")
+    c = c.select("doc_id", "n", x("letters", "foreign").alias("letters"), x("digits", "_d").alias("digits"), x("spaces", "_s").alias("spaces"), "invisible", x("letters", "_l").alias("latin"), "confusable", "foreign")
     col = F.col
     c = c.withColumn("symbols", col("n") - col("letters") - col("digits") - col("spaces") - col("invisible"))
     share = lambda x: F.when(col("n") > 0, col(x) / col("n")).otherwise(0.0)
@@ -52,44 +58,118 @@ def benign_context(text: Column) -> Column:
 
 def structure_flags(corpus: DataFrame) -> DataFrame:
     """doc_id with structural patterns and their score."""
-    has, n = F.col("text").contains, F.octet_length("text")
+    corpus = corpus.select("doc_id", "text", ascii_counts(F.col("text"), STRUCTURE_CLASSES).alias("_x"))
+    found, score = structure_tests(F.col("text"), F.col("_x"))
+    return corpus.select("doc_id", found.alias("patterns"), score.alias("structure_score"))
+
+
+#: What structure_tests reads of a text, by ascii_counts.
+STRUCTURE_CLASSES = {"quotes": "\"'`", "brackets": "{}[]"}
+
+
+def structure_tests(text: Column, counts: Column) -> tuple[Column, Column]:
+    """Structural patterns of a text and their score."""
+    has, n = text.contains, F.octet_length(text)
     tests = [
-        ("deep_nesting", 0.2, F.regexp_count("text", F.lit("[\"'`]")) > 2),
+        ("deep_nesting", 0.2, counts["quotes"] > 2),
         ("code_block", 0.15, has("```")),
         ("comment_markers", 0.1, functools.reduce(lambda a, b: a | b, map(has, ("<!--", "-->", "/*", "*/", "//", "#")))),
         ("policy_structure", 0.25, functools.reduce(lambda a, b: a | b, map(has, ("<policy", "<system", '"safety"', '"restrictions"')))),
-        ("high_brackets", 0.15, F.when(n > 0, F.regexp_count("text", F.lit(r"[{}\[\]]")) / n > 0.1).otherwise(False)),
+        ("high_brackets", 0.15, F.when(n > 0, counts["brackets"] / n > 0.1).otherwise(False)),
     ]
     found = F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, _, t in tests)))
     score = functools.reduce(lambda a, b: a + b, (F.when(t, F.lit(w)).otherwise(0.0) for _, w, t in tests))
-    return corpus.select("doc_id", found.alias("patterns"), F.round(score, 6).alias("structure_score"))
+    return found, F.round(score, 6)
 
 
 def mixed_script_tokens(corpus: DataFrame) -> DataFrame:
     """doc_id with the words that mix Latin letters with Cyrillic or Greek ones."""
     tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
     mixed = F.filter(tokens, lambda t: t.rlike(r"\p{IsLatin}") & t.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
-    return corpus.select("doc_id", mixed.alias("tokens"))
+    # Most texts have no letter of the other scripts.
+    other = F.col("text").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
+    return corpus.select("doc_id", F.when(other, mixed).otherwise(F.when(F.col("text").isNotNull(), F.array().cast("array<string>"))).alias("tokens"))
+
+
+#: Words that a worker remembers with their likes.
+_KNOWN = 1 << 18
+
+
+def _edits(a: str, b: str, most: int) -> int:
+    """Edits between two words, or more than `most`."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last if x == y else 1 + min(last, row[j], row[j - 1])
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """How often each of 32 groups of characters stands in each word."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    return np.bincount(np.repeat(np.arange(len(words)), sizes) * 32 + codes, minlength=32 * len(words)).reshape(len(words), 32).astype(np.int16)
+
+
+def _likes(words: list[str], wanted: list[str]) -> dict[str, list[tuple[str, float]]]:
+    """For words that are similar to any by more than 0.7: the wanted words, and how similar. Edits are at least the characters that one word lacks of the other."""
+    out: dict[str, list[tuple[str, float]]] = {}
+    theirs, m = _letters(wanted), np.array([len(w) for w in wanted])
+    for lo in range(0, len(words), 4096):
+        some = words[lo : lo + 4096]
+        own, n = _letters(some), np.array([len(w) for w in some])
+        longest = np.maximum(n[:, None], m)
+        most = (longest * 0.3 + 1e-9).astype(np.int64)
+        near = np.argwhere(np.abs(n[:, None] - m) <= most)
+        lack = longest[near[:, 0], near[:, 1]] - np.minimum(own[near[:, 0]], theirs[near[:, 1]]).sum(axis=1)
+        for i, j in near[lack <= most[near[:, 0], near[:, 1]]].tolist():
+            size = int(longest[i, j])
+            sim = 1 - _edits(some[i], wanted[j], int(most[i, j])) / size
+            if sim > 0.7:
+                out.setdefault(some[i], []).append((wanted[j], sim))
+    return out
+
+
+def _first_like(low: Column, wanted: list[str]) -> Column:
+    """map of anchor words to the similarity of the text's first word that is like it; words of over four bytes count."""
+    known: set[str] = set()
+    like: dict[str, list[tuple[str, float]]] = {}
+
+    def found(texts: pa.Array) -> pa.Array:
+        offsets, keys, sims = [0], [], []
+        for some in _stretches(texts.fill_null("").to_pylist()):
+            every = [dict.fromkeys(_TOKEN.findall(t)) for t in some]
+            if len(known) > _KNOWN:
+                known.clear()
+                like.clear()
+            new = set().union(*every) - known
+            like.update(_likes([w for w in new if len(w.encode()) > 4], wanted))
+            known.update(new)
+            for tokens in every:
+                own: dict[str, float] = {}
+                if not like.keys().isdisjoint(tokens):
+                    for anchor, sim in (x for t in tokens if t in like for x in like[t]):
+                        own.setdefault(anchor, sim)
+                keys += own
+                sims += own.values()
+                offsets.append(len(keys))
+        return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(sims, pa.float64()))
+
+    return F.arrow_udf(found, "map<string,double>")(low)
 
 
 def anchor_match(corpus: DataFrame) -> DataFrame:
     """doc_id with the best threat category: 0.5 an anchor phrase, 0.15 by similarity for the first like word of an anchor word, damped by benign vocabulary.
 
-    Distinct words of the corpus are compared with anchor words once, within their length band; texts get the results by an equi-join.
+    Distinct words of an Arrow batch are compared with anchor words once, within their length band: no word leaves its text's row.
     """
     p = tables.grouped("anchor")
     rows = corpus.select("doc_id", "text", F.lower("text").alias("low"))
     wanted = sorted({w for a in p.values() for x in a for w in x.split() if len(w.encode()) > 4})
-    targets = rows.sparkSession.createDataFrame([(w, len(w)) for w in wanted], "anchor_word string, m int")
-    tokens = rows.select("doc_id", F.posexplode(words(F.col("low"))).alias("pos", "word")).filter(F.octet_length("word") > 4)
-    first = tokens.groupBy("doc_id", "word").agg(F.min("pos").alias("pos"))
-    distinct = first.select("word").distinct().withColumn("n", F.length("word"))
-    # Similar by more than 0.7, so lengths differ by less than three tenths: a band of lengths is an equi-join.
-    banded = distinct.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * 0.7)).cast("int"), F.ceil(F.col("n") / 0.7).cast("int"))))
-    like = banded.join(F.broadcast(targets), "m").withColumn("sim", 1 - F.levenshtein("word", "anchor_word") / F.greatest("n", "m")).filter("sim > 0.7").select("word", "anchor_word", "sim")
-    near = first.join(like, "word").groupBy("doc_id", "anchor_word").agg(F.min_by("sim", "pos").alias("sim"))
-    sims = near.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("anchor_word", "sim"))).alias("sims"))
-    joined = rows.join(sims, "doc_id", "left").withColumn("sims", F.coalesce("sims", F.create_map().cast("map<string,double>")))
+    joined = rows.withColumn("sims", F.coalesce(_first_like(F.col("low"), wanted), F.create_map().cast("map<string,double>")))
 
     def category(name: str) -> Column:
         total = F.lit(0.0)
