@@ -5,10 +5,14 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,10 +174,114 @@ DECODERS: dict[str, Decoder | None] = {
 }
 
 
+#: Format characters that RE2 may not know as such.
+_NEWER_FORMATS = r"\x{600}-\x{605}\x{61C}\x{6DD}\x{70F}\x{890}\x{891}\x{8E2}\x{180E}\x{110BD}\x{110CD}\x{13430}-\x{1345F}\x{1BCA0}-\x{1BCAF}\x{1D173}-\x{1D17A}"
+_RUN = re.compile(r"[A-Za-z0-9+/]{8,}={0,2}")
+_UNPRINTABLE = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+
+
+def _leeted(phrase: str) -> str:
+    """A pattern for what becomes the phrase when leetspeak characters become letters."""
+    return "".join("[" + re.escape(c + "".join(x for x, y in zip(LEET_FROM, LEET_TO) if y == c)) + "]" if c in LEET_TO else re.escape(c) for c in phrase)
+
+
+def _may_attack(write: Callable[[str], str]) -> tuple[list[str], list[str]]:
+    """Patterns of which one is found at least, and of which each is found else, where attack_predicate holds for a text in which phrases are written so."""
+    p = tables.grouped("attack")
+    any_case = lambda own: f"(?i:{'|'.join(map(write, own))})|\\x{{130}}"  # noqa: E731 (a capital I with a dot has two small characters)
+    return [any_case([*p["extraction"], *p["jailbreak"], *p["exfil"]])], [any_case(p["override"]), any_case(p["instruction"])]
+
+
+@functools.lru_cache(1)
+def _gates() -> dict[str, list[list[str]]]:
+    """For decoders that cost much: lists of RE2 patterns; where none of the lists is found whole, the decoder gives nothing."""
+    turned = lambda x: re.escape(x[::-1])
+    (alone, pair), (leet, leets) = _may_attack(turned), _may_attack(_leeted)
+    words = _scrambled()[0].removeprefix("(?i)(?<![a-z])").removesuffix("(?![a-z])")
+    drawn, blank = DRAWN[1:-1], r"(?:[\s\x{0B}\x{85}\p{Z}]*\n)?"
+    line = f"[{drawn}][^\\n]*[{drawn}]"
+    return {
+        "hex": [[r"\\x[0-9a-fA-F]{2}|[0-9a-fA-F]{12}"]],
+        "homoglyph": [["[" + LOOKALIKES + "]"]],
+        "rot13": [[f"(?i:{'|'.join(ROT_STEMS)})"]],
+        "reverse": [alone, pair, [r"\A[\n\r\x{85}\x{2028}\x{2029}]{0,2}[A-Za-z0-9+/=]{17,}\z"]],
+        "unicode_tags": [[r"[\x{E0001}-\x{E007F}]"]],
+        "invisible": [[rf"[\p{{Cf}}\x{{FE0E}}\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}\x{{20E3}}{_NEWER_FORMATS}]"]],
+        "typoglycemia": [[rf"(?i)(?:\A|[^a-z])(?:{words})(?:\z|[^a-z])"]],
+        "leetspeak": [leet, leets],
+        "block_ascii": [[rf"{line}[^\n]*\n{blank}[^\n]*{line}[^\n]*\n{blank}[^\n]*{line}"]],
+    }
+
+
+#: Decoders that are asked only where a gate is open, by name.
+GATED = ("base64", "hex", "homoglyph", "rot13", "reverse", "unicode_tags", "invisible", "typoglycemia", "leetspeak", "block_ascii")
+
+
+def gates(texts: Column, decoders: dict[str, Decoder | None] | None = None) -> Column:
+    """For an array of texts a number each, with a bit for every decoder of GATED (among the given) that may give something. Arrow searches the batch by RE2, so most texts are done with."""
+    patterns, asked = _gates(), [n for n in GATED if n in (decoders or DECODERS)]
+    drawn, binary, digits = np.zeros((3, 256), np.uint8)
+    drawn[list(rb"|/_-\[](){}")] = binary[list(b"01 \n")] = digits[list(b"01")] = 1
+    decodes: dict[str, bool] = {}
+
+    def decodable(run: str) -> bool:
+        if len(decodes) > 1 << 18:
+            decodes.clear()
+        try:
+            decodes[run] = not _UNPRINTABLE.search(base64.b64decode(run).decode())
+        except ValueError:
+            decodes[run] = False
+        return decodes[run]
+
+    def has_base64(text: str | None) -> bool:
+        return any(decodes[x] if x in decodes else decodable(x) for x in _RUN.findall(text or "") if len(x) % 4 == 0)
+
+    def open_(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().fill_null("").cast(pa.string())
+        n = len(flat)
+        offs = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + n + 1] if n else np.zeros(1, np.int32)
+        raw = flat.buffers()[2] if n else None
+        data = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.zeros(0, np.uint8)
+        sizes = np.diff(offs)
+        filled, bits = np.flatnonzero(sizes), np.zeros(n, np.int64)
+        found = lambda p: pc.match_substring_regex(flat, p).to_numpy(zero_copy_only=False)
+
+        def share(table: np.ndarray) -> np.ndarray:
+            out = np.zeros(n)
+            if len(filled):
+                out[filled] = np.add.reduceat(table[data], (offs[:-1] - offs[0])[filled], dtype=np.int64) / sizes[filled]
+            return out
+
+        for name in asked:
+            if name == "base64":
+                hit = np.fromiter((has_base64(t) for some in _stretches(flat) for t in some.to_pylist()), bool, n)
+            else:
+                hit = functools.reduce(lambda a, own: a | functools.reduce(lambda x, y: x & y, map(found, own)), patterns[name], np.zeros(n, bool))
+            if name == "block_ascii":
+                hit |= (sizes >= 20) & ((share(drawn) > 0.4) | (share(binary) > 0.5) & (share(digits) > 0.3))
+            bits |= hit.astype(np.int64) << GATED.index(name)
+        counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(bits), mask=lists.is_null())
+
+    return F.arrow_udf(open_, "array<bigint>")(texts)
+
+
+def _stretches(texts: pa.Array, size: int = 1000):
+    return (texts.slice(lo, size) for lo in range(0, len(texts), size))
+
+
+def _gated(name: str, decoder: Decoder, text: Column, gate: Column) -> Column:
+    """What a decoder gives; it is not asked where its gate is shut."""
+    if name not in GATED or decoder is not DECODERS[name]:
+        return decoder(text)
+    return F.when(gate.bitwiseAND(F.lit(1 << GATED.index(name))) != 0, decoder(text)).otherwise("")
+
+
 def decoded_once(rows: DataFrame, decoders: dict[str, Decoder], text_col: str = "text") -> DataFrame:
     """rows with a row for every decoder that gives something new: ord, decoder, decoded_text."""
-    found = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("decoder"), F.coalesce(f(F.col(text_col)), F.lit("")).alias("decoded_text")) for i, (n, f) in enumerate(decoders.items()) if f))
-    return rows.withColumn("x", F.explode(F.filter(found, lambda x: (x["decoded_text"] != "") & (x["decoded_text"] != F.col(text_col))))).select(*rows.columns, "x.*")
+    asked = rows.withColumn("_gate", F.get(gates(F.array(text_col), decoders), 0))
+    found = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("decoder"), F.coalesce(_gated(n, f, F.col(text_col), F.col("_gate")), F.lit("")).alias("decoded_text")) for i, (n, f) in enumerate(decoders.items()) if f))
+    return asked.withColumn("x", F.explode_outer(F.filter(found, lambda x: (x["decoded_text"] != "") & (x["decoded_text"] != F.col(text_col))))).filter("x is not null").select(*rows.columns, "x.*")
 
 
 def _gunzipped(raw: bytes) -> str | None:
@@ -263,12 +371,13 @@ def traced(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder | Non
         if python:
             rows = _fixed(rows, _asked=F.transform("_now", lambda e: _asked(e["text"])))
             rows = rows.withColumn("_py", _in_python(F.when(F.exists("_asked", lambda t: t.isNotNull()), F.col("_asked"))))
+        rows = rows.withColumn("_gates", gates(F.col("_now.text"), decoders))
         raw = raw_gzip_text(F.col(raw_col)) if raw_col and p == 1 else F.lit(None).cast("string")
 
-        def all_of(text: Column, path: Column, own: Column | None, p=p) -> Column:
+        def all_of(text: Column, path: Column, own: Column | None, gate: Column, p=p) -> Column:
             made = []
             for i, n in enumerate(names):
-                out = decoders[n](text) if decoders[n] else own[n]
+                out = _gated(n, decoders[n], text, gate) if decoders[n] else own[n]
                 if n == "gzip" and raw_col and p == 1:
                     out = F.coalesce(out, F.col("_raw"))
                 made.append(F.struct(F.lit(p).alias("pass"), F.concat(path, F.array(F.lit(i))).alias("path"), F.lit(n).alias("decoder"), F.coalesce(out, F.lit("")).alias("decoded_text")))
@@ -277,15 +386,15 @@ def traced(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder | Non
         if p == 1:
             rows = rows.withColumn("_raw", raw) if raw_col else rows
             first = F.get("_py", 0) if python else None
-            new = all_of(F.coalesce("text", F.lit("")), F.array().cast("array<int>"), first)
+            new = all_of(F.coalesce("text", F.lit("")), F.array().cast("array<int>"), first, F.get("_gates", 0))
         else:
-            new = F.flatten(F.transform("_now", lambda e, i: all_of(e["text"], e["path"], F.get("_py", i) if python else None)))
+            new = F.flatten(F.transform("_now", lambda e, i: all_of(e["text"], e["path"], F.get("_py", i) if python else None, F.get("_gates", i))))
         rows = _fixed(rows, _new=new.cast(_FOUND))
         on = F.transform(F.filter("_new", lambda x: F.octet_length(x["decoded_text"]) > 3), lambda x: F.struct(x["path"].alias("path"), x["decoded_text"].alias("text")))
         rows = _fixed(rows, found=F.concat("found", "_new"), _on=on)
         if p < passes:
             rows = _fixed(rows, _now=F.filter("_on", lambda x, i: F.array_position(F.col("_on.text"), x["text"]) == i + 1))
-    return rows.drop("_now", "_asked", "_py", "_raw", "_new", "_on")
+    return rows.drop("_now", "_asked", "_py", "_gates", "_raw", "_new", "_on")
 
 
 def deobfuscate(corpus: DataFrame, passes: int = 2, decoders: dict[str, Decoder | None] | None = None, raw_col: str | None = None) -> DataFrame:
@@ -350,14 +459,20 @@ def normalize_chain(corpus: DataFrame) -> DataFrame:
 
 
 def normalize_nfkc(corpus: DataFrame) -> DataFrame:
-    """corpus with text in compatibility form and whether that changed it. Spark has no such function, so texts go through Arrow in batches."""
+    """corpus with text in compatibility form and whether that changed it. Spark has no such function, so texts go through Arrow.
+
+    From there only texts come back that are changed, and a batch is taken in stretches, so little is held beside it.
+    """
 
-    @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
+    def nfkc(texts: pa.Array) -> pa.Array:
+        out = []
+        for some in _stretches(texts, 100):
+            kept = [t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in some.to_pylist()]
+            out.append(pc.if_else(pc.equal(some, made := pa.array(kept, pa.string())), pa.scalar(None, pa.string()), made))
+        return pa.chunked_array(out, pa.string()).combine_chunks()
 
     # Plain ASCII is in that form already.
-    other = nfkc(F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text")))
+    other = F.arrow_udf(nfkc, "string")(F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text")))
     return corpus.withColumn("normalized", F.coalesce(other, F.col("text"))).withColumn("was_normalized", F.col("normalized") != F.col("text"))
 
 
