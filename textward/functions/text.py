@@ -245,14 +245,35 @@ def _any_fold(literals: list[str]) -> str:
     return f"(?i:{'|'.join(map(re.escape, literals))})"
 
 
+def holders(texts: pa.Array, needs: list[tuple[int, tuple[str, ...]]], fold: bool = False, at: np.ndarray | None = None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """For each number of `needs`, in their order, the texts that hold one of its strings (fold: in whatever case), and their places; none for those that stand nowhere.
+
+    One search by RE2 for all strings leaves those texts that hold any, and each half of the strings is searched in these alone.
+    """
+    at = np.arange(len(texts)) if at is None else at
+    strings = sorted({x for _, own in needs for x in own})
+    if not len(texts) or not strings:
+        return
+    some = np.flatnonzero(pc.match_substring_regex(texts, _any_fold(strings) if fold else "|".join(map(re.escape, strings))).to_numpy(zero_copy_only=False))
+    if not len(some):
+        return
+    if len(some) < len(texts):
+        texts, at = texts.take(pa.array(some)), at[some]
+    if len(needs) == 1:
+        yield needs[0][0], texts, at
+        return
+    half = len(needs) // 2
+    yield from holders(texts, needs[:half], fold, at)
+    yield from holders(texts, needs[half:], fold, at)
+
+
 def matched(text: Column, regexes: list[str]) -> Column:
     """Numbers of the patterns that are found in the text, ascending (none for null). The patterns are RE2's, and Arrow searches each batch with that engine.
 
-    One search for all strings of which the rarer patterns require one leaves few texts; on these, and on all texts for the other patterns, each is tried.
+    A pattern that requires one of some rarer strings is tried on the texts that hold one, others on all texts.
     """
     needs = [required_any(r) for r in regexes]
-    gate = _any_fold(sorted({x for own in needs if _rare(own) for x in own}))
-    bound = [i for i, own in enumerate(needs) if _rare(own)]
+    bound = sorted(((i, own) for i, own in enumerate(needs) if _rare(own)), key=lambda x: x[1])
     free = [i for i, own in enumerate(needs) if not _rare(own)]
 
     def found(texts: pa.Array) -> pa.Array:
@@ -266,10 +287,8 @@ def matched(text: Column, regexes: list[str]) -> Column:
                 numbers.append(np.full(len(hit), i))
 
         ask(texts, np.arange(len(texts)), free)
-        if bound:
-            some = own_rows(pc.match_substring_regex(texts, gate))
-            if len(some):
-                ask(texts.take(pa.array(some)), some, bound)
+        for i, own, at in holders(texts, bound, True):
+            ask(own, at, [i])
         row, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, numbers))
         order = np.lexsort([number, row])
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
@@ -434,6 +453,36 @@ def _standing(texts: list[str], strings: list[str]) -> Iterator[int]:
             yield found
 
 
+def counts_of(low: Column, groups: dict[str, list[str]]) -> Column:
+    """struct of how many of each group's phrases the text holds (those that repeat in a group count each), Null for null."""
+    strings = sorted({x for own in groups.values() for x in own})
+    number = {x: i for i, x in enumerate(strings)}
+    times = np.zeros((len(strings), len(groups)), np.int32)
+    for k, own in enumerate(groups.values()):
+        np.add.at(times, ([number[x] for x in own], k), 1)
+
+    def found(texts: pa.Array) -> pa.Array:
+        counts = np.zeros((len(texts), len(groups)), np.int32)
+        for i, _, at in holders(texts.fill_null(""), [(i, (x,)) for i, x in enumerate(strings)]):
+            counts[at] += times[i]
+        return pa.StructArray.from_arrays([pa.array(c) for c in counts.T.copy()], names=list(groups), mask=texts.is_null())
+
+    return F.arrow_udf(found, ", ".join(f"`{g}` int" for g in groups))(low)
+
+
+def standing(low: Column, phrases: list[str]) -> Column:
+    """Those of the phrases that the text holds, in the order given. Null for null."""
+
+    def found(texts: pa.Array) -> pa.Array:
+        hits: list[list[str]] = [[] for _ in range(len(texts))]
+        for i, _, at in holders(texts.fill_null(""), [(i, (x,)) for i, x in enumerate(phrases)]):
+            for row in at.tolist():
+                hits[row].append(phrases[i])
+        return pc.if_else(texts.is_null(), pa.scalar(None, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.string())))
+
+    return F.arrow_udf(found, "array<string>")(low)
+
+
 def candidates(low: Column, regexes: list[str]) -> Column:
     """Numbers of the patterns that may be found in the text (ascending), by the strings that each requires. low is the lower-case text."""
     strings = sorted({x for r in regexes for own in telling_sets(r) for x in own})

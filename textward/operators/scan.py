@@ -103,6 +103,11 @@ def redact(text: Column) -> Column:
     return text
 
 
+def has_secrets(text: Column) -> Column:
+    """Whether redact changes the text: the first pattern that is found in it does."""
+    return F.size(matched(text, [regex for _, regex in redactors()[0]])) > 0
+
+
 def redact_secrets(corpus: DataFrame) -> DataFrame:
     """(doc_id, redacted, was_redacted)."""
     _, address, version = redactors()
@@ -126,8 +131,11 @@ def crypto_score(text: Column, literals: tuple = ()) -> Column:
     return F.least(total, F.lit(50.0))
 
 
+def merged(decision: Column, level: Column) -> Column:
+    """A decision with an output scan's level: HIGH lifts ALLOW to WARN, CRITICAL blocks."""
+    return F.when(level == "CRITICAL", "BLOCK").when((level == "HIGH") & (decision == "ALLOW"), "WARN").otherwise(decision)
+
+
 def scan_both(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Merge input decisions (doc_id, decision) and output scans: HIGH lifts ALLOW to WARN, CRITICAL blocks."""
-    both = inputs.join(outputs, "doc_id")
-    level = F.col("risk_level")
-    return both.withColumn("merged", F.when(level == "CRITICAL", "BLOCK").when((level == "HIGH") & (F.col("decision") == "ALLOW"), "WARN").otherwise(F.col("decision")))
+    return inputs.join(outputs, "doc_id").withColumn("merged", merged(F.col("decision"), F.col("risk_level")))
