@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import any_of, count_of, starts_with_any
+from textward.functions.text import any_of, count_of, counts_of, starts_with_any
 from textward.operators.heuristics import asks_for_prompt, domain_keywords
 
 #: Profile, block and warn threshold, discounts for education, fiction, history and profession.
@@ -27,23 +31,23 @@ def context_flags(corpus: DataFrame) -> DataFrame:
     """corpus with flags and confidence: a log sets 0.9 outright, an educational prefix 0.8, the rest raise it."""
     p = tables.grouped("context")
     low = F.lower(F.trim("text"))
-    out = corpus.withColumn("_low", low)
-    low = F.col("_low")
+    out = corpus.withColumn("_low", low).withColumn("_n", counts_of(F.col("_low"), {g: p[g] for g in ("educational", "defensive", "log", "negation", "review")}))
+    low, holds = F.col("_low"), lambda g: F.col(f"_n.{g}") > 0
     flags = {
         "is_extraction": asks_for_prompt(F.col("text")),
         "_prefix": starts_with_any(low, p["educational_prefix"]),
-        "_word": any_of(low, p["educational"]),
-        "is_defensive": any_of(low, p["defensive"]),
-        "is_log": any_of(low, p["log"]),
-        "is_negated": any_of(low, p["negation"]),
+        "_word": holds("educational"),
+        "is_defensive": holds("defensive"),
+        "is_log": holds("log"),
+        "is_negated": holds("negation"),
         "is_question": F.trim("text").endswith("?") | starts_with_any(low, p["question_prefix"]),
-        "is_review": any_of(low, p["review"]),
+        "is_review": holds("review"),
     }
     out = out.select("*", *(v.alias(k) for k, v in flags.items()))
     start = F.when(F.col("_prefix"), 0.8).when(F.col("is_extraction"), 0.95).otherwise(0.0)
     raised = F.greatest(start, F.when(F.col("_word"), 0.7).otherwise(0.0), F.when(F.col("is_defensive"), 0.7).otherwise(0.0))
     confidence = F.greatest(F.when(F.col("is_log"), 0.9).otherwise(raised), F.when(F.col("is_review"), 0.6).otherwise(0.0))
-    return out.withColumn("is_educational", F.col("_prefix") | F.col("_word")).withColumn("confidence", confidence).drop("_low", "_prefix", "_word")
+    return out.withColumn("is_educational", F.col("_prefix") | F.col("_word")).withColumn("confidence", confidence).drop("_low", "_n", "_prefix", "_word")
 
 
 def context_modifier(score: Column) -> Column:
@@ -65,9 +69,8 @@ def context_modifier(score: Column) -> Column:
 def domain_of(corpus: DataFrame) -> DataFrame:
     """corpus with domain (null under two keywords; ties: first by name) and domain_confidence."""
     groups = {DOMAIN_NAMES.get(g, g): w for g, w in tables.grouped("domain").items()}
-    low = corpus.withColumn("_low", F.lower("text"))
-    counts = low.withColumn("_c", F.array(*(F.struct((-count_of(F.col("_low"), groups[g])).alias("n"), F.lit(g).alias("g")) for g in sorted(groups))))
-    best = counts.withColumn("_b", F.array_min("_c")).drop("_c", "_low")
+    counts = corpus.withColumn("_n", counts_of(F.lower("text"), groups))
+    best = counts.withColumn("_b", F.array_min(F.array(*(F.struct((-F.col("_n")[g]).alias("n"), F.lit(g).alias("g")) for g in sorted(groups)))))
     n = -F.col("_b.n")
     return best.select(*corpus.columns, F.when(n >= 2, F.col("_b.g")).alias("domain"), F.when(n >= 5, 0.9).when(n >= 3, 0.7).when(n >= 2, 0.5).otherwise(0.0).alias("domain_confidence"))
 
@@ -98,9 +101,9 @@ def purpose_discount(scored: DataFrame, profile: str = "balanced", score_col: st
 def intents(corpus: DataFrame) -> DataFrame:
     """corpus with primary and secondary intent: 0.15 a keyword, attacks half as much again; ties go by name."""
     p = tables.grouped("intent")
-    low = corpus.withColumn("_low", F.lower("text"))
-    scores = [F.struct(F.round(count_of(F.col("_low"), p[g]) * F.lit(-0.225 if g == "ATTACK" else -0.15), 6).alias("s"), F.lit(g).alias("g")) for g in sorted(p)]
-    out = low.withColumn("_s", F.array_sort(F.array(*scores))).drop("_low")
+    low = corpus.withColumn("_n", counts_of(F.lower("text"), p))
+    scores = [F.struct(F.round(F.col("_n")[g] * F.lit(-0.225 if g == "ATTACK" else -0.15), 6).alias("s"), F.lit(g).alias("g")) for g in sorted(p)]
+    out = low.withColumn("_s", F.array_sort(F.array(*scores)))
     first, second = F.col("_s")[0], F.col("_s")[1]
     talk = -first["s"] < 0.1
     return out.select(*corpus.columns, F.when(talk, "CONVERSATIONAL").otherwise(first["g"]).alias("intent"), F.when(talk, 0.5).otherwise(F.least(-first["s"], F.lit(1.0))).alias("intent_confidence"), F.when(second["s"] < 0, second["g"]).alias("second_intent"), (-second["s"] + 0.0).alias("second_score"))
@@ -193,9 +196,10 @@ AGENTIC = (
 def agentic_type(low: Column) -> Column:
     """Type of the first check that holds for a lower-case text; null without one (an internal or well-known schema reference ends the search)."""
     p = _agentic() | {"web": ["http://", "https://"]}
+    n = counts_of(low, {g: [g[1:]] if g[0] == "=" else p[g] for _, groups, _ in AGENTIC for g in groups})
 
     def test(groups: tuple[str, ...], least: int) -> Column:
-        parts = [low.contains(g[1:]) if g[0] == "=" else count_of(low, p[g]) >= least if least > 1 else any_of(low, p[g]) for g in groups]
+        parts = [n[g] >= least for g in groups]
         return functools.reduce(lambda a, b: a & b, parts)
 
     found = functools.reduce(lambda c, x: c.when(test(x[1], x[2]), x[0]), AGENTIC[1:], F.when(test(AGENTIC[0][1], 1), AGENTIC[0][0]))
@@ -220,70 +224,107 @@ NO_CONFIG = ("ignore", "bypass", "override", "disregard", "forget", "reveal", "e
 LINE_TESTS = {"prefix": ("bare", "starts"), "contains": ("bare", "holds"), "lower_prefix": ("low", "starts"), "lower_contains": ("low", "holds"), "upper_prefix": ("upper", "starts")}
 #: Groups whose phrases are read in several ways: how many of the first are prefixes, the others are contained; forwarding marks have theirs by place.
 MIXED = {"test": ("bare", (0, 1)), "assert": ("bare", (0,)), "return": ("bare", (0,)), "forward": ("low", (0, 1, 3))}
+#: Characters that are cut off at the ends of a line: tabs, line ends and all separators of Unicode.
 _BLANK = r"[\t\n\x0B\f\r\x85\p{Z}]+"
+_BLANKS = "\t\n\x0b\f\r\x85\x20\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Structures whose points come from lines, and lines with a price.
+BY_LINE = ("code_block", "email_headers", "log_format", "documentation", "academic_study", "cli_help", "job_posting", "quoted_speech", "config")
+PRICES = ("$", ".00", ".99", ".95")
+
+
+def _one_of(phrases, prefixes=()) -> str:
+    """A pattern of RE2 for lines that begin with one of the prefixes or hold one of the phrases."""
+    return "|".join([rf"\A(?:{'|'.join(map(re.escape, prefixes))})"] * bool(prefixes) + [re.escape(x) for x in phrases])
+
+
+def _line_tests() -> dict[str, list[tuple[int, list[tuple[str, str, bool]]]]]:
+    """For each structure the points and tests of its line groups. A test: what is read of a line (line, bare, low, upper, next), a pattern of RE2, and whether it is to be found; all must hold."""
+    out: dict[str, list[tuple[int, list[tuple[str, str, bool]]]]] = {n: [] for n in BY_LINE}
+    for name, points, test, *phrases in tables.rows("structures"):
+        if name not in out or test.startswith(("text", "raw", "quoted")):
+            continue
+        if test in LINE_TESTS:
+            read, how = LINE_TESTS[test]
+            tests = [(read, _one_of((), phrases) if how == "starts" else _one_of(phrases), True)]
+        elif test == "question":
+            tests = [("low", _one_of(phrases), True), ("low", _one_of(NO_STUDY), False)]
+        else:
+            read, prefixes = MIXED[test]
+            tests = [(read, _one_of([x for i, x in enumerate(phrases) if i not in prefixes], [x for i, x in enumerate(phrases) if i in prefixes]), True)]
+        out[name].append((int(points), tests))
+    out["log_format"] += [(1, [("bare", r"\A(?:\[|20[23][0-9]-)", True)]), (1, [("bare", " - ", True), ("bare", ":", True)])]
+    out["documentation"] += [(1, [("bare", r"(?s)\A[1-9]\..", True)]), (1, [("next", "\\A[\"']", True)])]
+    out["cli_help"] += [(1, [("bare", "--", True), ("bare", r" |--\z", True)]), (1, [("bare", r"(?s)\A-[^-].", True), ("bare", " ", True)])]
+    # A setting: the first blank stands after a colon that has a name before it, and no word of NO_CONFIG follows.
+    out["config"] += [(1, [("bare", r"\A[^ #][^ ]*: ", True), ("low", rf"(?s)\A[^ ]*: .*(?:{_one_of(NO_CONFIG)})", False)]), (1, [("line", r"(?s)\A[ \t]..", True), ("line", ":", True)]), (1, [("bare", r"\A[\[\]{}]", True)]), (1, [("bare", r"\A-", True)])]
+    return out
+
+
+def line_points(text: Column) -> Column:
+    """struct of a number for each structure of BY_LINE, summed over the text's lines, and `prices`, its lines with a price. Null for null.
+
+    All lines of some hundred texts are searched at once, by RE2 over Arrow.
+    """
+    by_name = _line_tests()
+
+    def found(texts: pa.Array, lows: pa.Array, uppers: pa.Array) -> pa.Array:
+        parts = [some(*(x.slice(lo, 500).fill_null("").cast(pa.string()) for x in (texts, lows, uppers))) for lo in range(0, len(texts), 500)]
+        sums = np.concatenate(parts, axis=1) if parts else np.zeros((len(BY_LINE) + 1, 0), np.int32)
+        return pa.StructArray.from_arrays([pa.array(x) for x in sums], names=[*BY_LINE, "prices"], mask=texts.is_null())
+
+    def some(texts: pa.Array, lows: pa.Array, uppers: pa.Array) -> np.ndarray:
+        lists = pc.split_pattern(texts, "\n")
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        trimmed = lambda x: pc.utf8_trim(x, characters=_BLANKS)
+        read = {"line": lists.flatten(), "low": trimmed(pc.split_pattern(lows, "\n").flatten()), "upper": trimmed(pc.split_pattern(uppers, "\n").flatten())}
+        read["bare"] = trimmed(read["line"])
+        nexts = np.arange(1, len(read["line"]) + 1)
+        nexts[np.append(starts[1:], len(nexts)) - 1] = len(nexts)  # after a text's last line there is nothing
+        read["next"] = pa.concat_arrays([read["bare"], pa.array([""])]).take(pa.array(nexts))
+
+        def hits(tests: list[tuple[str, str, bool]]) -> np.ndarray:
+            return functools.reduce(lambda a, b: a & b, (pc.match_substring_regex(read[r], p).to_numpy(zero_copy_only=False) == wanted for r, p, wanted in tests))
+
+        total = [sum(hits(tests) * np.int32(points) for points, tests in by_name[n]) for n in BY_LINE]
+        return np.add.reduceat(np.array([*total, hits([("line", _one_of(PRICES), True)])], np.int32), starts, axis=1)
+
+    return F.arrow_udf(found, ", ".join(f"{n} int" for n in (*BY_LINE, "prices")))(text, F.lower(text), F.upper(text))
 
 
 def structural_points(corpus: DataFrame) -> DataFrame:
     """corpus with points (a struct with a number for each structure), attack and json (whether the text is a JSON value)."""
     groups = [(r[0], int(r[1]), r[2], list(r[3:])) for r in tables.rows("structures")]
-    both = lambda tests: functools.reduce(lambda a, b: a | b, tests)
-
-    def of_line(x: Column, name: str) -> Column:
-        total = F.lit(0)
-        for structure, points, test, phrases in groups:
-            if structure != name or test.startswith(("text", "raw", "quoted")):
-                continue
-            if test in LINE_TESTS:
-                read, how = LINE_TESTS[test]
-                hit = (starts_with_any if how == "starts" else any_of)(x[read], phrases)
-            elif test == "question":
-                hit = any_of(x["low"], phrases) & ~any_of(x["low"], list(NO_STUDY))
-            else:
-                read, prefixes = MIXED[test]
-                hit = both(x[read].startswith(p) if i in prefixes else x[read].contains(p) for i, p in enumerate(phrases))
-            total = total + F.when(hit, points).otherwise(0)
-        bare, line, one = x["bare"], x["line"], lambda c: F.when(c, 1).otherwise(0)
-        if name == "log_format":
-            total = total + one(bare.startswith("[") | bare.rlike(r"^20[2-3][0-9]-")) + one(bare.contains(" - ") & bare.contains(":"))
-        elif name == "documentation":
-            total = total + one(bare.rlike(r"(?s)^[1-9]\..")) + one(x["next"].startswith('"') | x["next"].startswith("'"))
-        elif name == "cli_help":
-            total = total + one(bare.contains("--") & (bare.contains(" ") | bare.endswith("--"))) + one(bare.rlike(r"(?s)^-[^-].") & bare.contains(" "))
-        elif name == "config":
-            at = F.instr(bare, ": ")
-            setting = (at > 1) & ~bare.startswith("#") & ~F.left(bare, at - 1).contains(" ") & ~any_of(F.lower(F.substring(bare, at + 2, F.length(bare))), list(NO_CONFIG))
-            total = total + one(setting) + one((F.octet_length(line) > 2) & line.rlike(r"^[ \t]") & line.contains(":")) + one(starts_with_any(bare, ["{", "}", "[", "]"])) + one(bare.startswith("-"))
-        return total
-
     text, low = F.col("text"), F.col("_low")
+    # Phrases of whole texts, each group under its number; of quoted phrases each is a group with its quotes.
+    asked = {f"g{i}": phrases for i, (_, _, test, phrases) in enumerate(groups) if test in ("text_each", "text_any")}
+    asked |= {f"g{i}_{j}": [q + p for q in "\"'\u201c\u2018"] for i, (_, _, test, phrases) in enumerate(groups) if test == "quoted" for j, p in enumerate(phrases)}
+    n = F.col("_n")
 
     def of_text(name: str) -> Column:
         total = F.lit(0)
-        for structure, points, test, phrases in groups:
-            if structure == name and test == "text_each":
-                total = total + count_of(low, phrases) * points
-            elif structure == name and test in ("text_any", "raw_any"):
-                total = total + F.when(any_of(low if test == "text_any" else text, phrases), points).otherwise(0)
-            elif structure == name and test == "quoted":
-                total = total + functools.reduce(lambda a, b: a + b, (F.when(both(low.contains(q + p) for q in "\"'\u201c\u2018"), points).otherwise(0) for p in phrases))
+        for i, (structure, points, test, phrases) in enumerate(groups):
+            if structure != name:
+                continue
+            if test == "text_each":
+                total = total + n[f"g{i}"] * points
+            elif test in ("text_any", "raw_any"):
+                total = total + F.when(n[f"g{i}"] > 0 if test == "text_any" else any_of(text, phrases), points).otherwise(0)
+            elif test == "quoted":
+                total = total + functools.reduce(lambda a, b: a + b, (F.when(n[f"g{i}_{j}"] > 0, points).otherwise(0) for j in range(len(phrases))))
         return total
 
-    bare = lambda c: F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
-    split = corpus.withColumn("_low", F.lower("text")).withColumn("_raw", F.split("text", "\n")).withColumn("_bare", F.transform("_raw", bare))
-    nexts = F.concat(F.slice("_bare", 2, F.greatest(F.size("_bare") - 1, F.lit(0))), F.array(F.lit("")))
-    zipped = F.arrays_zip(F.col("_raw").alias("line"), F.col("_bare").alias("bare"), F.transform("_bare", F.lower).alias("low"), F.transform("_bare", F.upper).alias("upper"), nexts.alias("next"))
-    split = split.withColumn("_lines", zipped)
-    add = lambda name: lambda a, x: a + of_line(x, name)
-    sums = {n: F.aggregate("_lines", F.lit(0), add(n)) for n in ("code_block", "email_headers", "log_format", "documentation", "academic_study", "cli_help", "job_posting", "quoted_speech", "config")}
-    prices = F.size(F.filter("_raw", lambda x: any_of(x, ["$", ".00", ".99", ".95"])))
-    sums |= {n: of_text(n) for n in ("legal_document", "quoted_example", "training_data", "invoice_attack", "legal_strong")}
+    split = corpus.withColumn("_low", F.lower("text")).withColumn("_n", counts_of(low, asked)).withColumn("_x", line_points(text))
+    sums = {name: F.col(f"_x.{name}") for name in BY_LINE}
+    sums |= {name: of_text(name) for name in ("legal_document", "quoted_example", "training_data", "invoice_attack", "legal_strong")}
     sums["citation"] = of_text("citation") + F.when(text.contains("(20") & text.contains(")"), 1).otherwise(0)
-    sums["invoice_receipt"] = of_text("invoice_receipt") + F.when(prices >= 2, 2).otherwise(0)
-    whole = bare(text)
+    sums["invoice_receipt"] = of_text("invoice_receipt") + F.when(F.col("_x.prices") >= 2, 2).otherwise(0)
+    whole = F.regexp_replace(text, f"^{_BLANK}|{_BLANK}\\z", "")
     json = (whole.startswith("{") & whole.endswith("}")) | (whole.startswith("[") & whole.endswith("]"))
+    # Most texts have no bracket at either end, so they need not be cut.
+    json = F.when(text.rlike(rf"\A(?:{_BLANK})?[{{\[]"), json).otherwise(F.when(text.isNotNull(), False))
     sums["json_data"] = F.when(text.contains('":'), 2).otherwise(0) + F.when(text.contains('",') | text.contains('": '), 1).otherwise(0) + F.when(text.contains("{") | text.contains("["), 1).otherwise(0)
-    out = split.withColumn("points", F.struct(*(v.alias(k) for k, v in sums.items()))).withColumn("json", json).withColumn("attack", F.when(F.col("json"), agentic_type(low)))
-    return out.drop("_low", "_raw", "_bare", "_lines")
+    out = split.withColumn("points", F.struct(*(v.alias(k) for k, v in sums.items()))).withColumn("json", json)
+    return out.withColumn("attack", agentic_type(F.when(F.col("json"), low))).drop("_low", "_n", "_x")
 
 
 def structural_context(corpus: DataFrame) -> DataFrame:

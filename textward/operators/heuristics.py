@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import any_of, looked_up, matched, matches, matches_of, one_pass
+from textward.functions.text import any_of, counts_of, looked_up, matched, matches, matches_of, one_pass, standing
 from textward.operators.scan import crypto_score
 
 #: Order in which rule families are asked.
@@ -30,7 +30,7 @@ def attack_predicate(text: Column) -> Column:
 
 
 def asks_for_prompt(text: Column) -> Column:
-    return any_of(F.lower(text), tables.grouped("blocklist")["blocklist"])
+    return counts_of(F.lower(text), tables.grouped("blocklist"))["blocklist"] > 0
 
 
 def words(text: Column) -> Column:
@@ -185,7 +185,7 @@ def heuristic_score(corpus: DataFrame, decoded: DataFrame | None = None) -> Data
 def domain_keywords(text: Column) -> Column:
     """Discountable keywords that stand in the text, sorted."""
     names = sorted({k for k, _, _ in tables.rows("domain_discounts")})
-    return F.array_compact(F.array(*(F.when(F.lower(text).contains(k), F.lit(k)) for k in names)))
+    return standing(F.lower(text), names)
 
 
 def benign_discount(text: Column, phrases: list[tuple[str, float]]) -> Column:

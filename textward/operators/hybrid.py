@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textward.functions import tables
 from textward.functions.paths import settled
 from textward.functions.text import count_of
 from textward.operators import context, decode, heuristics, lexical, scan
@@ -74,11 +73,8 @@ def full_score(rows: DataFrame, passes: int = 2) -> DataFrame:
 
 def lexical_score(rows: DataFrame) -> DataFrame:
     """(doc_id, score, is_threat): characters, entropy, anchors, structure and mixed scripts combined. doc_id may be of any type."""
-    p = tables.grouped("anchor")
-    damp = F.greatest(1 - F.least(lexical.benign_context(F.col("text")), F.lit(1.0)) * 0.75, F.lit(0.25))
-    phrases = functools.reduce(lambda c, g: c.when(F.col("category") == g, count_of(F.lower("text"), p[g])), sorted(p), F.when(F.lit(False), F.lit(0)))
-    anchors = rows.join(lexical.anchor_match(rows), "doc_id").withColumn("n", F.coalesce(phrases, F.lit(0)))
-    sure = F.when(F.col("n") > 0, F.least(F.col("n") * 0.3, F.lit(1.0)) * damp).otherwise(F.col("score") * 0.5)
+    anchors = lexical.anchor_match(rows)
+    sure = F.when(F.col("phrases") > 0, F.least(F.col("phrases") * 0.3, F.lit(1.0)) * F.col("damp")).otherwise(F.col("score") * 0.5)
     parts = [
         lexical.char_profile(rows).select("doc_id", F.col("anomaly_score").alias("score"), F.lit(0.8).alias("confidence")),
         lexical.entropy_anomaly(rows).select("doc_id", F.coalesce("anomaly_score", F.lit(0.0)).alias("score"), F.lit(0.7).alias("confidence")),
@@ -115,7 +111,7 @@ def evidence(corpus: DataFrame, benign: tuple = (), passes: int = 3) -> DataFram
     rows = rows.withColumns(
         {
             "agentic": context.agentic_type(low),
-            "has_secrets": scan.redact(text) != text,
+            "has_secrets": scan.has_secrets(text),
             "n_benign": count_of(low, [p for p, _ in benign]) if benign else F.lit(0),
             "benign_discount": heuristics.benign_discount(text, list(benign)) if benign else F.lit(0.0),
             "has_domain_keywords": F.size(heuristics.domain_keywords(text)) > 0,

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textward.functions import tables
-from textward.functions.text import _TOKEN, _stretches, ascii_counts, count_of
+from textward.functions.text import _TOKEN, _stretches, ascii_counts, count_of, counts_of, standing
 from textward.operators.heuristics import entropy, words
 
 _SPACE = "[\\t\\n\\x0B\\f\\r\\x20\\x85\\xA0]"
@@ -52,8 +52,9 @@ def entropy_anomaly(corpus: DataFrame, usual: float = 4.5, between: float = 1.0)
 
 def benign_context(text: Column) -> Column:
     """Credits of benign vocabulary, three a group at most, 0.4 each."""
-    low, p = F.lower(text), tables.grouped("benign")
-    return functools.reduce(lambda a, b: a + b, (F.least(count_of(low, p[g]), F.lit(3)) for g in p)) * F.lit(0.4)
+    p = tables.grouped("benign")
+    n = counts_of(F.lower(text), p)
+    return functools.reduce(lambda a, b: a + b, (F.least(n[g], F.lit(3)) for g in p)) * F.lit(0.4)
 
 
 def structure_flags(corpus: DataFrame) -> DataFrame:
@@ -162,21 +163,23 @@ def _first_like(low: Column, wanted: list[str]) -> Column:
 
 
 def anchor_match(corpus: DataFrame) -> DataFrame:
-    """doc_id with the best threat category: 0.5 an anchor phrase, 0.15 by similarity for the first like word of an anchor word, damped by benign vocabulary.
+    """doc_id with the best threat category, its score, the number of its anchor phrases (phrases), and the damping by benign vocabulary (damp).
 
+    The score: 0.5 an anchor phrase, 0.15 by similarity for the first like word of an anchor word, damped.
     Distinct words of an Arrow batch are compared with anchor words once, within their length band: no word leaves its text's row.
     """
     p = tables.grouped("anchor")
     rows = corpus.select("doc_id", "text", F.lower("text").alias("low"))
     wanted = sorted({w for a in p.values() for x in a for w in x.split() if len(w.encode()) > 4})
-    joined = rows.withColumn("sims", F.coalesce(_first_like(F.col("low"), wanted), F.create_map().cast("map<string,double>")))
+    damp = F.greatest(1 - F.least(benign_context(F.col("text")), F.lit(1.0)) * 0.75, F.lit(0.25))
+    joined = rows.select("doc_id", F.coalesce(_first_like(F.col("low"), wanted), F.create_map().cast("map<string,double>")).alias("sims"), standing(F.col("low"), sorted({a for own in p.values() for a in own})).alias("stand"), damp.alias("damp"))
 
     def category(name: str) -> Column:
         total = F.lit(0.0)
         for anchor in p[name]:
             meaningful = [w for w in anchor.split() if len(w.encode()) > 4]
             found = [F.coalesce(F.try_element_at("sims", F.lit(w)), F.lit(0.0)) for w in meaningful]
-            total = total + F.when(F.col("low").contains(anchor), 0.5).otherwise(0.0)
+            total = total + F.when(F.array_contains("stand", anchor), 0.5).otherwise(0.0)
             for s in found:
                 total = total + s * 0.15
             if len(meaningful) > 1:
@@ -185,9 +188,9 @@ def anchor_match(corpus: DataFrame) -> DataFrame:
 
     best = F.array_min(F.array(*(F.struct((-F.round(category(g), 6)).alias("s"), F.lit(g).alias("g")) for g in sorted(p))))
     joined = joined.withColumn("_b", best)
-    damp = F.greatest(1 - F.least(benign_context(F.col("text")), F.lit(1.0)) * 0.75, F.lit(0.25))
     score = -F.col("_b.s")
-    return joined.select("doc_id", F.when(score > 0, F.col("_b.g")).alias("category"), F.round(score * damp, 6).alias("score"))
+    phrases = functools.reduce(lambda c, g: c.when(F.col("_b.g") == g, F.size(F.array_intersect("stand", F.array(*map(F.lit, p[g]))))), sorted(p), F.when(F.lit(False), F.lit(0)))
+    return joined.select("doc_id", F.when(score > 0, F.col("_b.g")).alias("category"), F.round(score * F.col("damp"), 6).alias("score"), F.when(score > 0, phrases).otherwise(0).alias("phrases"), "damp")
 
 
 #: Scripts whose first character decides the language of a seed.

@@ -134,7 +134,7 @@ QUERIES = {
     "f7_profile_action": lambda s, d: ctx.with_profile_action(_scored(s, d)).groupBy("profile", "action").agg(F.count("*").alias("texts")),
     "l1_char_profile": lambda s, d: lex.char_profile(corpus(s, d)),
     "l2_entropy_anomaly": lambda s, d: lex.entropy_anomaly(corpus(s, d)),
-    "l3_anchor_match": lambda s, d: lex.anchor_match(corpus(s, d)),
+    "l3_anchor_match": lambda s, d: lex.anchor_match(corpus(s, d)).select("doc_id", "category", "score"),
     "l4_benign_context": lambda s, d: corpus(s, d).select("doc_id", F.round(lex.benign_context(_text()), 6).alias("benign")),
     "l5_structure_flags": lambda s, d: lex.structure_flags(corpus(s, d)),
     "l7_mixed_script_tokens": lambda s, d: lex.mixed_script_tokens(corpus(s, d)),
