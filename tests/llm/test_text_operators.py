@@ -324,6 +324,29 @@ def test_repeats_brute(spark):
     assert sorted(r.n_removed > 0 for r in twice) == [False, True, True]
 
 
+def test_repeats_hot_grams_read_no_text_again(spark):
+    """A gram of many contexts costs no further pass over the texts, also where its strings are many; shuffle files of what is written go at once."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(90)) + passage + "".join(rng.choice("ijklmnop") for _ in range(90))) for i in range(300)]
+    read, passes = spark.sparkContext.accumulator(0), []
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    for hot in (repeats.HOT, 3):
+        read.value = 0
+        got = repeats.removed(frame(spark, rows).mapInArrow(seen, "doc_id long, text string"), hot=hot).drop("spans").collect()
+        assert sorted(map(repr, (tuple(r) for r in got))) == brute_repeats(rows)
+        passes.append(read.value / len(rows))
+    assert passes[0] == passes[1], passes
+    assert spark.conf.get(key, None) == before
+
+
 def test_repeat_groups_are_maximal(spark):
     passage = "".join(random.Random(1).choice("abcdefghij") for _ in range(140))
     got = repeats.repeat_groups(frame(spark, [(1, "x" + passage + "p"), (2, "yy" + passage + "q"), (3, "zzz" + passage + "r")])).collect()

@@ -16,6 +16,8 @@ hash, which both places share at the same offset. So only anchors (about two in
 Grams of more than `HOT` different contexts don't meet in one task for 4: each of their strings of `length` bytes is grouped by its hash, with
 partial sums, and all but the first of a string are covered. That is exact too, and takes one row a string instead of one a place.
 
+Texts are shuffled once, hot grams or not: the bytes of all places asked for come from one join, which shares its exchange of texts with the last one.
+
 No step pairs occurrences, and nothing but 1 and 3 leaves the JVM. Earlier: smaller id, then smaller start; rows without an id come last.
 
 Defined results: null counts as empty text; texts under `length` bytes have no repeats; rows that share id and text are one document
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,8 +198,22 @@ def _firsts(columns: list[np.ndarray]) -> np.ndarray:
     return first
 
 
-def _met(docs: DataFrame, keys: list[str], length: int, k: int, classes: bool = False) -> DataFrame:
-    """Rows of step 2: gram, keys, place, left, right and `whole`: covered throughout, or asking for its bytes.
+def _written(df: DataFrame) -> DataFrame:
+    """C.written(df); the shuffle files of the write go at its end, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return C.written(df)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
+def _met(docs: DataFrame, keys: list[str], length: int, k: int, hot: int = HOT, classes: bool = False) -> DataFrame:
+    """Rows of step 2: gram, keys, place, left, right, `whole`: covered throughout, or asking for its bytes, and `hot`: asking in a gram of over `hot` classes.
 
     With classes, context is there too, and so are the first places of grams of one class.
     """
@@ -219,32 +236,32 @@ def _met(docs: DataFrame, keys: list[str], length: int, k: int, classes: bool =
 
     given = docs.mapInArrow(give, f"gram bigint, context bigint, {', '.join(names)}, at bigint, whole boolean")
     given = given.repartition("gram").sortWithinPartitions("gram", "context", *keys, "at")
-    columns = ["gram", *["context"] * classes, *keys, "place", "left", "right", "whole"]
+    columns = ["gram", *["context"] * classes, *keys, "place", "left", "right", "whole", "hot"]
 
     def meet(batches):
         for batch in _whole_groups(batches):
             gram, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             done = batch.column(len(keys) + 3).to_numpy(zero_copy_only=False)
             met = np.flatnonzero(~done)
-            whole, take = done.copy(), done.copy()
+            whole, take, much = done.copy(), done.copy(), np.zeros(len(done), bool)
             if len(met):
                 g, c = gram[met], context[met]
                 heads, sizes = _runs(g)
                 new = np.ones(len(g), bool)
                 new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-                several = np.repeat(np.add.reduceat(new.astype(np.int64), heads) > 1, sizes)
-                whole[met], take[met] = ~new, ~new | several | classes
+                kinds = np.repeat(np.add.reduceat(new.astype(np.int64), heads), sizes)
+                whole[met], take[met], much[met] = ~new, ~new | (kinds > 1) | classes, new & (kinds > hot)
             at_all = np.flatnonzero(take)
             out = batch.take(pa.array(at_all))
             at = out.column(len(keys) + 2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([out.column(0), *[out.column(1)] * classes, *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(whole[at_all])], names=columns)
+            yield pa.RecordBatch.from_arrays([out.column(0), *[out.column(1)] * classes, *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(whole[at_all]), pa.array(much[at_all])], names=columns)
 
-    return given.mapInArrow(meet, f"gram bigint, {'context bigint, ' * classes}{', '.join(names)}, place bigint, left bigint, right bigint, whole boolean")
+    return given.mapInArrow(meet, f"gram bigint, {'context bigint, ' * classes}{', '.join(names)}, place bigint, left bigint, right bigint, whole boolean, hot boolean")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """Bytes of the places asked for: gram, right and left context (left read backwards), keys, place."""
-    wanted = asked.groupBy(*keys).agg(F.collect_list(F.struct("gram", "place", "left", "right")).alias("wanted"))  # bounded by the text
+    """Bytes of the places asked for: gram, right and left context (left read backwards), keys, place, hot."""
+    wanted = asked.groupBy(*keys).agg(F.collect_list(F.struct("gram", "place", "left", "right", "hot")).alias("wanted"))  # bounded by the text
     names = ", ".join(f"`{x}` bigint" for x in keys)
 
     def cut(batches):
@@ -257,7 +274,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
                 key = [c[i] for c in own]
                 for w in wants:
                     at = int(offs[i]) + w["place"]
-                    rows.append((w["gram"], raw[at : at + w["right"]], raw[at - w["left"] : at][::-1], *key, w["place"]))
+                    rows.append((w["gram"], raw[at : at + w["right"]], raw[at - w["left"] : at][::-1], *key, w["place"], w["hot"]))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -265,19 +282,22 @@ def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
                 yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (len(keys) + 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "right", "left", *keys, "place"])
+        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (len(keys) + 1), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "right", "left", *keys, "place", "hot"])
 
-    return docs.join(wanted, keys).select(*keys, "text", "wanted").mapInArrow(cut, f"gram bigint, `right` binary, `left` binary, {names}, place bigint")
+    return docs.join(wanted, keys).select(*keys, "text", "wanted").mapInArrow(cut, f"gram bigint, `right` binary, `left` binary, {names}, place bigint, hot boolean")
 
 
-def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: bool) -> DataFrame:
-    """Step 3: maximal repeat groups as rows (repeat, size, keys, start, anchor), or with covers the bytes covered (keys, start, end)."""
+def _groups(dealt: DataFrame, keys: list[str], length: int, k: int, covers: bool) -> DataFrame:
+    """Step 3: maximal repeat groups as rows (repeat, size, keys, start, anchor), or with covers the bytes covered (keys, start, end) but for hot grams.
+
+    dealt: contexts, those of a gram in one partition (with covers, hot ones anywhere).
+    """
     names = ", ".join(f"`{x}` bigint" for x in keys)
-    ordered = contexts.repartition("gram").sortWithinPartitions("gram", "right")
+    ordered = dealt.sortWithinPartitions("gram", "right")
 
     def solve(batches):
-        for batch in _whole_groups(batches):
+        for batch in _whole_groups(b.filter(pc.invert(b.column(len(keys) + 4))) for b in batches) if covers else _whole_groups(batches):
             n = batch.num_rows
             gram = batch.column(0).to_numpy(zero_copy_only=False)
             data, offs = C.text_buffer(batch.column(1))
@@ -289,7 +309,7 @@ def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: b
                 differ = table[1:] != table[:-1]
                 lcp[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), length), np.minimum(sizes[1:], sizes[:-1]))
             lefts = batch.column(2).to_pylist()
-            places = list(zip(*(c.to_pylist() for c in batch.columns[3:])))
+            places = list(zip(*(c.to_pylist() for c in batch.columns[3 : len(keys) + 4])))
             rows: list[tuple] = []
             heads, counts = _runs(gram)
             for lo, m in zip(heads.tolist(), counts.tolist()):
@@ -313,15 +333,16 @@ def _groups(contexts: DataFrame, keys: list[str], length: int, k: int, covers: b
     return ordered.mapInArrow(solve, f"{names}, start bigint, `end` bigint" if covers else f"repeat string, size bigint, {names}, start bigint, anchor bigint")
 
 
-def _strings(contexts: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Step 4 for hot grams: (keys, start, end) of the places with an earlier one that shares `length` bytes through the anchor."""
+def _strings(dealt: DataFrame, keys: list[str], length: int, total: int) -> DataFrame:
+    """Step 4 for hot grams, which have `total` strings: (keys, start, end) of the places with an earlier one that shares `length` bytes through the anchor."""
     names = ", ".join(f"`{x}` bigint" for x in keys)
 
     def cut(batches):
         for batch in batches:
+            batch = batch.filter(batch.column(len(keys) + 4))
             rights, lefts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows: list[tuple] = []
-            for right, left, *place in zip(rights, lefts, *(c.to_pylist() for c in batch.columns[3:])):
+            for right, left, *place in zip(rights, lefts, *(c.to_pylist() for c in batch.columns[3 : len(keys) + 4])):
                 raw = left[::-1] + right
                 rows += [(xxhash.xxh3_128_digest(raw[i : i + length]), *place, place[-1] - len(left) + i) for i in range(len(raw) - length + 1)]
                 if len(rows) > 20_000:
@@ -333,22 +354,22 @@ def _strings(contexts: DataFrame, keys: list[str], length: int) -> DataFrame:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), *[pa.int64()] * (len(keys) + 2)])], names=["string", *keys, "place", "start"])
 
-    rows = contexts.mapInArrow(cut, f"string binary, {names}, place bigint, start bigint")
-    found = C.written(rows)
-    sizes = found.groupBy("string").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "start")).alias("first")).filter("n > 1")
-    later = C.hot_join(found, sizes, "string", found.count()).filter(F.struct(*keys, "start") > F.col("first"))
+    rows = dealt.mapInArrow(cut, f"string binary, {names}, place bigint, start bigint")
+    # All that reads the strings reads the same columns of them, none null, so that they are cut once and this exchange is shared.
+    found = rows.filter(" and ".join(f"`{x}` is not null" for x in ("string", *keys))).repartition(*keys, "start")
+    sizes = found.groupBy("string").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "start", "place")).alias("first")).filter("n > 1 and first is not null")
+    later = C.hot_join(found, sizes, "string", total).filter(F.struct(*keys, "start") > F.struct(*(F.col("first")[x] for x in (*keys, "start"))))
     return later.groupBy(*keys, "place").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("place")
 
 
-def _covers(keyed: DataFrame, met: DataFrame, keys: list[str], length: int, k: int, hot: int) -> DataFrame:
+def _covers(keyed: DataFrame, met: DataFrame, keys: list[str], length: int, k: int) -> DataFrame:
     """(keys, start, end) of all that is covered."""
     whole = met.filter("whole").select(*keys, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    asked = met.filter("not whole")
-    common = C.written(asked.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))  # small on disk: Spark broadcasts it, or not, by its size
-    if common.isEmpty():
-        return whole.unionByName(_groups(_contexts(keyed, asked, keys), keys, length, k, covers=True))
-    part = _groups(_contexts(keyed, asked.join(common, "gram", "left_anti"), keys), keys, length, k, covers=True)
-    return whole.unionByName(part).unionByName(_strings(_contexts(keyed, asked.join(common, "gram", "left_semi"), keys), keys, length))
+    strings = met.filter("hot").agg(F.sum(F.col("left") + F.col("right") - (length - 1))).first()[0]
+    spread = F.when(F.col("hot"), F.xxhash64(*keys, "place")).otherwise(0)
+    dealt = _contexts(keyed, met.filter("not whole"), keys).repartition("gram", spread)
+    covered = whole.unionByName(_groups(dealt, keys, length, k, covers=True))
+    return covered.unionByName(_strings(dealt, keys, length, strings)) if strings else covered
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,9 +378,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col:
     Contexts reach `length` bytes from an anchor, so a longer repeat comes as overlapping pieces, each with all its occurrences.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
-    met = C.written(_met(keyed, keys, length, k, classes=True))
+    met = _written(_met(keyed, keys, length, k, classes=True))
     heads, copies = met.filter("not whole"), met.filter("whole")
-    found = _groups(_contexts(keyed, heads, keys), keys, length, k, covers=False)
+    found = _groups(_contexts(keyed, heads, keys).repartition("gram"), keys, length, k, covers=False)
     # A place of a group stands for its whole class: all its copies have the same bytes around the anchor.
     sizes = copies.groupBy("context").agg(F.count("*").alias("n"))
     members = C.hot_join(copies.select("context", *keys, "place"), sizes.join(heads.select("context", *(F.col(x).alias(f"of_{x}") for x in keys), F.col("place").alias("of_place"), "left", "right"), "context"), "context", copies.count())
@@ -380,8 +401,8 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str =
     Bytes covered by a string of `length` bytes that also starts earlier are removed.
     """
     keyed, keys = _keyed(docs, id_col, text_col)
-    met = C.written(_met(keyed, keys, length, k))
-    spans = _covers(keyed, met, keys, length, k, hot).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
+    met = _written(_met(keyed, keys, length, k, hot))
+    spans = _covers(keyed, met, keys, length, k).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text
     joined = keyed.join(spans, keys, "left").select("order", "text", "spans")
 
     def cut(batches):
