@@ -347,6 +347,15 @@ def test_repeats_hot_grams_read_no_text_again(spark):
     assert spark.conf.get(key, None) == before
 
 
+def test_repeats_parts_of_hot_grams(spark):
+    """Strings that hold their anchor several times are found whatever part each of its places is dealt to."""
+    rng = random.Random(8)
+    unit = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(rng.randint(0, 70))) + (unit * 5)[rng.randint(0, 39) : rng.randint(130, 200)] + "".join(rng.choice("ijklmnop") for _ in range(60))) for i in range(80)]
+    for hot in (2, 7, 40):
+        assert sorted(map(repr, (tuple(r) for r in repeats.removed(frame(spark, rows), hot=hot).drop("spans").collect()))) == brute_repeats(rows)
+
+
 def test_repeat_groups_are_maximal(spark):
     passage = "".join(random.Random(1).choice("abcdefghij") for _ in range(140))
     got = repeats.repeat_groups(frame(spark, [(1, "x" + passage + "p"), (2, "yy" + passage + "q"), (3, "zzz" + passage + "r")])).collect()

@@ -13,8 +13,9 @@ hash, which both places share at the same offset. So only anchors (about two in
 4. In each group all but the first occurrence are covered. For that the same trees are scanned once more plainly: in each interval the
    later of two firsts drops out where they meet, so a place gives one stretch, however many groups it is in. A document's stretches are merged and cut out.
 
-Grams of more than `HOT` different contexts don't meet in one task for 4: each of their strings of `length` bytes is grouped by its hash, with
-partial sums, and all but the first of a string are covered. That is exact too, and takes one row a string instead of one a place.
+Grams of more than `HOT` different contexts don't meet in one task for 4: they are dealt into parts of about `HOT`, each scanned as a gram of its own. Of
+each part the first places of its strings of `length` bytes then meet by the strings' hashes, and all but the first of a string are covered.
+That is exact too: a place with an earlier one has it in its part, or is the first there and has it in another. A string has one row a part.
 
 Texts are shuffled once, hot grams or not: the bytes of all places asked for come from one join, which shares its exchange of texts with the last one.
 
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,7 +214,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _met(docs: DataFrame, keys: list[str], length: int, k: int, hot: int = HOT, classes: bool = False) -> DataFrame:
-    """Rows of step 2: gram, keys, place, left, right, `whole`: covered throughout, or asking for its bytes, and `hot`: asking in a gram of over `hot` classes.
+    """Rows of step 2: gram, keys, place, left, right, `whole`: covered throughout, or asking for its bytes, and `parts`: how many of `hot` classes its gram takes.
 
     With classes, context is there too, and so are the first places of grams of one class.
     """
@@ -236,32 +237,32 @@ def _met(docs: DataFrame, keys: list[str], length: int, k: int, hot: int = HOT,
 
     given = docs.mapInArrow(give, f"gram bigint, context bigint, {', '.join(names)}, at bigint, whole boolean")
     given = given.repartition("gram").sortWithinPartitions("gram", "context", *keys, "at")
-    columns = ["gram", *["context"] * classes, *keys, "place", "left", "right", "whole", "hot"]
+    columns = ["gram", *["context"] * classes, *keys, "place", "left", "right", "whole", "parts"]
 
     def meet(batches):
         for batch in _whole_groups(batches):
             gram, context = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             done = batch.column(len(keys) + 3).to_numpy(zero_copy_only=False)
             met = np.flatnonzero(~done)
-            whole, take, much = done.copy(), done.copy(), np.zeros(len(done), bool)
+            whole, take, parts = done.copy(), done.copy(), np.ones(len(done), np.int64)
             if len(met):
                 g, c = gram[met], context[met]
                 heads, sizes = _runs(g)
                 new = np.ones(len(g), bool)
                 new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
                 kinds = np.repeat(np.add.reduceat(new.astype(np.int64), heads), sizes)
-                whole[met], take[met], much[met] = ~new, ~new | (kinds > 1) | classes, new & (kinds > hot)
+                whole[met], take[met], parts[met] = ~new, ~new | (kinds > 1) | classes, np.where(new, -(-kinds // hot), 1)
             at_all = np.flatnonzero(take)
             out = batch.take(pa.array(at_all))
             at = out.column(len(keys) + 2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([out.column(0), *[out.column(1)] * classes, *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(whole[at_all]), pa.array(much[at_all])], names=columns)
+            yield pa.RecordBatch.from_arrays([out.column(0), *[out.column(1)] * classes, *out.columns[2 : 2 + len(keys)], pa.array(at >> 16), pa.array((at >> 8) & 255), pa.array(at & 255), pa.array(whole[at_all]), pa.array(parts[at_all])], names=columns)
 
-    return given.mapInArrow(meet, f"gram bigint, {'context bigint, ' * classes}{', '.join(names)}, place bigint, left bigint, right bigint, whole boolean, hot boolean")
+    return given.mapInArrow(meet, f"gram bigint, {'context bigint, ' * classes}{', '.join(names)}, place bigint, left bigint, right bigint, whole boolean, parts bigint")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """Bytes of the places asked for: gram, right and left context (left read backwards), keys, place, hot."""
-    wanted = asked.groupBy(*keys).agg(F.collect_list(F.struct("gram", "place", "left", "right", "hot")).alias("wanted"))  # bounded by the text
+    """Bytes of the places asked for: gram, right and left context (left read backwards), keys, place, parts."""
+    wanted = asked.groupBy(*keys).agg(F.collect_list(F.struct("gram", "place", "left", "right", "parts")).alias("wanted"))  # bounded by the text
     names = ", ".join(f"`{x}` bigint" for x in keys)
 
     def cut(batches):
@@ -274,7 +275,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
                 key = [c[i] for c in own]
                 for w in wants:
                     at = int(offs[i]) + w["place"]
-                    rows.append((w["gram"], raw[at : at + w["right"]], raw[at - w["left"] : at][::-1], *key, w["place"], w["hot"]))
+                    rows.append((w["gram"], raw[at : at + w["right"]], raw[at - w["left"] : at][::-1], *key, w["place"], w["parts"]))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -282,22 +283,22 @@ def _contexts(docs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
                 yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (len(keys) + 1), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "right", "left", *keys, "place", "hot"])
+        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * (len(keys) + 2)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "right", "left", *keys, "place", "parts"])
 
-    return docs.join(wanted, keys).select(*keys, "text", "wanted").mapInArrow(cut, f"gram bigint, `right` binary, `left` binary, {names}, place bigint, hot boolean")
+    return docs.join(wanted, keys).select(*keys, "text", "wanted").mapInArrow(cut, f"gram bigint, `right` binary, `left` binary, {names}, place bigint, parts bigint")
 
 
 def _groups(dealt: DataFrame, keys: list[str], length: int, k: int, covers: bool) -> DataFrame:
-    """Step 3: maximal repeat groups as rows (repeat, size, keys, start, anchor), or with covers the bytes covered (keys, start, end) but for hot grams.
+    """Step 3: maximal repeat groups as rows (repeat, size, keys, start, anchor), or with covers the bytes covered (keys, start, end).
 
-    dealt: contexts, those of a gram in one partition (with covers, hot ones anywhere).
+    dealt: contexts, those of a gram in one partition.
     """
     names = ", ".join(f"`{x}` bigint" for x in keys)
     ordered = dealt.sortWithinPartitions("gram", "right")
 
     def solve(batches):
-        for batch in _whole_groups(b.filter(pc.invert(b.column(len(keys) + 4))) for b in batches) if covers else _whole_groups(batches):
+        for batch in _whole_groups(batches):
             n = batch.num_rows
             gram = batch.column(0).to_numpy(zero_copy_only=False)
             data, offs = C.text_buffer(batch.column(1))
@@ -333,43 +334,44 @@ def _groups(dealt: DataFrame, keys: list[str], length: int, k: int, covers: bool
     return ordered.mapInArrow(solve, f"{names}, start bigint, `end` bigint" if covers else f"repeat string, size bigint, {names}, start bigint, anchor bigint")
 
 
-def _strings(dealt: DataFrame, keys: list[str], length: int, total: int) -> DataFrame:
-    """Step 4 for hot grams, which have `total` strings: (keys, start, end) of the places with an earlier one that shares `length` bytes through the anchor."""
+def _strings(dealt: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Step 4 between the parts of hot grams: (keys, start, end) of the first places of a part with an earlier one in another part."""
     names = ", ".join(f"`{x}` bigint" for x in keys)
 
-    def cut(batches):
-        for batch in batches:
-            batch = batch.filter(batch.column(len(keys) + 4))
-            rights, lefts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows: list[tuple] = []
-            for right, left, *place in zip(rights, lefts, *(c.to_pylist() for c in batch.columns[3 : len(keys) + 4])):
-                raw = left[::-1] + right
-                rows += [(xxhash.xxh3_128_digest(raw[i : i + length]), *place, place[-1] - len(left) + i) for i in range(len(raw) - length + 1)]
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), *[pa.int64()] * (len(keys) + 2)])], names=["string", *keys, "place", "start"])
-
-    rows = dealt.mapInArrow(cut, f"string binary, {names}, place bigint, start bigint")
-    # All that reads the strings reads the same columns of them, none null, so that they are cut once and this exchange is shared.
-    found = rows.filter(" and ".join(f"`{x}` is not null" for x in ("string", *keys))).repartition(*keys, "start")
-    sizes = found.groupBy("string").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "start", "place")).alias("first")).filter("n > 1 and first is not null")
-    later = C.hot_join(found, sizes, "string", total).filter(F.struct(*keys, "start") > F.struct(*(F.col("first")[x] for x in (*keys, "start"))))
+    def firsts(batches):
+        for batch in _whole_groups(b.filter(pc.greater(b.column(len(keys) + 4), 1)) for b in batches):
+            for lo, n in zip(*(x.tolist() for x in _runs(batch.column(0).to_numpy(zero_copy_only=False)))):
+                part = batch.slice(lo, n)
+                digests, counts = bytearray(), []
+                for right, left in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    raw = left[::-1] + right
+                    counts.append(len(raw) - length + 1)
+                    # Seeded by the anchor's place in the string: one that holds its anchor twice is two strings, as it is in the trees.
+                    digests += b"".join(xxhash.xxh3_128_digest(raw[i : i + length], len(left) - i) for i in range(counts[-1]))
+                row = np.repeat(np.arange(n), counts)
+                *own, place = (c.to_numpy(zero_copy_only=False)[row] for c in part.columns[3 : len(keys) + 4])
+                left = np.array([len(x) for x in part.column(2).to_pylist()])
+                start = place - left[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                high, low = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+                order = np.lexsort([start, *own[::-1], low, high])
+                high, low = high[order], low[order]
+                at = order[np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])]
+                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(digests)]).take(pa.array(at)).cast(pa.binary())
+                yield from pa.Table.from_arrays([strings, *(pa.array(c[at]) for c in (*own, place, start))], names=["string", *keys, "place", "start"]).to_batches(20_000)
+
+    rows = dealt.sortWithinPartitions("gram").mapInArrow(firsts, f"string binary, {names}, place bigint, start bigint")
+    later = rows.withColumn("rank", F.rank().over(Window.partitionBy("string").orderBy(*keys, "start"))).filter("rank > 1")
     return later.groupBy(*keys, "place").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("place")
 
 
 def _covers(keyed: DataFrame, met: DataFrame, keys: list[str], length: int, k: int) -> DataFrame:
     """(keys, start, end) of all that is covered."""
     whole = met.filter("whole").select(*keys, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    strings = met.filter("hot").agg(F.sum(F.col("left") + F.col("right") - (length - 1))).first()[0]
-    spread = F.when(F.col("hot"), F.xxhash64(*keys, "place")).otherwise(0)
-    dealt = _contexts(keyed, met.filter("not whole"), keys).repartition("gram", spread)
+    part = F.xxhash64("gram", F.pmod(F.xxhash64(*keys, "place"), "parts"))
+    contexts = _contexts(keyed, met.filter("not whole"), keys)
+    dealt = contexts.withColumn("gram", F.when(F.col("parts") > 1, part).otherwise(F.col("gram"))).repartition("gram")
     covered = whole.unionByName(_groups(dealt, keys, length, k, covers=True))
-    return covered.unionByName(_strings(dealt, keys, length, strings)) if strings else covered
+    return covered if met.filter("parts > 1").isEmpty() else covered.unionByName(_strings(dealt, keys, length))
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
